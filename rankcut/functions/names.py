@@ -12,8 +12,8 @@ TOKENIZER_PATTERN = r"((bpe2wp)|(bpe)|(wordpiece))"
 
 
 def run_of_path(path: Column) -> Column:
-    """File stem of a run file."""
-    return S.strip_suffix(S.split_last(path, "/"), ".parquet")
+    """Name of a run from its Parquet file, or from a part file in its Parquet folder."""
+    return S.extract_group(path, r"(?:^|/)([^/]+?)\.parquet(?:/part-[^/]*)?$")
 
 
 def parse_run_name(run: Column) -> Column:

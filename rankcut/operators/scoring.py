@@ -134,8 +134,8 @@ def ngram_scores(train: DataFrame, vocab_size: int, add_k: float = 1.0, steps: t
     v, k = F.lit(float(vocab_size)), F.lit(float(add_k))
     scores = F.array(
         F.struct(F.lit(steps[0]).cast("long").alias("step"), (-F.log(v)).alias("logprob")),
-        F.struct(F.lit(steps[1]).cast("long"), F.log((F.col("tok_n") + k) / (total + k * v))),
-        F.struct(F.lit(steps[2]).cast("long"), F.log((F.col("pair_n") + k) / (F.col("prev_n") + k * v))),
+        F.struct(F.lit(steps[1]).cast("long").alias("step"), F.log((F.col("tok_n") + k) / (total + k * v)).alias("logprob")),
+        F.struct(F.lit(steps[2]).cast("long").alias("step"), F.log((F.col("pair_n") + k) / (F.col("prev_n") + k * v)).alias("logprob")),
     )
     return counts.select("prev", "tok", F.inline(scores))
 

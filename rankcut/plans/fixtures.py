@@ -233,7 +233,7 @@ def with_tables(sql: str) -> str:
     ctes = [f"{name} AS ({body})" for name, body in ORACLE.items() if name in needed]
     if not ctes:
         return sql
-    head = "WITH " + ",\n".join(ctes)
+    head = "WITH RECURSIVE " + ",\n".join(ctes)
     return f"{head}\n{sql}"
 
 
