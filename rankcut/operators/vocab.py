@@ -111,6 +111,11 @@ def _with_continuing(words: DataFrame, tokens: list[str], ids: list[int], prefix
     return words.select(moved.alias("sym"), "n"), tokens
 
 
+def _stage_words(words: DataFrame) -> DataFrame:
+    """Stage the word table in enough slices to keep every core busy: rows are few but costly."""
+    return stage(words.repartition(max(words.sparkSession.sparkContext.defaultParallelism, 1)), "words")
+
+
 def pair_counts(words: DataFrame) -> DataFrame:
     """``(pair, n, reach)`` of adjacent symbols.
 
@@ -118,38 +123,38 @@ def pair_counts(words: DataFrame) -> DataFrame:
     No pair that merging this one creates can be more frequent than that. One pass over the words counts triples;
     pairs are their sums.
     """
-    at = F.col("_c")
-    spots = F.transform(
-        F.sequence(F.lit(0), F.size(at) - 2),
-        lambda i: F.concat_ws("", F.get(at, i), F.get(at, i + 1), F.get(at, i + 2)),
+    chars = F.col("_c")
+    zipped = F.arrays_zip(
+        chars.alias("a"), F.slice(chars, F.lit(2), F.size(chars)).alias("b"), F.slice(chars, F.lit(3), F.size(chars)).alias("c")
     )
     triples = (
-        words.where(F.length("sym") > 1)
-        .select(F.split("sym", "").alias("_c"), "n")
-        .select(F.explode(spots).alias("t"), "n")
-        .groupBy("t")
+        words.select(F.split("sym", "").alias("_c"), "n")
+        .select(F.inline(zipped), "n")
+        .where(F.col("b").isNotNull())
+        .groupBy("a", "b", "c")
         .agg(F.sum("n").alias("n"))
     )
-    whole = F.when(F.length("t") == 3, F.col("n")).otherwise(0)
-    as_first = triples.select(F.substring("t", 1, 2).alias("pair"), "n", whole.alias("reach"))
-    as_second = triples.where(F.length("t") == 3).select(
-        F.substring("t", 2, 2).alias("pair"), F.lit(0).cast("long").alias("n"), F.col("n").alias("reach")
-    )
-    return as_first.unionByName(as_second).groupBy("pair").agg(F.sum("n").alias("n"), F.max("reach").alias("reach"))
+    n, whole = F.col("n"), F.col("c").isNotNull()
+    head = F.struct(F.concat("a", "b").alias("pair"), n.alias("n"), F.when(whole, n).otherwise(0).alias("reach"))
+    tail = F.struct(F.concat("b", "c").alias("pair"), F.lit(0).cast("long").alias("n"), n.alias("reach"))
+    both = triples.select(F.inline(F.array_compact(F.array(head, F.when(whole, tail)))))
+    return both.groupBy("pair").agg(F.sum("n").alias("n"), F.max("reach").alias("reach"))
 
 
 def independent_prefix(ranked: list[tuple[str, int, int]]) -> list[tuple[str, int]]:
     """Longest run of top-ranked pairs that one-at-a-time merging would take in the same order.
 
-    Stops at a pair that shares a symbol with an accepted one, or that is not strictly more frequent than
+    Merging a pair lowers the count of another only where the two overlap, that is, where the last symbol of one
+    is the first of the other. The run stops at such a pair, and at a pair that is not strictly more frequent than
     every pair the accepted merges can create.
     """
-    taken, used, reach = [], set(), 0
+    taken, firsts, seconds, reach = [], set(), set(), 0
     for pair, n, extends in ranked:
-        if taken and (n <= reach or pair[0] in used or pair[1] in used):
+        if taken and (n <= reach or pair[0] in seconds or pair[1] in firsts):
             break
         taken.append((pair, n))
-        used.update(pair)
+        firsts.add(pair[0])
+        seconds.add(pair[1])
         reach = max(reach, extends)
     return taken
 
@@ -173,9 +178,9 @@ def learn_merges(
     tokens, ids = _initial_tokens([EOS_TOKEN] if specials is None else specials)
     table = _symbol_words(words, ids)
     if continuing_prefix:
-        table = stage(table, "words")
+        table = _stage_words(table)
         table, tokens = _with_continuing(table, tokens, ids, continuing_prefix)
-    table = stage(table.where(F.length("sym") > 1), "words")
+    table = _stage_words(table.where(F.length("sym") > 1))
     learned = Learned(tokens, [], len(tokens))
     known = {t: i for i, t in enumerate(tokens)}
     current, rounds = table, 0
@@ -202,7 +207,7 @@ def learn_merges(
         current = current.select(merged.alias("sym"), "n")
         rounds += 1
         if rounds % rounds_per_stage == 0:
-            current = stage(current.where(F.length("sym") > 1), "words")
+            current = _stage_words(current.where(F.length("sym") > 1))
     return learned
 
 
