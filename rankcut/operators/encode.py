@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankcut.operators.ordering import row_index
+from rankcut.operators.ordering import number_rows
 from rankcut.operators.vocab import Learned, from_byte_chars, to_byte_chars, words_of
 
 # Fixed value: longer words become the unknown token under longest-match encoding.
@@ -110,10 +110,13 @@ def encode_corpus(
     prefix: str = "",
     keep: list[str] = (),
 ) -> DataFrame:
-    """``(uid, keep..., input_ids)`` with ``uid`` contiguous in ``order`` (split order first, when there are splits)."""
+    """``(uid, keep..., input_ids)`` with ``uid`` contiguous in ``order``.
+
+    ``order`` must identify a document (with splits: the position of the split first, see ``split_order``).
+    """
     columns = list(dict.fromkeys([*order, *keep]))
     encoded = encode_docs(docs.select(*columns, "text"), learned, vocab_size, kind, prefix)
-    return row_index(encoded, [F.col(c) for c in order], "uid").select("uid", *keep, "input_ids")
+    return number_rows(encoded, order, "uid").select("uid", *keep, "input_ids")
 
 
 def split_order(split: Column, splits: list[str]) -> Column:

@@ -57,6 +57,15 @@ def row_index(df: DataFrame, order: list[Column], name: str = "idx", start: int
     )
 
 
+def number_rows(df: DataFrame, order: list[str], name: str = "idx", start: int = 0) -> DataFrame:
+    """``row_index`` by columns that identify a row: only these columns are sorted and staged.
+
+    Wide rows move once, in the join that brings the numbers back, and are computed once.
+    """
+    numbers = row_index(df.select(*order), [F.col(c) for c in order], name, start)
+    return df.join(numbers, order)
+
+
 def with_group_aggregates(df: DataFrame, keys: list[str], aggregates: list[Column]) -> DataFrame:
     """Attach group aggregates to every row.
 

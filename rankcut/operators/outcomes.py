@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rankcut.functions.arrays import array_mean
 from rankcut.operators.align import trim_evals, treated
 from rankcut.operators.quantiles import nearest_quantiles
+from rankcut.session import stage
 
 # Fixed value: the outcomes that are regressed, in their reporting order.
 TARGETS = ["mean", "median", "std", "iqr"]
@@ -19,9 +20,13 @@ def occurrence_scores(scores: DataFrame) -> DataFrame:
 
 
 def outcome_table(scores: DataFrame, cutoff: int, rows_per_bin: int = 1 << 16) -> DataFrame:
-    """Distribution of the occurrence scores per ``(step, tok)``, with the inclusion flag."""
+    """Distribution of the occurrence scores per ``(step, tok)``, with the inclusion flag.
+
+    The occurrence scores (narrow, and few beside the score arrays they come from) are staged, because the
+    quantiles read them more than once.
+    """
     per_item = nearest_quantiles(
-        occurrence_scores(scores),
+        stage(occurrence_scores(scores), "occurrences"),
         ["step", "tok"],
         "logprob",
         {"q25": 0.25, "median": 0.5, "q75": 0.75},

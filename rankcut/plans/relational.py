@@ -143,7 +143,7 @@ CONSOLIDATED = f"""SELECT r.run, e.step, count(DISTINCT uid) FILTER (n > 0) AS n
 def consolidated_summary(rows: DataFrame) -> DataFrame:
     n = F.size("token_ids")
     total = F.aggregate("token_logprob", F.lit(0.0), lambda a, x: a + x)
-    return rows.groupBy("run", "step").agg(
+    return rows.groupBy("run", F.col("step").cast("long").alias("step")).agg(
         F.count(F.when(n > 0, 1)).alias("n_docs"), F.sum(n).cast("long").alias("n_scores"), F.sum(total).alias("total")
     )
 

@@ -26,7 +26,7 @@ def consolidate_available(spark: SparkSession, eval_path: str, out_path: str, ch
         new_checkpoints(spark, eval_path)
         .writeStream.format("parquet")
         .option("checkpointLocation", checkpoint)
-        .partitionBy("run")
+        .partitionBy("run", "step")
         .trigger(availableNow=True)
         .start(out_path)
     )
