@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankcut.operators.ordering import number_rows
-from rankcut.operators.vocab import Learned, from_byte_chars, to_byte_chars, words_of
+from rankcut.operators.vocab import Learned, byte_alphabet, from_byte_chars, words_of
 
 # Fixed value: longer words become the unknown token under longest-match encoding.
 MAX_WORD_CHARS = 100
@@ -62,7 +62,7 @@ def _word_encoder(learned: Learned, vocab_size: int, kind: str, prefix: str):
 
 
 def encode_words(words: Column, learned: Learned, spark, vocab_size: int | None = None, kind: str = "bpe", prefix: str = "") -> Column:
-    """Array of words (in byte characters) -> array of ids.
+    """Array of words -> array of ids.
 
     The vocabulary is bounded by its size parameter and shipped once per executor. Each task encodes a
     distinct word once and remembers it.
@@ -74,6 +74,7 @@ def encode_words(words: Column, learned: Learned, spark, vocab_size: int | None
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table, limit = shared.value
         one = _word_encoder(table, limit, kind, prefix)
+        alphabet = byte_alphabet()
         memo: dict[str, list[int]] = {}
         for batch in batches:
             rows = []
@@ -84,7 +85,7 @@ def encode_words(words: Column, learned: Learned, spark, vocab_size: int | None
                     if found is None:
                         if len(memo) >= _MEMO_WORDS:
                             memo.clear()
-                        found = memo[word] = one(word)
+                        found = memo[word] = one("".join(alphabet[b] for b in word.encode()))
                     ids.extend(found)
                 rows.append(ids)
             yield pd.Series(rows)
@@ -96,8 +97,7 @@ def encode_docs(
     docs: DataFrame, learned: Learned, vocab_size: int | None = None, kind: str = "bpe", prefix: str = "", text: str = "text"
 ) -> DataFrame:
     """Replace ``text`` by ``input_ids``: a map over rows, without a shuffle."""
-    words = F.transform(words_of(F.col(text)), to_byte_chars)
-    ids = encode_words(words, learned, docs.sparkSession, vocab_size, kind, prefix)
+    ids = encode_words(words_of(F.col(text)), learned, docs.sparkSession, vocab_size, kind, prefix)
     return docs.withColumn("input_ids", ids).drop(text)
 
 

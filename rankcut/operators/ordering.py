@@ -11,6 +11,9 @@ from rankcut.session import stage
 # monotonically_increasing_id keeps the row number inside its partition in the low 33 bits.
 _ROW_MASK = (1 << 33) - 1
 
+# Tasks over which the rows of one group are spread when they meet a per-group table.
+SALTS = 32
+
 
 def neighbours(df: DataFrame, keys: list[str], pos: str, value: str, block: int = 1 << 16) -> DataFrame:
     """Add ``prev`` and ``next``: ``value`` at the positions before and after, within ``keys``.
@@ -66,17 +69,28 @@ def number_rows(df: DataFrame, order: list[str], name: str = "idx", start: int =
     return df.join(numbers, order)
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """Join rows with a table of one row per group (NULL keys match each other).
+
+    The group table is repeated ``salts`` times and every row picks one copy, so a group that holds most of the
+    rows is spread over that many tasks. A small group table is broadcast by its measured size, as usual.
+    """
+    copies = groups.withColumnsRenamed({k: f"_{k}" for k in keys}).withColumn(
+        "_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
+    )
+    condition = F.col("_salt") == F.col("_copy")
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    return salted.join(copies, condition, how).drop("_salt", "_copy", *[f"_{k}" for k in keys])
+
+
 def with_group_aggregates(df: DataFrame, keys: list[str], aggregates: list[Column]) -> DataFrame:
     """Attach group aggregates to every row.
 
     A partial aggregation and a join back: a window would put each group into one task.
     """
-    groups = df.groupBy(*keys).agg(*aggregates)
-    renamed = groups.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in groups.columns if c not in keys])
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return df.join(renamed, condition, "left").drop(*[f"_{k}" for k in keys])
+    return join_groups(df, df.groupBy(*keys).agg(*aggregates), keys, "left")
 
 
 def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rankcut.operators.ordering import join_groups
+
 MAX_BINS = 1 << 16
 
 
@@ -16,23 +18,23 @@ def order_statistics(
 
     Groups larger than ``rows_per_bin`` are cut into value bins. Counts per bin locate the bin of every
     requested index; only the rows of those bins, with equal values already merged, are then ranked.
-    NULL values are ignored. ``extra`` adds ordinary aggregates of the same first pass.
+    NULL values and rows with a NULL key are ignored. ``extra`` adds ordinary aggregates of the same first pass.
     """
-    rows = df.where(F.col(value).isNotNull())
+    present = F.col(value).isNotNull()
+    for k in keys:
+        present = present & F.col(k).isNotNull()
+    rows = df.where(present)
     stats = rows.groupBy(*keys).agg(
         F.count("*").alias("n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), *extra
     )
     bins = F.least(F.ceil(F.col("n") / rows_per_bin), F.lit(MAX_BINS))
     spread = (F.col("_hi") - F.col("_lo")) / bins
     b = F.when((bins <= 1) | (spread <= 0), F.lit(0)).otherwise(
-        F.least(F.floor((F.col(value) - F.col("_lo")) / spread), bins - 1)
-    )
-    binned = (
-        rows.join(stats.select(*keys, "n", "_lo", "_hi"), keys)
-        .select(*keys, b.cast("long").alias("_bin"), F.col(value).alias("_v"))
-        .groupBy(*keys, "_bin", "_v")
-        .agg(F.count("*").alias("_c"))
+        F.least(F.floor((F.col("_v") - F.col("_lo")) / spread), bins - 1)
     )
+    # Equal values are merged first, in a shuffle by group and value.
+    merged = rows.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    binned = join_groups(merged, stats.select(*keys, "n", "_lo", "_hi"), keys).select(*keys, b.cast("long").alias("_bin"), "_v", "_c")
     per_bin = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_c"))
     by_bin = W.partitionBy(*keys).orderBy("_bin")
     located = (

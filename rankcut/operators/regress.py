@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankcut.functions.student import t_critical, t_pvalue
 from rankcut.operators.filters import at_global_max, drop_incomplete
+from rankcut.operators.ordering import join_groups
 from rankcut.operators.outcomes import TARGETS, unpivot_targets
 
 # Fixed value: half-widths of the window-sensitivity sweep.
@@ -51,20 +52,11 @@ def coefficients(df: DataFrame, cells: list[str], x: Column, value: str = "value
     return m.withColumn("intercept", F.col("my") - F.col("slope") * F.col("mx") - F.col("ate") * F.col("mt"))
 
 
-def _join_cells(df: DataFrame, fits: DataFrame, cells: list[str]) -> DataFrame:
-    condition = F.lit(True)
-    renamed = fits
-    for c in cells:
-        renamed = renamed.withColumnRenamed(c, f"_{c}")
-        condition = condition & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return df.join(renamed, condition).drop(*[f"_{c}" for c in cells])
-
-
 def fit_cells(df: DataFrame, cells: list[str], x: Column, value: str = "value") -> DataFrame:
     """Effect per cell: ``n, ate, se, r2, status`` plus the coefficients."""
     fits = coefficients(df, cells, x, value)
     wanted = fits.select(*cells, "mx", "mt", "my", "slope", "ate")
-    rows = _join_cells(_design(drop_incomplete(df, [value]), x).select(*cells, "_x", "_t", value), wanted, cells)
+    rows = join_groups(_design(drop_incomplete(df, [value]), x).select(*cells, "_x", "_t", value), wanted, cells)
     dx, dt = F.col("_x") - F.col("mx"), F.col("_t") - F.col("mt")
     e = F.col(value) - F.col("my") - F.col("slope") * dx - F.col("ate") * dt
     meat = rows.groupBy(*cells).agg(
@@ -79,7 +71,7 @@ def fit_cells(df: DataFrame, cells: list[str], x: Column, value: str = "value")
     ok = F.col("status") == "ok"
     variance = (qx * qx * F.col("mxx") + 2 * qx * qt * F.col("mxt") + qt * qt * F.col("mtt")) / (n * n) * n / (n - 3)
     return (
-        _join_cells(fits, meat, cells)
+        join_groups(fits, meat, cells, salts=1)
         .withColumn("se", F.when(ok, F.sqrt(variance)))
         .withColumn("r2", F.when(ok & (F.col("syy") > 0), 1 - F.col("sse") / (n * F.col("syy"))))
         .select(*cells, "n", "intercept", "slope", "ate", "se", "r2", "status")
@@ -99,7 +91,7 @@ def with_inference(effects: DataFrame, level: float = 0.95) -> DataFrame:
 def predictions(df: DataFrame, effects: DataFrame, cells: list[str], x: Column, value: str = "value") -> DataFrame:
     """Fitted values and the two counterfactuals (treat forced off / on), one row per observation."""
     coef = effects.select(*cells, "intercept", "slope", "ate")
-    rows = _join_cells(drop_incomplete(df, [value]), coef, cells)
+    rows = join_groups(drop_incomplete(df, [value]), coef, cells)
     base = F.col("intercept") + F.col("slope") * x.cast("double")
     return rows.withColumns(
         {
@@ -155,7 +147,7 @@ def line_smoother(df: DataFrame, keys: list[str], x: str, y: str, level: float =
     sums = sums.withColumn("s2", F.when(ok, F.greatest(s2, F.lit(0.0))))
     sums = sums.withColumn("crit", t_critical((F.col("n") - 2).cast("double"), F.lit(float(level))))
     d = F.col(x) - F.col("mx")
-    rows = _join_cells(df, sums, keys)
+    rows = join_groups(df, sums, keys)
     rows = rows.withColumn("line", F.col("my") + F.col("slope") * d)
     half = F.col("crit") * F.sqrt(F.col("s2") * (1 / F.col("n") + F.when(F.col("sxx") > 0, d * d / (F.col("n") * F.col("sxx")))))
     return rows.withColumns({"line_lower": F.col("line") - half, "line_upper": F.col("line") + half}).drop(

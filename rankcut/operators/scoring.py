@@ -124,37 +124,33 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
     return pairs.join(prev, "prev").join(tok, "tok")
 
 
-def ngram_scores(train: DataFrame, vocab_size: int, add_k: float = 1.0, steps: tuple[int, int, int] = (0, 2000, 4000)) -> DataFrame:
-    """``(prev, tok, step, logprob)``: a scorer that learns in three checkpoints.
+# Checkpoints of the built-in scorer: it knows nothing, then single tokens, then pairs.
+NGRAM_STEPS = (0, 2000, 4000)
 
-    Uniform at the first step, unigram at the second, bigram at the third, all with add-k smoothing.
+
+def ngram_table(train: DataFrame, vocab_size: int, add_k: float = 1.0) -> DataFrame:
+    """``(prev, tok, logprobs)``: scores of every observed pair at the three checkpoints, in step order.
+
+    Uniform at the first step, unigram at the second, bigram at the third, with add-k smoothing.
     """
     counts = ngram_counts(train)
     total = counts.agg(F.sum("pair_n")).scalar()
     v, k = F.lit(float(vocab_size)), F.lit(float(add_k))
-    scores = F.array(
-        F.struct(F.lit(steps[0]).cast("long").alias("step"), (-F.log(v)).alias("logprob")),
-        F.struct(F.lit(steps[1]).cast("long").alias("step"), F.log((F.col("tok_n") + k) / (total + k * v)).alias("logprob")),
-        F.struct(F.lit(steps[2]).cast("long").alias("step"), F.log((F.col("pair_n") + k) / (F.col("prev_n") + k * v)).alias("logprob")),
-    )
-    return counts.select("prev", "tok", F.inline(scores))
+    unigram = F.log((F.col("tok_n") + k) / (total + k * v))
+    bigram = F.log((F.col("pair_n") + k) / (F.col("prev_n") + k * v))
+    return counts.select("prev", "tok", F.array(-F.log(v), unigram, bigram).alias("logprobs"))
 
 
-def score_ngram(docs: DataFrame, scores: DataFrame, pad: int = PAD_ID) -> DataFrame:
+def score_ngram(docs: DataFrame, table: DataFrame, steps: tuple[int, ...] = NGRAM_STEPS, pad: int = PAD_ID) -> DataFrame:
     """Evaluations ``(uid, step, token_logprob, token_ids)`` of documents under a table of pair scores.
 
-    Documents must be covered by the table (it is fitted on them). Scores of the padding id are 0.
+    Documents must be covered by the table (it is fitted on them). Scores of the padding id are 0. The scores of all
+    checkpoints travel together through the shuffle and are told apart per document.
     """
-    by_pair = scores.groupBy("prev", "tok").agg(F.sort_array(F.collect_list(F.struct("step", "logprob"))).alias("s"))
-    per_doc = (
-        transitions(docs)
-        .join(by_pair, ["prev", "tok"])
-        .groupBy("uid")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "tok", "s"))).alias("r"))
-    )
-    # The checkpoints stay packed in ``s`` through the shuffle and are unfolded per document afterwards.
-    unfolded = per_doc.select("uid", "r", F.posexplode(F.get("r", F.lit(0))["s"]["step"]).alias("_j", "step"))
-    logprob = F.transform("r", lambda x: F.when(x["tok"] == pad, 0.0).otherwise(F.get(x["s"], F.col("_j"))["logprob"]))
+    rows = F.sort_array(F.collect_list(F.struct("pos", "tok", "logprobs")))
+    per_doc = transitions(docs).join(table, ["prev", "tok"]).groupBy("uid").agg(rows.alias("r"))
+    unfolded = per_doc.select("uid", "r", F.posexplode(F.array(*[F.lit(s).cast("long") for s in steps])).alias("_j", "step"))
+    logprob = F.transform("r", lambda x: F.when(x["tok"] == pad, 0.0).otherwise(F.get(x["logprobs"], F.col("_j"))))
     return unfolded.select("uid", "step", logprob.alias("token_logprob"), F.col("r.tok").alias("token_ids"))
 
 

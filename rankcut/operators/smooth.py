@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankcut.functions.student import t_critical
+from rankcut.operators.ordering import join_groups
 from rankcut.operators.quantiles import order_statistics
 
 
@@ -43,13 +44,16 @@ def loess(
 
     Every row meets the fixed number of grid positions, never the other rows of its group; the bandwidth
     is the exact distance of the ``span * n``-th nearest row, and the local sums are ordinary grouped sums.
+    Rows with a NULL key are left out.
     """
     rows = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    rows = rows.where(F.col("_x").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_y"))
+    present = F.col("_x").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_y")
+    for k in keys:
+        present = present & F.col(k).isNotNull()
+    rows = rows.where(present)
     edges = rows.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    # Keys are compared NULL-safe nowhere else in this function, so NULL groups are left out from the start.
     meet = (
-        rows.join(edges, keys)
+        join_groups(rows, edges, keys)
         .withColumn("_g", F.explode(grid(rows, keys, x, points)))
         .select(*keys, F.col("_g.g").alias("g"), F.col("_g.x0").alias("x0"), "_x", "_y")
         .withColumn("_d", F.abs(F.col("_x") - F.col("x0")))
@@ -58,7 +62,7 @@ def loess(
     width = order_statistics(meet, [*keys, "g"], "_d", {"h": near}).select(*keys, "g", F.col("n").alias("_n"), "h")
     u = F.col("_d") / F.col("h")
     weight = F.when(F.col("h") <= 0, (F.col("_d") <= 0).cast("double")).otherwise(F.pow(1 - F.pow(u, F.lit(3.0)), F.lit(3.0)))
-    local = meet.join(width, [*keys, "g"]).where((F.col("_d") < F.col("h")) | (F.col("_d") == 0)).withColumn("_w", weight)
+    local = join_groups(meet, width, [*keys, "g"]).where((F.col("_d") < F.col("h")) | (F.col("_d") == 0)).withColumn("_w", weight)
     scale = F.when(F.col("h") > 0, F.col("h")).otherwise(1.0)
     d = (F.col("_x") - F.col("x0")) / scale
     powers = [F.pow(d, F.lit(float(p))) if p else F.lit(1.0) for p in range(2 * degree + 1)]
@@ -75,13 +79,13 @@ def _with_band(rows: DataFrame, edges: DataFrame, fits: DataFrame, keys: list[st
     """Residual spread from the curve interpolated between grid points, then a t band around the fit."""
     step = (F.col("_hi") - F.col("_lo")) / (points - 1)
     place = F.when(step > 0, (F.col("_x") - F.col("_lo")) / step).otherwise(0.0)
-    placed = rows.join(edges, keys).withColumn("_place", place).withColumn("g", F.least(F.floor("_place"), F.lit(points - 2)).cast("int"))
+    placed = join_groups(rows, edges, keys).withColumn("_place", place).withColumn("g", F.least(F.floor("_place"), F.lit(points - 2)).cast("int"))
     left = fits.select(*keys, "g", F.col("fit").alias("f0"), F.col("lever").alias("l0"))
     right = fits.select(*keys, (F.col("g") - 1).alias("g"), F.col("fit").alias("f1"), F.col("lever").alias("l1"))
     share = F.col("_place") - F.col("g")
     residual = F.col("_y") - (F.col("f0") * (1 - share) + F.col("f1") * share)
     spread = (
-        placed.join(left.join(right, [*keys, "g"]), [*keys, "g"])
+        join_groups(placed, left.join(right, [*keys, "g"]), [*keys, "g"])
         .groupBy(*keys)
         .agg(
             F.sum(residual * residual).alias("_sse"),

@@ -114,10 +114,11 @@ def learn_unigram(
 ) -> tuple[list[tuple[str, float]], list[float]]:
     """Pieces with log-probabilities, best first, specials in front; also the log-likelihood of every EM step.
 
-    ``counts`` is ``(word, n)``. The driver holds the piece list (at most ``seed_size`` plus the bytes); expected counts over the words
-    are Spark jobs.
+    ``counts`` is ``(word, n)``. The driver holds the piece list (at most ``seed_size`` plus the bytes); expected counts
+    and best segmentations of the words are Spark jobs. Pieces are pruned by their loss until few enough are left.
     """
     words = stage(counts.select(to_byte_chars(F.col("word")).alias("w"), "n"), "unigram_words")
+    n_words = words.agg(F.sum("n")).first()[0] or 1
     alphabet = set(byte_alphabet())
     specials = [UNK_TOKEN, EOS_TOKEN]
     wanted = max(vocab_size - len(specials), len(alphabet))
@@ -133,7 +134,11 @@ def learn_unigram(
         if len(logp) <= OVERSIZE * wanted:
             break
         keep = max(int(shrinking_factor * len(logp)), int(OVERSIZE * wanted))
-        logp = _best(logp, keep, alphabet)
+        used = {r["piece"]: r["n"] for r in viterbi_counts(words, logp, max_chars).collect()}
+        smaller = prune(logp, used, n_words, keep, alphabet, max_chars)
+        if len(smaller) == len(logp):
+            break  # everything left is needed; the last cut decides
+        logp = smaller
     final = _best(logp, wanted, alphabet)
     ranked = sorted(final.items(), key=lambda item: (-item[1], item[0]))
     return [*[(s, 0.0) for s in specials], *ranked], history
@@ -143,3 +148,68 @@ def _best(logp: dict[str, float], size: int, alphabet: set[str]) -> dict[str, fl
     """The ``size`` most probable pieces, single bytes first."""
     ranked = sorted(logp.items(), key=lambda item: (item[0] not in alphabet, -item[1], item[0]))
     return dict(ranked[:size])
+
+
+def best_path(word: str, logp: dict[str, float], max_chars: int, whole: bool = True) -> list[str]:
+    """Most probable segmentation; with ``whole=False`` the word itself may not be the only piece."""
+    n = len(word)
+    score, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
+    for j in range(1, n + 1):
+        for i in range(max(0, j - max_chars), j):
+            piece = word[i:j]
+            if piece in logp and (whole or j - i < n) and score[i] + logp[piece] > score[j]:
+                score[j], back[j] = score[i] + logp[piece], i
+    path, j = [], n
+    while j > 0:
+        path.append(word[back[j] : j])
+        j = back[j]
+    return path[::-1] if score[n] > -math.inf else []
+
+
+def viterbi_counts(words: DataFrame, logp: dict[str, float], max_chars: int = MAX_PIECE_CHARS) -> DataFrame:
+    """``(piece, n)``: use of each piece in the best segmentations of all words."""
+    shared = words.sparkSession.sparkContext.broadcast(logp)
+
+    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = shared.value
+        for batch in batches:
+            total: dict[str, int] = {}
+            for word, n in zip(batch["w"], batch["n"]):
+                for piece in best_path(word, table, max_chars):
+                    total[piece] = total.get(piece, 0) + int(n)
+            yield pd.DataFrame({"piece": list(total), "c": list(total.values())})
+
+    return words.select("w", "n").mapInPandas(per_batch, "piece string, c long").groupBy("piece").agg(F.sum("c").alias("n"))
+
+
+def prune(logp: dict[str, float], used: dict[str, int], n_words: int, size: int, alphabet: set[str], max_chars: int) -> dict[str, float]:
+    """Keep the pieces whose removal would cost the most likelihood.
+
+    The loss of a piece compares its own score with that of its best replacement by other pieces. Pieces without a
+    replacement stay; pieces that are neither used nor their own best segmentation go.
+    """
+    total = sum(used.values())
+    kept = {p: s for p, s in logp.items() if p in alphabet}
+    losses = []
+    for piece, s in logp.items():
+        if piece in kept:
+            continue
+        n = used.get(piece, 0)
+        if best_path(piece, logp, max_chars) != [piece]:
+            if n:
+                kept[piece] = s
+            continue
+        instead = best_path(piece, logp, max_chars, whole=False)
+        if not instead:
+            kept[piece] = s
+            continue
+        if not n:
+            losses.append((0.0, piece))
+            continue
+        own = math.log(n) - math.log(total)
+        other = sum(math.log(used.get(q, 0) + n) for q in instead) - len(instead) * math.log(total + n * (len(instead) - 1))
+        losses.append((n / n_words * (own - other), piece))
+    losses.sort(key=lambda item: (-item[0], item[1]))
+    for _, piece in losses[: max(size - len(kept), 0)]:
+        kept[piece] = logp[piece]
+    return kept

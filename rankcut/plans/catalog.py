@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rankcut.plans.fixtures import Fixture, fixture, table, with_tables
 from rankcut.session import ship_package
+from rankcut.sources.readers import spread_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,13 +36,14 @@ def on_fixture(name: str, sql: str | None = None):
     return wrap
 
 
-def on_documents(name: str, sql: str | None = None):
-    """Register a query over the ``documents`` table itself."""
+def on_documents(name: str, sql: str | None = None, costly: bool = False):
+    """Register a query over the ``documents`` table itself; ``costly`` work per row is spread over the cores."""
 
     def wrap(fn: Callable[[DataFrame], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship_package(spark)
-            return _rounded(fn(table(spark, sf_dir, "documents")))
+            docs = table(spark, sf_dir, "documents")
+            return _rounded(fn(spread_scan(docs) if costly else docs))
 
         _add(name, run, sql)
         return fn

@@ -48,7 +48,7 @@ def learned(docs, kind: str):
     return _LEARNED[key]
 
 
-@on_documents("tok01_words", f"SELECT doc_id, len(w) AS n_words, len(list_distinct(w)) AS n_types, w[1] AS first_word, w[-1] AS last_word FROM (SELECT doc_id, {WORDS_SQL} AS w FROM documents) q")
+@on_documents("tok01_words", f"SELECT doc_id, len(w) AS n_words, len(list_distinct(w)) AS n_types, w[1] AS first_word, w[-1] AS last_word FROM (SELECT doc_id, {WORDS_SQL} AS w FROM documents) q", costly=True)
 def _(docs):
     rows = normal(docs).select("doc_id", vocab.words_of(F.col("text")).alias("w"))
     return rows.select(
@@ -60,7 +60,7 @@ def _(docs):
     )
 
 
-@on_documents("tok02_word_counts", f"SELECT word, n FROM {COUNTS_SQL} WHERE n >= 2")
+@on_documents("tok02_word_counts", f"SELECT word, n FROM {COUNTS_SQL} WHERE n >= 2", costly=True)
 def _(docs):
     return vocab.word_counts(normal(docs), min_frequency=2)
 
@@ -69,6 +69,7 @@ def _(docs):
     "tok03_first_pairs",
     f"""SELECT substr(h, 2 * i - 1, 4) AS pair, sum(n)::BIGINT AS n FROM (SELECT lower(hex(encode(word))) AS h, n FROM {COUNTS_SQL} c) q,
         LATERAL (SELECT unnest(range(1, len(h) // 2)) AS i) GROUP BY pair""",
+    costly=True,
 )
 def _(docs):
     tokens, ids = vocab._initial_tokens([vocab.EOS_TOKEN])
@@ -77,24 +78,24 @@ def _(docs):
     return pairs.select(F.lower(F.hex(F.encode(back, "ISO-8859-1"))).alias("pair"), "n")
 
 
-@on_documents("tok03_learn_bpe")
+@on_documents("tok03_learn_bpe", costly=True)
 def _(docs):
     return learned(docs, "bpe").merges_df(docs.sparkSession)
 
 
-@on_documents("tok04_learn_wordpiece")
+@on_documents("tok04_learn_wordpiece", costly=True)
 def _(docs):
     return learned(docs, "wordpiece").merges_df(docs.sparkSession)
 
 
-@on_documents("tok05_learn_unigram")
+@on_documents("tok05_learn_unigram", costly=True)
 def _(docs):
     pieces, _ = learned(docs, "unigram")
     rows = [(i, p, s) for i, (p, s) in enumerate(pieces)]
     return docs.sparkSession.createDataFrame(rows, "id int, piece string, logprob double")
 
 
-@on_documents("tok06_encode_corpus")
+@on_documents("tok06_encode_corpus", costly=True)
 def _(docs):
     return encode.encode_corpus(docs, learned(docs, "bpe"), ["doc_id"])
 
@@ -105,14 +106,14 @@ def token_bytes(encoded, tokens):
     return F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, t: a + F.get(lengths, t))
 
 
-@on_documents("tok06_encode_bytes", "SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes, row_number() OVER (ORDER BY doc_id) - 1 AS uid FROM documents")
+@on_documents("tok06_encode_bytes", "SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes, row_number() OVER (ORDER BY doc_id) - 1 AS uid FROM documents", costly=True)
 def _(docs):
     model = learned(docs, "bpe")
     rows = encode.encode_corpus(docs, model, ["doc_id"], keep=["doc_id"])
     return rows.select("doc_id", token_bytes(rows, model.tokens).alias("n_bytes"), "uid")
 
 
-@on_documents("tok07_longest_match", "SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes FROM documents")
+@on_documents("tok07_longest_match", "SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes FROM documents", costly=True)
 def _(docs):
     """Words over the length limit become one unknown token; their bytes are added back for the check."""
     model = learned(docs, "bpe")
@@ -137,7 +138,7 @@ def _(fx):
     return cut.groupBy("tok_name", "vocab_size").agg(F.count("*").alias("n"), F.max("id").cast("long").alias("last"))
 
 
-@on_documents("tok09_decode", "SELECT doc_id, text FROM documents")
+@on_documents("tok09_decode", "SELECT doc_id, text FROM documents", costly=True)
 def _(docs):
     model = learned(docs, "bpe")
     encoded = encode.encode_docs(docs.select("doc_id", "text"), model)
@@ -183,7 +184,7 @@ lp AS (SELECT b.uid, b.pos, b.tok, -ln({BASE}e0) AS s0, ln((ct.n + 1e0) / ((SELE
 
 
 def ngram_evals(fx):
-    return scoring.score_ngram(fx.docs, scoring.ngram_scores(fx.docs, BASE))
+    return scoring.score_ngram(fx.docs, scoring.ngram_table(fx.docs, BASE))
 
 
 def per_doc(rows):

@@ -21,7 +21,7 @@ from rankcut.operators.ordering import row_index
 from rankcut.operators.outcomes import outcome_table
 from rankcut.operators.scoring import transitions
 from rankcut.session import new_path, stage
-from rankcut.sources.readers import REGDATA_SCHEMA, read_checkpoints, read_merges_log
+from rankcut.sources.readers import REGDATA_SCHEMA, read_checkpoints, read_merges_log, spread_scan
 
 BASE = 500
 HALF_WIDTH = 200
@@ -142,7 +142,7 @@ def fixture(spark: SparkSession, sf_dir: str) -> Fixture:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key in _BUILT:
         return _BUILT[key]
-    docs = stage(token_arrays(table(spark, sf_dir, "documents")), "docs")
+    docs = stage(token_arrays(spread_scan(table(spark, sf_dir, "documents"))), "docs")
     merges_path, evals_path, regdata_path = (new_path(spark, n) for n in ("merges.jsonl", "evals", "regdata"))
     pair_merges(docs).write.json(merges_path)
     for run_no, run in enumerate(RUNS[:2]):

@@ -12,7 +12,7 @@ from rankcut.operators import align, filters, ordering, outcomes, quantiles, reg
 from rankcut.operators.encode import split_order
 from rankcut.plans.catalog import on_documents, on_fixture
 from rankcut.plans.fixtures import BASE, HALF_WIDTH, RUNS, STAMP, Fixture
-from rankcut.session import new_path
+from rankcut.session import new_path, stage
 from rankcut.sources import readers, writers
 
 KEYS = ["model_size", "vocab_size", "tokenizer", "step"]
@@ -340,8 +340,8 @@ def _(fx):
 @on_fixture("agg04_quantile_nearest", "SELECT step, tok, n, round(max(s) FILTER (rn = floor((n-1)*0.25e0 + 0.5e0)), 6) AS q25, round(max(s) FILTER (rn = floor((n-1)*0.5e0 + 0.5e0)), 6) AS q50, round(max(s) FILTER (rn = floor((n-1)*0.75e0 + 0.5e0)), 6) AS q75 FROM (SELECT *, row_number() OVER (PARTITION BY step, tok ORDER BY s) - 1 AS rn, count(*) OVER (PARTITION BY step, tok) AS n FROM fx_occ) q GROUP BY step, tok, n")
 def _(fx):
     # Bins far smaller than the default, so that the binned path is what gets checked.
-    rows = outcomes.occurrence_scores(fx.scores)
-    return quantiles.nearest_quantiles(rows, ["step", "tok"], "logprob", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, rows_per_bin=64)
+    rows = stage(outcomes.occurrence_scores(fx.scores), "occurrences")
+    return quantiles.nearest_quantiles(rows, ["step", "tok"], "logprob", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, rows_per_bin=256)
 
 
 @on_fixture("agg05_count", "SELECT step, tok, count(*) AS num FROM fx_occ GROUP BY step, tok")
@@ -351,7 +351,8 @@ def _(fx):
 
 @on_fixture("agg06_iqr", "SELECT step, tok, round(iqr, 6) AS iqr FROM fx_out")
 def _(fx):
-    rows = quantiles.nearest_quantiles(outcomes.occurrence_scores(fx.scores), ["step", "tok"], "logprob", {"q25": 0.25, "q75": 0.75})
+    scores = stage(outcomes.occurrence_scores(fx.scores), "occurrences")
+    rows = quantiles.nearest_quantiles(scores, ["step", "tok"], "logprob", {"q25": 0.25, "q75": 0.75})
     return rows.select("step", "tok", (F.col("q75") - F.col("q25")).alias("iqr"))
 
 

@@ -20,6 +20,15 @@ def scan_parquet(spark: SparkSession, *paths: str, schema: str | None = None) ->
     return reader.parquet(*paths)
 
 
+def spread_scan(scan: DataFrame) -> DataFrame:
+    """Redistribute the rows of a plain scan that yields fewer slices than there are cores.
+
+    Meant for costly per-row work on a small source; a large source has many slices and is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def scan_with_path(spark: SparkSession, *paths: str, schema: str | None = None, name: str = "filename") -> DataFrame:
     """Parquet scan of files or globs with the source file as a column."""
     return scan_parquet(spark, *paths, schema=schema).withColumn(name, F.col("_metadata.file_path"))

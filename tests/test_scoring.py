@@ -70,7 +70,7 @@ def test_every_target_is_scored_once(spark, window, step):
 
 def test_ngram_scorer(spark):
     docs = spark.createDataFrame([(1, [1, 2, 1, 2, 3]), (2, [2, 0]), (3, [4])], "uid long, input_ids array<int>")
-    rows = {(r["uid"], r["step"]): r for r in scoring.score_ngram(docs, scoring.ngram_scores(docs, 5)).collect()}
+    rows = {(r["uid"], r["step"]): r for r in scoring.score_ngram(docs, scoring.ngram_table(docs, 5)).collect()}
     assert set(rows) == {(1, 0), (1, 2000), (1, 4000), (2, 0), (2, 2000), (2, 4000)}
     assert list(rows[1, 0]["token_ids"]) == [2, 1, 2, 3]
     assert rows[1, 0]["token_logprob"] == pytest.approx([-math.log(5)] * 4)
