@@ -137,15 +137,19 @@ def tag_pairs(stream: DataFrame, merges: DataFrame, block: int = 1 << 16) -> Dat
 def impute_scores(evals: DataFrame, tagged: DataFrame) -> DataFrame:
     """Scores of tagged positions: ``(step, uid, tok, pos, og_tok, og_pos, logprob)``.
 
-    The tagged positions are packed per document and meet the score arrays in one join by ``uid``; each
-    score is then read by position, so only tagged positions are ever exploded, not every token of every step.
-    A position counts only where document and evaluation agree on the token.
+    ``evals`` carry the ``offset`` of ``score_offset`` (or of ``trim_evals``); without it, arrays count from their start.
+    The tagged positions are packed per document and meet the score arrays in one join by ``uid``. Each score is read
+    by its position before the end, so no array is sliced and only tagged positions are ever exploded, not every
+    token of every step. A position counts only where document and evaluation agree on the token.
     """
     hits = tagged.groupBy("uid").agg(F.collect_list(F.struct("og_pos", "og_tok", "tok", "pos")).alias("hits"))
-    at = F.col("hit.og_pos").cast("int")
+    size = F.size("token_logprob")
+    shift = size - F.coalesce(F.least(F.col("offset"), size), size) if "offset" in evals.columns else F.lit(0)
+    at = (F.col("hit.og_pos") + F.col("_shift")).cast("int")
     return (
-        evals.join(hits, "uid")
-        .select("uid", "step", "token_logprob", "token_ids", F.explode("hits").alias("hit"))
+        evals.withColumn("_shift", shift)
+        .join(hits, "uid")
+        .select("uid", "step", "token_logprob", "token_ids", "_shift", F.explode("hits").alias("hit"))
         .where(F.get("token_ids", at) == F.col("hit.og_tok"))
         .select(
             "step",

@@ -6,7 +6,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankcut.operators.vocab import EOS_TOKEN, UNK_TOKEN, byte_alphabet, to_byte_chars
@@ -117,7 +117,8 @@ def learn_unigram(
     ``counts`` is ``(word, n)``. The driver holds the piece list (at most ``seed_size`` plus the bytes); expected counts
     and best segmentations of the words are Spark jobs. Pieces are pruned by their loss until few enough are left.
     """
-    words = stage(counts.select(to_byte_chars(F.col("word")).alias("w"), "n"), "unigram_words")
+    cores = counts.sparkSession.sparkContext.defaultParallelism
+    words = stage(counts.select(to_byte_chars(F.col("word")).alias("w"), "n").repartition(cores), "unigram_words")
     n_words = words.agg(F.sum("n")).first()[0] or 1
     alphabet = set(byte_alphabet())
     specials = [UNK_TOKEN, EOS_TOKEN]
@@ -135,7 +136,8 @@ def learn_unigram(
             break
         keep = max(int(shrinking_factor * len(logp)), int(OVERSIZE * wanted))
         used = {r["piece"]: r["n"] for r in viterbi_counts(words, logp, max_chars).collect()}
-        smaller = prune(logp, used, n_words, keep, alphabet, max_chars)
+        losses = {r["piece"]: r["loss"] for r in piece_losses(words.sparkSession, logp, used, n_words, max_chars).collect()}
+        smaller = prune(logp, losses, keep, alphabet)
         if len(smaller) == len(logp):
             break  # everything left is needed; the last cut decides
         logp = smaller
@@ -182,34 +184,43 @@ def viterbi_counts(words: DataFrame, logp: dict[str, float], max_chars: int = MA
     return words.select("w", "n").mapInPandas(per_batch, "piece string, c long").groupBy("piece").agg(F.sum("c").alias("n"))
 
 
-def prune(logp: dict[str, float], used: dict[str, int], n_words: int, size: int, alphabet: set[str], max_chars: int) -> dict[str, float]:
-    """Keep the pieces whose removal would cost the most likelihood.
+def loss_of(piece: str, logp: dict[str, float], used: dict[str, int], total: int, n_words: int, max_chars: int) -> float | None:
+    """Likelihood lost when a piece goes, against its best replacement by other pieces.
 
-    The loss of a piece compares its own score with that of its best replacement by other pieces. Pieces without a
-    replacement stay; pieces that are neither used nor their own best segmentation go.
+    Infinite for a piece that has no replacement or that is used without being its own best segmentation; NULL for
+    one that is neither used nor its own best segmentation.
     """
-    total = sum(used.values())
-    kept = {p: s for p, s in logp.items() if p in alphabet}
-    losses = []
-    for piece, s in logp.items():
-        if piece in kept:
-            continue
-        n = used.get(piece, 0)
-        if best_path(piece, logp, max_chars) != [piece]:
-            if n:
-                kept[piece] = s
-            continue
-        instead = best_path(piece, logp, max_chars, whole=False)
-        if not instead:
-            kept[piece] = s
-            continue
-        if not n:
-            losses.append((0.0, piece))
-            continue
-        own = math.log(n) - math.log(total)
-        other = sum(math.log(used.get(q, 0) + n) for q in instead) - len(instead) * math.log(total + n * (len(instead) - 1))
-        losses.append((n / n_words * (own - other), piece))
-    losses.sort(key=lambda item: (-item[0], item[1]))
-    for _, piece in losses[: max(size - len(kept), 0)]:
+    n = used.get(piece, 0)
+    if best_path(piece, logp, max_chars) != [piece]:
+        return math.inf if n else None
+    instead = best_path(piece, logp, max_chars, whole=False)
+    if not instead:
+        return math.inf
+    if not n:
+        return 0.0
+    own = math.log(n) - math.log(total)
+    other = sum(math.log(used.get(q, 0) + n) for q in instead) - len(instead) * math.log(total + n * (len(instead) - 1))
+    return n / n_words * (own - other)
+
+
+def piece_losses(spark: SparkSession, logp: dict[str, float], used: dict[str, int], n_words: int, max_chars: int) -> DataFrame:
+    """``(piece, loss)`` of every piece, computed in parallel over the piece list."""
+    shared = spark.sparkContext.broadcast((logp, used, sum(used.values())))
+
+    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table, counts, total = shared.value
+        for batch in batches:
+            losses = [loss_of(p, table, counts, total, n_words, max_chars) for p in batch["piece"]]
+            yield pd.DataFrame({"piece": batch["piece"], "loss": pd.Series(losses, dtype="float64", index=batch.index)})
+
+    pieces = spark.createDataFrame([(p,) for p in logp], "piece string")
+    return pieces.mapInPandas(per_batch, "piece string, loss double").where(F.col("loss").isNotNull() & ~F.isnan("loss"))
+
+
+def prune(logp: dict[str, float], losses: dict[str, float], size: int, alphabet: set[str]) -> dict[str, float]:
+    """Keep single bytes and the pieces with the largest losses; infinite losses stay whatever the size."""
+    kept = {p: s for p, s in logp.items() if p in alphabet or losses.get(p) == math.inf}
+    ranked = sorted((p for p in losses if p not in kept), key=lambda p: (-losses[p], p))
+    for piece in ranked[: max(size - len(kept), 0)]:
         kept[piece] = logp[piece]
     return kept

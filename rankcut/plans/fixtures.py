@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankcut.functions.arrays import left_pad
-from rankcut.operators.align import imputed_merges, impute_scores, merges_window, tag_rows, token_rows_with_neighbours, trim_docs, trim_evals, window_sized
+from rankcut.operators.align import imputed_merges, impute_scores, merges_window, score_offset, tag_rows, token_rows_with_neighbours, trim_docs, trim_evals, window_sized
 from rankcut.operators.filters import cutoff_window
 from rankcut.operators.ordering import row_index
 from rankcut.operators.outcomes import outcome_table
@@ -126,7 +126,7 @@ class Fixture:
 
     @property
     def scores(self) -> DataFrame:
-        return impute_scores(self.trimmed, cutoff_window(self.tagged, "tok", BASE, HALF_WIDTH))
+        return impute_scores(score_offset(self.evals, self.docs), cutoff_window(self.tagged, "tok", BASE, HALF_WIDTH))
 
     @property
     def outcomes(self) -> DataFrame:
