@@ -116,24 +116,29 @@ def _stage_words(words: DataFrame) -> DataFrame:
     return stage(words.repartition(max(words.sparkSession.sparkContext.defaultParallelism, 1)), "words")
 
 
-def pair_counts(words: DataFrame) -> DataFrame:
-    """``(pair, n, reach)`` of adjacent symbols.
-
-    ``reach`` is the count of the most frequent triple that extends the pair by one symbol on either side.
-    No pair that merging this one creates can be more frequent than that. One pass over the words counts triples;
-    pairs are their sums.
-    """
+def _triples(words: DataFrame) -> DataFrame:
     chars = F.col("_c")
     zipped = F.arrays_zip(
         chars.alias("a"), F.slice(chars, F.lit(2), F.size(chars)).alias("b"), F.slice(chars, F.lit(3), F.size(chars)).alias("c")
     )
-    triples = (
+    return (
         words.select(F.split("sym", "").alias("_c"), "n")
         .select(F.inline(zipped), "n")
         .where(F.col("b").isNotNull())
-        .groupBy("a", "b", "c")
-        .agg(F.sum("n").alias("n"))
     )
+
+
+def triple_counts(words: DataFrame) -> DataFrame:
+    """``(a, b, c, n)`` of adjacent symbols; ``c`` is NULL at the end of a word."""
+    return _triples(words).groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
+
+
+def pair_totals(triples: DataFrame) -> DataFrame:
+    """``(pair, n, reach)`` of adjacent symbols, as sums over triples.
+
+    ``reach`` is the count of the most frequent triple that extends the pair by one symbol on either side.
+    No pair that merging this one creates can be more frequent than that.
+    """
     n, whole = F.col("n"), F.col("c").isNotNull()
     head = F.struct(F.concat("a", "b").alias("pair"), n.alias("n"), F.when(whole, n).otherwise(0).alias("reach"))
     tail = F.struct(F.concat("b", "c").alias("pair"), F.lit(0).cast("long").alias("n"), n.alias("reach"))
@@ -141,6 +146,15 @@ def pair_counts(words: DataFrame) -> DataFrame:
     return both.groupBy("pair").agg(F.sum("n").alias("n"), F.max("reach").alias("reach"))
 
 
+def _updated(triples: DataFrame, words: DataFrame, merged: Column) -> DataFrame:
+    """Triple counts after a rewrite: only the words it changes are taken apart, before and after."""
+    changed = words.select("sym", merged.alias("_new"), "n").where(F.col("_new") != F.col("sym"))
+    before = F.struct(F.col("sym"), (-F.col("n")).alias("n"))
+    after = F.struct(F.col("_new").alias("sym"), F.col("n").alias("n"))
+    delta = _triples(changed.select(F.inline(F.array(before, after))))
+    return triples.unionByName(delta).groupBy("a", "b", "c").agg(F.sum("n").alias("n")).where(F.col("n") != 0)
+
+
 def independent_prefix(ranked: list[tuple[str, int, int]]) -> list[tuple[str, int]]:
     """Longest run of top-ranked pairs that one-at-a-time merging would take in the same order.
 
@@ -170,9 +184,10 @@ def learn_merges(
 ) -> Learned:
     """Byte-pair merges in order of frequency until ``vocab_size`` tokens exist.
 
-    Works on the table of distinct words. Each round counts pairs with one shuffle, ranks ``candidates`` pairs
-    (ties by symbol ids) and applies every merge that provably comes next. The word table is rewritten
-    by string replacement; every ``rounds_per_stage`` rounds it is written to the shared folder to cut the lineage.
+    Works on the table of distinct words and a table of triple counts. Each round ranks ``candidates`` pairs
+    (ties by symbol ids), applies every merge that provably comes next, and corrects the counts with the words
+    that contain a merged pair. Words are rewritten by string replacement; they are written to the shared folder every
+    ``rounds_per_stage`` rounds, and the far smaller counts every round, to cut the lineage.
     The driver holds the vocabulary and the candidates of one round, nothing that grows with the corpus.
     """
     tokens, ids = _initial_tokens([EOS_TOKEN] if specials is None else specials)
@@ -184,8 +199,9 @@ def learn_merges(
     learned = Learned(tokens, [], len(tokens))
     known = {t: i for i, t in enumerate(tokens)}
     current, rounds = table, 0
+    triples = stage(triple_counts(table), "triples")
     while len(learned.tokens) < vocab_size:
-        top = pair_counts(current).where(F.col("n") >= min_frequency)
+        top = pair_totals(triples).where(F.col("n") >= min_frequency)
         ranked = [tuple(r) for r in top.orderBy(F.desc("n"), F.asc("pair")).limit(candidates).collect()]
         if not ranked:
             break
@@ -204,6 +220,7 @@ def learn_merges(
             merged = F.replace(merged, F.lit(pair), F.lit(symbol(known[token])))
             if not fresh:
                 break  # the merge feeds an existing symbol: counts below this rank may have grown
+        triples = stage(_updated(triples, current, merged), "triples")
         current = current.select(merged.alias("sym"), "n")
         rounds += 1
         if rounds % rounds_per_stage == 0:

@@ -73,7 +73,7 @@ def _(docs):
 )
 def _(docs):
     tokens, ids = vocab._initial_tokens([vocab.EOS_TOKEN])
-    pairs = vocab.pair_counts(vocab._symbol_words(vocab.word_counts(normal(docs)), ids))
+    pairs = vocab.pair_totals(vocab.triple_counts(vocab._symbol_words(vocab.word_counts(normal(docs)), ids)))
     back = F.translate("pair", "".join(vocab.symbol(i) for i in ids), "".join(map(chr, range(256))))
     return pairs.select(F.lower(F.hex(F.encode(back, "ISO-8859-1"))).alias("pair"), "n")
 
