@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankcut.operators.ordering import number_rows
+from rankcut.operators.ordering import join_groups, number_rows
 from rankcut.operators.vocab import Learned, byte_alphabet, from_byte_chars, words_of
 
 # Fixed value: longer words become the unknown token under longest-match encoding.
@@ -126,6 +126,7 @@ def split_order(split: Column, splits: list[str]) -> Column:
 
 def decode_docs(tokenised: DataFrame, vocab: DataFrame, key: str = "uid") -> DataFrame:
     """Ids back to text: look up every token, restore the order, join the bytes and decode them."""
-    pieces = tokenised.select(key, F.posexplode("input_ids").alias("pos", "id")).join(vocab, "id")
+    ids = tokenised.select(key, F.posexplode("input_ids").alias("pos", "id"))
+    pieces = join_groups(ids, vocab.select("id", "token"), ["id"])
     ordered = F.sort_array(F.collect_list(F.struct("pos", "token")))
     return pieces.groupBy(key).agg(from_byte_chars(F.array_join(ordered["token"], "")).alias("text"))

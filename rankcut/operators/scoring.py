@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankcut.functions.arrays import left_pad
-from rankcut.operators.ordering import row_index
+from rankcut.operators.ordering import join_groups, row_index
 
 # Fixed value: the id that pads batches and is never scored.
 PAD_ID = 0
@@ -53,7 +53,7 @@ def pack_batches(docs: DataFrame, budget: int) -> DataFrame:
     lengths = docs.select("uid", F.size("input_ids").alias("len"))
     ranked = row_index(lengths, [F.desc("len"), F.asc("uid")], "rank")
     fresh = F.col("rank") >= F.col("first_start")
-    return ranked.join(layout, "len").select(
+    return join_groups(ranked, layout, ["len"]).select(
         "uid",
         "len",
         "rank",

@@ -152,6 +152,22 @@ def test_group_aggregates_keep_null_groups(spark):
     assert sorted((str(r["k"]), r["v"], r["m"]) for r in got) == [("None", 1, 2.0), ("None", 3, 2.0), ("a", 5, 5.0)]
 
 
+def test_join_groups_equals_a_plain_join_with_a_hot_and_a_null_group(spark):
+    rows = [(None if i % 10 == 0 else ("hot" if i % 3 else f"k{i % 7}"), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, v long").repartition(5)
+    groups = df.groupBy("k").agg(F.count("*").alias("n"))
+    counts = {r["k"]: r["n"] for r in groups.collect()}
+    got = ordering.join_groups(df, groups, ["k"], salts=4)
+    assert got.columns == ["k", "v", "n"]
+    assert sorted((str(r["k"]), r["v"], r["n"]) for r in got.collect()) == sorted((str(k), v, counts[k]) for k, v in rows)
+
+
+def test_number_rows(spark):
+    df = spark.createDataFrame([("b", 2), ("a", 9), ("a", 3)], "s string, k long").withColumn("wide", F.lit("x"))
+    got = {(r["s"], r["k"]): r["uid"] for r in ordering.number_rows(df, ["s", "k"], "uid").collect()}
+    assert got == {("a", 3): 0, ("a", 9): 1, ("b", 2): 2}
+
+
 def test_cross_entropy_is_macro_averaged(spark):
     evals = evals_of(spark, [(1, 0, [0.0, -2.0, -4.0], [0, 1, 2]), (2, 0, [-1.0], [3])])
     assert outcomes.cross_entropy(evals, ["step"]).collect()[0]["token_logprob"] == 1.5

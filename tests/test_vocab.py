@@ -119,8 +119,8 @@ def test_learned_vocabulary_and_ids_match_the_library(spark, docs):
     for r in rows:
         assert list(r["input_ids"]) == expected.encode(texts[r["doc_id"]]).ids
     smaller = {r["doc_id"]: r["input_ids"] for r in encode.encode_docs(docs, got, 257 + 30).collect()}
-    reference = trained(docs, 257 + 30)
-    assert all(list(ids) == reference.encode(texts[d]).ids for d, ids in smaller.items())
+    expected = trained(docs, 257 + 30)
+    assert all(list(ids) == expected.encode(texts[d]).ids for d, ids in smaller.items())
 
 
 def test_encode_decode_round_trip(spark, docs):
