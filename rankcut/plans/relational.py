@@ -86,7 +86,7 @@ def _(docs):
     return readers.read_corpus(docs, [F.col("doc_id")], 500)
 
 
-@on_documents("src06_splits", f"SELECT {SPLIT_SQL} AS split, count(*) AS n_docs, sum(n_chars) AS n_chars FROM documents GROUP BY ALL")
+@on_documents("src06_splits", f"SELECT {SPLIT_SQL} AS split, count(*) AS n_docs, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY ALL")
 def _(docs):
     rest = F.col("doc_id") % 10
     named = {"train": docs.where(rest > 1), "validation": docs.where(rest == 1), "test": docs.where(rest == 0)}
