@@ -14,6 +14,9 @@ _ROW_MASK = (1 << 33) - 1
 # Tasks over which the rows of one group are spread when they meet a per-group table.
 SALTS = 32
 
+# Per-group tables of up to this many (narrow) rows are broadcast after they have been counted.
+BROADCAST_GROUPS = 200_000
+
 
 def neighbours(df: DataFrame, keys: list[str], pos: str, value: str, block: int = 1 << 16) -> DataFrame:
     """Add ``prev`` and ``next``: ``value`` at the positions before and after, within ``keys``.
@@ -69,20 +72,26 @@ def number_rows(df: DataFrame, order: list[str], name: str = "idx", start: int =
     return df.join(numbers, order)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
+def join_groups(
+    rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner", salts: int = SALTS, staged: bool = False, bound: int = BROADCAST_GROUPS
+) -> DataFrame:
     """Join rows with a table of one row per group (NULL keys match each other).
 
-    The group table is repeated ``salts`` times and every row picks one copy, so a group that holds most of the
-    rows is spread over that many tasks. A small group table is broadcast by its measured size, as usual.
+    The group table is staged (unless it already is) and counted. Up to ``bound`` groups are broadcast, and the rows stay
+    where they are. Beyond that the table is repeated ``salts`` times and every row picks one copy, so that a group
+    holding most of the rows is spread over that many tasks.
     """
-    copies = groups.withColumnsRenamed({k: f"_{k}" for k in keys}).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-    )
-    condition = F.col("_salt") == F.col("_copy")
+    table = groups if staged else stage(groups, "groups")
+    named = table.withColumnsRenamed({k: f"_{k}" for k in keys})
+    condition = F.lit(True)
     for k in keys:
         condition = condition & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    theirs = [f"_{k}" for k in keys]
+    if table.count() <= bound:
+        return rows.join(F.broadcast(named), condition, how).drop(*theirs)
+    copies = named.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
-    return salted.join(copies, condition, how).drop("_salt", "_copy", *[f"_{k}" for k in keys])
+    return salted.join(copies, condition & (F.col("_salt") == F.col("_copy")), how).drop("_salt", "_copy", *theirs)
 
 
 def with_group_aggregates(df: DataFrame, keys: list[str], aggregates: list[Column]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankcut.operators.ordering import join_groups
+from rankcut.session import stage
 
 MAX_BINS = 1 << 16
 
@@ -24,8 +25,8 @@ def order_statistics(
     for k in keys:
         present = present & F.col(k).isNotNull()
     rows = df.where(present)
-    stats = rows.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), *extra
+    stats = stage(
+        rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), *extra), "groups"
     )
     bins = F.least(F.ceil(F.col("n") / rows_per_bin), F.lit(MAX_BINS))
     spread = (F.col("_hi") - F.col("_lo")) / bins
@@ -34,7 +35,7 @@ def order_statistics(
     )
     # Equal values are merged first, in a shuffle by group and value.
     merged = rows.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    binned = join_groups(merged, stats.select(*keys, "n", "_lo", "_hi"), keys).select(*keys, b.cast("long").alias("_bin"), "_v", "_c")
+    binned = join_groups(merged, stats.select(*keys, "n", "_lo", "_hi"), keys, staged=True).select(*keys, b.cast("long").alias("_bin"), "_v", "_c")
     per_bin = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_c"))
     by_bin = W.partitionBy(*keys).orderBy("_bin")
     located = (

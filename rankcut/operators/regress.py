@@ -9,6 +9,7 @@ from rankcut.functions.student import t_critical, t_pvalue
 from rankcut.operators.filters import at_global_max, drop_incomplete
 from rankcut.operators.ordering import join_groups
 from rankcut.operators.outcomes import TARGETS, unpivot_targets
+from rankcut.session import stage
 
 # Fixed value: half-widths of the window-sensitivity sweep.
 WINDOW_SIZES = [5, 10, 20, 50, 100, 200, 500, 1000, 2000, 5000]
@@ -54,9 +55,9 @@ def coefficients(df: DataFrame, cells: list[str], x: Column, value: str = "value
 
 def fit_cells(df: DataFrame, cells: list[str], x: Column, value: str = "value") -> DataFrame:
     """Effect per cell: ``n, ate, se, r2, status`` plus the coefficients."""
-    fits = coefficients(df, cells, x, value)
+    fits = stage(coefficients(df, cells, x, value), "fits")
     wanted = fits.select(*cells, "mx", "mt", "my", "slope", "ate")
-    rows = join_groups(_design(drop_incomplete(df, [value]), x).select(*cells, "_x", "_t", value), wanted, cells)
+    rows = join_groups(_design(drop_incomplete(df, [value]), x).select(*cells, "_x", "_t", value), wanted, cells, staged=True)
     dx, dt = F.col("_x") - F.col("mx"), F.col("_t") - F.col("mt")
     e = F.col(value) - F.col("my") - F.col("slope") * dx - F.col("ate") * dt
     meat = rows.groupBy(*cells).agg(
@@ -71,7 +72,7 @@ def fit_cells(df: DataFrame, cells: list[str], x: Column, value: str = "value")
     ok = F.col("status") == "ok"
     variance = (qx * qx * F.col("mxx") + 2 * qx * qt * F.col("mxt") + qt * qt * F.col("mtt")) / (n * n) * n / (n - 3)
     return (
-        join_groups(fits, meat, cells, salts=1)
+        join_groups(fits, meat, cells)
         .withColumn("se", F.when(ok, F.sqrt(variance)))
         .withColumn("r2", F.when(ok & (F.col("syy") > 0), 1 - F.col("sse") / (n * F.col("syy"))))
         .select(*cells, "n", "intercept", "slope", "ate", "se", "r2", "status")

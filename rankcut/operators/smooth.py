@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rankcut.functions.student import t_critical
 from rankcut.operators.ordering import join_groups
 from rankcut.operators.quantiles import order_statistics
+from rankcut.session import stage
 
 
 def _solver(degree: int):
@@ -51,9 +52,9 @@ def loess(
     for k in keys:
         present = present & F.col(k).isNotNull()
     rows = rows.where(present)
-    edges = rows.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    edges = stage(rows.groupBy(*keys).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi")), "edges")
     meet = (
-        join_groups(rows, edges, keys)
+        join_groups(rows, edges, keys, staged=True)
         .withColumn("_g", F.explode(grid(rows, keys, x, points)))
         .select(*keys, F.col("_g.g").alias("g"), F.col("_g.x0").alias("x0"), "_x", "_y")
         .withColumn("_d", F.abs(F.col("_x") - F.col("x0")))
@@ -71,7 +72,8 @@ def loess(
         F.array(*[F.sum(F.col("_w") * F.col("_w") * p) for p in powers]).alias("v"),
         F.array(*[F.sum(F.col("_w") * F.col("_y") * p) for p in powers[: degree + 1]]).alias("b"),
     )
-    fits = sums.select(*keys, "g", "x0", "_n", _solver(degree)("w", "v", "b").alias("s")).select(*keys, "g", "x0", "_n", "s.*")
+    solved = sums.select(*keys, "g", "x0", "_n", _solver(degree)("w", "v", "b").alias("s"))
+    fits = stage(solved.select(*keys, "g", "x0", "_n", "s.*"), "fits")
     return _with_band(rows, edges, fits, keys, points, level)
 
 
@@ -79,7 +81,7 @@ def _with_band(rows: DataFrame, edges: DataFrame, fits: DataFrame, keys: list[st
     """Residual spread from the curve interpolated between grid points, then a t band around the fit."""
     step = (F.col("_hi") - F.col("_lo")) / (points - 1)
     place = F.when(step > 0, (F.col("_x") - F.col("_lo")) / step).otherwise(0.0)
-    placed = join_groups(rows, edges, keys).withColumn("_place", place).withColumn("g", F.least(F.floor("_place"), F.lit(points - 2)).cast("int"))
+    placed = join_groups(rows, edges, keys, staged=True).withColumn("_place", place).withColumn("g", F.least(F.floor("_place"), F.lit(points - 2)).cast("int"))
     left = fits.select(*keys, "g", F.col("fit").alias("f0"), F.col("lever").alias("l0"))
     right = fits.select(*keys, (F.col("g") - 1).alias("g"), F.col("fit").alias("f1"), F.col("lever").alias("l1"))
     share = F.col("_place") - F.col("g")

@@ -152,12 +152,13 @@ def test_group_aggregates_keep_null_groups(spark):
     assert sorted((str(r["k"]), r["v"], r["m"]) for r in got) == [("None", 1, 2.0), ("None", 3, 2.0), ("a", 5, 5.0)]
 
 
-def test_join_groups_equals_a_plain_join_with_a_hot_and_a_null_group(spark):
+@pytest.mark.parametrize("bound", [0, 100])
+def test_join_groups_equals_a_plain_join_with_a_hot_and_a_null_group(spark, bound):
     rows = [(None if i % 10 == 0 else ("hot" if i % 3 else f"k{i % 7}"), i) for i in range(500)]
     df = spark.createDataFrame(rows, "k string, v long").repartition(5)
     groups = df.groupBy("k").agg(F.count("*").alias("n"))
     counts = {r["k"]: r["n"] for r in groups.collect()}
-    got = ordering.join_groups(df, groups, ["k"], salts=4)
+    got = ordering.join_groups(df, groups, ["k"], salts=4, bound=bound)
     assert got.columns == ["k", "v", "n"]
     assert sorted((str(r["k"]), r["v"], r["n"]) for r in got.collect()) == sorted((str(k), v, counts[k]) for k, v in rows)
 
