@@ -5,7 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from rankcut.llm.decontaminate import find_overlaps, oracle_sql
+from rankcut.llm.licenses import scan_licenses
+from rankcut.llm.neardup import near_duplicates
 from rankcut.llm.packing import pack_documents
 from rankcut.llm.quality import score_quality
 from rankcut.llm.sharding import shard_documents
@@ -51,11 +55,29 @@ def op3(read):
     return shard_documents(read("documents"), shards=8)
 
 
+@query("op4_ngram_join")
+def op4(read):
+    return near_duplicates(read("documents"))
+
+
 @query("op5_packing")
 def op5(read):
     return pack_documents(read("documents"), vocabulary(PACK_VOCABULARY), with_ids=False)
 
 
+@query("op6_license_scan")
+def op6(read):
+    """Documents lie in folders by source and language."""
+    documents = read("documents")
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return scan_licenses(documents.select("doc_id", path.alias("path"), "text"))
+
+
+@query("op8_decontamination", oracle_sql())
+def op8(read):
+    return find_overlaps(read("documents"), read("benchmark"))
+
+
 @query("op9_token_counts")
 def op9(read):
     return count_tokens(read("documents"), vocabulary(COUNT_VOCABULARY))
