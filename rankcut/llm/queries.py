@@ -11,7 +11,9 @@ from rankcut.llm.decontaminate import find_overlaps, oracle_sql
 from rankcut.llm.licenses import scan_licenses
 from rankcut.llm.neardup import near_duplicates
 from rankcut.llm.packing import pack_documents
+from rankcut.llm.pii import find_personal_data
 from rankcut.llm.quality import score_quality
+from rankcut.llm.rules import quality_rules
 from rankcut.llm.sharding import shard_documents
 from rankcut.llm.token_counts import count_tokens
 from rankcut.llm.toxicity import score_toxicity
@@ -50,6 +52,11 @@ def op1(read):
     return score_quality(read("documents"), read("labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+@query("op2_personal_data")
+def op2(read):
+    return find_personal_data(read("documents"))
+
+
 @query("op3_sharding")
 def op3(read):
     return shard_documents(read("documents"), shards=8)
@@ -73,6 +80,11 @@ def op6(read):
     return scan_licenses(documents.select("doc_id", path.alias("path"), "text"))
 
 
+@query("op7_quality_rules")
+def op7(read):
+    return quality_rules(read("documents"), read("labels"))
+
+
 @query("op8_decontamination", oracle_sql())
 def op8(read):
     return find_overlaps(read("documents"), read("benchmark"))
