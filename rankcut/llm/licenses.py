@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from math import log, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankcut.llm.frames import number_of, numbered
 from rankcut.session import stage
 
 SIMILARITY = 0.75
@@ -37,6 +39,8 @@ TEMPLATES = [
 # Names of files that license their directory.
 LICENSE_FILES = ["license", "licence", "copying", "notice", "unlicense"]
 TERM_BREAK = r"[^\p{L}\p{N}.-]+"
+ADDED = ["own_license", "own_similarity", "inherited_license", "inherited_from", "license"]
+_DIRECTORY = r"^(.*)/[^/]*$"
 
 
 def terms(text: Column) -> Column:
@@ -46,8 +50,6 @@ def terms(text: Column) -> Column:
 
 
 def template_terms(statement: str) -> list[str]:
-    import re
-
     return [t for t in (w.strip(".-") for w in re.split(r"[^\w.-]+", statement.lower())) if t]
 
 
@@ -81,7 +83,7 @@ def scan_licenses(files: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     in a directory, the most similar one counts, then the first path.
 
     Null and empty texts have no license of their own. Rows with one path share what any of them declares; rows with a null path are taken
-    together and inherit nothing. Repeated rows stay. Empty tables give no rows. Columns of ``files`` may have any names but those above.
+    together and inherit nothing. Repeated rows stay. Empty tables give no rows.
     """
     spark = files.sparkSession
     vocabulary = sorted({t for _, s in TEMPLATES for t in template_terms(s)})
@@ -116,7 +118,7 @@ def scan_licenses(files: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     sizes = with_hint.select("path", F.xxhash64("text").alias("copy"), F.size(terms(F.col("text"))).alias("words")).distinct()
     sized = declared.where(F.col("path").isNotNull()).join(sizes, ["path", "copy"])
     license_files = sized.where(named | (2 * F.col("said") >= F.col("words")))
-    directory = F.regexp_extract(F.col("path"), r"^(.*)/[^/]*$", 1)
+    directory = F.regexp_extract("path", _DIRECTORY, 1)
     licensed = license_files.where(F.col("path").contains("/")).groupBy(directory.alias("_dir")).agg(F.min(F.struct(F.col("best.col1").alias("s"), "path", F.col("best.license").alias("license"))).alias("l"))
     licensed = stage(licensed.select("_dir", F.col("l.license").alias("inherited_license"), F.col("l.path").alias("inherited_from")), "licensed")
     small = licensed.count() <= DIRECTORIES
@@ -128,11 +130,13 @@ def scan_licenses(files: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     nearest = ancestors.join(F.broadcast(licensed) if small else licensed, "_dir").groupBy("folder").agg(F.max(F.struct("depth", "inherited_license", "inherited_from")).alias("n"))
     nearest = nearest.select(F.col("folder").alias("_folder"), F.col("n.inherited_license"), F.col("n.inherited_from"))
 
-    columns = [c for c in files.columns if c != "text"]
-    plain = files.select(*columns, F.when(F.col("path").contains("/"), directory).alias("_in"))
-    joined = plain.join(own, F.col("path").eqNullSafe(F.col("_path")), "left").join(nearest, F.col("_in") == F.col("_folder"), "left")
+    others = files.drop("text")
+    path = F.col(number_of(others, "path"))
+    plain = numbered(others).withColumn("_in", F.when(path.contains("/"), F.regexp_extract(path, _DIRECTORY, 1)))
+    joined = plain.join(own, path.eqNullSafe(F.col("_path")), "left").join(nearest, F.col("_in") == F.col("_folder"), "left")
     heir = F.col("own_license").isNull()
-    return joined.select(
-        *columns, "own_license", "own_similarity", F.when(heir, F.col("inherited_license")).alias("inherited_license"),
+    result = joined.select(
+        *[c for c in plain.columns if c != "_in"], "own_license", "own_similarity", F.when(heir, F.col("inherited_license")).alias("inherited_license"),
         F.when(heir, F.col("inherited_from")).alias("inherited_from"), F.coalesce("own_license", "inherited_license").alias("license"),
     )
+    return result.toDF(*others.columns, *ADDED)

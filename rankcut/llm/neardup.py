@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankcut.llm.components import components
+from rankcut.llm.frames import number_of, numbered
 from rankcut.llm.text import FOLDED_WORDS, column_bytes, groups, mix, windows, words
 from rankcut.session import stage
 
@@ -316,11 +317,12 @@ def drop_near_duplicates(documents: DataFrame, n: int = N, percent: int = PERCEN
     same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("copy") == F.col("_copy"))
     decided = stage(found.join(chosen, F.col("label") == F.col("_label")).groupBy("doc_id", "copy", same.alias("kept")).agg(F.count("*").alias("rows")), "decided")
     gone, twice = decided.where(~F.col("kept")), decided.where(F.col("kept") & (F.col("rows") > 1))
-    hashed = documents.withColumn("_text", F.xxhash64("text"))
+    plain = numbered(documents)
+    hashed = plain.withColumns({"_id": F.col(number_of(documents, "doc_id")), "_text": F.xxhash64(number_of(documents, "text"))})
     rest = _rows_of(hashed, gone, "left_anti")
     if not twice.isEmpty():
-        rest = _rows_of(rest, twice, "left_anti").union(_rows_of(rest, twice, "left_semi").dropDuplicates(["doc_id", "_text"]))
-    return rest.select(*documents.columns)
+        rest = _rows_of(rest, twice, "left_anti").union(_rows_of(rest, twice, "left_semi").dropDuplicates(["_id", "_text"]))
+    return rest.select(*plain.columns).toDF(*documents.columns)
 
 
 def _rows_of(hashed: DataFrame, keys: DataFrame, how: str) -> DataFrame:
@@ -328,4 +330,4 @@ def _rows_of(hashed: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     named = keys.select(F.col("doc_id").alias("_doc"), F.col("copy").alias("_copy"))
     if named.count() <= REMOVED:
         named = F.broadcast(named)
-    return hashed.join(named, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_copy")), how)
+    return hashed.join(named, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == F.col("_copy")), how)
