@@ -92,8 +92,8 @@ def _deal(fragments: int, n_words: int):
         shared, by = token[several], owner[several]
         order = np.argsort(by, kind="stable")
         shared, by = shared[order], by[order]
-        bounds = np.flatnonzero(np.append(True, by[1:] != by[:-1])) if len(by) else np.zeros(0, np.int64)
-        for low, high in zip(bounds, np.append(bounds[1:], len(by)), strict=True):
+        bounds = np.flatnonzero(np.diff(by, prepend=-1, append=-1)) if len(by) else np.zeros(1, np.int64)
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
             who = int(node[by[low]])
             yield {"g": fragments + (who + number % SALTS) % fragments, "kind": _SEGMENT, "node": who, "n": int(n[by[low]]), "high": shared[low:high].astype("<i8").tobytes()}
         keep = edge[:-1] | ~several
