@@ -23,11 +23,25 @@ CACHE = 300_000  # words whose ids a worker remembers
 _STATE: dict[str, tuple] = {}
 
 
+def _shown_bytes() -> list[str]:
+    """The character by which byte-level vocabularies show each byte: itself where it is printable in Latin-1, else one from 256 on."""
+    shown, more = [], 0
+    for b in range(256):
+        printable = 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b
+        shown.append(chr(b) if printable else chr(256 + more))
+        more += not printable
+    return shown
+
+
+_SHOWN = _shown_bytes()
+
+
 class WordIds:
     """Token ids of texts, looked up word by word.
 
-    For tokenizers that drop white space: a text is cut at ASCII white space, where no rule of such a tokenizer looks across. New
-    words go through the tokenizer in batches; two generations of words are remembered, so memory is bounded.
+    For tokenizers that drop white space: a text is cut at ASCII white space, where no rule of such a tokenizer looks across. New plain
+    words go straight to the tokenizer's encoding model (once it is seen to give the same ids), others through the whole
+    tokenizer in batches. Two generations of words are remembered, so memory is bounded.
     """
 
     def __init__(self, path: str, size: int = CACHE) -> None:
@@ -35,21 +49,44 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.size = Tokenizer.from_file(path), size
+        self.model = self.tokenizer.model
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.plain = self._reads_plain_words()
+
+    def _reads_plain_words(self) -> bool:
+        """Whether a plain word's ids are those of its lower-cased letters and of its punctuation, as its encoding model gives them."""
+        return all(self._plain(w.encode()) == self._whole([w])[0] for w in ("Word", "word,", "éÀß", "Ça...", "x!!", "***"))
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _ids(self, letters: str) -> bytes:
+        shown = letters if letters.isascii() else "".join(map(_SHOWN.__getitem__, letters.encode()))
+        return np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
+
+    def _plain(self, word: bytes) -> bytes | None:
+        """Ids of a word of Latin letters with or without punctuation after it; None for any other word."""
+        core = word.rstrip(b".,;:!?*#$%&|")
+        letters = core.decode()
+        if core and (not letters.isalpha() or max(letters) >= "\u0130"):
+            return None
+        ids = self._ids(letters.lower()) if core else b""
+        return ids + self._ids(word[len(core) :].decode()) if len(core) < len(word) else ids
 
     def learn(self, words: set[bytes]) -> None:
         new = []
         for w in words:
             ids = self.old.get(w)
+            if ids is None and self.plain:
+                ids = self._plain(w)
             if ids is None:
                 new.append(w)
             else:
                 self.young[w] = ids
         for low in range(0, len(new), 4096):
             part = new[low : low + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.young[w] = np.array(e.ids, dtype="<u4").tobytes()
+            self.young.update(zip(part, self._whole([w.decode() for w in part]), strict=True))
 
     def encode(self, text: str) -> np.ndarray:
         words, known = text.encode().split(), self.young
