@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankcut.operators.ordering import join_groups, number_rows
+from rankcut.operators.ordering import number_rows
 from rankcut.operators.vocab import Learned, byte_alphabet, from_byte_chars, words_of
 
 # Fixed value: longer words become the unknown token under longest-match encoding.
@@ -54,7 +54,7 @@ def _word_encoder(learned: Learned, vocab_size: int, kind: str, prefix: str):
     tokens = {t: i for i, t in enumerate(learned.tokens[:vocab_size])}
     if kind == "bpe":
         ranks: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, m in enumerate(learned.merges[: vocab_size - learned.n_initial]):
+        for rank, m in enumerate(m for m in learned.merges if m[2] < vocab_size):
             ranks.setdefault(tuple(m[0]), (rank, m[2]))
         return lambda word: merge_word(word, tokens, ranks)
     unk = tokens.get("<|unk|>", 0)
@@ -125,8 +125,17 @@ def split_order(split: Column, splits: list[str]) -> Column:
 
 
 def decode_docs(tokenised: DataFrame, vocab: DataFrame, key: str = "uid") -> DataFrame:
-    """Ids back to text: look up every token, restore the order, join the bytes and decode them."""
-    ids = tokenised.select(key, F.posexplode("input_ids").alias("pos", "id"))
-    pieces = join_groups(ids, vocab.select("id", "token"), ["id"])
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "token")))
-    return pieces.groupBy(key).agg(from_byte_chars(F.array_join(ordered["token"], "")).alias("text"))
+    """Ids back to text: a map over rows, since a vocabulary is bounded by its size parameter and shipped once per executor.
+
+    No ids give the empty text, NULL gives NULL, and an id outside the vocabulary fails the query.
+    """
+    tokens = {r["id"]: r["token"] for r in vocab.select("id", "token").collect()}
+    shared = tokenised.sparkSession.sparkContext.broadcast(tokens)
+
+    @F.pandas_udf("string")
+    def joined(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        table = shared.value
+        for batch in batches:
+            yield batch.map(lambda ids: None if ids is None else "".join([table[i] for i in ids]))
+
+    return tokenised.select(key, from_byte_chars(joined("input_ids")).alias("text"))

@@ -17,6 +17,9 @@ SALTS = 32
 # Per-group tables of up to this many (narrow) rows are broadcast after they have been counted.
 BROADCAST_GROUPS = 200_000
 
+# Rows that one task may merge and hand on as the first rows of a table.
+TOP_ROWS = 10_000
+
 
 def neighbours(df: DataFrame, keys: list[str], pos: str, value: str, block: int = 1 << 16) -> DataFrame:
     """Add ``prev`` and ``next``: ``value`` at the positions before and after, within ``keys``.
@@ -66,10 +69,17 @@ def row_index(df: DataFrame, order: list[Column], name: str = "idx", start: int
 def number_rows(df: DataFrame, order: list[str], name: str = "idx", start: int = 0) -> DataFrame:
     """``row_index`` by columns that identify a row: only these columns are sorted and staged.
 
-    Wide rows move once, in the join that brings the numbers back, and are computed once.
+    Wide rows move once, in the join that brings the numbers back, and are computed once. NULL is a value like any
+    other; the query fails if two rows have equal ``order`` columns.
     """
     numbers = row_index(df.select(*order), [F.col(c) for c in order], name, start)
-    return df.join(numbers, order)
+    named = [f"_o{i}" for i in range(len(order))]
+    single = numbers.groupBy(*[F.col(c).alias(n) for c, n in zip(order, named)]).agg(F.min(name).alias(name), F.count("*").alias("_rows"))
+    single = single.where(F.assert_true(F.col("_rows") == 1, f"two rows have equal {', '.join(order)}").isNull()).drop("_rows")
+    same = F.lit(True)
+    for c, n in zip(order, named):
+        same = same & df[c].eqNullSafe(F.col(n))
+    return df.join(single, same).drop(*named)
 
 
 def join_groups(
@@ -90,7 +100,8 @@ def join_groups(
     if table.count() <= bound:
         return rows.join(F.broadcast(named), condition, how).drop(*theirs)
     copies = named.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    # The copy depends on the row alone, so a recomputed task deals its rows as before.
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))
     return salted.join(copies, condition & (F.col("_salt") == F.col("_copy")), how).drop("_salt", "_copy", *theirs)
 
 
@@ -102,6 +113,8 @@ def with_group_aggregates(df: DataFrame, keys: list[str], aggregates: list[Colum
     return join_groups(df, df.groupBy(*keys).agg(*aggregates), keys, "left")
 
 
-def top_k(df: DataFrame, order: list[Column], k: int) -> DataFrame:
-    """First ``k`` rows in ``order`` (each task keeps k rows, then one merge)."""
-    return df.orderBy(*order).limit(k)
+def top_k(df: DataFrame, order: list[Column], k: int, bound: int = TOP_ROWS) -> DataFrame:
+    """First ``k`` rows in ``order``: up to ``bound`` rows, each task keeps k and one merges them; beyond, rows are numbered."""
+    if k <= bound:
+        return df.orderBy(*order).limit(k)
+    return row_index(df, order, "_rank").where(F.col("_rank") < k).drop("_rank")

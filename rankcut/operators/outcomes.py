@@ -19,7 +19,7 @@ def occurrence_scores(scores: DataFrame) -> DataFrame:
     return scores.groupBy("step", "uid", "tok", "pos").agg(F.sum("logprob").alias("logprob"))
 
 
-def outcome_table(scores: DataFrame, cutoff: int, rows_per_bin: int = 1 << 16) -> DataFrame:
+def outcome_table(scores: DataFrame, cutoff: int) -> DataFrame:
     """Distribution of the occurrence scores per ``(step, tok)``, with the inclusion flag.
 
     The occurrence scores (narrow, and few beside the score arrays they come from) are staged, because the
@@ -31,7 +31,6 @@ def outcome_table(scores: DataFrame, cutoff: int, rows_per_bin: int = 1 << 16) -
         "logprob",
         {"q25": 0.25, "median": 0.5, "q75": 0.75},
         [F.avg("logprob").alias("mean"), F.stddev_samp("logprob").alias("std")],
-        rows_per_bin,
     )
     return per_item.select(
         "step",

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankcut.functions.arrays import explode_together
-
 
 def alignment_completeness(scores: DataFrame, tagged: DataFrame) -> DataFrame:
     """Per step: joined rows, tagged rows, and whether they agree."""
@@ -25,10 +23,14 @@ def grid_completeness(outcomes: DataFrame, run_keys: list[str], across: str) ->
 
 
 def disagreements(evals: DataFrame, docs: DataFrame) -> DataFrame:
-    """Scored positions whose token differs from the document (trimmed inputs; empty when sound)."""
-    scored = explode_together(evals.select("uid", "step", "token_ids"), ["token_ids"], "pos")
-    known = explode_together(docs.select("uid", "input_ids"), ["input_ids"], "pos")
-    return scored.join(known.withColumnRenamed("input_ids", "token_ids"), ["uid", "pos", "token_ids"], "left_anti")
+    """Scored positions whose token differs from the document, or that it does not have (trimmed inputs; empty when sound).
+
+    Arrays meet by ``uid`` and are compared in place; only what differs is exploded.
+    """
+    met = evals.select("uid", "step", "token_ids").join(docs.select("uid", "input_ids"), "uid", "left")
+    own = F.transform("token_ids", lambda t, i: F.struct(i.cast("long").alias("pos"), t.alias("token_ids"), F.get("input_ids", i).alias("known")))
+    wrong = F.filter(own, lambda x: ~x["token_ids"].eqNullSafe(x["known"]))
+    return met.select("uid", "step", F.explode(wrong).alias("w")).select("uid", "w.pos", "w.token_ids", "step")
 
 
 def require(df: DataFrame, condition: Column, message: str) -> DataFrame:

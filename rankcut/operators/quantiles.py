@@ -6,71 +6,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rankcut.operators.ordering import join_groups
 from rankcut.session import stage
 
-MAX_BINS = 1 << 16
-
-
 def order_statistics(
-    df: DataFrame, keys: list[str], value: str, index: dict[str, Column], extra: list[Column] = (), rows_per_bin: int = 1 << 16
+    df: DataFrame, keys: list[str], value: str, index: dict[str, Column], extra: list[Column] = (), slices: int | None = None
 ) -> DataFrame:
     """Per group, the value at each 0-based sorted ``index`` (expressions over the group size ``n``).
 
-    Groups larger than ``rows_per_bin`` are cut into value bins. Counts per bin locate the bin of every
-    requested index; only the rows of those bins, with equal values already merged, are then ranked.
-    NULL values and rows with a NULL key are ignored. ``extra`` adds ordinary aggregates of the same first pass.
+    Equal values are merged first. The rest is range-partitioned by group and value into ``slices`` (default: the session's
+    shuffle partitions), so slices are even however groups and values are skewed. Counts per slice locate the slice of every
+    requested index; only the rows of those slices are ranked. NULL values and rows with a NULL key are ignored.
+    ``extra`` adds ordinary aggregates of a first pass.
     """
     present = F.col(value).isNotNull()
     for k in keys:
         present = present & F.col(k).isNotNull()
     rows = df.where(present)
-    stats = stage(
-        rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"), *extra), "groups"
-    )
-    bins = F.least(F.ceil(F.col("n") / rows_per_bin), F.lit(MAX_BINS))
-    spread = (F.col("_hi") - F.col("_lo")) / bins
-    b = F.when((bins <= 1) | (spread <= 0), F.lit(0)).otherwise(
-        F.least(F.floor((F.col("_v") - F.col("_lo")) / spread), bins - 1)
-    )
-    # Equal values are merged first, in a shuffle by group and value.
+    stats = rows.groupBy(*keys).agg(F.count("*").alias("n"), *extra)
     merged = rows.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    binned = join_groups(merged, stats.select(*keys, "n", "_lo", "_hi"), keys, staged=True).select(*keys, b.cast("long").alias("_bin"), "_v", "_c")
-    per_bin = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_c"))
-    by_bin = W.partitionBy(*keys).orderBy("_bin")
+    dealt = merged.repartitionByRange(slices, *keys, "_v") if slices else merged.repartitionByRange(*keys, "_v")
+    pinned = stage(dealt.withColumn("_slice", F.spark_partition_id()), "slices")  # ranges are drawn from a sample
+    per_slice = pinned.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_c"))
+    by_slice = W.partitionBy(*keys).orderBy("_slice")
+    wanted = F.array(*[F.struct(F.lit(k).alias("name"), e.cast("long").alias("at")) for k, e in index.items()])
+    inside = lambda t: (t["at"] >= F.col("_end") - F.col("_c")) & (t["at"] < F.col("_end"))
     located = (
-        per_bin.withColumn("_end", F.sum("_c").over(by_bin))
-        .join(stats.select(*keys, "n"), keys)
-        .select(
-            *keys,
-            "_bin",
-            (F.col("_end") - F.col("_c")).alias("_start"),
-            F.explode(
-                F.filter(
-                    F.array(*[F.struct(F.lit(k).alias("name"), e.cast("long").alias("at")) for k, e in index.items()]),
-                    lambda t: (t["at"] >= F.col("_end") - F.col("_c")) & (t["at"] < F.col("_end")),
-                )
-            ).alias("_want"),
-        )
-        .groupBy(*keys, "_bin", "_start")
-        .agg(F.collect_list("_want").alias("_wants"))
+        per_slice.withColumn("_end", F.sum("_c").over(by_slice))
+        .withColumn("n", F.sum("_c").over(W.partitionBy(*keys)))
+        .select(*keys, "_slice", (F.col("_end") - F.col("_c")).alias("_start"), F.filter(wanted, inside).alias("_wants"))
+        .where(F.size("_wants") > 0)
     )
-    inside = W.partitionBy(*keys, "_bin").orderBy("_v")
+    in_order = W.partitionBy(*keys, "_slice").orderBy("_v")
     found = (
-        binned.join(located, [*keys, "_bin"])
-        .withColumn("_end", F.col("_start") + F.sum("_c").over(inside))
-        .select(
-            *keys,
-            "_v",
-            F.explode(
-                F.filter("_wants", lambda t: (t["at"] >= F.col("_end") - F.col("_c")) & (t["at"] < F.col("_end")))
-            ).alias("_want"),
-        )
-    )
-    picked = found.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_want.name") == k, F.col("_v"))).alias(k) for k in index]
+        pinned.join(located, [*keys, "_slice"])
+        .withColumn("_end", F.col("_start") + F.sum("_c").over(in_order))
+        .select(*keys, "_v", F.explode(F.filter("_wants", inside)).alias("_want"))
     )
-    return stats.drop("_lo", "_hi").join(picked, keys)
+    picked = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_want.name") == k, F.col("_v"))).alias(k) for k in index])
+    return stats.join(picked, keys)
 
 
 def nearest_index(q: float) -> Column:
@@ -79,7 +52,7 @@ def nearest_index(q: float) -> Column:
 
 
 def nearest_quantiles(
-    df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], extra: list[Column] = (), rows_per_bin: int = 1 << 16
+    df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], extra: list[Column] = (), slices: int | None = None
 ) -> DataFrame:
     """Quantiles without interpolation: the element at ``floor((n-1)q + 1/2)``."""
-    return order_statistics(df, keys, value, {k: nearest_index(q) for k, q in quantiles.items()}, extra, rows_per_bin)
+    return order_statistics(df, keys, value, {k: nearest_index(q) for k, q in quantiles.items()}, extra, slices)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rankcut.functions.arrays import left_pad
 from rankcut.operators.ordering import join_groups, row_index
+from rankcut.session import stage
 
 # Fixed value: the id that pads batches and is never scored.
 PAD_ID = 0
@@ -103,55 +105,69 @@ def scoring_spans(docs: DataFrame, window: int = 512, step: int = 256) -> DataFr
     return docs.select("uid", F.inline(span_plan(F.size("input_ids"), window, step)))
 
 
-def transitions(docs: DataFrame) -> DataFrame:
-    """``(uid, pos, prev, tok)`` for every target position, read off the array without a shuffle."""
+def transitions(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """``(uid, keep..., pos, prev, tok)`` for every target position, read off the array without a shuffle."""
     ids = F.col("input_ids")
     n = F.size(ids)
     zipped = F.arrays_zip(
         F.slice(ids, F.lit(1), F.greatest(n - 1, F.lit(0))).alias("prev"),
         F.slice(ids, F.lit(2), F.greatest(n - 1, F.lit(0))).alias("tok"),
     )
-    return docs.where(n > 1).select("uid", F.posexplode(zipped).alias("pos", "_t")).select(
-        "uid", F.col("pos").cast("long").alias("pos"), "_t.prev", "_t.tok"
+    return docs.where(n > 1).select("uid", *keep, F.posexplode(zipped).alias("pos", "_t")).select(
+        "uid", *keep, F.col("pos").cast("long").alias("pos"), "_t.prev", "_t.tok"
     )
 
 
-def ngram_counts(docs: DataFrame) -> DataFrame:
-    """``(prev, tok, pair_n, prev_n, tok_n)`` over the corpus: one row per observed pair."""
-    pairs = transitions(docs).groupBy("prev", "tok").agg(F.count("*").alias("pair_n"))
-    prev = pairs.groupBy("prev").agg(F.sum("pair_n").alias("prev_n"))
-    tok = pairs.groupBy("tok").agg(F.sum("pair_n").alias("tok_n"))
-    return pairs.join(prev, "prev").join(tok, "tok")
+# Checkpoints of the built-in scorer: fitted on nothing, on the first half of the corpus, on all of it.
+NGRAM_STEPS = (0, 2000, 4000)
 
 
-# Checkpoints of the built-in scorer: it knows nothing, then single tokens, then pairs.
-NGRAM_STEPS = (0, 2000, 4000)
+@dataclass
+class NgramModel:
+    """Counts of pairs and of first tokens, as arrays with one entry per checkpoint; ``k`` is added to every pair."""
 
+    pairs: DataFrame  # prev, tok, pair_n
+    firsts: DataFrame  # prev, prev_n
+    vocab_size: int
+    k: float
+    steps: tuple[int, ...]
 
-def ngram_table(train: DataFrame, vocab_size: int, add_k: float = 1.0) -> DataFrame:
-    """``(prev, tok, logprobs)``: scores of every observed pair at the three checkpoints, in step order.
 
-    Uniform at the first step, unigram at the second, bigram at the third, with add-k smoothing.
+def fit_ngram(train: DataFrame, vocab_size: int, add_k: float = 1.0, steps: tuple[int, ...] = NGRAM_STEPS, part: Column | None = None) -> NgramModel:
+    """Fit a bigram model on growing parts of a corpus, one per checkpoint.
+
+    ``part`` numbers the checkpoint (from 1) at which a document is first seen; by default documents are dealt out by ``uid``. The first
+    checkpoint has seen nothing, hence every token is equally likely.
     """
-    counts = ngram_counts(train)
-    total = counts.agg(F.sum("pair_n")).scalar()
-    v, k = F.lit(float(vocab_size)), F.lit(float(add_k))
-    unigram = F.log((F.col("tok_n") + k) / (total + k * v))
-    bigram = F.log((F.col("pair_n") + k) / (F.col("prev_n") + k * v))
-    return counts.select("prev", "tok", F.array(-F.log(v), unigram, bigram).alias("logprobs"))
+    later = len(steps) - 1
+    first = part if part is not None else F.pmod("uid", F.lit(max(later, 1))) + 1
+    seen = transitions(train.select("uid", "input_ids", first.cast("int").alias("_part")), ["_part"])
+    counts = [F.sum(F.when(F.col("_part") <= j, 1).otherwise(0)) for j in range(later + 1)]
+    pairs = stage(seen.groupBy("prev", "tok").agg(F.array(*counts).alias("pair_n")), "pairs")
+    firsts = pairs.groupBy("prev").agg(F.array(*[F.sum(F.get("pair_n", F.lit(j))) for j in range(later + 1)]).alias("prev_n"))
+    return NgramModel(pairs, stage(firsts, "firsts"), vocab_size, add_k, steps)
 
 
-def score_ngram(docs: DataFrame, table: DataFrame, steps: tuple[int, ...] = NGRAM_STEPS, pad: int = PAD_ID) -> DataFrame:
-    """Evaluations ``(uid, step, token_logprob, token_ids)`` of documents under a table of pair scores.
+def score_ngram(docs: DataFrame, model: NgramModel, pad: int = PAD_ID) -> DataFrame:
+    """Evaluations ``(uid, step, token_logprob, token_ids)`` of every document at every checkpoint.
 
-    Documents must be covered by the table (it is fitted on them). Scores of the padding id are 0. The scores of all
-    checkpoints travel together through the shuffle and are told apart per document.
+    A pair the model has not seen gets the score of count zero; documents of fewer than two tokens get empty arrays. Scores of the padding id are
+    0. The scores of all checkpoints travel together and are told apart per document; hot pairs are split over tasks.
     """
-    rows = F.sort_array(F.collect_list(F.struct("pos", "tok", "logprobs")))
-    per_doc = transitions(docs).join(table, ["prev", "tok"]).groupBy("uid").agg(rows.alias("r"))
-    unfolded = per_doc.select("uid", "r", F.posexplode(F.array(*[F.lit(s).cast("long") for s in steps])).alias("_j", "step"))
+    steps, k, v = model.steps, F.lit(float(model.k)), F.lit(float(model.vocab_size))
+    seen = join_groups(transitions(docs), model.pairs, ["prev", "tok"], "left", staged=True)
+    seen = join_groups(seen, model.firsts, ["prev"], "left", staged=True)
+    none = F.array(*[F.lit(0).cast("long")] * len(steps))
+    scores = F.zip_with(F.coalesce("pair_n", none), F.coalesce("prev_n", none), lambda n, m: F.log((n + k) / (m + k * v)))
+    rows = F.sort_array(F.collect_list(F.struct("pos", "tok", scores.alias("logprobs"))))
+    per_doc = seen.groupBy("uid").agg(rows.alias("r"))
+    every = docs.select("uid", F.posexplode(F.array(*[F.lit(s).cast("long") for s in steps])).alias("_j", "step")).join(per_doc, "uid", "left")
     logprob = F.transform("r", lambda x: F.when(x["tok"] == pad, 0.0).otherwise(F.get(x["logprobs"], F.col("_j"))))
-    return unfolded.select("uid", "step", logprob.alias("token_logprob"), F.col("r.tok").alias("token_ids"))
+    return every.select(
+        "uid", "step",
+        F.coalesce(logprob, F.array().cast("array<double>")).alias("token_logprob"),
+        F.coalesce(F.col("r.tok"), F.array().cast("array<int>")).alias("token_ids"),
+    )
 
 
 def score(docs: DataFrame, model: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> DataFrame:

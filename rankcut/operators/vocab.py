@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankcut.session import stage
+from rankcut.session import stage, unstage
 
 # Special tokens and the word pattern of a GPT-2 style byte-level pre-tokeniser.
 EOS_TOKEN = "<|endoftext|>"
@@ -116,61 +119,116 @@ def _stage_words(words: DataFrame) -> DataFrame:
     return stage(words.repartition(max(words.sparkSession.sparkContext.defaultParallelism, 1)), "words")
 
 
-def _triples(words: DataFrame) -> DataFrame:
-    chars = F.col("_c")
-    zipped = F.arrays_zip(
-        chars.alias("a"), F.slice(chars, F.lit(2), F.size(chars)).alias("b"), F.slice(chars, F.lit(3), F.size(chars)).alias("c")
-    )
-    return (
-        words.select(F.split("sym", "").alias("_c"), "n")
-        .select(F.inline(zipped), "n")
-        .where(F.col("b").isNotNull())
-    )
+def pair_counts(words: DataFrame) -> DataFrame:
+    """``(pair, n)`` of adjacent symbols over the word table."""
+    chars = F.split("sym", "")
+    pairs = F.zip_with(chars, F.slice(chars, F.lit(2), F.greatest(F.size(chars) - 1, F.lit(0))), lambda a, b: F.concat(a, b))
+    return words.select(F.explode(F.array_compact(pairs)).alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def triple_counts(words: DataFrame) -> DataFrame:
-    """``(a, b, c, n)`` of adjacent symbols; ``c`` is NULL at the end of a word."""
-    return _triples(words).groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
+def segment_counts(words: DataFrame, pairs: list[str]) -> DataFrame:
+    """``(segment, n)``: the longest stretches of words whose adjacent symbols are all among ``pairs``, over the word table."""
+    wanted = set(pairs)
 
+    @F.pandas_udf("array<string>")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda word: _segments(word, wanted))
 
-def pair_totals(triples: DataFrame) -> DataFrame:
-    """``(pair, n, reach)`` of adjacent symbols, as sums over triples.
-
-    ``reach`` is the count of the most frequent triple that extends the pair by one symbol on either side.
-    No pair that merging this one creates can be more frequent than that.
-    """
-    n, whole = F.col("n"), F.col("c").isNotNull()
-    head = F.struct(F.concat("a", "b").alias("pair"), n.alias("n"), F.when(whole, n).otherwise(0).alias("reach"))
-    tail = F.struct(F.concat("b", "c").alias("pair"), F.lit(0).cast("long").alias("n"), n.alias("reach"))
-    both = triples.select(F.inline(F.array_compact(F.array(head, F.when(whole, tail)))))
-    return both.groupBy("pair").agg(F.sum("n").alias("n"), F.max("reach").alias("reach"))
+    return words.select(F.explode(cut("sym")).alias("segment"), "n").groupBy("segment").agg(F.sum("n").alias("n"))
 
 
-def _updated(triples: DataFrame, words: DataFrame, merged: Column) -> DataFrame:
-    """Triple counts after a rewrite: only the words it changes are taken apart, before and after."""
-    changed = words.select("sym", merged.alias("_new"), "n").where(F.col("_new") != F.col("sym"))
-    before = F.struct(F.col("sym"), (-F.col("n")).alias("n"))
-    after = F.struct(F.col("_new").alias("sym"), F.col("n").alias("n"))
-    delta = _triples(changed.select(F.inline(F.array(before, after))))
-    return triples.unionByName(delta).groupBy("a", "b", "c").agg(F.sum("n").alias("n")).where(F.col("n") != 0)
+def _segments(word: str, pairs: set[str]) -> list[str]:
+    out, start = [], 0
+    for i in range(1, len(word) + 1):
+        if i == len(word) or word[i - 1 : i + 1] not in pairs:
+            if i - start > 1:
+                out.append(word[start:i])
+            start = i
+    return out
 
 
-def independent_prefix(ranked: list[tuple[str, int, int]]) -> list[tuple[str, int]]:
-    """Longest run of top-ranked pairs that one-at-a-time merging would take in the same order.
+def replay(segments: list[tuple[str, int]], least: int, merge: Callable[[str, int], tuple[str, bool]]) -> None:
+    """One-at-a-time byte-pair merging on weighted segments, most frequent pair first (ties by symbols), down to count ``least``.
 
-    Merging a pair lowers the count of another only where the two overlap, that is, where the last symbol of one
-    is the first of the other. The run stops at such a pair, and at a pair that is not strictly more frequent than
-    every pair the accepted merges can create.
+    ``merge(pair, n)`` names the symbol that replaces a pair and says whether to go on. A pair's count is kept with the segments
+    that hold it, so a merge only looks at those.
     """
-    taken, firsts, seconds, reach = [], set(), set(), 0
-    for pair, n, extends in ranked:
-        if taken and (n <= reach or pair[0] in seconds or pair[1] in firsts):
-            break
-        taken.append((pair, n))
-        firsts.add(pair[0])
-        seconds.add(pair[1])
-        reach = max(reach, extends)
-    return taken
+    words = [list(s) for s, _ in segments]
+    weight = [n for _, n in segments]
+    counts: dict[str, int] = {}
+    where: dict[str, set[int]] = {}
+    for i, w in enumerate(words):
+        for pair in map("".join, zip(w, w[1:])):
+            counts[pair] = counts.get(pair, 0) + weight[i]
+            where.setdefault(pair, set()).add(i)
+    heap = [(-n, pair) for pair, n in counts.items() if n >= least]
+    heapq.heapify(heap)
+    while heap:
+        n, pair = heapq.heappop(heap)
+        if counts.get(pair, 0) != -n:  # an old entry; the pair is listed under its present count as well
+            continue
+        made, go_on = merge(pair, -n)
+        touched: set[str] = set()
+        for i in where.pop(pair):
+            old, new, k = words[i], [], 0
+            while k < len(old):
+                hit = k + 1 < len(old) and old[k] + old[k + 1] == pair
+                new.append(made if hit else old[k])
+                k += 2 if hit else 1
+            for sign, parts in ((-1, old), (1, new)):
+                for p in map("".join, zip(parts, parts[1:])):
+                    counts[p] = counts.get(p, 0) + sign * weight[i]
+                    touched.add(p)
+                    if sign > 0:
+                        where.setdefault(p, set()).add(i)
+            words[i] = new
+        for p in touched:
+            if counts[p] >= least:
+                heapq.heappush(heap, (-counts[p], p))
+        if not go_on:
+            return
+
+
+def _rewritten(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
+    """Words after a run of merges in this order; words without any of the pairs pass through."""
+    ranks = {pair: (rank, made) for rank, (pair, made) in enumerate(merges)}
+
+    @F.pandas_udf("string")
+    def rewrite(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda word: _merge_in_order(word, ranks))
+
+    return words.select(rewrite("sym").alias("sym"), "n")
+
+
+def _merge_in_order(word: str, ranks: dict[str, tuple[int, str]]) -> str:
+    last = -1
+    while True:
+        found = [ranks[p] + (p,) for p in {word[i : i + 2] for i in range(len(word) - 1)} if p in ranks and ranks[p][0] > last]
+        if not found:
+            return word
+        last, made, pair = min(found)
+        word = word.replace(pair, made)
+
+
+def _round_of(ranked: list, candidates: int, min_frequency: int, frequent: DataFrame, most: int) -> tuple[list[str], int, bool]:
+    """Pairs of a round, the least count of its merges, and whether it may only take the first pair.
+
+    The pairs must hold every pair of at least that count. Where too many pairs share the highest count, they are all taken if there are at
+    most ``most``, else the first one alone.
+    """
+    top = ranked[:candidates]
+    if len(ranked) <= candidates:
+        return [r["pair"] for r in top], min_frequency, False
+    least = ranked[candidates]["n"] + 1
+    highest = top[0]["n"]
+    if least <= highest:
+        return [r["pair"] for r in top], least, False
+    tied = frequent.where(F.col("n") == highest).limit(most + 1).collect() if candidates > 1 else ranked
+    if candidates > 1 and len(tied) <= most:
+        return [r["pair"] for r in tied], highest, False
+    return [top[0]["pair"]], highest, True
 
 
 def learn_merges(
@@ -179,16 +237,17 @@ def learn_merges(
     specials: list[str] | None = None,
     continuing_prefix: str = "",
     min_frequency: int = 2,
-    candidates: int = 512,
-    rounds_per_stage: int = 8,
+    candidates: int = 64,
+    max_segments: int = 200_000,
 ) -> Learned:
-    """Byte-pair merges in order of frequency until ``vocab_size`` tokens exist.
-
-    Works on the table of distinct words and a table of triple counts. Each round ranks ``candidates`` pairs
-    (ties by symbol ids), applies every merge that provably comes next, and corrects the counts with the words
-    that contain a merged pair. Words are rewritten by string replacement; they are written to the shared folder every
-    ``rounds_per_stage`` rounds, and the far smaller counts every round, to cut the lineage.
-    The driver holds the vocabulary and the candidates of one round, nothing that grows with the corpus.
+    """Byte-pair merges in order of frequency until ``vocab_size`` tokens exist, hundreds of them per pass over the words.
+
+    A round takes the ``candidates`` most frequent pairs. While merges are as frequent as the last of them, no other pair can
+    come up: counts of present pairs only fall, and a new pair is at most as frequent as the pairs it comes from. So
+    all that happens until then happens inside the stretches of words whose adjacent symbols are candidates. These stretches, counted over
+    all words in Spark, are replayed one merge at a time; then the words are rewritten in one pass. The number of candidates is
+    doubled or halved so that at most ``max_segments`` distinct stretches reach the driver, nothing that grows with the corpus. A merge
+    that makes a token which exists already ends its round, since it can raise other counts.
     """
     tokens, ids = _initial_tokens([EOS_TOKEN] if specials is None else specials)
     table = _symbol_words(words, ids)
@@ -198,17 +257,20 @@ def learn_merges(
     table = _stage_words(table.where(F.length("sym") > 1))
     learned = Learned(tokens, [], len(tokens))
     known = {t: i for i, t in enumerate(tokens)}
-    current, rounds = table, 0
-    triples = stage(triple_counts(table), "triples")
     while len(learned.tokens) < vocab_size:
-        top = pair_totals(triples).where(F.col("n") >= min_frequency)
-        ranked = [tuple(r) for r in top.orderBy(F.desc("n"), F.asc("pair")).limit(candidates).collect()]
+        frequent = pair_counts(table).where(F.col("n") >= min_frequency)
+        ranked = frequent.orderBy(F.desc("n"), F.asc("pair")).limit(candidates + 1).collect()
         if not ranked:
             break
-        merged = F.col("sym")
-        for pair, n in independent_prefix(ranked):
-            if len(learned.tokens) >= vocab_size:
+        while True:
+            pairs, least, single = _round_of(ranked, candidates, min_frequency, frequent, max_segments)
+            segments = [(r["segment"], r["n"]) for r in segment_counts(table, pairs).limit(max_segments + 1).collect()]
+            if len(segments) <= max_segments or single:
                 break
+            candidates = max(1, candidates // 2)
+        done: list[tuple[str, str]] = []
+
+        def merge(pair: str, n: int) -> tuple[str, bool]:
             a, b = symbol_id(pair[0]), symbol_id(pair[1])
             part_a, part_b = learned.tokens[a], learned.tokens[b]
             token = part_a + part_b.removeprefix(continuing_prefix)
@@ -217,14 +279,14 @@ def learn_merges(
                 known[token] = len(learned.tokens)
                 learned.tokens.append(token)
             learned.merges.append(([a, b], token, known[token], part_a, part_b, n))
-            merged = F.replace(merged, F.lit(pair), F.lit(symbol(known[token])))
-            if not fresh:
-                break  # the merge feeds an existing symbol: counts below this rank may have grown
-        triples = stage(_updated(triples, current, merged), "triples")
-        current = current.select(merged.alias("sym"), "n")
-        rounds += 1
-        if rounds % rounds_per_stage == 0:
-            current = _stage_words(current.where(F.length("sym") > 1))
+            done.append((pair, symbol(known[token])))
+            return done[-1][1], fresh and len(learned.tokens) < vocab_size and not single
+
+        replay(segments, least, merge)
+        before, table = table, _stage_words(_rewritten(table, done).where(F.length("sym") > 1))
+        unstage(before)
+        if 4 * len(segments) < max_segments:
+            candidates *= 2
     return learned
 
 

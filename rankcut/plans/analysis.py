@@ -254,9 +254,17 @@ def _(fx):
     return wide.select("vocab_size", "tokenizer", F.array_join("57M-tied", ",").alias("small"), F.array_join("100M", ",").alias("large"))
 
 
-@on_fixture("qa03_token_agreement", "SELECT uid, pos, tok AS token_ids, step FROM fx_ev WHERE false")
+@on_fixture(
+    "qa03_token_agreement",
+    """SELECT uid, pos, tok + 1 AS token_ids, step FROM fx_ev WHERE uid % 11 = 3 AND uid % 13 <> 5 AND step = 2000 AND tok % 4 = 1
+       UNION ALL SELECT uid, pos, tok, step FROM fx_ev WHERE uid % 13 = 5""",
+)
 def _(fx):
-    return quality.disagreements(fx.trimmed, fx.aligned_docs).select("uid", "pos", F.col("token_ids").cast("long").alias("token_ids"), "step")
+    """Some tokens are changed and some documents are missing."""
+    wrong = (F.col("uid") % 11 == 3) & (F.col("step") == 2000) & (F.col("uid") % 13 != 5)
+    changed = F.when(wrong, F.transform("token_ids", lambda t: F.when(t % 4 == 1, t + 1).otherwise(t))).otherwise(F.col("token_ids"))
+    evals, docs = fx.trimmed.withColumn("token_ids", changed), fx.aligned_docs.where(F.col("uid") % 13 != 5)
+    return quality.disagreements(evals, docs).select("uid", "pos", F.col("token_ids").cast("long").alias("token_ids"), "step")
 
 
 @on_fixture("qa04_equal_lengths", "SELECT l.uid, s.step, CASE WHEN uid % 3 = 0 THEN n - 1 ELSE n + uid % 3 END AS n FROM fx_len l CROSS JOIN fx_steps s")

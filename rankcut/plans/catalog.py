@@ -36,13 +36,13 @@ def on_fixture(name: str, sql: str | None = None):
     return wrap
 
 
-def on_documents(name: str, sql: str | None = None, costly: bool = False):
-    """Register a query over the ``documents`` table itself; ``costly`` work per row is spread over the cores."""
+def on_documents(name: str, sql: str | None = None, costly: bool = False, source: str = "documents"):
+    """Register a query over one of the given tables itself; ``costly`` work per row is spread over the cores."""
 
     def wrap(fn: Callable[[DataFrame], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship_package(spark)
-            docs = table(spark, sf_dir, "documents")
+            docs = table(spark, sf_dir, source)
             return _rounded(fn(spread_scan(docs) if costly else docs))
 
         _add(name, run, sql)

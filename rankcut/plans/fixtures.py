@@ -219,6 +219,9 @@ ORACLE: dict[str, str] = {
 }
 
 
+_SHARED = {"fx_docs", "fx_tag", "fx_occ", "fx_out", "fx_mid"}
+
+
 def with_tables(sql: str) -> str:
     """Prepend the fixture tables a statement needs, in order."""
     needed: set[str] = set()
@@ -230,7 +233,8 @@ def with_tables(sql: str) -> str:
                 visit(body)
 
     visit(sql)
-    ctes = [f"{name} AS ({body})" for name, body in ORACLE.items() if name in needed]
+    # The large tables are computed once, however often a statement reads them.
+    ctes = [f"{name} AS {'MATERIALIZED ' if name in _SHARED else ''}({body})" for name, body in ORACLE.items() if name in needed]
     if not ctes:
         return sql
     head = "WITH RECURSIVE " + ",\n".join(ctes)

@@ -226,16 +226,26 @@ def _(fx):
     return rows.select("run", "step", "tok")
 
 
-@on_fixture("flt05_null_test", "SELECT step, tok, num FROM fx_out WHERE std IS NOT NULL")
+SPARSE = """(SELECT step, uid, tok, stddev_samp(s) AS std, max(s) - min(s) AS width, CASE WHEN count(*) > 2 THEN avg(s) END AS mean FROM fx_occ GROUP BY ALL)"""
+
+
+def sparse(fx: Fixture) -> DataFrame:
+    """Spread per document and item: NULL where an item occurs once, a mean only from three occurrences on."""
+    v = F.col("logprob")
+    rows = outcomes.occurrence_scores(fx.scores).groupBy("step", "uid", "tok")
+    return rows.agg(F.stddev_samp(v).alias("std"), (F.max(v) - F.min(v)).alias("width"), F.when(F.count("*") > 2, F.avg(v)).alias("mean"))
+
+
+@on_fixture("flt05_null_test", f"SELECT step, uid, tok FROM {SPARSE} q WHERE std IS NOT NULL")
 def _(fx):
-    return fx.outcomes.where(F.col("std").isNotNull()).select("step", "tok", "num")
+    return sparse(fx).where(F.col("std").isNotNull()).select("step", "uid", "tok")
 
 
-@on_fixture("flt06_drop_incomplete", "SELECT step, tok, round(std, 6) AS std FROM fx_out WHERE std IS NOT NULL AND iqr IS NOT NULL AND iqr > 0")
+@on_fixture("flt06_drop_incomplete", f"SELECT step, uid, tok, round(std, 6) AS std FROM {SPARSE} q WHERE std IS NOT NULL AND width > 0")
 def _(fx):
-    # An item whose quartiles coincide gets NaN here, so that both kinds of gaps occur.
-    gaps = fx.outcomes.withColumn("ratio", F.when(F.col("iqr") > 0, F.col("std") / F.col("iqr")).when(F.col("iqr").isNotNull(), F.lit(float("nan"))))
-    return filters.drop_incomplete(gaps, ["std", "ratio"]).select("step", "tok", "std")
+    # An item without spread gets NaN here, so that both kinds of gaps occur.
+    ratio = F.when(F.col("width") > 0, F.col("std") / F.col("width")).otherwise(F.lit(float("nan")))
+    return filters.drop_incomplete(sparse(fx).withColumn("ratio", ratio), ["std", "ratio"]).select("step", "uid", "tok", "std")
 
 
 @on_fixture("flt07_global_max", "SELECT run, step, tok, num FROM fx_reg WHERE step = (SELECT max(step) FROM fx_reg) AND tokenizer = 'bpe'")
@@ -254,10 +264,10 @@ def _(fx):
 
 @on_fixture(
     "joi02_left_join",
-    "SELECT e.uid, e.step, l.n AS len FROM (SELECT DISTINCT uid, step FROM fx_len CROSS JOIN fx_steps) e LEFT JOIN fx_len l ON e.uid = l.uid",
+    "SELECT e.uid, e.step, l.n AS len FROM (SELECT DISTINCT uid, step FROM fx_len CROSS JOIN fx_steps) e LEFT JOIN (SELECT * FROM fx_len WHERE n >= 20 AND uid % 7 > 0) l ON e.uid = l.uid",
 )
 def _(fx):
-    lengths = fx.docs.select("uid", F.size("input_ids").cast("long").alias("len"))
+    lengths = fx.docs.select("uid", F.size("input_ids").cast("long").alias("len")).where("len >= 20 and uid % 7 > 0")
     return fx.evals.select("uid", "step").join(lengths, "uid", "left")
 
 
@@ -332,16 +342,15 @@ def _(fx):
     return outcomes.occurrence_scores(fx.scores).groupBy("step", "tok").agg(F.avg("logprob").alias("mean"))
 
 
-@on_fixture("agg03_sample_std", "SELECT step, tok, round(stddev_samp(s), 6) AS std FROM fx_occ GROUP BY step, tok")
+@on_fixture("agg03_sample_std", f"SELECT step, uid, tok, round(std, 6) AS std FROM {SPARSE} q")
 def _(fx):
-    return outcomes.occurrence_scores(fx.scores).groupBy("step", "tok").agg(F.stddev_samp("logprob").alias("std"))
+    return sparse(fx).select("step", "uid", "tok", "std")
 
 
 @on_fixture("agg04_quantile_nearest", "SELECT step, tok, n, round(max(s) FILTER (rn = floor((n-1)*0.25e0 + 0.5e0)), 6) AS q25, round(max(s) FILTER (rn = floor((n-1)*0.5e0 + 0.5e0)), 6) AS q50, round(max(s) FILTER (rn = floor((n-1)*0.75e0 + 0.5e0)), 6) AS q75 FROM (SELECT *, row_number() OVER (PARTITION BY step, tok ORDER BY s) - 1 AS rn, count(*) OVER (PARTITION BY step, tok) AS n FROM fx_occ) q GROUP BY step, tok, n")
 def _(fx):
-    # Bins far smaller than the default, so that the binned path is what gets checked.
     rows = stage(outcomes.occurrence_scores(fx.scores), "occurrences")
-    return quantiles.nearest_quantiles(rows, ["step", "tok"], "logprob", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, rows_per_bin=256)
+    return quantiles.nearest_quantiles(rows, ["step", "tok"], "logprob", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
 
 
 @on_fixture("agg05_count", "SELECT step, tok, count(*) AS num FROM fx_occ GROUP BY step, tok")
@@ -483,19 +492,10 @@ def _(fx):
 # --- scalar functions ----------------------------------------------------------------------------
 
 
-def run_names(fx: Fixture) -> DataFrame:
-    """One row per run file, with its path."""
-    rows = readers.scan_with_path(fx.spark, f"{fx.regdata_path}/*.parquet", schema=readers.REGDATA_SCHEMA)
-    paths = rows.groupBy("filename").agg(F.count("*").alias("n_rows"))
-    # Spark writes a folder per run: its name is the one before the part file.
-    folder = F.array_join(F.slice(F.split("filename", "/"), 1, F.size(F.split("filename", "/")) - 1), "/")
-    return paths.groupBy(folder.alias("path")).agg(F.sum("n_rows").alias("n_rows"))
-
-
-@on_fixture("str01_split", "SELECT run || '.parquet' AS name, split_part(run, '_', 1) AS first FROM fx_runs")
-def _(fx):
-    name = S.split_last(F.col("path"), "/")
-    return run_names(fx).select(name.alias("name"), S.split_first(name, "_").alias("first"))
+@on_documents("str01_split", "SELECT page_id, split_part(url, '/', -1) AS last, split_part(split_part(url, '//', 2), '/', 1) AS host FROM pages", source="pages")
+def _(pages):
+    behind = S.split_last(F.col("url"), "//")
+    return pages.select("page_id", S.split_last(F.col("url"), "/").alias("last"), S.split_first(behind, "/").alias("host"))
 
 
 @on_fixture(
@@ -508,22 +508,28 @@ def _(fx):
     return rows.select(folder.alias("folder")).groupBy("folder").agg(F.count("*").alias("n")).withColumn("step", N.step_of_path(F.col("folder")))
 
 
-@on_fixture("str03_extract_all_last", "SELECT run, CAST(regexp_extract_all(run, '\\d+')[-1] AS INTEGER) AS last_number FROM fx_runs")
-def _(fx):
-    run = N.run_of_path(F.col("path"))
-    return run_names(fx).select(run.alias("run"), S.extract_last(run, r"\d+").cast("int").alias("last_number"))
+@on_documents("str03_extract_all_last", "SELECT page_id, TRY_CAST(regexp_extract_all(url, '[0-9]+')[-1] AS INTEGER) AS last_number FROM pages", source="pages")
+def _(pages):
+    return pages.select("page_id", S.extract_last(F.col("url"), "[0-9]+").cast("int").alias("last_number"))
 
 
-@on_fixture("str04_strip_affixes", "SELECT run, substr(run, 3) AS bare FROM fx_runs")
-def _(fx):
-    run = S.strip_suffix(S.split_last(F.col("path"), "/"), ".parquet")
-    return run_names(fx).select(run.alias("run"), S.strip_prefix(run, "me").alias("bare"))
+@on_documents(
+    "str04_strip_affixes",
+    """SELECT page_id, CASE WHEN starts_with(u, 'https://') THEN substr(u, 9) ELSE u END AS bare
+       FROM (SELECT page_id, CASE WHEN ends_with(url, '/') THEN left(url, -1) ELSE url END AS u FROM pages) q""",
+    source="pages",
+)
+def _(pages):
+    return pages.select("page_id", S.strip_prefix(S.strip_suffix(F.col("url"), "/"), "https://").alias("bare"))
 
 
-@on_fixture("str05_longest_digit_run", "SELECT run, list_sort(list_transform(regexp_extract_all(run, '\\d+'), lambda x: {'k': -len(x), 'v': x}))[1].v AS digits FROM fx_runs WHERE run NOT LIKE '%00M%' UNION ALL SELECT run, '100' FROM fx_runs WHERE run LIKE '%00M%'")
-def _(fx):
-    run = N.run_of_path(F.col("path"))
-    return run_names(fx).select(run.alias("run"), S.longest_digit_run(run).alias("digits"))
+@on_documents(
+    "str05_longest_digit_run",
+    """SELECT doc_id, list_sort([{'k': -len(runs[i]), 'i': i, 'v': runs[i]} FOR i IN range(1, len(runs) + 1)])[1].v AS digits
+       FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]+') AS runs FROM documents) q""",
+)
+def _(docs):
+    return docs.select("doc_id", S.longest_digit_run(F.col("text")).alias("digits"))
 
 
 @on_fixture("str06_format", "SELECT step, tok, 'item ' || tok || ': ' || num || ' uses' AS label, concat_ws(' ', step, tok) AS pair FROM fx_out")
@@ -544,14 +550,24 @@ def _(fx):
     return runs(fx).groupBy("run", order.alias("model_order")).agg(F.count("*").alias("n"))
 
 
-@on_fixture(
+NAMED = """SELECT doc_id, (1 + doc_id % 900) || 'M' || CASE WHEN doc_id % 2 = 0 THEN '-tied' ELSE '' END AS model_size, source AS dataset,
+  CASE doc_id % 3 WHEN 0 THEN 'bpe' WHEN 1 THEN 'wordpiece' ELSE 'bpe2wp' END AS tokenizer, n_chars, CASE WHEN doc_id % 5 = 0 THEN '' ELSE lang END AS corpus FROM documents"""
+
+
+@on_documents(
     "str09_run_name",
-    """SELECT run, model_size, split_part(run, '_', 2) AS dataset, split_part(run, '_', 3) AS tok_name, tokenizer, 500 AS vocab_size, 500 AS cutoff FROM fx_runs""",
+    f"""SELECT doc_id, model_size, dataset, tokenizer || n_chars || corpus AS tok_name, tokenizer, n_chars::INTEGER AS vocab_size,
+        CASE WHEN tokenizer = 'bpe2wp' AND n_chars < 10 THEN 2 ELSE n_chars END::INTEGER AS cutoff FROM ({NAMED}) q""",
 )
-def _(fx):
-    run = N.run_of_path(F.col("path"))
-    rows = run_names(fx).select(run.alias("run")).withColumn("_l", N.parse_run_name(F.col("run")))
-    return rows.select("run", "_l.model_size", "_l.dataset", "_l.tok_name", "_l.tokenizer", "_l.vocab_size", "_l.cutoff")
+def _(docs):
+    """Names as runs have them, built from the columns of the documents and taken apart again."""
+    rest = F.col("doc_id") % 3
+    tokenizer = F.when(rest == 0, "bpe").when(rest == 1, "wordpiece").otherwise("bpe2wp")
+    tied = F.when(F.col("doc_id") % 2 == 0, "-tied").otherwise("")
+    corpus = F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("lang"))
+    run = F.concat(F.lit("me"), 1 + F.col("doc_id") % 900, F.lit("M"), tied, F.lit("_"), "source", F.lit("_"), tokenizer, "n_chars", corpus)
+    rows = docs.select("doc_id", N.parse_run_name(N.run_of_path(F.concat(F.lit("evals/"), run, F.lit(".parquet")))).alias("l"))
+    return rows.select("doc_id", "l.model_size", "l.dataset", "l.tok_name", "l.tokenizer", "l.vocab_size", "l.cutoff")
 
 
 @on_fixture("mth01_arithmetic", "SELECT step, tok, round(tok / 1000e0, 6) AS x, round(-mean, 6) AS cost, round(mean + std, 6) AS upper, round(mean * 2 - 1, 6) AS lin FROM fx_out")
@@ -565,14 +581,14 @@ def _(fx):
     return fx.outcomes.select("step", "tok", F.round("mean", 2).alias("mean"))
 
 
-@on_fixture("mth03_horizontal_min", "SELECT step, tok, round(least(mean, std, iqr), 6) AS least FROM fx_out")
+@on_fixture("mth03_horizontal_min", f"SELECT step, uid, tok, round(least(mean, std, width), 6) AS least FROM {SPARSE} q")
 def _(fx):
-    return fx.outcomes.select("step", "tok", F.least("mean", "std", "iqr").alias("least"))
+    return sparse(fx).select("step", "uid", "tok", F.least("mean", "std", "width").alias("least"))
 
 
-@on_fixture("mth04_coalesce", "SELECT step, tok, round(coalesce(std, iqr, 0e0), 6) AS spread FROM fx_out")
+@on_fixture("mth04_coalesce", f"SELECT step, uid, tok, round(coalesce(mean, std, -1e0), 6) AS spread FROM {SPARSE} q")
 def _(fx):
-    return fx.outcomes.select("step", "tok", F.coalesce("std", "iqr", F.lit(0.0)).alias("spread"))
+    return sparse(fx).select("step", "uid", "tok", F.coalesce("mean", "std", F.lit(-1.0)).alias("spread"))
 
 
 @on_fixture("arr01_element", "SELECT tok, tok_a, tok_b FROM fx_merges")

@@ -41,10 +41,16 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one is set only where none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder set with ``setCheckpointDir``, else the one ``spark.checkpoint.dir`` names.
+
+    A temporary one is set only for a local master: on a cluster, other machines could not read it.
+    """
+    configured = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     fallback = tempfile.mkdtemp(prefix="rankcut-")
     spark.sparkContext.setCheckpointDir(fallback)
     return fallback
@@ -67,3 +73,13 @@ def stage(df: DataFrame, name: str = "stage", partition_by: list[str] | None = N
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete the files of a staged table that nothing will read again."""
+    spark = df.sparkSession
+    own = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/rankcut").toUri().getPath()
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.toUri().getPath().startswith(f"{own}/"):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

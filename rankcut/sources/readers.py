@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankcut.functions.names import parse_run_name, run_of_path, step_of_path
+from rankcut.operators.ordering import top_k
 from rankcut.operators.vocab import MERGES_SCHEMA
 
 EVALS_SCHEMA = "uid long, token_logprob array<double>, token_ids array<int>"
@@ -71,7 +72,7 @@ def read_vocab_document(spark: SparkSession, path: str) -> tuple[DataFrame, Data
 
 def read_corpus(docs: DataFrame, order: list[Column], rows: int, text: str = "text") -> DataFrame:
     """The first ``rows`` documents of a corpus in ``order``, text only."""
-    return docs.orderBy(*order).limit(rows).select(text)
+    return top_k(docs, order, rows).select(text)
 
 
 def with_splits(splits: dict[str, DataFrame]) -> DataFrame:

@@ -167,6 +167,18 @@ def test_number_rows(spark):
     df = spark.createDataFrame([("b", 2), ("a", 9), ("a", 3)], "s string, k long").withColumn("wide", F.lit("x"))
     got = {(r["s"], r["k"]): r["uid"] for r in ordering.number_rows(df, ["s", "k"], "uid").collect()}
     assert got == {("a", 3): 0, ("a", 9): 1, ("b", 2): 2}
+    with_null = df.union(spark.createDataFrame([(None, 5, "x")], "s string, k long, wide string"))
+    assert sorted(r["uid"] for r in ordering.number_rows(with_null, ["s", "k"], "uid").collect()) == [0, 1, 2, 3]
+    with pytest.raises(Exception, match="equal s, k"):
+        ordering.number_rows(df.union(df.limit(1)), ["s", "k"], "uid").collect()
+
+
+def test_top_rows_beyond_one_task(spark):
+    df = spark.range(500).withColumn("v", (F.col("id") * 7919) % 503)
+    few = [r["id"] for r in ordering.top_k(df, [F.desc("v")], 60).collect()]
+    numbered = ordering.top_k(df, [F.desc("v")], 60, bound=10)
+    assert sorted(r["id"] for r in numbered.collect()) == sorted(few)
+    assert "TakeOrdered" not in numbered._jdf.queryExecution().toString()
 
 
 def test_cross_entropy_is_macro_averaged(spark):

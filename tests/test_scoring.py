@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rankcut.operators import scoring
+from rankcut.operators import ordering, scoring
 
 
 def docs_of(spark, lengths):
@@ -69,15 +69,29 @@ def test_every_target_is_scored_once(spark, window, step):
 
 
 def test_ngram_scorer(spark):
-    docs = spark.createDataFrame([(1, [1, 2, 1, 2, 3]), (2, [2, 0]), (3, [4])], "uid long, input_ids array<int>")
-    rows = {(r["uid"], r["step"]): r for r in scoring.score_ngram(docs, scoring.ngram_table(docs, 5)).collect()}
-    assert set(rows) == {(1, 0), (1, 2000), (1, 4000), (2, 0), (2, 2000), (2, 4000)}
+    train = spark.createDataFrame([(1, [1, 2, 1, 2, 3]), (2, [2, 0])], "uid long, input_ids array<int>")
+    docs = spark.createDataFrame([(1, [1, 2, 1, 2, 3]), (2, [2, 0]), (3, [4]), (4, []), (5, [1, 4, 3, 3])], "uid long, input_ids array<int>")
+    model = scoring.fit_ngram(train, 5)
+    rows = {(r["uid"], r["step"]): r for r in scoring.score_ngram(docs, model).collect()}
+    assert set(rows) == {(u, s) for u in range(1, 6) for s in (0, 2000, 4000)}
     assert list(rows[1, 0]["token_ids"]) == [2, 1, 2, 3]
     assert rows[1, 0]["token_logprob"] == pytest.approx([-math.log(5)] * 4)
-    # Pairs: 12 twice, 21, 23, 20 once each.
-    assert rows[1, 2000]["token_logprob"] == pytest.approx([math.log(n / 10) for n in (3, 2, 3, 2)])
+    # Half of the corpus is document 2: the pair 20. All pairs: 12 twice, 21, 23, 20 once each.
+    assert rows[1, 2000]["token_logprob"] == pytest.approx([math.log(x) for x in (1 / 5, 1 / 6, 1 / 5, 1 / 6)])
     assert rows[1, 4000]["token_logprob"] == pytest.approx([math.log(x) for x in (3 / 7, 2 / 8, 3 / 7, 2 / 8)])
     assert rows[2, 4000]["token_logprob"] == [0.0]  # the padding id is not scored
+    assert [list(rows[u, 4000]["token_ids"]) for u in (3, 4)] == [[], []]
+    # Unseen pairs, and first tokens never seen, keep their places.
+    assert list(rows[5, 4000]["token_ids"]) == [4, 3, 3]
+    assert rows[5, 4000]["token_logprob"] == pytest.approx([math.log(x) for x in (1 / 7, 1 / 5, 1 / 5)])
+
+
+def test_hot_pairs_are_split_without_loss(spark, monkeypatch):
+    docs = spark.createDataFrame([(u, [1, 2] * 20 + [u % 7]) for u in range(40)], "uid long, input_ids array<int>")
+    model = scoring.fit_ngram(docs, 9)
+    whole = {(r["uid"], r["step"]): list(r["token_logprob"]) for r in scoring.score_ngram(docs, model).collect()}
+    monkeypatch.setattr(scoring, "join_groups", lambda *a, **k: ordering.join_groups(*a, **k, bound=0))
+    assert {(r["uid"], r["step"]): list(r["token_logprob"]) for r in scoring.score_ngram(docs, model).collect()} == pytest.approx(whole)
 
 
 def test_user_model(spark):

@@ -9,15 +9,15 @@ from rankcut.operators import quantiles, regress, smooth
 from rankcut.operators.filters import at_global_max, drop_incomplete, override
 
 
-@pytest.mark.parametrize("rows_per_bin", [1, 3, 1 << 16])
-def test_nearest_quantiles_against_brute_force(spark, rows_per_bin):
+@pytest.mark.parametrize("slices", [1, 7, None])
+def test_nearest_quantiles_against_brute_force(spark, slices):
     rng = random.Random(1)
     groups = {"one": [4.0], "two": [1.0, 2.0], "four": [1.0, 2.0, 3.0, 10.0], "ties": [2.0] * 50, "many": [rng.gauss(0, 1) for _ in range(500)]}
     groups["skewed"] = [math.exp(rng.gauss(0, 4)) for _ in range(301)] + [7.0] * 100
     rows = [(k, v) for k, values in groups.items() for v in values] + [("one", None)]
     df = spark.createDataFrame(rows, "k string, v double")
     qs = {"q25": 0.25, "q50": 0.5, "q75": 0.75, "q0": 0.0, "q100": 1.0}
-    got = {r["k"]: r for r in quantiles.nearest_quantiles(df, ["k"], "v", qs, [F.avg("v").alias("mean")], rows_per_bin).collect()}
+    got = {r["k"]: r for r in quantiles.nearest_quantiles(df, ["k"], "v", qs, [F.avg("v").alias("mean")], slices).collect()}
     for k, values in groups.items():
         ordered = sorted(values)
         for name, q in qs.items():
@@ -26,6 +26,16 @@ def test_nearest_quantiles_against_brute_force(spark, rows_per_bin):
         assert got[k]["mean"] == pytest.approx(sum(values) / len(values))
 
 
+def test_one_outlier_does_not_gather_a_group(spark):
+    n = 100_000
+    value = F.when(F.col("id") == 0, 1e12).otherwise(F.sqrt(F.col("id")))
+    df = spark.range(n).select(F.lit(1).alias("k"), value.alias("v"))
+    row = quantiles.nearest_quantiles(df, ["k"], "v", {"m": 0.5, "top": 1.0}, slices=8).collect()[0]
+    assert row["m"] == math.sqrt(n // 2 + 1) and row["top"] == 1e12
+    per_slice = df.repartitionByRange(8, "k", "v").groupBy(F.spark_partition_id()).count().agg(F.max("count")).collect()[0][0]
+    assert per_slice < n / 4
+
+
 def test_nearest_quantile_of_four_values(spark):
     df = spark.createDataFrame([(1, v) for v in (1.0, 2.0, 3.0, 10.0)], "k int, v double")
     row = quantiles.nearest_quantiles(df, ["k"], "v", {"a": 0.25, "b": 0.5, "c": 0.75}).collect()[0]

@@ -77,12 +77,13 @@ def one_at_a_time(words, vocab_size):
     return tokens, merges
 
 
-def test_batched_merges_equal_one_at_a_time(spark, docs):
+@pytest.mark.parametrize(("candidates", "max_segments", "merges"), [(64, 200_000, 90), (3, 40, 20), (1, 1, 6)])
+def test_batched_merges_equal_one_at_a_time(spark, docs, candidates, max_segments, merges):
     words = [(r["word"], r["n"]) for r in vocab.word_counts(docs).collect()]
-    tokens, merges = one_at_a_time(words, 257 + 90)
-    got = vocab.learn_bpe(docs, 257 + 90, rounds_per_stage=3)
+    tokens, expected = one_at_a_time(words, 257 + merges)
+    got = vocab.learn_bpe(docs, 257 + merges, candidates=candidates, max_segments=max_segments)
     assert got.tokens == tokens
-    assert [(m[0], m[1], m[5]) for m in got.merges] == merges
+    assert [(m[0], m[1], m[5]) for m in got.merges] == expected
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -129,7 +130,11 @@ def test_encode_decode_round_trip(spark, docs):
     rows = encoded.orderBy("doc_id").collect()
     assert [r["uid"] for r in rows] == list(range(len(rows)))
     back = {r["doc_id"]: r["text"] for r in encode.decode_docs(encoded, got.vocab_df(spark), "doc_id").collect()}
-    assert all(back.get(r["doc_id"], "") == r["text"] for r in docs.collect())
+    assert all(back[r["doc_id"]] == r["text"] for r in docs.collect())
+    odd = spark.createDataFrame([(1, []), (2, None)], "uid long, input_ids array<int>")
+    assert {r["uid"]: r["text"] for r in encode.decode_docs(odd, got.vocab_df(spark)).collect()} == {1: "", 2: None}
+    with pytest.raises(Exception, match="KeyError"):
+        encode.decode_docs(spark.createDataFrame([(1, [10**6])], "uid long, input_ids array<int>"), got.vocab_df(spark)).collect()
 
 
 def test_longest_match():
