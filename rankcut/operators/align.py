@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rankcut.functions.arrays import explode_together, keep_last
 from rankcut.operators.filters import cutoff_window
 from rankcut.operators.ordering import neighbours
+from rankcut.operators.quality import require
 
 # A merges table within this bound (three longs a row) is safe to ship to every executor.
 BROADCAST_ROWS = 2_000_000
@@ -134,24 +135,28 @@ def tag_pairs(stream: DataFrame, merges: DataFrame, block: int = 1 << 16) -> Dat
     return tag_rows(neighbours(stream, ["uid"], "pos", "tok", block), merges)
 
 
-def impute_scores(evals: DataFrame, tagged: DataFrame) -> DataFrame:
+def impute_scores(evals: DataFrame, tagged: DataFrame, strict: bool = False) -> DataFrame:
     """Scores of tagged positions: ``(step, uid, tok, pos, og_tok, og_pos, logprob)``.
 
     ``evals`` carry the ``offset`` of ``score_offset`` (or of ``trim_evals``); without it, arrays count from their start.
     The tagged positions are packed per document and meet the score arrays in one join by ``uid``. Each score is read
     by its position before the end, so no array is sliced and only tagged positions are ever exploded, not every
-    token of every step. A position counts only where document and evaluation agree on the token.
+    token of every step. A position counts only where document and evaluation agree on the token; ``strict`` fails the query
+    where they do not.
     """
     hits = tagged.groupBy("uid").agg(F.collect_list(F.struct("og_pos", "og_tok", "tok", "pos")).alias("hits"))
     size = F.size("token_logprob")
     shift = size - F.coalesce(F.least(F.col("offset"), size), size) if "offset" in evals.columns else F.lit(0)
     at = (F.col("hit.og_pos") + F.col("_shift")).cast("int")
-    return (
+    met = (
         evals.withColumn("_shift", shift)
         .join(hits, "uid")
         .select("uid", "step", "token_logprob", "token_ids", "_shift", F.explode("hits").alias("hit"))
-        .where(F.get("token_ids", at) == F.col("hit.og_tok"))
-        .select(
+    )
+    agree = F.get("token_ids", at).eqNullSafe(F.col("hit.og_tok"))
+    met = require(met, agree, "a tagged token has no score, or that of another token") if strict else met.where(agree)
+    return (
+        met.select(
             "step",
             "uid",
             F.col("hit.tok").alias("tok"),

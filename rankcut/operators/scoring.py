@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -170,6 +171,39 @@ def score_ngram(docs: DataFrame, model: NgramModel, pad: int = PAD_ID) -> DataFr
     )
 
 
+def evaluate(
+    docs: DataFrame, model: Callable[[np.ndarray, np.ndarray], np.ndarray], budget: int, window: int = 512, step: int = 256, at_step: int = 0, pad: int = PAD_ID
+) -> DataFrame:
+    """Score documents with a user model the way a padded evaluation run does: ``uid, step, token_logprob, token_ids`` without padding.
+
+    Documents are packed into batches under a token budget and padded; every batch is read in context spans of ``window`` tokens that move by
+    ``step``, and each target is scored once. ``model(inputs, targets)`` gets two arrays of documents by positions and returns the log probability of
+    every target. Documents of fewer than two tokens get empty arrays. A batch is bounded by its budget, so it is one group.
+    """
+    packed = stage(pack_batches(docs, budget), "packed")
+    padded = collate(docs.select("uid", "input_ids"), packed, pad).join(packed.select("uid", "len"), "uid")
+    spans = F.col("spans")
+    planned = padded.withColumn("spans", span_plan(F.col("batch_len"), window, step)).select(
+        "batch_id", "uid", "len", "input_ids", *[spans.getField(c).alias(c) for c in ("start", "end", "scored")]
+    )
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        ids = np.stack(batch["input_ids"].to_list()).astype(np.int64)
+        targets = ids[:, 1:]
+        out = np.zeros(targets.shape)
+        for start, end, scored in zip(batch["start"].iloc[0], batch["end"].iloc[0], batch["scored"].iloc[0]):
+            got = model(ids[:, start:end], targets[:, start:end])
+            out[:, end - scored : end] = got[:, end - start - scored :]
+        own = [max(n - 1, 0) for n in batch["len"]]
+        return pd.DataFrame({
+            "uid": batch["uid"], "step": at_step,
+            "token_logprob": [row[len(row) - n :] for row, n in zip(out, own)],
+            "token_ids": [row[len(row) - n :] for row, n in zip(targets, own)],
+        })
+
+    return planned.groupBy("batch_id").applyInPandas(run, "uid long, step long, token_logprob array<double>, token_ids array<int>")
+
+
 def score(docs: DataFrame, model: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> DataFrame:
     """Score with a user model: batches of ``(uid, input_ids)`` in, ``(uid, step, token_logprob, token_ids)`` out."""
     schema = "uid long, step long, token_logprob array<double>, token_ids array<int>"

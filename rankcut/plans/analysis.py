@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from rankcut.operators import align, labels, outcomes, quality, regress, smooth
 from rankcut.plans.catalog import on_fixture
-from rankcut.plans.fixtures import BASE, HALF_WIDTH
+from rankcut.plans.fixtures import BASE, HALF_WIDTH, RUNS
 from rankcut.plans.relational import KEYS, PARTS, SIZES, chain, effects, losses, runs
 from rankcut.plans.workflow import regression_data
+from rankcut.sources import writers
 
 CELL = [*KEYS, "target"]
 CELL_SQL = "model_size, vocab_size, tokenizer, step, target"
@@ -73,6 +74,18 @@ def _(fx):
     return regression_data(fx.docs, fx.evals, fx.log, BASE, HALF_WIDTH)
 
 
+@on_fixture(
+    "aln07_all_runs",
+    """SELECT run, step, tok, round(median * f, 6) AS median, round(mean * f, 6) AS mean, round(std * f, 6) AS std, round(iqr * f, 6) AS iqr, num, treat
+       FROM fx_out, (SELECT run, 1 + 0.1e0 * run_no AS f FROM fx_runs WHERE run_no < 2) r""",
+)
+def _(fx):
+    """Two runs whose scores differ by a factor, in one pass."""
+    evals = writers.consolidated(fx.spark, fx.evals_path)
+    docs = fx.docs.withColumn("run", F.explode(F.array(*[F.lit(r) for r in RUNS[:2]])))
+    return regression_data(docs, evals, fx.log, BASE, HALF_WIDTH, run="run")
+
+
 # --- statistics ----------------------------------------------------------------------------------
 
 

@@ -10,7 +10,8 @@ from rankcut.operators import encode, scoring, unigram, vocab
 from rankcut.plans.catalog import on_documents, on_fixture
 from rankcut.plans.fixtures import BASE
 from rankcut.plans.relational import CONSOLIDATED, consolidated_summary
-from rankcut.session import new_path
+from rankcut.plans.workflow import cutoff_effects
+from rankcut.session import new_path, stage
 from rankcut.sources import readers
 from rankcut.streaming.consolidate import consolidate_available
 
@@ -211,6 +212,26 @@ def _(fx):
     return per_doc(ngram_evals(fx))
 
 
+@on_fixture("sco06_evaluate", "SELECT l.uid, 0 AS step, l.n - 1 AS n, round(coalesce(total, 0e0), 6) AS total FROM fx_len l LEFT JOIN (SELECT uid, sum(-ln(1e0 + tok)) AS total FROM fx_docs WHERE pos > 0 GROUP BY uid) q USING (uid)")
+def _(fx):
+    """A model without context scores the same whatever the batches and spans are."""
+    return per_doc(scoring.evaluate(fx.docs, lambda inputs, targets: -np.log1p(targets), BUDGET, 128, 64))
+
+
+# --- from text to effects ------------------------------------------------------------------------
+
+CUT, CUT_WIDTH = 257 + 64, 60
+
+
+@on_documents("e2e_text_to_effects", costly=True)
+def _(docs):
+    """Learn a vocabulary, cut it, encode, score at three checkpoints, align, and estimate the effect of inclusion."""
+    model = learned(docs, "bpe")
+    encoded = stage(encode.encode_corpus(docs, model, ["doc_id"], vocab_size=CUT), "encoded")
+    evals = stage(scoring.score_ngram(encoded, scoring.fit_ngram(encoded, CUT)), "evals")
+    return cutoff_effects(encoded, evals, model.merges_df(docs.sparkSession), CUT, CUT_WIDTH)
+
+
 # --- batched maps and streams --------------------------------------------------------------------
 
 

@@ -29,6 +29,9 @@ SAMPLE = [
     "arr05_explode_together",
     "aln04_tag_pairs",
     "aln07_regression_data",
+    "aln07_all_runs",
+    "sco06_evaluate",
+    "qa03_token_agreement",
     "sta03_effect_fit",
     "sta06_window_sensitivity",
     "sta08_loess_linear",

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,7 +92,8 @@ def test_hot_pairs_are_split_without_loss(spark, monkeypatch):
     model = scoring.fit_ngram(docs, 9)
     whole = {(r["uid"], r["step"]): list(r["token_logprob"]) for r in scoring.score_ngram(docs, model).collect()}
     monkeypatch.setattr(scoring, "join_groups", lambda *a, **k: ordering.join_groups(*a, **k, bound=0))
-    assert {(r["uid"], r["step"]): list(r["token_logprob"]) for r in scoring.score_ngram(docs, model).collect()} == pytest.approx(whole)
+    split = {(r["uid"], r["step"]): list(r["token_logprob"]) for r in scoring.score_ngram(docs, model).collect()}
+    assert split.keys() == whole.keys() and all(split[k] == pytest.approx(whole[k]) for k in whole)
 
 
 def test_user_model(spark):
@@ -104,3 +106,14 @@ def test_user_model(spark):
 
     r = scoring.score(docs_of(spark, [3]), model).collect()[0]
     assert (r["uid"], r["step"], r["token_logprob"], r["token_ids"]) == (0, 7, [-1.0, -1.5], [2, 3])
+
+
+@pytest.mark.parametrize(("budget", "window", "step"), [(30, 4, 2), (1000, 512, 256), (7, 3, 3)])
+def test_evaluation_in_batches_and_spans(spark, budget, window, step):
+    """Context-free scores equal those of whole documents; a score never comes from padding or another document."""
+    rng = np.random.default_rng(4)
+    ids = {u: rng.integers(1, 50, n).tolist() for u, n in enumerate([0, 1, 2, 3, 9, 9, 17, 30])}
+    docs = spark.createDataFrame(list(ids.items()), "uid long, input_ids array<int>")
+    rows = {r["uid"]: r for r in scoring.evaluate(docs, lambda inputs, targets: targets * -0.5, budget, window, step, at_step=7).collect()}
+    assert {u: list(r["token_ids"]) for u, r in rows.items()} == {u: x[1:] for u, x in ids.items()}
+    assert all(list(r["token_logprob"]) == [-0.5 * t for t in r["token_ids"]] and r["step"] == 7 for r in rows.values())
