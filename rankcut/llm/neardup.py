@@ -2,8 +2,8 @@
 
 N-grams are ordered by class (found in one text only, found in several) and then by hash. The order is cut into fragments. Each fragment is
 counted on its own: it learns which of its n-grams several texts share and hands these on as segments of the texts. Texts that share too
-few n-grams over all fragments cannot link with anything. The rest meet in the prefixes of the order; for every pair that meets, the partial overlaps of
-the fragments are counted separately and summed.
+few n-grams over all fragments cannot link with anything. The rest meet in the prefixes of the order; for those that meet, the partial overlaps of
+fragments are counted separately and summed per pair.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from rankcut.llm.components import components
 from rankcut.llm.frames import number_of, numbered
 from rankcut.llm.text import FOLDED_WORDS, column_bytes, groups, mix, windows, words
+from rankcut.operators.ordering import row_index
 from rankcut.session import stage
 
 N = 5
@@ -26,6 +27,7 @@ BLOCK = 1 << 23  # bytes of text whose n-grams are counted together before they
 BLOCK_ROWS = 60_000
 SALTS = 16  # tasks over which the segments of one text with copies everywhere are spread
 PARTS = 4  # fragments in which the overlap of a pair is counted
+CELL = 256  # texts in a block of those that are still apart
 REMOVED = 1_000_000  # removed documents that are broadcast once counted
 
 _SHARED_HERE = 0xFFFF  # in place of a text's number: several texts of the block hold this n-gram
@@ -68,6 +70,17 @@ def _signatures(hashes: np.ndarray, rows: np.ndarray, count: int) -> tuple[np.nd
     return n, mix(total[ends] - total[ends - n] + n.astype(np.uint64)).view(np.int64)
 
 
+def _steps(rising: np.ndarray) -> bytes:
+    """Differences of a rising row, lower halves first: the upper ones are nearly all zero and compress away."""
+    step = np.diff(rising, prepend=rising.dtype.type(0)).astype("<u4").view("<u2")
+    return step[0::2].tobytes() + step[1::2].tobytes()
+
+
+def _unstepped(data: bytes) -> np.ndarray:
+    half = np.frombuffer(data, "<u2").reshape(2, -1).astype(np.uint32)
+    return np.cumsum(half[0] | (half[1] << np.uint32(16)), dtype=np.uint32)
+
+
 def _deal(fragments: int, n_words: int):
     """Texts -> their names and sizes, segments known to be shared, and one row per block and fragment."""
 
@@ -106,7 +119,7 @@ def _deal(fragments: int, n_words: int):
             local = np.where(mark[low:high] == _SHARED_HERE, _SHARED_HERE, np.searchsorted(who, mark[low:high]))
             yield {
                 "g": f, "kind": _BLOCK, "nodes": node[who].astype("<i8").tobytes(), "sizes": n[who].astype("<u4").tobytes(),
-                "high": (token[low:high] >> 16).astype("<u4").tobytes(), "low": token[low:high].astype("<u2").tobytes(), "owner": local.astype("<u2").tobytes(),
+                "high": _steps((token[low:high] >> 16).astype("<u4")), "low": token[low:high].astype("<u2").tobytes(), "owner": local.astype("<u2").tobytes(),
             }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +178,7 @@ def _count_fragment(table: pa.Table) -> pa.Table:
         cols = {c: blocks[c].to_pylist() for c in ("nodes", "sizes", "high", "low", "owner")}
         token, who, total = [], [], 0
         for high, low, owner, nodes in zip(cols["high"], cols["low"], cols["owner"], cols["nodes"], strict=True):
-            token.append((np.frombuffer(high, "<u4").astype(np.int64) << 16) | np.frombuffer(low, "<u2"))
+            token.append((_unstepped(high).astype(np.int64) << 16) | np.frombuffer(low, "<u2"))
             o = np.frombuffer(owner, "<u2").astype(np.int64)
             who.append(np.where(o == _SHARED_HERE, -1, o + total))
             total += len(nodes) // 8
@@ -185,21 +198,6 @@ def _count_fragment(table: pa.Table) -> pa.Table:
     return pa.concat_tables(out) if out else _segments(*[np.zeros(0, np.int64)] * 3)
 
 
-def _long_enough(a: str, b: str, percent: int) -> Column:
-    """Sets whose sizes allow a link at all."""
-    return (F.least(a, b) * 100) >= (F.greatest(a, b) * percent)
-
-
-def _pairs(left: DataFrame, right: DataFrame, percent: int, extra: Column) -> DataFrame:
-    """Unordered pairs of texts that meet at an n-gram, with the number of meetings."""
-    met = left.join(right, "token").where(extra & (F.col("node") != F.col("other")) & _long_enough("n", "other_n", percent))
-    lesser = F.col("node") < F.col("other")
-    named = met.select(
-        F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"),
-        F.when(lesser, F.col("n")).otherwise(F.col("other_n")).alias("a_n"), F.when(lesser, F.col("other_n")).otherwise(F.col("n")).alias("b_n"))
-    return named.groupBy("a", "b", "a_n", "b_n").agg(F.count("*").alias("met"))
-
-
 def verify(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """Links among ``pairs``: the overlap in each fragment is counted separately and summed per pair."""
     spread = pairs.select("a", "b", "a_n", "b_n", F.explode(F.array(*map(F.lit, range(PARTS)))).alias("part"))
@@ -210,54 +208,108 @@ def verify(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     return overlap.where(100 * F.col("overlap") >= percent * (F.col("a_n") + F.col("b_n") - F.col("overlap"))).select("a", "b")
 
 
-def _found_links(postings: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """All components that links form, by three rounds of candidates; ``node, label`` of the texts with links.
+def _hub_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """Each text with the one text that most of its prefix leads to: from every n-gram to the text that holds the largest share of shared n-grams.
+
+    Among copies with edits that is the text they were made from. Pairs whose sizes or shared n-grams allow no link are left out.
+    """
+    rank = F.struct((F.col("s") / F.col("n")).alias("share"), (-F.col("node")).alias("first"), "node", "n", "s")
+    hubs = postings.groupBy("token").agg(F.max(rank).alias("h"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    hubs = hubs.select("token", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.s").alias("hub_s"))
+    able = (100 + percent) * F.least("s", "hub_s") >= percent * (F.col("n") + F.col("hub_n"))
+    met = postings.join(hubs, "token").where((F.col("node") != F.col("hub")) & able).groupBy("node", "n", "hub", "hub_n").agg(F.count("*").alias("met"))
+    best = met.groupBy("node", "n").agg(F.max(F.struct("met", "hub", "hub_n")).alias("m"))
+    return best.select(F.col("m.hub").alias("a"), F.col("node").alias("b"), F.col("m.hub_n").alias("a_n"), F.col("n").alias("b_n"))
+
+
+def _joined_cells(percent: int):
+    """Links in one cell, a pair of blocks of texts; of these as many as join components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, label, n, s = (table[c].to_numpy() for c in ("node", "label", "n", "s"))
+        side = table["side"].to_numpy()
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: both, in the cell of a block with itself
+        tokens = table["tokens"].combine_chunks()
+        flat, counts = tokens.flatten().to_numpy(), np.diff(tokens.offsets.to_numpy())
+        overlap = _overlaps(flat, np.repeat(np.arange(len(node)), counts), left, right)
+        fits = (100 + percent) * overlap >= percent * (n[left][:, None] + n[right][None, :])
+        fits &= label[left][:, None] != label[right][None, :]
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out: list[tuple[int, int]] = []
+        for i, j in zip(*np.nonzero(fits), strict=True):
+            a, b = left[i], right[j]
+            x, y = root(int(label[a])), root(int(label[b]))
+            if x != y:
+                parent[x] = y
+                out.append((int(node[a]), int(node[b])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return run
+
 
-    A text is first compared with the one text that most of its prefix leads to; then, in every other component it meets, with one
-    text per n-gram; what is still apart is compared without exception. Pairs inside a component need no comparison.
+def _overlaps(token: np.ndarray, owner: np.ndarray, left: np.ndarray, right: np.ndarray, chunk: int = 4096) -> np.ndarray:
+    """Common n-grams of every left and right text, summed over ranges of the n-gram order."""
+    on_left, on_right = np.full(owner.max(initial=-1) + 1, -1), np.full(owner.max(initial=-1) + 1, -1)
+    on_left[left], on_right[right] = np.arange(len(left)), np.arange(len(right))
+    distinct, code = np.unique(token, return_inverse=True)
+    l, r = on_left[owner], on_right[owner]  # noqa: E741
+    holds = (np.bincount(code[l >= 0], minlength=len(distinct)) > 0) & (np.bincount(code[r >= 0], minlength=len(distinct)) > 0)
+    place = np.cumsum(holds) - 1
+    keep = holds[code]
+    code, l, r = place[code[keep]], l[keep], r[keep]
+    total = np.zeros((len(left), len(right)), np.float32)
+    order = np.argsort(code, kind="stable")
+    code, l, r = code[order], l[order], r[order]
+    for low in range(0, int(holds.sum()), chunk):
+        a, b = np.searchsorted(code, [low, low + chunk])
+        c, li, ri = code[a:b] - low, l[a:b], r[a:b]
+        one, two = np.zeros((len(left), chunk), np.float32), np.zeros((len(right), chunk), np.float32)
+        one[li[li >= 0], c[li >= 0]] = 1
+        two[ri[ri >= 0], c[ri >= 0]] = 1
+        total += one @ two.T
+    return total.astype(np.int64)
+
+
+def _found_links(postings: DataFrame, able: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """All components that links form: ``node, label`` of the texts with links.
+
+    First every text is compared with one hub. Where an n-gram still leads to different components, the texts that hold it are ordered by
+    hub, so that copies stand together, and cut into blocks; every pair of blocks that such an n-gram leads to is a cell, and a cell compares
+    all its texts of different components. Neither the pairs nor all links are ever written out.
     """
-    hubs = postings.groupBy("token").agg(F.min(F.struct("node", "n")).alias("h"), F.max("node").alias("last")).where(F.col("h.node") != F.col("last"))
-    hubs = hubs.select("token", F.col("h.node").alias("other"), F.col("h.n").alias("other_n"))
-    met = _pairs(postings, hubs, percent, F.lit(True))
-    best = F.max(F.struct("met", "a", "a_n")).alias("m")  # b is the text with the larger name, which is never the hub
-    first = stage(met.groupBy("b", "b_n").agg(best).select(F.col("m.a").alias("a"), "b", F.col("m.a_n").alias("a_n"), "b_n"), "pairs")
-    tested, links = [first], [stage(verify(first, parts, percent), "links")]
-
-    def labelled(labels: DataFrame) -> DataFrame:
-        named = labels.withColumnRenamed("node", "_node")
-        return stage(postings.join(named, F.col("node") == F.col("_node"), "left").select("token", "node", "n", F.coalesce("label", "node").alias("label")), "postings")
-
-    def untested(pairs: DataFrame) -> DataFrame:
-        for old in tested:
-            pairs = pairs.join(old.select("a", "b"), ["a", "b"], "left_anti")
-        return stage(pairs.select("a", "b", "a_n", "b_n"), "pairs")
-
-    for complete in (False, True):
-        found = links[0]
-        for more in links[1:]:
-            found = found.union(more)
-        now = labelled(components(found))
-        at = now.groupBy("token", "label").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("one"))
-        mixed = at.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("size", "label")).alias("most"))
-        mixed = mixed.where(F.col("low") != F.col("high")).select("token", F.col("most.label").alias("most"))
-        open_ = stage(now.join(mixed, "token"), "open")
-        if open_.isEmpty():
-            break
-        if complete:
-            # The largest component of an n-gram only stands on one side, so its texts are never paired among themselves.
-            left = open_.where(F.col("label") != F.col("most"))
-            right = open_.select("token", F.col("node").alias("other"), F.col("n").alias("other_n"), F.col("label").alias("other_label"))
-        else:
-            left = open_
-            right = open_.groupBy("token", F.col("label").alias("other_label")).agg(F.min(F.struct("node", "n")).alias("one"))
-            right = right.select("token", "other_label", F.col("one.node").alias("other"), F.col("one.n").alias("other_n"))
-        pairs = untested(_pairs(left, right, percent, F.col("label") != F.col("other_label")))
-        tested.append(pairs)
-        links.append(stage(verify(pairs, parts, percent), "links"))
-    found = links[0]
-    for more in links[1:]:
-        found = found.union(more)
-    return components(found)
+    first = stage(_hub_pairs(postings, percent), "pairs")
+    links = stage(verify(first, parts, percent), "links")
+    labels = components(links)
+    now = postings.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("token", "node", F.coalesce("label", "node").alias("label"))
+    mixed = now.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
+    open_ = stage(now.join(mixed, "token"), "open")
+    if open_.isEmpty():
+        return labels
+    hub = first.select(F.col("b").alias("_b"), F.col("a").alias("hub"))
+    texts = open_.select("node", "label").distinct().join(hub, F.col("node") == F.col("_b"), "left").select("node", "label", F.coalesce("hub", "node").alias("hub"))
+    blocks = row_index(texts, [F.col("hub"), F.col("node")], "place").select("node", "label", F.floor(F.col("place") / CELL).alias("block"))
+    blocks = stage(blocks, "blocks")
+    at = open_.select("token", "node").join(blocks.select("node", "block"), "node").select("token", "block").distinct()
+    other = at.select("token", F.col("block").alias("other"))
+    cells = at.join(other, "token").where("block <= other").select("block", "other").distinct()
+    span = blocks.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    there = span.select(F.col("block").alias("other"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
+    cells = cells.join(span, "block").join(there, "other").where("low <> high or other_low <> other_high or low <> other_low").select("block", "other")
+    sides = F.when(F.col("block") == F.col("other"), F.array(F.struct(F.col("block").alias("of"), F.lit(2).alias("side"))))
+    sides = sides.otherwise(F.array(F.struct(F.col("block").alias("of"), F.lit(0).alias("side")), F.struct(F.col("other").alias("of"), F.lit(1).alias("side"))))
+    dealt = stage(cells.select("block", "other", F.inline(sides)), "cells").withColumnsRenamed({"block": "x", "other": "y"})
+    members = dealt.join(blocks, F.col("of") == F.col("block")).select("x", "y", "side", "node", "label")
+    sets = able.select(F.col("node").alias("_node"), "n", F.size("tokens").alias("s"), "tokens")
+    filled = members.join(sets, F.col("node") == F.col("_node")).select("x", "y", "side", "node", "label", "n", "s", "tokens")
+    more = filled.groupBy("x", "y").applyInArrow(_joined_cells(percent), "a long, b long")
+    return components(links.union(stage(more, "links")))
 
 
 def _in_part(part: int) -> Column:
@@ -278,10 +330,10 @@ def _components(documents: DataFrame, n: int, percent: int) -> DataFrame:
     able = stage(whole.where(F.size("tokens") * 100 >= F.col("n") * percent), "able")
     needed = F.ceil(F.col("n") * percent / F.lit(100.0))
     prefix = F.slice("tokens", F.lit(1), (F.size("tokens") - needed + 1).cast("int"))  # what one text alone holds comes first in the order
-    postings = stage(able.select("node", "n", F.explode(prefix).alias("token")), "postings")
+    postings = stage(able.select("node", "n", F.size("tokens").alias("s"), F.explode(prefix).alias("token")), "postings")
     within = [_in_part(p) for p in range(PARTS)]
     parts = stage(able.select("node", F.posexplode(F.array(*within)).alias("part", "tokens")), "parts")
-    labels = _found_links(postings, parts, percent)
+    labels = _found_links(postings, able, parts, percent)
 
     least = docs.where(F.col("n") > 0).groupBy("node").agg(F.min("doc_id").alias("least"))
     linked = least.join(labels, "node")  # texts with links only
