@@ -277,10 +277,26 @@ def _overlaps(token: np.ndarray, owner: np.ndarray, left: np.ndarray, right: np.
     return total.astype(np.int64)
 
 
+def _still_open(texts: DataFrame, able: DataFrame, percent: int) -> DataFrame:
+    """``token, node, label``: prefixes of the texts that may link with one of another component.
+
+    Two such texts only have n-grams in common that several components hold. So a text needs enough of these, and the order can begin anew among
+    them: the rarest first, and of this order only the prefix.
+    """
+    names = texts.withColumnsRenamed({"node": "_node"})
+    apart = stage(able.join(names, F.col("node") == F.col("_node")).select("node", "label", "n", "tokens"), "apart")
+    held = apart.select("node", "label", "n", F.explode("tokens").alias("token"))
+    mixed = held.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("df")).where("low <> high").select("token", "df")
+    own = held.join(mixed, "token").groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("m"))
+    needed = F.ceil(F.col("n") * percent / F.lit(100.0))
+    prefix = F.slice("m", F.lit(1), (F.size("m") - needed + 1).cast("int"))
+    return own.where(F.size("m") >= needed).select("node", "label", F.explode(prefix).alias("t")).select("t.token", "node", "label")
+
+
 def _found_links(postings: DataFrame, able: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """All components that links form: ``node, label`` of the texts with links.
 
-    First every text is compared with one hub. Where an n-gram still leads to different components, the texts that hold it are ordered by
+    First every text is compared with one hub. Texts whose n-grams still lead to different components are ordered by
     hub, so that copies stand together, and cut into blocks; every pair of blocks that such an n-gram leads to is a cell, and a cell compares
     all its texts of different components. Neither the pairs nor all links are ever written out.
     """
@@ -289,7 +305,8 @@ def _found_links(postings: DataFrame, able: DataFrame, parts: DataFrame, percent
     labels = components(links)
     now = postings.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("token", "node", F.coalesce("label", "node").alias("label"))
     mixed = now.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
-    open_ = stage(now.join(mixed, "token"), "open")
+    texts = now.join(mixed, "token").select("node", "label").distinct()
+    open_ = stage(_still_open(texts, able, percent), "open")
     if open_.isEmpty():
         return labels
     hub = first.select(F.col("b").alias("_b"), F.col("a").alias("hub"))
