@@ -181,8 +181,9 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE
         fit_rows = cal_rows = fitted  # too few rows to hold any back
     model = GBTClassifier(labelCol="y", maxIter=trees, maxDepth=3, seed=7, stepSize=0.3).fit(fit_rows)
     probability = vector_to_array("probability")[1]
-    raw = stage(model.transform(cal_rows).select("y", probability.alias("p")), "toxic_raw")
-    curve = IsotonicRegression(labelCol="y", featuresCol="p").fit(raw)
+    raw = model.transform(cal_rows).select("y", probability.alias("p"))
+    raw = stage(raw.groupBy("p").agg(F.avg("y").alias("y"), F.count("*").cast("double").alias("weight")), "toxic_raw")  # trees give many ties
+    curve = IsotonicRegression(labelCol="y", featuresCol="p", weightCol="weight").fit(raw)
     xs, ys = [float(v) for v in curve.boundaries], [float(v) for v in curve.predictions]
     scored = model.transform(with_features(plain, ["doc_id"], lexicon, odds)).select("doc_id", probability.alias("p"))
     return _result(scored.select("doc_id", interpolate(F.col("p"), xs, ys).alias("score")), threshold)
