@@ -313,16 +313,16 @@ def _found_links(postings: DataFrame, able: DataFrame, parts: DataFrame, percent
     texts = open_.select("node", "label").distinct().join(hub, F.col("node") == F.col("_b"), "left").select("node", "label", F.coalesce("hub", "node").alias("hub"))
     blocks = row_index(texts, [F.col("hub"), F.col("node")], "place").select("node", "label", F.floor(F.col("place") / CELL).alias("block"))
     blocks = stage(blocks, "blocks")
-    at = open_.select("token", "node").join(blocks.select("node", "block"), "node").select("token", "block").distinct()
-    other = at.select("token", F.col("block").alias("other"))
-    cells = at.join(other, "token").where("block <= other").select("block", "other").distinct()
-    span = blocks.groupBy("block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    there = span.select(F.col("block").alias("other"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
-    cells = cells.join(span, "block").join(there, "other").where("low <> high or other_low <> other_high or low <> other_low").select("block", "other")
-    sides = F.when(F.col("block") == F.col("other"), F.array(F.struct(F.col("block").alias("of"), F.lit(2).alias("side"))))
-    sides = sides.otherwise(F.array(F.struct(F.col("block").alias("of"), F.lit(0).alias("side")), F.struct(F.col("other").alias("of"), F.lit(1).alias("side"))))
-    dealt = stage(cells.select("block", "other", F.inline(sides)), "cells").withColumnsRenamed({"block": "x", "other": "y"})
-    members = dealt.join(blocks, F.col("of") == F.col("block")).select("x", "y", "side", "node", "label")
+    held = open_.select("token", "node").join(blocks.select("node", "block"), "node")
+    spread = held.groupBy("token").agg(F.collect_set("block").alias("at"))  # one entry per block of texts
+    # A text goes to the cells of its block with the blocks that its own n-grams lead to.
+    reached = held.join(spread, "token").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
+    mine = blocks.join(reached.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node")).select("node", "label", "block", F.explode("at").alias("other"))
+    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    dealt = mine.select("node", "label", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), side.alias("side"))
+    dealt = stage(dealt, "cells")
+    labels_of = dealt.groupBy("x", "y").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("x", "y")
+    members = dealt.join(labels_of, ["x", "y"])
     sets = able.select(F.col("node").alias("_node"), "n", F.size("tokens").alias("s"), "tokens")
     filled = members.join(sets, F.col("node") == F.col("_node")).select("x", "y", "side", "node", "label", "n", "s", "tokens")
     more = filled.groupBy("x", "y").applyInArrow(_joined_cells(percent), "a long, b long")
