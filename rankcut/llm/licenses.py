@@ -38,19 +38,18 @@ TEMPLATES = [
 ]
 # Names of files that license their directory.
 LICENSE_FILES = ["license", "licence", "copying", "notice", "unlicense"]
-TERM_BREAK = r"[^\p{L}\p{N}.-]+"
 ADDED = ["own_license", "own_similarity", "inherited_license", "inherited_from", "license"]
 _DIRECTORY = r"^(.*)/[^/]*$"
+_LINE = ("path", "copy", "words", "line")
 
 
 def terms(text: Column) -> Column:
-    """Lower-cased terms; dots and dashes count inside a term only, so that versions stay whole."""
-    bare = F.transform(F.split(F.lower(text), TERM_BREAK), lambda t: F.regexp_replace(t, r"^[.-]+|[.-]+$", ""))
-    return F.filter(bare, lambda t: t != "")
+    """Lower-cased terms: letters and digits, with single dots and dashes inside, so that versions stay whole."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*"), F.lit(0))
 
 
 def template_terms(statement: str) -> list[str]:
-    return [t for t in (w.strip(".-") for w in re.split(r"[^\w.-]+", statement.lower())) if t]
+    return re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", statement.lower())
 
 
 def weigh_templates(idf: dict[str, float], similarity: float) -> tuple[list[tuple], list[str]]:
@@ -98,25 +97,25 @@ def scan_licenses(files: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     weights = spark.createDataFrame(rows, "template int, license string, term string, weight double")
     factors = spark.createDataFrame([(t, idf[t]) for t in vocabulary], "term string, idf double")
 
-    hints = "|".join(t.replace(".", r"\.") for t in signals)  # a quick look before terms are cut
-    with_hint = body.where(F.lower("text").rlike(hints))
-    lines = with_hint.select("path", F.xxhash64("text").alias("copy"), F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    cut = lines.where(F.lower("content").rlike(hints)).select("path", "copy", "line", terms(F.col("content")).alias("terms"))
-    cut = cut.where(F.arrays_overlap("terms", F.array(*map(F.lit, signals)))).distinct()
-    counts = cut.select("path", "copy", "line", F.size("terms").alias("size"), F.explode("terms").alias("term")).groupBy("path", "copy", "line", "size", "term").agg(F.count("*").alias("tf"))
+    # Texts without a signal term cannot hold a line near a template; lines are only cut from the others.
+    telling = F.array(*map(F.lit, signals))
+    hinted = body.withColumn("all", terms(F.col("text"))).where(F.arrays_overlap("all", telling))
+    lines = hinted.select("path", F.xxhash64("text").alias("copy"), F.size("all").alias("words"), F.posexplode(F.split("text", "\n")).alias("line", "content"))
+    cut = lines.select("path", "copy", "words", "line", terms(F.col("content")).alias("terms")).where(F.arrays_overlap("terms", telling))
+    cut = stage(cut.distinct(), "lines")  # rows of one path and text count once
+    counts = cut.select(*_LINE, F.size("terms").alias("size"), F.explode("terms").alias("term")).groupBy(*_LINE, "size", "term").agg(F.count("*").alias("tf"))
     weighed = counts.join(F.broadcast(factors), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
-    norms = weighed.groupBy("path", "copy", "line", "size").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("term", "w")).alias("vector"))
-    dots = norms.select("*", F.inline("vector")).join(F.broadcast(weights), "term").groupBy("path", "copy", "line", "size", "norm", "license", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    close = dots.select("path", "copy", "line", "size", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("similarity")).where(F.col("similarity") >= similarity)
-    per_line = close.groupBy("path", "copy", "line", "size").agg(F.min(F.struct(-F.col("similarity"), "license")).alias("best"))
-    declared = stage(per_line.groupBy("path", "copy").agg(F.sum("size").alias("said"), F.min("best").alias("best")), "licenses")
+    norms = weighed.groupBy(*_LINE, "size").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("term", "w")).alias("vector"))
+    dots = norms.select("*", F.inline("vector")).join(F.broadcast(weights), "term").groupBy(*_LINE, "size", "norm", "license", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    close = dots.select(*_LINE, "size", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("similarity")).where(F.col("similarity") >= similarity)
+    per_line = close.groupBy(*_LINE, "size").agg(F.min(F.struct(-F.col("similarity"), "license")).alias("best"))
+    declared = stage(per_line.groupBy("path", "copy", "words").agg(F.sum("size").alias("said"), F.min("best").alias("best")), "licenses")
     best = F.min("best").alias("best")
     own = declared.groupBy("path").agg(best).select(F.col("path").alias("_path"), F.col("best.license").alias("own_license"), (-F.col("best.col1")).alias("own_similarity"))
 
     name = F.lower(F.regexp_extract("path", r"([^/]*)$", 1))
     named = F.regexp_replace(name, r"\.(txt|md|rst|html)$", "").isin(LICENSE_FILES)
-    sizes = with_hint.select("path", F.xxhash64("text").alias("copy"), F.size(terms(F.col("text"))).alias("words")).distinct()
-    sized = declared.where(F.col("path").isNotNull()).join(sizes, ["path", "copy"])
+    sized = declared.where(F.col("path").isNotNull())
     license_files = sized.where(named | (2 * F.col("said") >= F.col("words")))
     directory = F.regexp_extract("path", _DIRECTORY, 1)
     licensed = license_files.where(F.col("path").contains("/")).groupBy(directory.alias("_dir")).agg(F.min(F.struct(F.col("best.col1").alias("s"), "path", F.col("best.license").alias("license"))).alias("l"))
