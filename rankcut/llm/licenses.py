@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankcut.llm.frames import number_of, numbered
+from rankcut.operators.ordering import join_groups
 from rankcut.session import stage
 
 SIMILARITY = 0.75
@@ -76,7 +77,7 @@ def scan_licenses(files: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     """License of every file: columns of ``files`` other than ``text``, then ``own_license, own_similarity, inherited_license, inherited_from, license``.
 
     ``files`` has ``path`` (slashes separate directories) and ``text``. Every line of the whole text is compared with the templates; terms
-    are weighted by their document frequency over all files, terms of no template like unseen ones. The best line decides (ties: the license first
+    are weighted by their document frequency over all files. The best line decides (ties: the license first
     in the alphabet). A file licenses its directory if its name says so, or if the license lines hold at least half of its terms. A file
     without a license of its own takes that of the nearest directory above it that has one; of several license files
     in a directory, the most similar one counts, then the first path.
@@ -92,10 +93,8 @@ def scan_licenses(files: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     frequency = {r["term"]: r["n"] for r in counted.groupBy("term").agg(F.count("*").alias("n")).collect()}  # at most one row per template term
     total = frequency.pop("", 0)
     idf = {t: log((total + 1) / (frequency.get(t, 0) + 1)) + 1 for t in vocabulary}
-    unseen = log(total + 1) + 1
     rows, signals = weigh_templates(idf, similarity)
     weights = spark.createDataFrame(rows, "template int, license string, term string, weight double")
-    factors = spark.createDataFrame([(t, idf[t]) for t in vocabulary], "term string, idf double")
 
     # Texts without a signal term cannot hold a line near a template; lines are only cut from the others.
     telling = F.array(*map(F.lit, signals))
@@ -103,8 +102,12 @@ def scan_licenses(files: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     lines = hinted.select("path", F.xxhash64("text").alias("copy"), F.size("all").alias("words"), F.posexplode(F.split("text", "\n")).alias("line", "content"))
     cut = lines.select("path", "copy", "words", "line", terms(F.col("content")).alias("terms")).where(F.arrays_overlap("terms", telling))
     cut = stage(cut.distinct(), "lines")  # rows of one path and text count once
+    # Every term of these lines has its own weight: all files that hold it count, not only those with such a line.
+    wanted = cut.select(F.explode("terms").alias("term")).distinct()
+    held = join_groups(body.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")), wanted, ["term"], "left_semi")
+    factors = held.groupBy("term").agg((F.log(F.lit(total + 1) / (F.count("*") + 1)) + 1).alias("idf"))
     counts = cut.select(*_LINE, F.size("terms").alias("size"), F.explode("terms").alias("term")).groupBy(*_LINE, "size", "term").agg(F.count("*").alias("tf"))
-    weighed = counts.join(F.broadcast(factors), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
+    weighed = join_groups(counts, factors, ["term"]).withColumn("w", F.col("tf") * F.col("idf"))
     norms = weighed.groupBy(*_LINE, "size").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("term", "w")).alias("vector"))
     dots = norms.select("*", F.inline("vector")).join(F.broadcast(weights), "term").groupBy(*_LINE, "size", "norm", "license", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     close = dots.select(*_LINE, "size", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("similarity")).where(F.col("similarity") >= similarity)

@@ -235,6 +235,19 @@ def test_lines_without_signal_terms_are_too_far_from_every_template():
     assert max(rest.values()) < 0.75**2
 
 
+def test_common_words_beside_a_statement_weigh_little(spark):
+    common = "for all of you"
+    files = [(f"d{i}/x.txt", f"{prose(20, i)}\n{common}") for i in range(60)]
+    rows = scan_licenses(spark.createDataFrame([*files, ("y/x.txt", "Released for under all the of MIT you License")], "path string, text string")).collect()
+    # The four terms between those of the statement are in every file, its own five in this one alone.
+    weights = {True: np.log(62 / 62) + 1, False: np.log(62 / 2) + 1}
+    statement = "released under the mit license".split()
+    dot = sum(weights[False] ** 2 for _ in statement)
+    expected = np.sqrt(dot / (dot + sum(weights[True] ** 2 for _ in common.split())))
+    found = {r["path"]: (r["own_license"], r["own_similarity"]) for r in rows if r["own_license"]}
+    assert set(found) == {"y/x.txt"} and found["y/x.txt"][0] == "MIT" and found["y/x.txt"][1] == pytest.approx(expected, abs=1e-6)
+
+
 def test_awkward_files(awkward, nothing):
     assert scan_licenses(awkward.withColumnRenamed("path2", "path")).count() == awkward.count()
     assert scan_licenses(nothing.withColumnRenamed("path2", "path")).count() == 0
