@@ -1,4 +1,4 @@
-"""License scans: TF-IDF cosine of text lines to templates, then inheritance from the nearest ancestor directory. DataFrame functions only."""
+"""License scans: TF-IDF cosine of text passages to templates, then inheritance from the nearest ancestor directory. DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankcut.llm.frames import number_of, numbered
-from rankcut.operators.ordering import join_groups
+from rankcut.operators.ordering import BROADCAST_GROUPS, join_groups
 from rankcut.session import stage
 
 SIMILARITY = 0.75
@@ -41,7 +41,7 @@ TEMPLATES = [
 LICENSE_FILES = ["license", "licence", "copying", "notice", "unlicense"]
 ADDED = ["own_license", "own_similarity", "inherited_license", "inherited_from", "license"]
 _DIRECTORY = r"^(.*)/[^/]*$"
-_LINE = ("path", "copy", "words", "line")
+_PASSAGE = ("path", "copy", "words", "start", "size")
 
 
 def terms(text: Column) -> Column:
@@ -53,8 +53,11 @@ def template_terms(statement: str) -> list[str]:
     return re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", statement.lower())
 
 
+RUN = max(len(template_terms(s)) for _, s in TEMPLATES)  # terms of the longest template, and of the longest run that is compared
+
+
 def weigh_templates(idf: dict[str, float], similarity: float) -> tuple[list[tuple], list[str]]:
-    """Unit vectors of the templates, and signal terms: a line without any of these is too far from every template.
+    """Unit vectors of the templates, and signal terms: a passage without any of these is too far from every template.
 
     Without its signal terms, a template's vector is shorter than ``similarity``, and so is every cosine with it.
     """
@@ -73,12 +76,54 @@ def weigh_templates(idf: dict[str, float], similarity: float) -> tuple[list[tupl
     return rows, sorted(signals)
 
 
+def by_template(rows: list[tuple]) -> dict[int, dict[str, float]]:
+    """Squared weight of every term of every template."""
+    squares: dict[int, dict[str, float]] = {}
+    for number, _, term, weight in rows:
+        squares.setdefault(number, {})[term] = weight * weight
+    return squares
+
+
+def may_reach(words: Column, rows: list[tuple], idf: dict[str, float], similarity: float) -> Column:
+    """Whether these terms can be near any template: their product with it is known, and every other distinct term has a weight of at least 1."""
+    weights = F.create_map(*[F.lit(x) for item in idf.items() for x in item])
+    known = F.filter(words, lambda t: t.isin(list(idf)))
+    shortest = F.aggregate(known, F.lit(0.0), lambda a, t: a + F.pow(F.try_element_at(weights, t), 2)) + F.size(F.array_distinct(words)) - F.size(F.array_distinct(known))
+
+    def product(squares: dict[str, float]) -> Column:
+        factors = F.create_map(*[F.lit(x) for t, square in squares.items() for x in (t, sqrt(square) * idf[t])])
+        return F.aggregate(known, F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at(factors, t), F.lit(0.0)))
+
+    products = [product(squares) for squares in by_template(rows).values()]
+    return F.greatest(*products) >= (similarity - 1e-9) * F.sqrt(shortest)
+
+
+def shared(words: Column, template: Column, squares: Column) -> Column:
+    return F.aggregate(F.zip_with(template, squares, lambda t, s: F.when(F.array_contains(words, t), s).otherwise(0.0)), F.lit(0.0), lambda a, b: a + b)
+
+
+def runs_near(marks: DataFrame, rows: list[tuple], signals: list[str], similarity: float) -> DataFrame:
+    """Runs of at most ``RUN`` terms that can be near a template, cut from the terms ``around`` every signal term.
+
+    The best run begins and ends with terms of the template: others at its ends only lengthen its vector.
+    """
+    table = [(t, list(s), list(s.values())) for s in by_template(rows).values() for t in s if t in signals]
+    templates = marks.sparkSession.createDataFrame(table, "term string, known array<string>, squares array<double>")
+    enough = similarity**2 - 1e-9
+    around = marks.join(F.broadcast(templates), "term").where(shared(F.col("around"), F.col("known"), F.col("squares")) >= enough)
+    around = around.withColumn("ends", F.array_compact(F.transform("around", lambda t, i: F.when(F.array_contains("known", t), i))))
+    runs = F.flatten(F.transform("ends", lambda i: F.transform(F.filter("ends", lambda j: (j >= i) & (j - i < RUN)), lambda j: F.struct(i.alias("i"), (j - i + 1).alias("size")))))
+    cut = around.select("*", F.inline(runs)).withColumn("terms", F.slice("around", F.col("i") + 1, F.col("size")))
+    return cut.where(shared(F.col("terms"), F.col("known"), F.col("squares")) >= enough).select("path", "copy", "words", (F.col("low") + F.col("i")).alias("start"), "size", "terms")
+
+
 def scan_licenses(files: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """License of every file: columns of ``files`` other than ``text``, then ``own_license, own_similarity, inherited_license, inherited_from, license``.
 
-    ``files`` has ``path`` (slashes separate directories) and ``text``. Every line of the whole text is compared with the templates; terms
-    are weighted by their document frequency over all files. The best line decides (ties: the license first
-    in the alphabet). A file licenses its directory if its name says so, or if the license lines hold at least half of its terms. A file
+    ``files`` has ``path`` (slashes separate directories) and ``text``. Compared with the templates are: every run of at most as many
+    terms as the longest template has, across line ends; every line; the header block (up to the first blank line); and the whole text of files with a license
+    file's name. Terms are weighted by their document frequency over all files. The best passage decides (ties: the license first
+    in the alphabet). A file licenses its directory if its name says so, or if the license passages cover at least half of its terms. A file
     without a license of its own takes that of the nearest directory above it that has one; of several license files
     in a directory, the most similar one counts, then the first path.
 
@@ -96,28 +141,56 @@ def scan_licenses(files: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     rows, signals = weigh_templates(idf, similarity)
     weights = spark.createDataFrame(rows, "template int, license string, term string, weight double")
 
-    # Texts without a signal term cannot hold a line near a template; lines are only cut from the others.
+    # Texts without a signal term cannot hold a passage near a template; passages are only cut from the others.
     telling = F.array(*map(F.lit, signals))
-    hinted = body.withColumn("all", terms(F.col("text"))).where(F.arrays_overlap("all", telling))
-    lines = hinted.select("path", F.xxhash64("text").alias("copy"), F.size("all").alias("words"), F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    cut = lines.select("path", "copy", "words", "line", terms(F.col("content")).alias("terms")).where(F.arrays_overlap("terms", telling))
-    cut = stage(cut.distinct(), "lines")  # rows of one path and text count once
-    # Every term of these lines has its own weight: all files that hold it count, not only those with such a line.
+    per_line = F.transform(F.split("text", "\n"), terms)
+    hinted = body.withColumn("lines", per_line).withColumn("all", F.flatten("lines")).where(F.arrays_overlap("all", telling))
+    named = F.lower(F.regexp_extract(F.col("path"), r"([^/]*)$", 1))
+    named = F.coalesce(F.regexp_replace(named, r"\.(txt|md|rst|html)$", "").isin(LICENSE_FILES), F.lit(False))
+    # Each term with its place in its line and the size of that line.
+    placed = F.flatten(F.transform("lines", lambda line: F.transform(line, lambda t, k: F.struct(t.alias("t"), k.alias("k"), F.size(line).alias("n")))))
+    marks = F.filter(F.transform(placed, lambda x, i: F.struct(x["t"].alias("term"), i.alias("at"), (i - x["k"]).alias("first"), x["n"].alias("n"))), lambda x: x["term"].isin(signals))
+    header = F.size(terms(F.get(F.split(F.regexp_replace("text", r"^\s+", ""), r"\n[^\S\n]*\n", 2), F.lit(0))))
+    marked = hinted.select("path", F.xxhash64("text").alias("copy"), F.size("all").alias("words"), "all", marks.alias("marks"), F.array(header, F.when(named, F.size("all"))).alias("whole"))
+
+    def span(start: Column, size: Column) -> Column:
+        return F.struct(start.alias("start"), size.alias("size"), F.slice("all", start + 1, size).alias("terms"))
+
+    own_line = F.transform("marks", lambda m, i: F.when((i == 0) | (F.get("marks", F.greatest(i - 1, F.lit(0)))["first"] != m["first"]), span(m["first"], m["n"])))
+    blocks = F.transform("whole", lambda n: F.when(n > 0, span(F.lit(0), n)))
+    spans = marked.select("path", "copy", "words", F.inline(F.array_compact(F.concat(own_line, blocks))))
+
+    def surrounded(m: Column) -> Column:
+        low = F.greatest(m["at"] - (RUN - 1), F.lit(0))
+        return F.struct(m["term"].alias("term"), low.alias("low"), F.slice("all", low + 1, m["at"] - low + RUN).alias("around"))
+
+    near = runs_near(marked.select("path", "copy", "words", F.inline(F.transform("marks", surrounded))), rows, signals, similarity)
+    cut = spans.where(may_reach(F.col("terms"), rows, idf, similarity)).unionByName(near)
+    cut = stage(cut.distinct().withColumn("h", F.xxhash64("terms")), "passages")  # rows of one path and text count once
+    contents = cut.select("h", "terms").distinct()
+    # Every term of these passages has its own weight: all files that hold it count, not only those with such a passage.
     wanted = cut.select(F.explode("terms").alias("term")).distinct()
-    held = join_groups(body.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term")), wanted, ["term"], "left_semi")
-    factors = held.groupBy("term").agg((F.log(F.lit(total + 1) / (F.count("*") + 1)) + 1).alias("idf"))
-    counts = cut.select(*_LINE, F.size("terms").alias("size"), F.explode("terms").alias("term")).groupBy(*_LINE, "size", "term").agg(F.count("*").alias("tf"))
+    wanted = stage(wanted, "wanted")
+    held = body.select(F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    if wanted.count() <= BROADCAST_GROUPS:
+        held = held.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
+    else:  # one row per term meets one row per term
+        held = held.groupBy("term").agg(F.count("*").alias("n")).join(wanted, "term", "left_semi")
+    factors = held.select("term", (F.log(F.lit(total + 1) / (F.col("n") + 1)) + 1).alias("idf"))
+    counts = contents.select("h", F.explode("terms").alias("term")).groupBy("h", "term").agg(F.count("*").alias("tf"))
     weighed = join_groups(counts, factors, ["term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    norms = weighed.groupBy(*_LINE, "size").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("term", "w")).alias("vector"))
-    dots = norms.select("*", F.inline("vector")).join(F.broadcast(weights), "term").groupBy(*_LINE, "size", "norm", "license", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    close = dots.select(*_LINE, "size", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("similarity")).where(F.col("similarity") >= similarity)
-    per_line = close.groupBy(*_LINE, "size").agg(F.min(F.struct(-F.col("similarity"), "license")).alias("best"))
-    declared = stage(per_line.groupBy("path", "copy", "words").agg(F.sum("size").alias("said"), F.min("best").alias("best")), "licenses")
+    norms = weighed.groupBy("h").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("term", "w")).alias("vector"))
+    dots = norms.select("*", F.inline("vector")).join(F.broadcast(weights), "term").groupBy("h", "norm", "license", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    close = dots.select("h", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("similarity")).where(F.col("similarity") >= similarity)
+    nearest_of = close.groupBy("h").agg(F.min(F.struct(-F.col("similarity"), "license")).alias("best"))
+    matched = stage(join_groups(cut.drop("terms"), nearest_of, ["h"]), "matched")
+    per_file = matched.groupBy("path", "copy", "words").agg(F.min("best").alias("best"))
+    # Passages overlap: what they cover together counts once.
+    covered = matched.select("path", "copy", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("at")).distinct().groupBy(F.col("path").alias("_p"), F.col("copy").alias("_c")).agg(F.count("*").alias("said"))
+    declared = stage(per_file.join(covered, F.col("path").eqNullSafe(F.col("_p")) & (F.col("copy") == F.col("_c"))).drop("_p", "_c"), "licenses")
     best = F.min("best").alias("best")
     own = declared.groupBy("path").agg(best).select(F.col("path").alias("_path"), F.col("best.license").alias("own_license"), (-F.col("best.col1")).alias("own_similarity"))
 
-    name = F.lower(F.regexp_extract("path", r"([^/]*)$", 1))
-    named = F.regexp_replace(name, r"\.(txt|md|rst|html)$", "").isin(LICENSE_FILES)
     sized = declared.where(F.col("path").isNotNull())
     license_files = sized.where(named | (2 * F.col("said") >= F.col("words")))
     directory = F.regexp_extract("path", _DIRECTORY, 1)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -248,6 +249,64 @@ def test_common_words_beside_a_statement_weigh_little(spark):
     assert set(found) == {"y/x.txt"} and found["y/x.txt"][0] == "MIT" and found["y/x.txt"][1] == pytest.approx(expected, abs=1e-6)
 
 
+def best_passage(text, name, idf):
+    """Every run, line, header block and license file against every template, one at a time."""
+    from rankcut.llm.licenses import LICENSE_FILES, RUN, template_terms
+
+    lines = [template_terms(line) for line in text.split("\n")]
+    every = sum(lines, [])
+    header = template_terms(re.split(r"\n[^\S\n]*\n", re.sub(r"^\s+", "", text))[0])
+    runs = [every[i : i + n] for i in range(len(every)) for n in range(1, RUN + 1) if i + n <= len(every)]
+    passages = {tuple(p) for p in [*runs, *lines, header, *([every] if name in LICENSE_FILES else [])] if p}
+    templates = [(license, Counter(template_terms(s))) for license, s in TEMPLATES]
+
+    def length(tf):
+        return np.sqrt(sum((n * idf(t)) ** 2 for t, n in tf.items()))
+
+    scores = []
+    for tf in map(Counter, passages):
+        for license, of in templates:
+            dot = sum(n * of[t] * idf(t) ** 2 for t, n in tf.items())
+            if dot:
+                scores.append((-round(dot / (length(tf) * length(of)), 9), license))
+    return min(scores, default=(0, None))
+
+
+def test_passages_equal_brute_force(spark):
+    rnd = random.Random(5)
+    pool = "the of this work is software all and here acme see for details license".split()
+    texts = []
+    for i in range(30):
+        _, statement = TEMPLATES[i % len(TEMPLATES)]
+        part = [w if rnd.random() > 0.15 else rnd.choice(pool) for w in statement.split()][rnd.randrange(2) :]
+        words = [*rnd.choices(pool, k=rnd.randrange(30)), *part, *rnd.choices(pool, k=rnd.randrange(30))]
+        texts.append("".join(w + rnd.choice([" ", " ", " ", "\n", "\n \n"]) for w in words))
+    texts += ["x y z " * 200, "This project is licensed under the MIT License - see the LICENSE file for details", "Copyright. All\nrights reserved."]
+    files = [(f"f{i}/{'LICENSE' if i % 5 == 0 else 'x.py'}", t) for i, t in enumerate(texts)]
+    from rankcut.llm.licenses import template_terms
+
+    frequency = Counter(t for x in texts for t in set(template_terms(x)))
+
+    def idf(term):
+        return np.log((len(texts) + 1) / (frequency[term] + 1)) + 1
+
+    rows = scan_licenses(spark.createDataFrame(files, "path string, text string")).collect()
+    expected = {}
+    for path, text in files:
+        s, license = best_passage(text, path.split("/")[1].lower(), idf)
+        expected[path] = (license, pytest.approx(-s, abs=1e-6)) if -s >= 0.75 else (None, None)
+    assert {r["path"]: (r["own_license"], r["own_similarity"]) for r in rows} == expected
+    assert sum(v[0] is not None for v in expected.values()) > 20
+
+
+def test_statements_across_lines_and_inside_paragraphs(spark):
+    mit = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated\ndocumentation files"
+    files = [("a/LICENSE", f"MIT License\n\nCopyright (c) 2024 Acme\n\n{mit} and {prose(40, 1)}"), ("a/x.py", prose(30, 2)), ("b/x.py", f"{prose(60, 3)} Released under the MIT License. {prose(60, 4)}"), ("b/y.py", prose(40, 5)),
+             ("c/x.py", "# Licensed under the Apache\n# License, Version 2.0\n"), ("c/y.py", prose(40, 6))]
+    found = {r["path"]: (r["own_license"], r["license"]) for r in scan_licenses(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert found == {"a/LICENSE": ("MIT", "MIT"), "a/x.py": (None, "MIT"), "b/x.py": ("MIT", "MIT"), "b/y.py": (None, None), "c/x.py": ("Apache-2.0", "Apache-2.0"), "c/y.py": (None, "Apache-2.0")}
+
+
 def test_awkward_files(awkward, nothing):
     assert scan_licenses(awkward.withColumnRenamed("path2", "path")).count() == awkward.count()
     assert scan_licenses(nothing.withColumnRenamed("path2", "path")).count() == 0
