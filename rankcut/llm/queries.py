@@ -14,6 +14,7 @@ from rankcut.llm.packing import pack_documents
 from rankcut.llm.pii import find_personal_data
 from rankcut.llm.quality import score_quality
 from rankcut.llm.rules import quality_rules
+from rankcut.llm.runs import find_runs, run_digest, with_cycled_tail
 from rankcut.llm.sharding import shard_documents
 from rankcut.llm.token_counts import count_tokens
 from rankcut.llm.toxicity import score_toxicity
@@ -98,3 +99,8 @@ def op9(read):
 @query("op10_toxicity")
 def op10(read):
     return score_toxicity(read("documents"), read("labels"))
+
+
+@query("op12_periodic_runs")
+def op12(read):
+    return run_digest(find_runs(with_cycled_tail(read("documents"))), ["doc_id"])
