@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankcut.llm import filter_audit, search
 from rankcut.llm.decontaminate import find_overlaps, oracle_sql
 from rankcut.llm.licenses import scan_licenses
 from rankcut.llm.neardup import near_duplicates
@@ -101,6 +102,16 @@ def op10(read):
     return score_toxicity(read("documents"), read("labels"))
 
 
+@query("op11_filter_audit", filter_audit.oracle_sql())
+def op11(read):
+    return filter_audit.audit_documents(read("documents"), read("labels"))
+
+
 @query("op12_periodic_runs")
 def op12(read):
     return run_digest(find_runs(with_cycled_tail(read("documents"))), ["doc_id"])
+
+
+@query("op13_exact_topk", search.oracle_sql())
+def op13(read):
+    return search.search_embeddings(read("embeddings"), every=50, k=5, scale=256)
