@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankcut.functions.arrays import explode_together, keep_last
 from rankcut.operators.filters import cutoff_window
-from rankcut.operators.ordering import neighbours
+from rankcut.operators.ordering import join_groups, neighbours
 from rankcut.operators.quality import require
 
 # A merges table within this bound (three longs a row) is safe to ship to every executor.
@@ -115,24 +116,72 @@ def tag_rows(stream: DataFrame, merges: DataFrame) -> DataFrame:
     Both rows of a pair found in ``merges`` take the pair's id; the second row also takes the position
     of the first. Where pairs overlap, a row's own pair (as first part) decides the id.
     """
+    return _with_pair_ids(stream, merges).select(
+        "uid",
+        F.col("pos").alias("og_pos"),
+        F.col("tok").alias("og_tok"),
+        F.coalesce("_as_first", "_as_second", "tok").alias("tok"),
+        F.when(F.col("_as_second").isNotNull(), F.col("pos") - 1).otherwise(F.col("pos")).alias("pos"),
+    )
+
+
+def _with_pair_ids(stream: DataFrame, merges: DataFrame) -> DataFrame:
+    """``(uid, pos, tok, prev, next)`` with the id of the pair a row begins (``_as_first``) and of the one it ends (``_as_second``)."""
     first = merges.select(F.col("tok_a").alias("tok"), F.col("tok_b").alias("next"), F.col("tok").alias("_as_first"))
     second = merges.select(F.col("tok_a").alias("prev"), F.col("tok_b").alias("tok"), F.col("tok").alias("_as_second"))
-    return (
-        stream.join(first, ["tok", "next"], "left")
-        .join(second, ["prev", "tok"], "left")
-        .select(
-            "uid",
-            F.col("pos").alias("og_pos"),
-            F.col("tok").alias("og_tok"),
-            F.coalesce("_as_first", "_as_second", "tok").alias("tok"),
-            F.when(F.col("_as_second").isNotNull(), F.col("pos") - 1).otherwise(F.col("pos")).alias("pos"),
-        )
-    )
+    return stream.join(first, ["tok", "next"], "left").join(second, ["prev", "tok"], "left")
+
 
+def _carried(rows: DataFrame, block: int) -> DataFrame:
+    """``uid, _block, _carry``: pairs that follow each other up to the start of a block, for blocks that a chain runs into.
 
-def tag_pairs(stream: DataFrame, merges: DataFrame, block: int = 1 << 16) -> DataFrame:
-    """``tag_rows`` for a stream of plain ``(uid, pos, tok)`` rows."""
-    return tag_rows(neighbours(stream, ["uid"], "pos", "tok", block), merges)
+    A block hands on the length of the chain at its end. Where the chain began in the block, that is known from the block
+    alone; where it spans the block, the length that came in is added. So only the last rows of blocks are composed.
+    """
+    ends = rows.where((F.col("pos") % block == block - 1) & F.col("_as_first").isNotNull())
+    ends = ends.select("uid", "_block", (F.col("pos") - F.col("_start") + 1).alias("_own"))
+    w = W.partitionBy("uid").orderBy("_block")
+    latest = F.last(F.when(F.col("_own").isNotNull(), F.struct(F.col("_block").alias("at"), F.col("_own").alias("n"))), ignorenulls=True).over(w)
+    # A chain that spans blocks has a last row in every one of them, back to where it began.
+    length = F.when(latest.isNotNull(), latest["n"] + (F.col("_block") - latest["at"]) * block)
+    return ends.select("uid", (F.col("_block") + 1).alias("_block"), length.alias("_carry")).where(F.col("_carry") % 2 == 1)
+
+
+def tag_rows_greedy(stream: DataFrame, merges: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """``tag_rows``, but pairs are taken from the left and never overlap: ``A A A`` with (A, A) is one pair and one ``A``.
+
+    Within a chain of pairs that each begin in the middle of the one before, every other pair is taken, from the first on. How
+    far a row is from the start of its chain is found in blocks of ``block`` positions; a chain that crosses into a
+    block brings its length along (``_carried``), so that a document of any length is spread over tasks. Rows that no pair touches take
+    no part in that.
+    """
+    marked = _with_pair_ids(stream, merges)
+    touched = F.col("_as_first").isNotNull() | F.col("_as_second").isNotNull()
+    columns = ["uid", F.col("pos").alias("og_pos"), F.col("tok").alias("og_tok"), "tok", "pos"]
+    plain = marked.where(~touched).select(*columns)
+    rows = marked.where(touched).withColumn("_block", F.floor(F.col("pos") / block))
+    so_far = W.partitionBy("uid", "_block").orderBy("pos")
+    # Position where the present chain began; NULL if that was before the block.
+    rows = rows.withColumn("_start", F.max(F.when(F.col("_as_second").isNull(), F.col("pos"))).over(so_far))
+    rows = join_groups(rows, _carried(rows, block), ["uid", "_block"], "left")
+    before = F.col("pos") - F.coalesce("_start", F.col("_block") * block - F.coalesce("_carry", F.lit(0)))
+    odd = before % 2 == 1  # an odd number of pairs before: the last of them is taken, and this row is its second part
+    taken = F.when(odd, F.col("_as_second")).otherwise(F.col("_as_first"))
+    return rows.select(
+        "uid",
+        F.col("pos").alias("og_pos"),
+        F.col("tok").alias("og_tok"),
+        F.coalesce(taken, "tok").alias("tok"),
+        (F.col("pos") - odd.cast("int")).alias("pos"),
+    ).unionByName(plain)
+
+
+def tag_pairs(stream: DataFrame, merges: DataFrame, block: int = 1 << 16, overlap: str = "independent") -> DataFrame:
+    """``tag_rows``, or with ``overlap="greedy"`` ``tag_rows_greedy``, for a stream of plain ``(uid, pos, tok)`` rows."""
+    rows = neighbours(stream, ["uid"], "pos", "tok", block)
+    if overlap not in ("independent", "greedy"):
+        raise ValueError(f"overlap is 'independent' or 'greedy', not {overlap!r}")
+    return tag_rows_greedy(rows, merges, block) if overlap == "greedy" else tag_rows(rows, merges)
 
 
 def impute_scores(evals: DataFrame, tagged: DataFrame, strict: bool = False) -> DataFrame:

@@ -8,8 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankcut.operators.lattice import PieceTrie
 from rankcut.operators.ordering import number_rows
-from rankcut.operators.vocab import Learned, byte_alphabet, from_byte_chars, words_of
+from rankcut.operators.vocab import UNK_TOKEN, Learned, byte_alphabet, from_byte_chars, words_of
 
 # Fixed value: longer words become the unknown token under longest-match encoding.
 MAX_WORD_CHARS = 100
@@ -57,12 +58,14 @@ def _word_encoder(learned: Learned, vocab_size: int, kind: str, prefix: str):
         for rank, m in enumerate(m for m in learned.merges if m[2] < vocab_size):
             ranks.setdefault(tuple(m[0]), (rank, m[2]))
         return lambda word: merge_word(word, tokens, ranks)
-    unk = tokens.get("<|unk|>", 0)
+    unk = tokens.get(UNK_TOKEN, 0)
+    if kind == "unigram":
+        return PieceTrie(list(zip(learned.tokens, learned.scores))[:vocab_size], unk).encode
     return lambda word: longest_match(word, tokens, unk, prefix)
 
 
 def encode_words(words: Column, learned: Learned, spark, vocab_size: int | None = None, kind: str = "bpe", prefix: str = "") -> Column:
-    """Array of words -> array of ids.
+    """Array of words -> array of ids, by merges (``bpe``), best path (``unigram``) or else the longest match.
 
     The vocabulary is bounded by its size parameter and shipped once per executor. Each task encodes a
     distinct word once and remembers it.

@@ -1,16 +1,21 @@
-"""Learning a unigram-LM vocabulary by expectation maximisation and pruning."""
+"""Learning a unigram-LM vocabulary by expectation maximisation and pruning.
+
+Pieces and their scores are a staged table from the seeds to the last cut; the driver only holds counts and sums.
+"""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankcut.operators.vocab import EOS_TOKEN, UNK_TOKEN, byte_alphabet, to_byte_chars
-from rankcut.session import stage
+from rankcut.operators.lattice import Block, Lattice, build_lattice, over_parts
+from rankcut.operators.ordering import join_groups, row_index, top_k
+from rankcut.operators.suffixes import repeated_substrings
+from rankcut.operators.vocab import EOS_TOKEN, UNK_TOKEN, Learned, byte_alphabet, to_byte_chars
+from rankcut.session import stage, unstage
 
 # Defaults of the usual unigram trainer.
 MAX_PIECE_CHARS = 16
@@ -21,87 +26,123 @@ MIN_EXPECTED = 0.5
 # Pruning stops at this multiple of the wanted size; the last cut takes the best by score.
 OVERSIZE = 1.1
 
+SPECIALS = [UNK_TOKEN, EOS_TOKEN]
+
+
+@dataclass
+class Unigram:
+    """A learned vocabulary: ``pieces`` (``id, piece, logprob``; specials first, then best first) and the log-likelihood of every EM step."""
+
+    pieces: DataFrame
+    history: list[float]
+
+    def learned(self) -> Learned:
+        """The vocabulary as a list, bounded by its size, for encoding."""
+        rows = sorted(self.pieces.collect())
+        return Learned([r["piece"] for r in rows], scores=[r["logprob"] for r in rows])
+
 
 def seed_pieces(words: DataFrame, seed_size: int = SEED_SIZE, max_chars: int = MAX_PIECE_CHARS) -> DataFrame:
-    """``(piece, score)``: every byte, and the substrings seen twice or more with the most covered characters."""
-    chars = F.col("_c")
-    heads = F.transform(chars, lambda _, i: F.array_join(F.slice(chars, i + 1, max_chars), ""))
-    substrings = F.flatten(
-        F.transform(
-            heads, lambda h: F.transform(F.sequence(F.lit(1), F.length(h)), lambda k: F.substring(h, F.lit(1), k))
-        )
-    )
-    split = words.where(F.length("w") > 0).select(F.split("w", "").alias("_c"), "n")
-    counted = split.select(F.explode(substrings).alias("piece"), "n").groupBy("piece").agg(F.sum("n").alias("n"))
-    length = F.length("piece")
-    longer = counted.where((length > 1) & (F.col("n") >= 2)).select("piece", (F.col("n") * length).alias("score"))
-    longer = longer.orderBy(F.desc("score"), "piece").limit(seed_size)
+    """``(piece, score, single)``: every byte, and the repeated substrings that cover the most characters of distinct words.
+
+    ``words``: distinct ``w`` with their counts ``n``. Bytes count by ``n``, once at least.
+    """
+    longer = repeated_substrings(words, max_chars).select("piece", (F.col("n") * F.length("piece")).alias("score"), F.lit(False).alias("single"))
+    longer = top_k(longer, [F.desc("score"), F.asc("piece")], seed_size)
+    chars = words.select(F.explode(F.split("w", "")).alias("piece"), "n").where("piece <> ''").groupBy("piece").agg(F.sum("n").alias("score"))
     alphabet = words.sparkSession.createDataFrame([(c,) for c in byte_alphabet()], "piece string")
-    single = alphabet.join(counted, "piece", "left").select("piece", F.coalesce("n", F.lit(1)).alias("score"))
+    single = alphabet.join(chars, "piece", "left").select("piece", F.coalesce("score", F.lit(1)).alias("score"), F.lit(True).alias("single"))
     return single.unionByName(longer)
 
 
-def expected_counts_of(word: str, logp: dict[str, float], max_chars: int) -> tuple[dict[str, float], float]:
-    """Expected use of each piece in one word (forward-backward), and the word's log-likelihood."""
-    n = len(word)
-    edges = [
-        (i, j, word[i:j]) for i in range(n) for j in range(i + 1, min(n, i + max_chars) + 1) if word[i:j] in logp
-    ]
-    forward, backward = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
-    for i, j, piece in edges:
-        forward[j] = _log_add(forward[j], forward[i] + logp[piece])
-    for i, j, piece in reversed(edges):
-        backward[i] = _log_add(backward[i], backward[j] + logp[piece])
-    counts: dict[str, float] = {}
-    for i, j, piece in edges:
-        share = math.exp(forward[i] + logp[piece] + backward[j] - forward[n])
-        counts[piece] = counts.get(piece, 0.0) + share
-    return counts, forward[n]
+def expected_counts(lattice: Lattice, scores: DataFrame) -> DataFrame:
+    """``(piece, expected)`` over all words; the row of the empty piece holds the log-likelihood."""
+
+    def count(block: Block, names: list[str]) -> pa.Table:
+        use, loglik = block.expected()
+        return pa.table([pa.array([*names, ""], pa.string()), pa.array([*use, loglik], pa.float64())], names=["piece", "c"])
+
+    return over_parts(lattice, scores, count, "piece string, c double").groupBy("piece").agg(F.sum("c").alias("expected"))
+
+
+def viterbi_counts(lattice: Lattice, scores: DataFrame) -> DataFrame:
+    """``(piece, n)``: use of each piece in the best segmentations of all words."""
+
+    def count(block: Block, names: list[str]) -> pa.Table:
+        use = [0] * len(names)
+        for words, edges in block.best():
+            for pid, n in zip(block.piece[edges].tolist(), block.weights[words].tolist()):
+                use[pid] += n
+        return pa.table([pa.array(names, pa.string()), pa.array(use, pa.int64())], names=["piece", "c"])
+
+    return over_parts(lattice, scores, count, "piece string, c long").where("c > 0").groupBy("piece").agg(F.sum("c").alias("n"))
+
 
+def replacements(lattice: Lattice, scores: DataFrame) -> DataFrame:
+    """``(piece, own, instead)`` for a lattice of pieces: whether a piece is its own best path, and the best path without it (NULL: none)."""
 
-def _log_add(a: float, b: float) -> float:
-    if a < b:
-        a, b = b, a
-    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+    def paths(block: Block, names: list[str]) -> pa.Table:
+        own = [False] * len(block.sizes)
+        spelled: list[list[str]] = [[] for _ in own]
+        instead: list[list[str]] = [[] for _ in own]
+        for target, path in ((spelled, block.best()), (instead, block.best(whole=False))):
+            for words, edges in path:
+                for k, pid in zip(words.tolist(), block.piece[edges].tolist()):
+                    target[k].append(names[pid])
+        for k, parts in enumerate(spelled):
+            own[k] = len(parts) == 1
+        whole = ["".join(reversed(p)) for p in spelled]
+        return pa.table([pa.array(whole, pa.string()), pa.array(own), pa.array([p or None for p in instead], pa.list_(pa.string()))], names=["piece", "own", "instead"])
 
+    return over_parts(lattice, scores, paths, "piece string, own boolean, instead array<string>")
 
-def expected_counts(words: DataFrame, logp: dict[str, float], max_chars: int = MAX_PIECE_CHARS) -> DataFrame:
-    """``(piece, expected)`` over the word table; the row of the empty piece holds the log-likelihood.
 
-    The piece list is bounded by the seed size. Every task adds up its own words before the shuffle.
+def piece_losses(pieces: DataFrame, used: DataFrame, replaced: DataFrame, n_words: int) -> DataFrame:
+    """``(piece, loss)``: the likelihood lost when a piece goes, against its best replacement by other pieces.
+
+    Infinite for a piece that has no replacement or that is used without being its own best segmentation; other pieces
+    that no word uses are left out.
     """
-    shared = words.sparkSession.sparkContext.broadcast(logp)
-
-    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = shared.value
-        for batch in batches:
-            total: dict[str, float] = {}
-            for word, n in zip(batch["w"], batch["n"]):
-                counts, loglik = expected_counts_of(word, table, max_chars)
-                total[""] = total.get("", 0.0) + n * loglik
-                for piece, c in counts.items():
-                    total[piece] = total.get(piece, 0.0) + n * c
-            yield pd.DataFrame({"piece": list(total), "c": list(total.values())})
-
-    partial = words.select("w", "n").mapInPandas(per_batch, "piece string, c double")
-    return partial.groupBy("piece").agg(F.sum("c").alias("expected"))
-
-
-def _digamma(x: float) -> float:
-    out = 0.0
-    while x < 7.0:
-        out -= 1.0 / x
-        x += 1.0
-    x -= 0.5
+    total = used.agg(F.sum("n")).first()[0] or 1
+    present = pieces.where(~F.col("single")).select("piece").join(used, "piece", "left").fillna(0, ["n"])
+    rows = stage(present.join(replaced, "piece"), "replaced")
+    parts = rows.where(F.col("own") & (F.col("n") > 0)).select("piece", "n", F.explode("instead").alias("part"))
+    parts = join_groups(parts, used.select(F.col("piece").alias("part"), F.col("n").alias("others")), ["part"], "left")
+    other = parts.groupBy("piece").agg(F.sum(F.log(F.coalesce("others", F.lit(0)) + F.col("n"))).alias("logs"))
+    n, size = F.col("n"), F.size("instead")
+    grown = n / n_words * (F.log(n) - F.log(F.lit(total)) - (F.col("logs") - size * F.log(total + n * (size - 1))))
+    endless = F.lit(float("inf"))
+    loss = F.when(~F.col("own"), F.when(n > 0, endless)).when(F.col("instead").isNull(), endless).when(n > 0, grown)
+    return rows.join(other, "piece", "left").select("piece", loss.alias("loss")).where(F.col("loss").isNotNull())
+
+
+def _digamma(x: Column) -> Column:
+    """By the asymptotic series, after moving the argument to 7 or more."""
+    shift, moved = F.lit(0.0), x
+    for k in range(7):
+        shift = shift - F.when(x + k < 7, 1.0 / (x + k)).otherwise(0.0)
+        moved = F.when(x + k < 7, x + (k + 1)).otherwise(moved)
+    x = moved - 0.5
     sq = 1.0 / (x * x)
-    return out + math.log(x) + sq * (1.0 / 24.0 - sq * (7.0 / 960.0 - sq * 31.0 / 8064.0))
+    return shift + F.log(x) + sq * (1.0 / 24.0 - sq * (7.0 / 960.0 - sq * 31.0 / 8064.0))
 
 
-def _normalise(expected: dict[str, float], alphabet: set[str]) -> dict[str, float]:
+def normalised(pieces: DataFrame, expected: DataFrame) -> DataFrame:
     """New scores from expected counts; rare pieces go, single bytes always stay."""
-    kept = {p: max(c, MIN_EXPECTED) for p, c in expected.items() if c >= MIN_EXPECTED or p in alphabet}
-    total = _digamma(sum(kept.values()))
-    return {p: _digamma(c) - total for p, c in kept.items()}
+    counted = pieces.select("piece", "single").join(expected, "piece", "left").fillna(0.0, ["expected"])
+    kept = counted.where(F.col("single") | (F.col("expected") >= MIN_EXPECTED)).select("piece", "single", F.greatest("expected", F.lit(MIN_EXPECTED)).alias("c"))
+    kept = stage(kept, "kept")
+    total = kept.agg(F.sum("c").alias("c")).select(_digamma(F.col("c"))).first()[0]
+    return kept.select("piece", "single", (_digamma(F.col("c")) - total).alias("logprob"))
+
+
+def pruned(pieces: DataFrame, losses: DataFrame, size: int) -> DataFrame:
+    """Keep single bytes and the pieces with the largest losses; infinite losses stay whatever the size."""
+    losses = stage(losses, "losses")
+    needed = losses.where(F.col("loss") == float("inf")).select("piece")
+    room = size - pieces.where("single").count() - needed.count()
+    ranked = top_k(losses.where(F.col("loss") < float("inf")), [F.desc("loss"), F.asc("piece")], max(room, 0)).select("piece")
+    return pieces.join(needed.unionByName(ranked), "piece", "left_semi").unionByName(pieces.where("single"))
 
 
 def learn_unigram(
@@ -111,116 +152,47 @@ def learn_unigram(
     shrinking_factor: float = SHRINKING_FACTOR,
     sub_iterations: int = SUB_ITERATIONS,
     max_chars: int = MAX_PIECE_CHARS,
-) -> tuple[list[tuple[str, float]], list[float]]:
-    """Pieces with log-probabilities, best first, specials in front; also the log-likelihood of every EM step.
+) -> Unigram:
+    """Pieces with log-probabilities, best first, specials in front.
 
-    ``counts`` is ``(word, n)``. The driver holds the piece list (at most ``seed_size`` plus the bytes); expected counts
-    and best segmentations of the words are Spark jobs. Pieces are pruned by their loss until few enough are left.
+    ``counts`` is ``(word, n)``. Seeds are the repeated substrings of the words. Each round re-estimates the scores by
+    expected counts, then prunes pieces by their loss until few enough are left. Words and pieces are segmented over lattices
+    in parts; these are built anew once half of the pieces are gone.
     """
-    cores = counts.sparkSession.sparkContext.defaultParallelism
-    words = stage(counts.select(to_byte_chars(F.col("word")).alias("w"), "n").repartition(cores), "unigram_words")
+    words = stage(counts.select(to_byte_chars(F.col("word")).alias("w"), "n"), "unigram_words")
     n_words = words.agg(F.sum("n")).first()[0] or 1
-    alphabet = set(byte_alphabet())
-    specials = [UNK_TOKEN, EOS_TOKEN]
-    wanted = max(vocab_size - len(specials), len(alphabet))
-    seeds = [(r["piece"], float(r["score"])) for r in seed_pieces(words, seed_size, max_chars).collect()]
-    log_total = math.log(sum(s for _, s in seeds))
-    logp = {p: math.log(s) - log_total for p, s in seeds}
+    wanted = max(vocab_size - len(SPECIALS), len(byte_alphabet()))
+    seeds = stage(seed_pieces(words, seed_size, max_chars), "seeds")
+    scale = seeds.agg(F.log(F.sum("score"))).first()[0]
+    pieces = seeds.select("piece", "single", (F.log("score") - scale).alias("logprob"))
+    size, built = seeds.count(), 0
+    over_words = over_pieces = None
     history: list[float] = []
     while True:
+        if over_words is None or 2 * size <= built:
+            for old in (over_words, over_pieces):
+                if old is not None:
+                    old.drop()
+            over_words = build_lattice(words, pieces, max_chars)
+            longer = pieces.where(~F.col("single")).select(F.col("piece").alias("w"), F.lit(1).cast("long").alias("n"))
+            over_pieces, built = build_lattice(longer, pieces, max_chars), size
         for _ in range(sub_iterations):
-            expected = {r["piece"]: r["expected"] for r in expected_counts(words, logp, max_chars).collect()}
-            history.append(expected.pop("", 0.0))
-            logp = _normalise({p: expected.get(p, 0.0) for p in logp}, alphabet)
-        if len(logp) <= OVERSIZE * wanted:
+            expected = stage(expected_counts(over_words, pieces), "expected")
+            history.append(expected.where("piece = ''").agg(F.sum("expected")).first()[0] or 0.0)
+            pieces = stage(normalised(pieces, expected), "pieces")
+            unstage(expected)
+        size = pieces.count()
+        if size <= OVERSIZE * wanted:
             break
-        keep = max(int(shrinking_factor * len(logp)), int(OVERSIZE * wanted))
-        used = {r["piece"]: r["n"] for r in viterbi_counts(words, logp, max_chars).collect()}
-        losses = {r["piece"]: r["loss"] for r in piece_losses(words.sparkSession, logp, used, n_words, max_chars).collect()}
-        smaller = prune(logp, losses, keep, alphabet)
-        if len(smaller) == len(logp):
+        keep = max(int(shrinking_factor * size), int(OVERSIZE * wanted))
+        used = stage(viterbi_counts(over_words, pieces), "used")
+        smaller = stage(pruned(pieces, piece_losses(pieces, used, replacements(over_pieces, pieces), n_words), keep), "pieces")
+        left = smaller.count()
+        if left == size:
             break  # everything left is needed; the last cut decides
-        logp = smaller
-    final = _best(logp, wanted, alphabet)
-    ranked = sorted(final.items(), key=lambda item: (-item[1], item[0]))
-    return [*[(s, 0.0) for s in specials], *ranked], history
-
-
-def _best(logp: dict[str, float], size: int, alphabet: set[str]) -> dict[str, float]:
-    """The ``size`` most probable pieces, single bytes first."""
-    ranked = sorted(logp.items(), key=lambda item: (item[0] not in alphabet, -item[1], item[0]))
-    return dict(ranked[:size])
-
-
-def best_path(word: str, logp: dict[str, float], max_chars: int, whole: bool = True) -> list[str]:
-    """Most probable segmentation; with ``whole=False`` the word itself may not be the only piece."""
-    n = len(word)
-    score, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
-    for j in range(1, n + 1):
-        for i in range(max(0, j - max_chars), j):
-            piece = word[i:j]
-            if piece in logp and (whole or j - i < n) and score[i] + logp[piece] > score[j]:
-                score[j], back[j] = score[i] + logp[piece], i
-    path, j = [], n
-    while j > 0:
-        path.append(word[back[j] : j])
-        j = back[j]
-    return path[::-1] if score[n] > -math.inf else []
-
-
-def viterbi_counts(words: DataFrame, logp: dict[str, float], max_chars: int = MAX_PIECE_CHARS) -> DataFrame:
-    """``(piece, n)``: use of each piece in the best segmentations of all words."""
-    shared = words.sparkSession.sparkContext.broadcast(logp)
-
-    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = shared.value
-        for batch in batches:
-            total: dict[str, int] = {}
-            for word, n in zip(batch["w"], batch["n"]):
-                for piece in best_path(word, table, max_chars):
-                    total[piece] = total.get(piece, 0) + int(n)
-            yield pd.DataFrame({"piece": list(total), "c": list(total.values())})
-
-    return words.select("w", "n").mapInPandas(per_batch, "piece string, c long").groupBy("piece").agg(F.sum("c").alias("n"))
-
-
-def loss_of(piece: str, logp: dict[str, float], used: dict[str, int], total: int, n_words: int, max_chars: int) -> float | None:
-    """Likelihood lost when a piece goes, against its best replacement by other pieces.
-
-    Infinite for a piece that has no replacement or that is used without being its own best segmentation; NULL for
-    one that is neither used nor its own best segmentation.
-    """
-    n = used.get(piece, 0)
-    if best_path(piece, logp, max_chars) != [piece]:
-        return math.inf if n else None
-    instead = best_path(piece, logp, max_chars, whole=False)
-    if not instead:
-        return math.inf
-    if not n:
-        return 0.0
-    own = math.log(n) - math.log(total)
-    other = sum(math.log(used.get(q, 0) + n) for q in instead) - len(instead) * math.log(total + n * (len(instead) - 1))
-    return n / n_words * (own - other)
-
-
-def piece_losses(spark: SparkSession, logp: dict[str, float], used: dict[str, int], n_words: int, max_chars: int) -> DataFrame:
-    """``(piece, loss)`` of every piece, computed in parallel over the piece list."""
-    shared = spark.sparkContext.broadcast((logp, used, sum(used.values())))
-
-    def per_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, counts, total = shared.value
-        for batch in batches:
-            losses = [loss_of(p, table, counts, total, n_words, max_chars) for p in batch["piece"]]
-            yield pd.DataFrame({"piece": batch["piece"], "loss": pd.Series(losses, dtype="float64", index=batch.index)})
-
-    pieces = spark.createDataFrame([(p,) for p in logp], "piece string")
-    return pieces.mapInPandas(per_batch, "piece string, loss double").where(F.col("loss").isNotNull() & ~F.isnan("loss"))
-
-
-def prune(logp: dict[str, float], losses: dict[str, float], size: int, alphabet: set[str]) -> dict[str, float]:
-    """Keep single bytes and the pieces with the largest losses; infinite losses stay whatever the size."""
-    kept = {p: s for p, s in logp.items() if p in alphabet or losses.get(p) == math.inf}
-    ranked = sorted((p for p in losses if p not in kept), key=lambda p: (-losses[p], p))
-    for piece in ranked[: max(size - len(kept), 0)]:
-        kept[piece] = logp[piece]
-    return kept
+        pieces, size = smaller, left
+    best = top_k(pieces, [F.desc("single"), F.desc("logprob"), F.asc("piece")], wanted)
+    ranked = row_index(best.select("piece", "logprob"), [F.desc("logprob"), F.asc("piece")], "id", len(SPECIALS))
+    front = words.sparkSession.createDataFrame([(i, s, 0.0) for i, s in enumerate(SPECIALS)], "id long, piece string, logprob double")
+    table = front.unionByName(ranked.select("id", "piece", "logprob")).select(F.col("id").cast("int").alias("id"), "piece", "logprob")
+    return Unigram(stage(table, "unigram"), history)

@@ -72,11 +72,12 @@ def symbol_id(ch: str) -> int:
 
 @dataclass
 class Learned:
-    """A learned vocabulary: ``tokens[id]`` and the ranked merges log."""
+    """A learned vocabulary: ``tokens[id]`` and the ranked merges log, or the scores of unigram pieces."""
 
     tokens: list[str]
     merges: list[tuple] = field(default_factory=list)
     n_initial: int = 0
+    scores: list[float] = field(default_factory=list)
 
     def vocab_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(list(enumerate(self.tokens)), VOCAB_SCHEMA)

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from rankcut.operators import encode, scoring, unigram, vocab
+from rankcut.operators import encode, scoring, suffixes, unigram, vocab
 from rankcut.plans.catalog import on_documents, on_fixture
 from rankcut.plans.fixtures import BASE
 from rankcut.plans.relational import CONSOLIDATED, consolidated_summary
@@ -15,9 +15,10 @@ from rankcut.session import new_path, stage
 from rankcut.sources import readers
 from rankcut.streaming.consolidate import consolidate_available
 
-BPE_SIZE = 257 + 128
-WORDPIECE_SIZE = 258 + 256
-UNIGRAM_SIZE = 600
+# The smallest vocabulary size that is analysed, with a window of the usual share of it.
+CUT, CUT_WIDTH = 8_064, 1_260
+BPE_SIZE = CUT + CUT_WIDTH
+WORDPIECE_SIZE = UNIGRAM_SIZE = CUT
 BUDGET = 8192
 
 # Whitespace of any kind becomes one space, so that both regex dialects see the same words.
@@ -90,9 +91,19 @@ def _(docs):
 
 @on_documents("tok05_learn_unigram", costly=True)
 def _(docs):
-    pieces, _ = learned(docs, "unigram")
-    rows = [(i, p, s) for i, (p, s) in enumerate(pieces)]
-    return docs.sparkSession.createDataFrame(rows, "id int, piece string, logprob double")
+    return learned(docs, "unigram").pieces
+
+
+@on_documents(
+    "tok05_seed_substrings",
+    f"""SELECT piece, count(*) AS n FROM (SELECT substr(s, p, k) AS piece, substr(s, p + k, 1) AS next FROM
+          (SELECT s, p, unnest(range(2, 17)) AS k FROM (SELECT concat(word, chr(1)) AS s, unnest(range(1, length(word))) AS p FROM {COUNTS_SQL} c) w) x WHERE p + k <= length(s)) y
+        GROUP BY piece HAVING min(next) < max(next)""",
+    costly=True,
+)
+def _(docs):
+    """Over characters, as SQL has no bytes; the learner takes the same over bytes."""
+    return suffixes.repeated_substrings(vocab.word_counts(normal(docs)).select(F.col("word").alias("w")), 16)
 
 
 @on_documents("tok06_encode_corpus", costly=True)
@@ -102,10 +113,20 @@ def _(docs):
 
 def token_bytes(encoded, tokens):
     """Bytes covered by the ids of each document: every token is one byte per character."""
-    lengths = F.array(*[F.lit(len(t)) for t in tokens])
+    lengths = F.split(F.lit(",".join(str(len(t)) for t in tokens)), ",").cast("array<int>")  # one constant, however many tokens
     return F.aggregate("input_ids", F.lit(0).cast("long"), lambda a, t: a + F.get(lengths, t))
 
 
+@on_documents("tok06_encode_unigram", "SELECT doc_id, text, octet_length(encode(text))::BIGINT AS n_bytes FROM documents", costly=True)
+def _(docs):
+    """Best paths over the learned pieces; what they spell is the text again."""
+    vocabulary = learned(docs, "unigram")
+    model = vocabulary.learned()
+    rows = stage(encode.encode_docs(docs.select("doc_id", "text"), model, kind="unigram"), "unigram_ids")
+    back = encode.decode_docs(rows, vocabulary.pieces.withColumnRenamed("piece", "token"), "doc_id")
+    return back.join(rows.select("doc_id", token_bytes(rows, model.tokens).alias("n_bytes")), "doc_id")
+
+
 @on_documents("tok06_encode_bytes", "SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes, row_number() OVER (ORDER BY doc_id) - 1 AS uid FROM documents", costly=True)
 def _(docs):
     model = learned(docs, "bpe")
@@ -220,9 +241,6 @@ def _(fx):
 
 # --- from text to effects ------------------------------------------------------------------------
 
-CUT, CUT_WIDTH = 257 + 64, 60
-
-
 @on_documents("e2e_text_to_effects", costly=True)
 def _(docs):
     """Learn a vocabulary, cut it, encode, score at three checkpoints, align, and estimate the effect of inclusion."""

@@ -219,7 +219,7 @@ ORACLE: dict[str, str] = {
 }
 
 
-_SHARED = {"fx_docs", "fx_tag", "fx_occ", "fx_out", "fx_mid"}
+_SHARED = {"fx_docs", "fx_tag", "fx_occ", "fx_out", "fx_reg", "fx_long", "fx_mid", "fx_coef", "fx_eff"}
 
 
 def with_tables(sql: str) -> str:

@@ -41,6 +41,33 @@ def test_overlapping_pairs(spark, stream, merges, expected, block):
     assert tags(align.tag_rows(align.token_rows_with_neighbours(docs), table).collect()) == expected
 
 
+def greedy_by_scan(stream, pairs):
+    """One walk from the left, as the rule says."""
+    out, i = [], 0
+    while i < len(stream):
+        made = pairs.get(tuple(stream[i : i + 2]))
+        out += [(made, i), (made, i)] if made else [(stream[i], i)]
+        i += 2 if made else 1
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 8, 1 << 16])
+def test_greedy_pairs(spark, block):
+    """Chains of overlapping pairs, also across one and several borders of blocks."""
+    rng = random.Random(block)
+    streams = {1: [1, 1, 1], 2: [1, 2, 3], 3: [1] * 40, 4: [3], 5: [1] * 17 + [2] + [1] * 24, 6: []}
+    streams |= {u: [rng.choice((1, 1, 1, 2, 3)) for _ in range(rng.randrange(1, 60))] for u in range(10, 40)}
+    pairs = {(1, 1): 9, (1, 2): 8, (2, 3): 7}
+    docs, table = docs_of(spark, list(streams.items())), merges_of(spark, [(a, b, c) for (a, b), c in pairs.items()])
+    by_array = align.tag_rows_greedy(align.token_rows_with_neighbours(docs), table, block).collect()
+    by_rows = align.tag_pairs(align.token_rows(docs), table, block, overlap="greedy").collect()
+    assert sorted(map(tuple, by_array)) == sorted(map(tuple, by_rows))
+    for uid, stream in streams.items():
+        assert tags([r for r in by_array if r["uid"] == uid]) == greedy_by_scan(stream, pairs)
+    with pytest.raises(ValueError):
+        align.tag_pairs(align.token_rows(docs), table, overlap="none")
+
+
 def test_tagging_equals_the_self_join_form(spark):
     rng = random.Random(3)
     docs = docs_of(spark, [(u, [rng.randrange(4) for _ in range(rng.randrange(0, 40))]) for u in range(60)])

@@ -1,9 +1,10 @@
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from rankcut.operators import encode, unigram, vocab
+from rankcut.operators import encode, lattice, suffixes, unigram, vocab
 
 tokenizers = pytest.importorskip("tokenizers")
 
@@ -175,33 +176,116 @@ def test_wordpiece_learner(spark, docs):
         assert spelled == "".join(alphabet[b] for b in texts[r["doc_id"]].encode())
 
 
+def test_repeated_substrings_equal_brute_force(spark):
+    """Also when neighbours in the sorted suffixes lie in different partitions, and across the stretches of a long word."""
+    rnd = random.Random(3)
+    words = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 30))) for _ in range(200)} | {"ab" * 700, "z"})
+    seen: dict[str, list[str]] = {}
+    for w in words:
+        closed = w + "\0"
+        for i in range(len(w)):
+            for k in range(2, 17):
+                if i + k <= len(w):
+                    seen.setdefault(w[i : i + k], []).append(closed[i + k])
+    expected = {p: len(after) for p, after in seen.items() if len(set(after)) > 1}
+    table = spark.createDataFrame([(w,) for w in words], "w string").repartition(7)
+    got = [tuple(r) for r in suffixes.repeated_substrings(table, 16).collect()]
+    assert len(got) == len(dict(got)) and dict(got) == expected
+    assert suffixes.repeated_substrings(table.limit(0), 16).collect() == []
+
+
 def test_unigram_learner(spark, docs):
-    pieces, history = unigram.learn_unigram(vocab.word_counts(docs), 300, seed_size=400)
-    assert len(pieces) == 300 and len({p for p, _ in pieces}) == 300
-    assert set(vocab.byte_alphabet()) <= {p for p, _ in pieces}
-    scores = [s for _, s in pieces[2:]]
+    model = unigram.learn_unigram(vocab.word_counts(docs), 300, seed_size=400)
+    rows = sorted(model.pieces.collect())
+    pieces = [r["piece"] for r in rows]
+    assert [r["id"] for r in rows] == list(range(300)) and len(set(pieces)) == 300
+    assert set(vocab.byte_alphabet()) <= set(pieces) and pieces[:2] == unigram.SPECIALS
+    scores = [r["logprob"] for r in rows[2:]]
     assert scores == sorted(scores, reverse=True) and max(scores) < 0
-    assert history[1] >= history[0] - 1e-6 * abs(history[0])
+    assert model.history[1] >= model.history[0] - 1e-6 * abs(model.history[0])
+
 
+def segmentations(w, logp):
+    if not w:
+        yield []
+    for k in range(1, len(w) + 1):
+        if w[:k] in logp:
+            yield from ([w[:k], *rest] for rest in segmentations(w[k:], logp))
 
-def test_expected_counts_by_enumeration():
-    import math
 
-    logp = {p: math.log(v) for p, v in {"a": 0.2, "b": 0.3, "ab": 0.4, "ba": 0.1}.items()}
+LOGP = {p: math.log(v) for p, v in {"a": 0.2, "b": 0.25, "c": 0.04, "ab": 0.3, "ba": 0.1, "abc": 0.01, "bb": 0.1}.items()}
 
-    def segmentations(w):
-        if not w:
-            yield []
-        for k in range(1, len(w) + 1):
-            if w[:k] in logp:
-                yield from ([w[:k], *rest] for rest in segmentations(w[k:]))
 
-    ways = [(s, math.exp(sum(logp[p] for p in s))) for s in segmentations("abab")]
-    z = sum(w for _, w in ways)
-    counts, loglik = unigram.expected_counts_of("abab", logp, 16)
-    assert loglik == pytest.approx(math.log(z))
-    for piece in logp:
-        assert counts.get(piece, 0.0) == pytest.approx(sum(w * s.count(piece) for s, w in ways) / z)
+@pytest.fixture(scope="module")
+def small_lattice(spark):
+    words = [("abab", 3), ("a", 1), ("bbabc", 2), ("cabba", 1), ("ab" * 8, 1), ("", 4)]
+    scores = spark.createDataFrame([(p, s, len(p) == 1) for p, s in LOGP.items()], "piece string, logprob double, single boolean")
+    lattice_of = lambda rows: lattice.build_lattice(spark.createDataFrame(rows, "w string, n long"), scores, 16)
+    return words, scores, lattice_of(words), lattice_of([(p, 1) for p in LOGP if len(p) > 1])
+
+
+def test_expected_counts_by_enumeration(small_lattice):
+    words, scores, over_words, _ = small_lattice
+    got = {r["piece"]: r["expected"] for r in unigram.expected_counts(over_words, scores).collect()}
+    expected, loglik = dict.fromkeys(LOGP, 0.0), 0.0
+    for w, n in words:
+        ways = [(s, math.exp(sum(LOGP[p] for p in s))) for s in segmentations(w, LOGP)]
+        z = sum(v for _, v in ways)
+        loglik += n * math.log(z)
+        for s, v in ways:
+            for p in s:
+                expected[p] += n * v / z
+    assert got.pop("") == pytest.approx(loglik)
+    assert got == pytest.approx({p: c for p, c in expected.items() if p in got}) and all(c == 0 for p, c in expected.items() if p not in got)
+
+
+def best_of(w, logp, whole=True):
+    ways = [s for s in segmentations(w, logp) if whole or len(s) > 1]
+    return max(ways, key=lambda s: sum(logp[p] for p in s), default=None)
+
+
+def test_best_paths_and_losses_by_enumeration(spark, small_lattice):
+    words, scores, over_words, over_pieces = small_lattice
+    used: dict[str, int] = {}
+    for w, n in words:
+        for p in best_of(w, LOGP) or []:
+            used[p] = used.get(p, 0) + n
+    counted = unigram.viterbi_counts(over_words, scores)
+    assert {r["piece"]: r["n"] for r in counted.collect()} == used
+    losses = {r["piece"]: r["loss"] for r in unigram.piece_losses(scores, counted, unigram.replacements(over_pieces, scores), 12).collect()}
+    total, expected = sum(used.values()), {}
+    for p in LOGP:
+        n = used.get(p, 0)
+        if len(p) == 1:
+            continue
+        if best_of(p, LOGP) != [p]:
+            if n:
+                expected[p] = math.inf
+            continue
+        instead = best_of(p, LOGP, whole=False)
+        other = sum(math.log(used.get(q, 0) + n) for q in instead) - len(instead) * math.log(total + n * (len(instead) - 1)) if n else 0
+        if n:
+            expected[p] = n / 12 * (math.log(n) - math.log(total) - other)
+    assert losses == pytest.approx(expected)
+    kept = unigram.pruned(scores, unigram.piece_losses(scores, counted, unigram.replacements(over_pieces, scores), 12), 4)
+    assert {r["piece"] for r in kept.collect()} == {"a", "b", "c", max(expected, key=expected.get)}
+
+
+def test_digamma(spark):
+    row = spark.range(1).select(*[unigram._digamma(F.lit(x)).alias(str(i)) for i, x in enumerate((0.5, 1.0, 6.999, 7.0, 1e6))]).first()
+    assert list(row) == pytest.approx([-1.9635100260214235, -0.5772156649015329, 1.8726308, 1.8727843350984671, 13.815510057964191], rel=1e-6)
+
+
+def test_unigram_ids_equal_the_library(spark, docs):
+    """With the whole vocabulary, and cut so that single bytes are unknown."""
+    model = unigram.learn_unigram(vocab.word_counts(docs), 700).learned()
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for size in (len(model.tokens), 320):
+        library = tokenizers.models.Unigram(list(zip(model.tokens, model.scores))[:size], unk_id=0)
+        expected = tokenizers.Tokenizer(library)
+        expected.pre_tokenizer = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+        rows = encode.encode_docs(docs, model, size, kind="unigram").collect()
+        assert all(list(r["input_ids"]) == expected.encode(texts[r["doc_id"]]).ids for r in rows)
 
 
 def test_cuts(spark):
