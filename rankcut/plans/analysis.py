@@ -55,7 +55,7 @@ def _(fx):
 
 @on_fixture(
     "aln04_tag_pairs_greedy",
-    """WITH RECURSIVE m AS MATERIALIZED (SELECT d.uid, d.pos, d.tok, g.tok AS made
+    """SELECT * FROM (WITH RECURSIVE m AS MATERIALIZED (SELECT d.uid, d.pos, d.tok, g.tok AS made
          FROM (SELECT *, lead(tok) OVER (PARTITION BY uid ORDER BY pos) AS nx FROM fx_trim) d LEFT JOIN fx_merges g ON d.tok = g.tok_a AND d.nx = g.tok_b),
        hit AS MATERIALIZED (SELECT uid, pos, made FROM m WHERE made IS NOT NULL),
        taken AS (
@@ -64,7 +64,7 @@ def _(fx):
          SELECT h.uid, h.pos, h.made FROM taken t JOIN hit between_them ON between_them.uid = t.uid AND between_them.pos = t.pos + 1
            JOIN hit h ON h.uid = t.uid AND h.pos = t.pos + 2)
        SELECT m.uid, m.pos AS og_pos, m.tok AS og_tok, coalesce(a.made, b.made, m.tok) AS tok, coalesce(a.pos, b.pos, m.pos) AS pos
-       FROM m LEFT JOIN taken a ON a.uid = m.uid AND a.pos = m.pos LEFT JOIN taken b ON b.uid = m.uid AND b.pos = m.pos - 1""",
+       FROM m LEFT JOIN taken a ON a.uid = m.uid AND a.pos = m.pos LEFT JOIN taken b ON b.uid = m.uid AND b.pos = m.pos - 1) q""",
 )
 def _(fx):
     return align.tag_rows_greedy(align.token_rows_with_neighbours(fx.aligned_docs), align.window_sized(fx.merges, HALF_WIDTH))
