@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -13,3 +16,11 @@ def numbered(df: DataFrame) -> DataFrame:
 def number_of(df: DataFrame, column: str) -> str:
     """The name ``numbered`` gives to a column."""
     return f"_c{df.columns.index(column)}"
+
+
+def release() -> None:
+    """Give memory that is held for reuse back to the system: Python workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankcut.llm.frames import release
 from rankcut.llm.text import CHUNK, SPACES, column_bytes, groups, mix, span_hashes, windows
 from rankcut.session import stage
 
@@ -177,6 +178,7 @@ def map_batches(df: DataFrame, columns: list[str], fn: Callable[[dict[str, pa.Ar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_pydict(fn({c: batch.column(i) for i, c in enumerate(columns)}))
+        release()
 
     return df.select(*columns).mapInArrow(run, schema)
 

@@ -16,14 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankcut.llm.components import components
-from rankcut.llm.frames import number_of, numbered
+from rankcut.llm.frames import number_of, numbered, release
 from rankcut.llm.text import FOLDED_WORDS, column_bytes, groups, mix, windows, words
 from rankcut.operators.ordering import row_index
 from rankcut.session import stage
 
 N = 5
 PERCENT = 75
-BLOCK = 1 << 23  # bytes of text whose n-grams are counted together before they are dealt out
+BLOCK = 1 << 21  # bytes of text whose n-grams are counted together before they are dealt out
 BLOCK_ROWS = 60_000
 SALTS = 16  # tasks over which the segments of one text with copies everywhere are spread
 PARTS = 4  # fragments in which the overlap of a pair is counted
@@ -84,16 +84,22 @@ def _unstepped(data: bytes) -> np.ndarray:
 def _deal(fragments: int, n_words: int):
     """Texts -> their names and sizes, segments known to be shared, and one row per block and fragment."""
 
-    def block(ids: pa.Array, copies: pa.Array, texts: pa.Array, number: int) -> Iterator[dict]:
+    schema = pa.schema([("g", pa.int32()), ("kind", pa.int32()), ("node", pa.int64()), ("doc_id", pa.int64()), ("copy", pa.int64()), ("n", pa.int64())] + [(c, pa.binary()) for c in ("nodes", "sizes", "high", "low", "owner")])
+
+    def batch(kind: int, g: np.ndarray, **columns) -> pa.RecordBatch:
+        columns |= {"g": g, "kind": np.full(len(g), kind)}
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(len(g), f.type) for f in schema], schema=schema)
+
+    def block(ids: pa.Array, copies: pa.Array, texts: pa.Array, number: int) -> Iterator[pa.RecordBatch]:
         hashes, rows = shingle_sets(texts, n_words)
         n, node = _signatures(hashes, rows, len(texts))
-        for doc, copy, who, size in zip(ids.to_pylist(), copies.to_pylist(), node.tolist(), n.tolist(), strict=True):
-            yield {"g": fragments + number % fragments, "kind": _DOCUMENT, "node": who, "doc_id": doc, "copy": copy, "n": size}
+        yield batch(_DOCUMENT, fragments + (number + np.arange(len(node))) % fragments, node=node, doc_id=ids, copy=copies, n=n)
         _, first = np.unique(node, return_index=True)  # copies count once
         distinct = np.zeros(len(texts), bool)
         distinct[first] = True
         use = distinct[rows]
         token, owner = (hashes[use] >> np.uint64(16)).astype(np.int64), rows[use]
+        del hashes, rows, use
         order = np.argsort(token, kind="stable")
         token, owner = token[order], owner[order]
         if not len(token):
@@ -103,27 +109,32 @@ def _deal(fragments: int, n_words: int):
         runs = np.flatnonzero(edge)
         several = np.repeat(np.diff(runs) > 1, np.diff(runs))
         shared, by = token[several], owner[several]
-        order = np.argsort(by, kind="stable")
-        shared, by = shared[order], by[order]
-        bounds = np.flatnonzero(np.diff(by, prepend=-1, append=-1)) if len(by) else np.zeros(1, np.int64)
-        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-            who = int(node[by[low]])
-            yield {"g": fragments + (who + number % SALTS) % fragments, "kind": _SEGMENT, "node": who, "n": int(n[by[low]]), "high": shared[low:high].astype("<i8").tobytes()}
+        if len(by):
+            order = np.argsort(by, kind="stable")
+            shared, by = shared[order], by[order]
+            bounds = np.flatnonzero(np.diff(by, prepend=-1, append=-1))
+            who = node[by[bounds[:-1]]]
+            high = pa.BinaryArray.from_buffers(pa.binary(), len(who), [None, pa.py_buffer((8 * bounds).astype("<i4")), pa.py_buffer(shared.astype("<i8"))])
+            yield batch(_SEGMENT, fragments + (who + number % SALTS) % fragments, node=who, n=n[by[bounds[:-1]]], high=high)
         keep = edge[:-1] | ~several
         token, mark = token[keep], np.where(several[keep], _SHARED_HERE, owner[keep])
         fragment = (token * fragments) >> 48
+        dealt: dict[str, list] = {c: [] for c in ("g", "nodes", "sizes", "high", "low", "owner")}
         for f in np.unique(fragment).tolist():
             low, high = np.searchsorted(fragment, [f, f + 1])
             who = np.unique(mark[low:high])
             who = who[who != _SHARED_HERE]
             local = np.where(mark[low:high] == _SHARED_HERE, _SHARED_HERE, np.searchsorted(who, mark[low:high]))
-            yield {
-                "g": f, "kind": _BLOCK, "nodes": node[who].astype("<i8").tobytes(), "sizes": n[who].astype("<u4").tobytes(),
-                "high": _steps((token[low:high] >> 16).astype("<u4")), "low": token[low:high].astype("<u2").tobytes(), "owner": local.astype("<u2").tobytes(),
-            }
+            dealt["g"].append(f)
+            dealt["nodes"].append(node[who].astype("<i8").tobytes())
+            dealt["sizes"].append(n[who].astype("<u4").tobytes())
+            dealt["high"].append(_steps((token[low:high] >> 16).astype("<u4")))
+            dealt["low"].append(token[low:high].astype("<u2").tobytes())
+            dealt["owner"].append(local.astype("<u2").tobytes())
+        g = np.array(dealt.pop("g"))
+        yield batch(_BLOCK, g, **dealt)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("g", pa.int32()), ("kind", pa.int32()), ("node", pa.int64()), ("doc_id", pa.int64()), ("copy", pa.int64()), ("n", pa.int64())] + [(c, pa.binary()) for c in ("nodes", "sizes", "high", "low", "owner")])
         from pyspark import TaskContext
 
         number, held, size = TaskContext.get().partitionId() * 7919, [], 0
@@ -131,10 +142,11 @@ def _deal(fragments: int, n_words: int):
         def done() -> Iterator[pa.RecordBatch]:
             nonlocal number, held, size
             table = pa.Table.from_batches(held).combine_chunks()
-            rows = list(block(table["doc_id"], table["copy"], table["text"], number))
-            number, held, size = number + 1, [], 0
-            for low in range(0, len(rows), 5000):
-                yield pa.RecordBatch.from_pylist(rows[low : low + 5000], schema)
+            held, size = [], 0
+            yield from block(table["doc_id"], table["copy"], table["text"], number)
+            number += 1
+            del table
+            release()
 
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
@@ -163,6 +175,7 @@ def _segments(node: np.ndarray, n: np.ndarray, token: np.ndarray) -> pa.Table:
 
 def _count_fragment(table: pa.Table) -> pa.Table:
     """Shared n-grams of one fragment, as segments of the texts that hold them; other rows pass through."""
+    release()  # what the last group left
     kinds = table["kind"].to_numpy()
     out = []
     docs = table.filter(pa.array(kinds == _DOCUMENT))
@@ -226,6 +239,7 @@ def _joined_cells(percent: int):
     """Links in one cell, a pair of blocks of texts; of these as many as join components."""
 
     def run(table: pa.Table) -> pa.Table:
+        release()  # what the last cell left
         node, label, n, s = (table[c].to_numpy() for c in ("node", "label", "n", "s"))
         side = table["side"].to_numpy()
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: both, in the cell of a block with itself

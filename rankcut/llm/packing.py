@@ -14,12 +14,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankcut.llm.frames import release
+
 CAPACITY = 4096
 BLOCK = 1 << 20  # tokens packed together
 END = 2  # id that closes a document
 SEQUENCE_BITS = 33  # sequences are numbered inside their task
 
-CACHE = 300_000  # words whose ids a worker remembers
+CACHE = 60_000  # words whose ids a worker remembers, in either of two generations
 _STATE: dict[str, tuple] = {}
 
 
@@ -192,6 +194,7 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, capacity: int = CA
                     yield from flush()
         close()
         yield from flush()
+        release()
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack, schema)
