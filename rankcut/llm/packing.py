@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankcut.llm.frames import release
+from rankcut.session import stage
 
 CAPACITY = 4096
 BLOCK = 1 << 20  # tokens packed together
 END = 2  # id that closes a document
 SEQUENCE_BITS = 33  # sequences are numbered inside their task
+TASKS = 256  # tasks whose last, unfilled sequences are packed together
 
 CACHE = 60_000  # words whose ids a worker remembers, in either of two generations
 _STATE: dict[str, tuple] = {}
@@ -137,64 +139,100 @@ def balance(lengths: list[int], capacity: int = CAPACITY, linear: float = 1.0, q
     return pieces
 
 
-def pack_documents(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, block: int = BLOCK, with_ids: bool = True) -> DataFrame:
+_COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+_PIECE = ", ".join(f"{c} long" for c in _COLUMNS) + ", ids array<int>, task int"
+
+
+def _table(pieces: list[tuple], with_ids: bool) -> pa.RecordBatch:
+    """Rows of ``_PIECE`` from (doc, start, ids, tokens of the document, sequence, offset, task); ids go along where wanted or still needed."""
+    cols = list(zip(*pieces)) if pieces else [[]] * 7
+    doc, start, ids, total, sequence, offset, task = cols
+    numbers = [doc, start, [len(x) for x in ids], [zlib.crc32(x) for x in ids], total, sequence, offset]
+    kept = [x.astype(np.int32) if with_ids or s is None else None for x, s in zip(ids, sequence)]
+    arrays = [pa.array(c, pa.int64()) for c in numbers] + [pa.array(kept, pa.list_(pa.int32())), pa.array(task, pa.int32())]
+    return pa.RecordBatch.from_arrays(arrays, names=[*_COLUMNS, "ids", "task"])
+
+
+def _packed(held: list[tuple], capacity: int, first: int) -> list[tuple]:
+    """Pieces of ``held`` (doc, start, ids, total) in sequences numbered from ``first``."""
+    out = []
+    for i, start, n, s, offset in balance([len(ids) for _, _, ids, _ in held], capacity):
+        doc, begin, ids, total = held[i]
+        out.append((doc, begin + start, ids[start : start + n], total, first + s, offset, None))
+    return out
+
+
+def pack_documents(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, block: int = BLOCK, with_ids: bool = True, tasks: int = TASKS) -> DataFrame:
     """Pack all documents into sequences of at most ``capacity`` tokens, one row per piece.
 
     Returns ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, ``with_ids``, the piece's ``ids``. A document is its
     token ids and a closing id, and may be cut anywhere. Every task packs the documents of its partition in blocks of about
-    ``block`` tokens, so nothing is shuffled and memory is bounded; a block leaves less than one sequence of padding. Full sequences of documents
-    longer than ``capacity`` are cut off first. Sequence ids hold the number of the partition in their upper bits.
+    ``block`` tokens, so no text is shuffled and memory is bounded. Full sequences of documents
+    longer than ``capacity`` are cut off first. A block only packs as many tokens as fill whole sequences and hands the rest to the next; what a
+    task has left at its end, less than one sequence, is packed together with the rests of ``tasks`` tasks in a second pass. So less
+    than one sequence per ``tasks`` tasks is padding, however small partitions are. Sequence ids hold the number of the partition in their upper bits, those of the second pass are above them.
 
-    Null and empty texts are one closing id. Repeated rows are packed each; a null ``doc_id`` stays null. An empty table gives no rows.
+    Null and empty texts are one closing id. Repeated rows are packed each; a null ``doc_id`` stays null, other ids must be whole numbers.
+    Ties in length go by the order of the input. Other columns, whatever their names, are ignored. An empty table gives no rows.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(tokenizer_path)
-        first = TaskContext.get().partitionId() << SEQUENCE_BITS
-        sequence, held, waiting = first, [], 0
+        task = TaskContext.get().partitionId()
+        sequence = task << SEQUENCE_BITS
+        held: list[tuple] = []
         out: list[tuple] = []
-
-        def emit(doc, piece: np.ndarray, start: int, total: int, seq: int, offset: int) -> None:
-            out.append((doc, start, len(piece), zlib.crc32(piece), total, seq, offset, piece if with_ids else None))
+        waiting = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             if out:
-                cols = list(zip(*out, strict=True))
-                arrays = [pa.array(c, pa.int64()) for c in cols[:7]]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-                if with_ids:
-                    ends = np.cumsum([0, *map(len, cols[7])])
-                    arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(cols[7]).astype(np.int32))))
-                    names.append("ids")
+                yield _table(out, with_ids)
                 out.clear()
-                yield pa.RecordBatch.from_arrays(arrays, names)
 
         def close() -> None:
-            nonlocal sequence, waiting
-            for i, start, n, s, offset in balance([len(ids) - done for _, ids, done in held], capacity):
-                doc, ids, done = held[i]
-                emit(doc, ids[done + start : done + start + n], done + start, len(ids), sequence + s, offset)
-            sequence += -(-waiting // capacity)
-            held.clear()
-            waiting = 0
+            """Pack whole sequences; ``held`` keeps what does not fill one."""
+            nonlocal sequence, waiting, held
+            rest, spare = [], waiting % capacity
+            while spare:
+                doc, start, ids, total = held.pop()
+                cut = max(len(ids) - spare, 0)
+                rest.append((doc, start + cut, ids[cut:], total))
+                if cut:
+                    held.append((doc, start, ids[:cut], total))
+                spare -= len(ids) - cut
+            out.extend(_packed(held, capacity, sequence))
+            sequence += waiting // capacity
+            held, waiting = rest, waiting % capacity
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.append(encoder.encode(text.as_py() or ""), np.array([END], "<u4"))
                 done = 0
                 while len(ids) - done > capacity:
-                    emit(doc, ids[done : done + capacity], done, len(ids), sequence, 0)
+                    out.append((doc, done, ids[done : done + capacity], len(ids), sequence, 0, None))
                     sequence, done = sequence + 1, done + capacity
                     if len(out) * capacity > 4 * block:
                         yield from flush()
-                held.append((doc, ids, done))
+                held.append((doc, done, ids[done:], len(ids)))
                 waiting += len(ids) - done
                 if waiting >= block:
                     close()
                     yield from flush()
         close()
         yield from flush()
+        out.extend((doc, start, ids, total, None, None, task) for doc, start, ids, total in held)
+        yield from flush()
         release()
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack, schema)
+    def again(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("task", "ascending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        ids = [np.array(x, "<u4") for x in table["ids"].to_pylist()]
+        held = list(zip(table["doc_id"].to_pylist(), table["start"].to_pylist(), ids, table["doc_tokens"].to_pylist()))
+        first = (1 << 62) + ((table["task"][0].as_py() // tasks) << SEQUENCE_BITS)
+        return pa.Table.from_batches([_table(_packed(held, capacity, first), with_ids)])
+
+    pieces = stage(documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack, _PIECE), "pieces")
+    loose = pieces.where(F.col("task").isNotNull())
+    rest = loose.groupBy(F.floor(F.col("task") / tasks)).applyInArrow(again, _PIECE)
+    columns = [*_COLUMNS, "ids"] if with_ids else _COLUMNS
+    return pieces.where(F.col("task").isNull()).select(*columns).unionByName(rest.select(*columns))

@@ -72,7 +72,8 @@ def test_balanced_packing_fills_every_sequence_but_the_last_tokens():
     assert len(filled) == -(-sum(lengths) // 4096) and max(filled.values()) <= 4096
 
 
-def test_packed_ids_are_those_of_the_library(spark, awkward, nothing):
+@pytest.mark.parametrize("partitions", [2, 30])
+def test_packed_ids_are_those_of_the_library(spark, awkward, nothing, partitions):
     path = public.path("word_bpe_49k.json")
     odd = spark.createDataFrame([(100 + i, t) for i, t in enumerate(ODD)], "doc_id long, text string")
     docs = awkward.select("doc_id", "text").union(odd)
@@ -80,14 +81,18 @@ def test_packed_ids_are_those_of_the_library(spark, awkward, nothing):
     library = tokenizers.Tokenizer.from_file(path)
     for r in docs.collect():
         expected[r["doc_id"], tuple([*library.encode(r["text"] or "", add_special_tokens=False).ids, 2])] += 1
-    rows = sorted(pack_documents(docs.coalesce(2), path, block=50_000).collect(), key=lambda r: (r["sequence_id"], r["offset"]))
+    docs = docs.coalesce(2) if partitions == 2 else docs.repartition(partitions)
+    rows = sorted(pack_documents(docs, path, block=50_000).collect(), key=lambda r: (r["sequence_id"], r["offset"]))
     filled, found = defaultdict(int), defaultdict(list)
     for r in rows:
         assert r["offset"] == filled[r["sequence_id"]] and r["length"] == len(r["ids"]) > 0
         assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
         filled[r["sequence_id"]] += r["length"]
         found[r["doc_id"]].append((r["start"], tuple(r["ids"]), r["doc_tokens"]))
-    assert max(filled.values()) <= 4096
+    # Less than one sequence is padding, however small partitions are.
+    assert max(filled.values()) <= 4096 and sum(4096 - n for n in filled.values()) < 4096
+    bare = pack_documents(docs, path, block=50_000, with_ids=False)
+    assert bare.columns == [c for c in rows[0].asDict() if c != "ids"] and bare.count() == len(rows)
     for (doc, ids), n in expected.items():
         if sum(1 for d, _ in expected if d == doc) == 1 and n == 1:
             pieces = sorted(found[doc])
