@@ -23,7 +23,7 @@ END = 2  # id that closes a document
 SEQUENCE_BITS = 33  # sequences are numbered inside their task
 TASKS = 256  # tasks whose last, unfilled sequences are packed together
 
-CACHE = 60_000  # words whose ids a worker remembers, in either of two generations
+CACHE = 120_000  # words whose ids a worker remembers, in either of two generations
 _STATE: dict[str, tuple] = {}
 
 
@@ -56,6 +56,7 @@ class WordIds:
         self.model = self.tokenizer.model
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {}  # ids of the punctuation after words
         self.plain = self._reads_plain_words()
 
     def _reads_plain_words(self) -> bool:
@@ -67,16 +68,23 @@ class WordIds:
 
     def _ids(self, letters: str) -> bytes:
         shown = letters if letters.isascii() else "".join(map(_SHOWN.__getitem__, letters.encode()))
-        return np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
 
     def _plain(self, word: bytes) -> bytes | None:
         """Ids of a word of Latin letters with or without punctuation after it; None for any other word."""
         core = word.rstrip(b".,;:!?*#$%&|")
         letters = core.decode()
-        if core and (not letters.isalpha() or max(letters) >= "\u0130"):
+        if core and not (letters.isalpha() and (letters.isascii() or max(letters) < "\u0130")):
             return None
         ids = self._ids(letters.lower()) if core else b""
-        return ids + self._ids(word[len(core) :].decode()) if len(core) < len(word) else ids
+        if len(core) == len(word):
+            return ids
+        tail = word[len(core) :]
+        if tail not in self.tails:
+            if len(self.tails) >= 4096:
+                self.tails.clear()
+            self.tails[tail] = self._ids(tail.decode())
+        return ids + self.tails[tail]
 
     def learn(self, words: set[bytes]) -> None:
         new = []
