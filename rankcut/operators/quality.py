@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -13,6 +16,37 @@ def alignment_completeness(scores: DataFrame, tagged: DataFrame) -> DataFrame:
     return per_step.withColumn("tagged", expected).withColumn("complete", F.col("joined") == F.col("tagged"))
 
 
+@dataclass
+class AlignmentChecks:
+    """Counts taken while aligned scores are written; they are there once a job over the scores has ended.
+
+    A job that is repeated in part, after an executor was lost, may count rows of the repeated tasks again.
+    """
+
+    steps: list[int]
+    evals: Observation
+    tagged: Observation
+    scores: Observation
+
+    def unequal_lengths(self) -> int:
+        """Evaluations whose score and id arrays differ in length."""
+        return self.evals.get["unequal"]
+
+    def completeness(self) -> list[tuple[int, int, int, bool]]:
+        """Per step: joined rows, tagged rows, and whether they agree (as ``alignment_completeness``)."""
+        tagged, joined = self.tagged.get["n"], self.scores.get
+        return [(s, joined[f"step{s}"], tagged, joined[f"step{s}"] == tagged) for s in self.steps]
+
+
+def observed_alignment(impute: Callable[[DataFrame, DataFrame], DataFrame], evals: DataFrame, tagged: DataFrame, steps: list[int]) -> tuple[DataFrame, AlignmentChecks]:
+    """``impute(evals, tagged)`` with checks that the same job fills in: nothing is read or joined a second time."""
+    checks = AlignmentChecks(list(steps), Observation(), Observation(), Observation())
+    evals = evals.observe(checks.evals, F.count(F.when(F.size("token_logprob") != F.size("token_ids"), 1)).alias("unequal"))
+    scores = impute(evals, tagged.observe(checks.tagged, F.count("*").alias("n")))
+    per_step = [F.count(F.when(F.col("step") == s, 1)).alias(f"step{s}") for s in steps]
+    return scores.observe(checks.scores, *per_step), checks
+
+
 def grid_completeness(outcomes: DataFrame, run_keys: list[str], across: str) -> DataFrame:
     """Distinct row counts per step, per run, one column per value of ``across``."""
     per_step = outcomes.groupBy(*run_keys, "step").agg(F.count("*").alias("len"))

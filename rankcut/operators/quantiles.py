@@ -56,3 +56,15 @@ def nearest_quantiles(
 ) -> DataFrame:
     """Quantiles without interpolation: the element at ``floor((n-1)q + 1/2)``."""
     return order_statistics(df, keys, value, {k: nearest_index(q) for k, q in quantiles.items()}, extra, slices)
+
+
+def linear_quantiles(
+    df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float], extra: list[Column] = (), slices: int | None = None
+) -> DataFrame:
+    """Quantiles interpolated between the elements on either side of ``(n-1)q``."""
+    place = {k: (F.col("n") - 1) * F.lit(float(q)) for k, q in quantiles.items()}
+    sides = {f"_low_{k}": F.floor(at) for k, at in place.items()} | {f"_high_{k}": F.ceil(at) for k, at in place.items()}
+    found = order_statistics(df, keys, value, sides, extra, slices)
+    low = {k: F.col(f"_low_{k}") for k in quantiles}
+    between = {k: low[k] + (F.col(f"_high_{k}") - low[k]) * (at - F.floor(at)) for k, at in place.items()}
+    return found.withColumns(between).drop(*sides)

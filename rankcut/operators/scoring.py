@@ -7,8 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rankcut.functions.arrays import left_pad
 from rankcut.operators.ordering import join_groups, row_index
@@ -204,6 +206,40 @@ def evaluate(
     return planned.groupBy("batch_id").applyInPandas(run, "uid long, step long, token_logprob array<double>, token_ids array<int>")
 
 
+def score_spans(
+    docs: DataFrame, load: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]], window: int = 512, step: int = 256, batch_size: int = 64, at_step: int = 0, pad: int = PAD_ID
+) -> DataFrame:
+    """Score documents with a model that every Python worker loads once: ``uid, step, token_logprob, token_ids``.
+
+    ``load()`` returns ``model(inputs, targets)``, which gets two arrays of ``batch_size`` spans (the last batch of a partition may be
+    smaller) by ``window`` tokens, padded on the left, and returns the log probability of every target. Documents are cut into context
+    spans and each target is scored once (``span_plan``). Spans are independent rows, so batches are filled whatever the
+    documents' lengths; only scores meet again by ``uid``. Documents of fewer than two tokens get empty arrays.
+    """
+
+    def make_predict() -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        model = load()
+        return lambda inputs, targets: np.asarray(model(inputs.astype(np.int64), targets.astype(np.int64)), dtype=np.float64)
+
+    shape = [window]
+    predict = predict_batch_udf(make_predict, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size, input_tensor_shapes=[shape, shape])
+    spans = docs.select("uid", "input_ids", F.inline(span_plan(F.size("input_ids"), window, step)))
+    size, first = (F.col("end") - F.col("start")).cast("int"), F.col("start").cast("int")
+    tokens = lambda at: left_pad(F.slice("input_ids", at, size), F.lit(window), F.lit(pad))
+    rows = spans.select("uid", "start", F.col("scored").cast("int").alias("scored"), tokens(first + 1).alias("inputs"), tokens(first + 2).alias("targets"))
+    scored = rows.withColumn("logprob", predict("inputs", "targets"))
+    last = lambda c: F.slice(c, F.lit(window) - F.col("scored") + 1, F.col("scored"))
+    parts = scored.select("uid", F.struct("start", last(F.col("logprob")).alias("logprob"), last(F.col("targets")).alias("ids")).alias("s"))
+    per_doc = parts.groupBy("uid").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    joined = docs.select("uid").join(per_doc, "uid", "left")
+    return joined.select(
+        "uid",
+        F.lit(at_step).cast("long").alias("step"),
+        F.coalesce(F.flatten("s.logprob"), F.array().cast("array<double>")).alias("token_logprob"),
+        F.coalesce(F.flatten("s.ids"), F.array().cast("array<int>")).alias("token_ids"),
+    )
+
+
 def score(docs: DataFrame, model: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> DataFrame:
     """Score with a user model: batches of ``(uid, input_ids)`` in, ``(uid, step, token_logprob, token_ids)`` out."""
     schema = "uid long, step long, token_logprob array<double>, token_ids array<int>"

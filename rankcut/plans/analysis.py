@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from rankcut.operators import align, labels, outcomes, quality, regress, smooth
 from rankcut.plans.catalog import on_fixture
-from rankcut.plans.fixtures import BASE, HALF_WIDTH, RUNS
+from rankcut.plans.fixtures import BASE, HALF_WIDTH, RUNS, STEPS
 from rankcut.plans.relational import KEYS, PARTS, SIZES, chain, effects, losses, runs
-from rankcut.plans.workflow import regression_data
+from rankcut.plans.workflow import bucketed_regression_data, regression_data
 from rankcut.sources import writers
 
 CELL = [*KEYS, "target"]
@@ -103,6 +103,18 @@ def _(fx):
     return regression_data(docs, evals, fx.log, BASE, HALF_WIDTH, run="run")
 
 
+@on_fixture(
+    "aln07_bucketed_runs",
+    """SELECT run, step, tok, round(median * f, 6) AS median, round(mean * f, 6) AS mean, round(std * f, 6) AS std, round(iqr * f, 6) AS iqr, num, treat
+       FROM fx_out, (SELECT run, 1 + 0.1e0 * run_no AS f FROM fx_runs WHERE run_no < 2) r""",
+)
+def _(fx):
+    """Two runs from tables bucketed by document."""
+    rows = writers.consolidated(fx.spark, fx.evals_path)
+    evals = {r: rows.where(F.col("run") == r).drop("run") for r in RUNS[:2]}
+    return bucketed_regression_data(fx.docs, evals, fx.log, BASE, HALF_WIDTH, buckets=8)
+
+
 # --- statistics ----------------------------------------------------------------------------------
 
 
@@ -145,7 +157,7 @@ def _(fx):
     return predicted(fx).select(*CELL, "tok", "treat", "fitted_off", "fitted_on")
 
 
-_WIN = f"""w AS (SELECT unnest([5, 10, 20, 50, 100, 200, 500, 1000, 2000, 5000]) AS window_size),
+_WIN = f"""w AS (SELECT unnest({regress.WINDOW_SIZES}) AS window_size),
 r AS (SELECT window_size, {CELL_SQL}, x, t, value FROM fx_long, w WHERE step = (SELECT max(step) FROM fx_reg) AND tok >= vocab_size - window_size AND tok < vocab_size + window_size),
 m AS (SELECT *, x - avg(x) OVER c AS dx, t - avg(t) OVER c AS dt, value - avg(value) OVER c AS dy FROM r WINDOW c AS (PARTITION BY window_size, {CELL_SQL})),
 s AS (SELECT window_size, {CELL_SQL}, count(*) AS n, sum(dx*dx) AS sxx, sum(dx*dt) AS sxt, sum(dt*dt) AS stt, sum(dx*dy) AS sxy, sum(dt*dy) AS sty, sum(dy*dy) AS syy FROM m GROUP BY ALL),
@@ -187,7 +199,7 @@ def _(fx):
 
 _LOESS = """rows AS (SELECT step, target, treat, tok::DOUBLE AS x, value AS y FROM fx_long WHERE model_size = '57M-tied' AND tokenizer = 'bpe'),
 edges AS (SELECT step, target, treat, min(x) AS lo, max(x) AS hi, count(*) AS n FROM rows GROUP BY ALL),
-grid AS (SELECT *, lo + g * ((hi - lo) / 19) AS x0 FROM edges, LATERAL (SELECT unnest(range(0, 20)) AS g)),
+grid AS (SELECT *, lo + g * ((hi - lo) / 79) AS x0 FROM edges, LATERAL (SELECT unnest(range(0, 80)) AS g)),
 meet AS (SELECT r.*, g.g, g.x0, g.n, abs(r.x - g.x0) AS d FROM rows r JOIN grid g USING (step, target, treat)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY step, target, treat, g ORDER BY d) AS rk FROM meet),
 width AS (SELECT *, max(d) FILTER (rk = least(greatest(ceil(n * 0.1e0), 2), n)) OVER (PARTITION BY step, target, treat, g) AS h FROM ranked),
@@ -200,7 +212,7 @@ s AS (SELECT step, target, treat, g, x0, sum(wt) s0, sum(wt*u) s1, sum(wt*u*u) s
     f"SELECT step, target, treat, CAST(g AS INTEGER) AS g, round(x0, 6) AS x0, round((s2*b0 - s1*b1)/(s0*s2 - s1*s1), 6) AS fit FROM (WITH {_LOESS} SELECT * FROM s) q",
 )
 def _(fx):
-    return smooth.loess(loess_rows(fx), ["step", "target", "treat"], "tok", "value", degree=1, points=20).drop("lower", "upper")
+    return smooth.loess(loess_rows(fx), ["step", "target", "treat"], "tok", "value", degree=1).drop("lower", "upper")
 
 
 @on_fixture("sta08_loess_quadratic")
@@ -273,6 +285,20 @@ def _(fx):
     return quality.alignment_completeness(fx.scores, cutoff_window(fx.tagged, "tok", BASE, HALF_WIDTH))
 
 
+@on_fixture(
+    "qa01_observed",
+    """SELECT step, count(*) AS joined, (SELECT count(*) FROM fx_tag WHERE tok >= 300 AND tok < 700) AS tagged, true AS complete,
+       (SELECT count(*) FROM fx_out) AS items, 0 AS unequal FROM fx_imp GROUP BY step""",
+)
+def _(fx):
+    """The job that writes the data also checks it."""
+    checks = []
+    table = regression_data(fx.docs, fx.evals, fx.log, BASE, HALF_WIDTH, checks=checks, steps=STEPS)
+    items = table.count()
+    rows = [(*row, items, checks[0].unequal_lengths()) for row in checks[0].completeness()]
+    return fx.spark.createDataFrame(rows, "step long, joined long, tagged long, complete boolean, items long, unequal int")
+
+
 @on_fixture(
     "qa02_grid_complete",
     """SELECT vocab_size, tokenizer, max(l) FILTER (model_size = '57M-tied') AS small, max(l) FILTER (model_size = '100M') AS large FROM

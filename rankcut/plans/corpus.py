@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from rankcut.operators import encode, scoring, suffixes, unigram, vocab
+from rankcut.operators import backoff, encode, scoring, suffixes, unigram, vocab
 from rankcut.plans.catalog import on_documents, on_fixture
 from rankcut.plans.fixtures import BASE
 from rankcut.plans.relational import CONSOLIDATED, consolidated_summary
@@ -224,6 +224,30 @@ def _(fx):
     return per_doc(ngram_evals(fx).where(F.col("step") == 4000))
 
 
+# Three quarters are subtracted from every count and go to the shorter context.
+TRIGRAM = f"""g AS MATERIALIZED (SELECT uid, pos, tok, lag(tok) OVER d AS p1, lag(tok, 2) OVER d AS p2 FROM fx_docs WINDOW d AS (PARTITION BY uid ORDER BY pos)),
+t AS (SELECT * FROM g WHERE uid % 5 > 0),
+g1 AS MATERIALIZED (SELECT tok, count(*) AS c FROM t GROUP BY tok), n1 AS (SELECT sum(c) AS n, count(*) AS k FROM g1),
+g2 AS MATERIALIZED (SELECT p1, tok, count(*) AS c FROM t WHERE p1 IS NOT NULL GROUP BY ALL), n2 AS MATERIALIZED (SELECT p1, sum(c) AS n, count(*) AS k FROM g2 GROUP BY p1),
+g3 AS MATERIALIZED (SELECT p2, p1, tok, count(*) AS c FROM t WHERE p2 IS NOT NULL GROUP BY ALL), n3 AS MATERIALIZED (SELECT p2, p1, sum(c) AS n, count(*) AS k FROM g3 GROUP BY ALL),
+s1 AS (SELECT g.*, coalesce(g1.c - 0.75e0, 0) / n1.n + 0.75e0 * n1.k / n1.n / {BASE} AS q1 FROM g CROSS JOIN n1 LEFT JOIN g1 ON g.tok = g1.tok WHERE pos > 0),
+s2 AS (SELECT s1.*, CASE WHEN n2.n IS NULL THEN q1 ELSE coalesce(g2.c - 0.75e0, 0) / n2.n + 0.75e0 * n2.k / n2.n * q1 END AS q2
+  FROM s1 LEFT JOIN n2 ON s1.p1 = n2.p1 LEFT JOIN g2 ON s1.p1 = g2.p1 AND s1.tok = g2.tok),
+s3 AS (SELECT s2.*, CASE WHEN n3.n IS NULL THEN q2 ELSE coalesce(g3.c - 0.75e0, 0) / n3.n + 0.75e0 * n3.k / n3.n * q2 END AS q3
+  FROM s2 LEFT JOIN n3 ON s2.p2 = n3.p2 AND s2.p1 = n3.p1 LEFT JOIN g3 ON s2.p2 = g3.p2 AND s2.p1 = g3.p1 AND s2.tok = g3.tok)"""
+
+
+@on_fixture(
+    "sco04_score_trigram",
+    f"""SELECT l.uid, 7 AS step, count(tok) AS n, round(coalesce(sum(CASE WHEN tok = 0 THEN 0e0 ELSE ln(q3) END), 0e0), 6) AS total
+        FROM (WITH {TRIGRAM} SELECT * FROM s3) q RIGHT JOIN fx_len l ON l.uid = q.uid GROUP BY l.uid""",
+)
+def _(fx):
+    """Back-off over three orders, fitted on four fifths of the documents."""
+    model = backoff.fit_backoff(fx.docs.where(F.col("uid") % 5 > 0), BASE, order=3)
+    return per_doc(backoff.score_backoff(fx.docs, model, step=7))
+
+
 @on_fixture(
     "sco05_checkpoints",
     f"""SELECT uid, step, count(tok) AS n, round(coalesce(sum(CASE WHEN tok = 0 THEN 0e0 WHEN step = 0 THEN s0 WHEN step = 2000 THEN s1 ELSE s2 END), 0e0), 6) AS total
@@ -276,6 +300,17 @@ def _(fx):
     return per_doc(scoring.score(fx.docs, model).where(F.size("token_ids") > 0))
 
 
+@on_fixture("udf02_predict_batch", "SELECT l.uid, 3 AS step, l.n - 1 AS n, round(coalesce(total, 0e0), 6) AS total FROM fx_len l LEFT JOIN (SELECT uid, sum(-ln(1e0 + tok)) AS total FROM fx_docs WHERE pos > 0 GROUP BY uid) q USING (uid)")
+def _(fx):
+    """A model that each worker loads once, in batches of context spans."""
+
+    def load():
+        table = -np.log1p(np.arange(BASE))
+        return lambda inputs, targets: table[targets]
+
+    return per_doc(scoring.score_spans(fx.docs, load, window=128, step=64, batch_size=256, at_step=3))
+
+
 @on_fixture("stm01_incremental_consolidation", CONSOLIDATED)
 def _(fx):
     spark = fx.spark

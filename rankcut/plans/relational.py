@@ -13,7 +13,7 @@ from rankcut.operators.encode import split_order
 from rankcut.plans.catalog import on_documents, on_fixture
 from rankcut.plans.fixtures import BASE, HALF_WIDTH, RUNS, STAMP, Fixture
 from rankcut.session import new_path, stage
-from rankcut.sources import readers, writers
+from rankcut.sources import arrow_folder, readers, writers
 
 KEYS = ["model_size", "vocab_size", "tokenizer", "step"]
 NAMES = {"bpe": "BPE", "wordpiece": "WordPiece", "bpe2wp": "BPE2WP"}
@@ -81,6 +81,15 @@ def _(fx):
     )
 
 
+@on_documents("src04_arrow_folder", "SELECT doc_id, lang, n_chars, octet_length(encode(text))::BIGINT AS n_bytes FROM documents")
+def _(docs):
+    """Written as Arrow files; of the columns only those of the schema are read back."""
+    path = new_path(docs.sparkSession, "arrow")
+    arrow_folder.write_arrow_folder(docs, path)
+    rows = arrow_folder.read_arrow_folder(docs.sparkSession, path, "doc_id long, lang string, n_chars long, text string")
+    return rows.select("doc_id", "lang", "n_chars", F.octet_length("text").cast("long").alias("n_bytes"))
+
+
 @on_documents("src05_bounded_read", "SELECT text FROM documents ORDER BY doc_id LIMIT 500")
 def _(docs):
     return readers.read_corpus(docs, [F.col("doc_id")], 500)
@@ -353,6 +362,16 @@ def _(fx):
     return quantiles.nearest_quantiles(rows, ["step", "tok"], "logprob", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
 
 
+@on_fixture(
+    "agg04_quantile_linear",
+    """SELECT step, tok, n, round(quantile_cont(s, 0.5), 6) AS median, round(quantile_cont(s, 0.25), 6) AS q25, round(quantile_cont(s, 0.9), 6) AS q90
+       FROM (SELECT *, count(*) OVER (PARTITION BY step, tok) AS n FROM fx_occ) q GROUP BY step, tok, n""",
+)
+def _(fx):
+    rows = stage(outcomes.occurrence_scores(fx.scores), "occurrences")
+    return quantiles.linear_quantiles(rows, ["step", "tok"], "logprob", {"median": 0.5, "q25": 0.25, "q90": 0.9})
+
+
 @on_fixture("agg05_count", "SELECT step, tok, count(*) AS num FROM fx_occ GROUP BY step, tok")
 def _(fx):
     return outcomes.occurrence_scores(fx.scores).groupBy("step", "tok").agg(F.count("*").alias("num"))

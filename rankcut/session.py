@@ -75,6 +75,18 @@ def stage(df: DataFrame, name: str = "stage", partition_by: list[str] | None = N
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: list[str], buckets: int, name: str = "table") -> DataFrame:
+    """Write ``df`` to the shared folder once, dealt into ``buckets`` by ``keys`` and sorted, and read it back.
+
+    Tables with equal keys and bucket numbers are joined, and grouped by these keys, where they lie: no row is shuffled again,
+    however often they are read.
+    """
+    spark = df.sparkSession
+    unique = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", new_path(spark, name)).saveAsTable(unique)
+    return spark.table(unique)
+
+
 def unstage(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing will read again."""
     spark = df.sparkSession

@@ -6,7 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rankcut.operators import align, ordering, outcomes, quality
-from rankcut.plans.workflow import regression_data
+from rankcut.plans.workflow import bucketed_regression_data, regression_data
+from rankcut.session import bucketed
 
 
 def docs_of(spark, rows):
@@ -213,3 +214,58 @@ def test_cross_entropy_is_macro_averaged(spark):
     assert outcomes.cross_entropy(evals, ["step"]).collect()[0]["token_logprob"] == 1.5
     docs = docs_of(spark, [(1, [1, 2]), (2, [3])])
     assert outcomes.cross_entropy(evals, ["step"], docs).collect()[0]["token_logprob"] == 2.0
+
+
+def some_run(spark, n=40):
+    rng = random.Random(2)
+    ids = {u: [rng.randrange(1, 6) for _ in range(rng.randrange(2, 30))] for u in range(n)}
+    docs = docs_of(spark, list(ids.items()))
+    evals = evals_of(spark, [(u, s, [-rng.random() for _ in x], x) for u, x in ids.items() for s in (0, 10)])
+    log = spark.createDataFrame([([1, 2], "ab", 6, "a", "b", 5), ([3, 3], "cc", 7, "c", "c", 4)], "pair array<int>, new_token string, new_token_id int, part_a string, part_b string, count long")
+    return docs, evals, log
+
+
+def test_bucketed_runs_are_not_shuffled_by_document(spark):
+    docs, evals, log = some_run(spark)
+    runs = {"r1": evals, "r2": evals.withColumn("token_logprob", F.transform("token_logprob", lambda x: x * 2))}
+    got = bucketed_regression_data(docs, runs, log, 6, 3, buckets=3)
+    for run, rows in runs.items():
+        expected = sorted(map(tuple, regression_data(docs, rows, log, 6, 3).collect()))
+        found = sorted(tuple(r)[:8] for r in got.where(F.col("run") == run).collect())
+        assert len(found) == len(expected) > 5 and all(a == pytest.approx(b) for a, b in zip(found, expected))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        placed, scored = bucketed(docs, ["uid"], 3, "docs"), bucketed(evals, ["uid"], 3, "evals")
+        merges = align.window_sized(align.imputed_merges(align.merges_window(log, 6, 3), 6), 3)
+        tagged = align.tag_rows(align.token_rows_with_neighbours(align.trim_docs(placed, scored)), merges)
+        summed = outcomes.occurrence_scores(align.impute_scores(align.score_offset(scored, placed), tagged))
+        plan = summed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    exchanged = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "uid" in line]
+    assert "SortMergeJoin" in plan and not exchanged
+
+
+def test_checks_are_taken_while_the_data_is_written(spark):
+    docs, evals, log = some_run(spark)
+    wrong = evals.withColumn("token_ids", F.when(F.col("uid").between(3, 9) & (F.col("step") == 10), F.slice("token_ids", 1, 1)).otherwise(F.col("token_ids")))
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+
+    def jobs(group, **options):
+        context.setJobGroup(group, group)
+        table = regression_data(docs, evals, log, 6, 3, **options)
+        rows = sorted(map(tuple, table.collect()))
+        context.setLocalProperty("spark.jobGroup.id", None)
+        return rows, len(tracker.getJobIdsForGroup(group))
+
+    checks = []
+    plain, checked = jobs("plain"), jobs("checked", checks=checks, steps=[0, 10])
+    assert checked == plain  # the same rows by the same number of jobs
+    tagged = align.tag_rows(align.token_rows_with_neighbours(docs), align.imputed_merges(align.merges_window(log, 6, 3), 6)).where("tok >= 3 and tok < 9").count()
+    assert checks[0].completeness() == [(0, tagged, tagged, True), (10, tagged, tagged, True)] and checks[0].unequal_lengths() == 0
+    checks = []
+    regression_data(docs, wrong, log, 6, 3, checks=checks, steps=[0, 10], complete=False).collect()
+    assert checks[0].unequal_lengths() == 7 and [c[3] for c in checks[0].completeness()] == [True, False]

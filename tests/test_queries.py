@@ -15,12 +15,14 @@ pytestmark = pytest.mark.skipif(not SF_DIR.exists(), reason="test tables are not
 # One query per family; tools/check_queries.py runs all of them.
 SAMPLE = [
     "src02_glob_with_path",
+    "src04_arrow_folder",
     "src07_vocab_document",
     "snk03_consolidate_checkpoints",
     "flt07_global_max",
     "joi04_shifted_self_join",
     "joi08_anti_join",
     "agg04_quantile_nearest",
+    "agg04_quantile_linear",
     "agg10_two_level",
     "win01_lead",
     "win03_centre",
@@ -28,7 +30,9 @@ SAMPLE = [
     "str09_run_name",
     "arr05_explode_together",
     "aln04_tag_pairs",
+    "aln04_tag_pairs_greedy",
     "aln07_regression_data",
+    "aln07_bucketed_runs",
     "aln07_all_runs",
     "sco06_evaluate",
     "qa03_token_agreement",
@@ -39,9 +43,13 @@ SAMPLE = [
     "tok01_words",
     "tok03_first_pairs",
     "sco01_pack_batches",
+    "tok05_seed_substrings",
+    "sco04_score_trigram",
     "sco05_checkpoints",
     "qa01_alignment_complete",
+    "qa01_observed",
     "udf02_user_model",
+    "udf02_predict_batch",
     "stm01_incremental_consolidation",
 ]
 

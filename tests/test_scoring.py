@@ -1,11 +1,13 @@
 import math
+import os
 import random
+import uuid
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rankcut.operators import ordering, scoring
+from rankcut.operators import backoff, ordering, scoring
 
 
 def docs_of(spark, lengths):
@@ -117,3 +119,66 @@ def test_evaluation_in_batches_and_spans(spark, budget, window, step):
     rows = {r["uid"]: r for r in scoring.evaluate(docs, lambda inputs, targets: targets * -0.5, budget, window, step, at_step=7).collect()}
     assert {u: list(r["token_ids"]) for u, r in rows.items()} == {u: x[1:] for u, x in ids.items()}
     assert all(list(r["token_logprob"]) == [-0.5 * t for t in r["token_ids"]] and r["step"] == 7 for r in rows.values())
+
+
+def backoff_by_definition(train, vocab_size, order, d=0.75):
+    """P(w | h) by recursion over counts in Python."""
+    counts: dict[tuple, dict[int, int]] = {}
+    for ids in train:
+        for i in range(len(ids)):
+            for n in range(min(i, order - 1) + 1):
+                seen = counts.setdefault(tuple(ids[i - n : i]), {})
+                seen[ids[i]] = seen.get(ids[i], 0) + 1
+
+    def p(w, h):
+        lower = p(w, h[1:]) if h else 1 / vocab_size
+        seen = counts.get(h)
+        if not seen:
+            return lower
+        total = sum(seen.values())
+        return max(seen.get(w, 0) - d, 0) / total + d * len(seen) / total * lower
+
+    return p
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_backoff_scorer(spark, order):
+    rng = random.Random(order)
+    train = [[rng.choice([1, 1, 2, 3, 4, 5]) for _ in range(rng.randrange(0, 30))] for _ in range(12)]
+    p = backoff_by_definition(train, 9, order)
+    model = backoff.fit_backoff(spark.createDataFrame(list(enumerate(train)), "uid long, input_ids array<int>"), 9, order)
+    docs = [[rng.randrange(1, 9) for _ in range(rng.randrange(0, 15))] for _ in range(20)] + [[3, 0, 1], [], [4]]
+    rows = {r["uid"]: r for r in backoff.score_backoff(spark.createDataFrame(list(enumerate(docs)), "uid long, input_ids array<int>"), model, step=5).collect()}
+    assert len(rows) == len(docs) and all(r["step"] == 5 for r in rows.values())
+    for u, ids in enumerate(docs):
+        assert list(rows[u]["token_ids"]) == ids[1:]
+        expected = [0.0 if ids[i] == 0 else math.log(p(ids[i], tuple(ids[max(0, i - order + 1) : i]))) for i in range(1, len(ids))]
+        assert rows[u]["token_logprob"] == pytest.approx(expected)
+
+
+def test_backoff_probabilities_of_a_context_sum_to_one(spark):
+    train = spark.createDataFrame([(1, [1, 2, 1, 2, 3]), (2, [2, 4, 1, 2])], "uid long, input_ids array<int>")
+    model = backoff.fit_backoff(train, 6)
+    contexts = [[1, 2], [2, 1], [5, 2], [5, 5], [3, 5]]
+    docs = spark.createDataFrame([(100 * k + w, [*h, w]) for k, h in enumerate(contexts) for w in range(6)], "uid long, input_ids array<int>")
+    sums: dict[int, float] = {}
+    for r in backoff.score_backoff(docs, model, pad=-1).collect():
+        sums[r["uid"] // 100] = sums.get(r["uid"] // 100, 0.0) + math.exp(r["token_logprob"][-1])
+    assert sums == pytest.approx(dict.fromkeys(range(5), 1.0))
+    empty = backoff.fit_backoff(train.limit(0), 6)
+    assert [r["token_logprob"] for r in backoff.score_backoff(docs.limit(1), empty, pad=-1).collect()] == [pytest.approx([-math.log(6)] * 2)]
+
+
+def test_span_scoring_loads_a_model_once_per_worker(spark, tmp_path):
+    def load():
+        (tmp_path / f"{os.getpid()}-{uuid.uuid4().hex}").touch()
+        return lambda inputs, targets: -0.5 * targets - 0.01 * inputs
+
+    ids = {u: np.random.default_rng(u).integers(1, 50, n).tolist() for u, n in enumerate([0, 1, 2, 3, 9, 9, 17, 30] * 5)}
+    docs = spark.createDataFrame(list(ids.items()), "uid long, input_ids array<int>").repartition(6)
+    rows = {r["uid"]: r for r in scoring.score_spans(docs, load, window=4, step=2, batch_size=3, at_step=7).collect()}
+    assert {u: list(r["token_ids"]) for u, r in rows.items()} == {u: x[1:] for u, x in ids.items()}
+    for u, x in ids.items():
+        assert rows[u]["step"] == 7 and rows[u]["token_logprob"] == pytest.approx([-0.5 * b - 0.01 * a for a, b in zip(x, x[1:])])
+    workers = [f.name.split("-")[0] for f in tmp_path.iterdir()]
+    assert workers and len(workers) == len(set(workers))

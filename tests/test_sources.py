@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from rankcut.sources import readers, writers
+from rankcut.sources import arrow_folder, readers, writers
 from rankcut.streaming.consolidate import consolidate_available
 
 
@@ -85,3 +85,35 @@ def test_writing_over_existing_results_fails(spark, tmp_path):
         writers.write_parquet(df, path)
     writers.append_batches(df, path)
     assert spark.read.parquet(path).count() == 6
+
+
+def test_arrow_folder_round_trip(spark, tmp_path):
+    rows = [(i, f"text {i} é" if i % 7 else None, [i, i + 1], i / 2) for i in range(500)]
+    df = spark.createDataFrame(rows, "uid long, text string, ids array<int>, x double").repartition(4)
+    path = str(tmp_path / "folder")
+    arrow_folder.write_arrow_folder(df, path)
+    back = arrow_folder.read_arrow_folder(spark, path)
+    assert dict(back.dtypes) == dict(df.dtypes) and sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+    assert back.rdd.getNumPartitions() == len(arrow_folder.data_files(path)) == 4
+    some = arrow_folder.read_arrow_folder(spark, path, "x double, uid long")
+    assert sorted(map(tuple, some.collect())) == sorted((r[3], r[0]) for r in rows)
+    # Files that the list does not name are those of lost tasks.
+    (tmp_path / "folder" / "data-lost.arrow").write_bytes(b"half a file")
+    assert arrow_folder.read_arrow_folder(spark, f"file://{path}").count() == 500
+    arrow_folder.write_arrow_folder(df.limit(10), path)
+    assert arrow_folder.read_arrow_folder(spark, path).count() == 510
+    arrow_folder.write_arrow_folder(df.limit(0), path, mode="overwrite")
+    empty = arrow_folder.read_arrow_folder(spark, path)
+    assert empty.columns == df.columns and empty.collect() == []
+
+
+def test_arrow_folder_of_another_writer(spark, tmp_path):
+    """Plain stream files without a list, in order of their names."""
+    import pyarrow as pa
+
+    for k in range(3):
+        table = pa.table({"input_ids": pa.array([[k], [k, k]], pa.list_(pa.uint16())), "uid": pa.array([2 * k, 2 * k + 1], pa.int32())})
+        with pa.OSFile(str(tmp_path / f"data-0000{k}-of-00003.arrow"), "wb") as f, pa.ipc.new_stream(f, table.schema) as out:
+            out.write_table(table, max_chunksize=1)
+    rows = arrow_folder.read_arrow_folder(spark, str(tmp_path), "uid long, input_ids array<int>").collect()
+    assert sorted(map(tuple, rows)) == [(0, [0]), (1, [0, 0]), (2, [1]), (3, [1, 1]), (4, [2]), (5, [2, 2])]

@@ -1,11 +1,13 @@
 import math
 import random
+from functools import reduce
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankcut.operators import quantiles, regress, smooth
+from rankcut.operators import outcomes, quantiles, regress, smooth
 from rankcut.operators.filters import at_global_max, drop_incomplete, override
 
 
@@ -23,6 +25,9 @@ def test_nearest_quantiles_against_brute_force(spark, slices):
         for name, q in qs.items():
             assert got[k][name] == ordered[math.floor((len(ordered) - 1) * q + 0.5)], (k, name)
         assert got[k]["n"] == len(values)
+    got = {r["k"]: r for r in quantiles.linear_quantiles(df, ["k"], "v", qs, [F.avg("v").alias("mean")], slices).collect()}
+    for k, values in groups.items():
+        assert [got[k][name] for name in qs] == pytest.approx([np.quantile(values, q) for q in qs.values()]) and got[k]["mean"] == pytest.approx(np.mean(values))
         assert got[k]["mean"] == pytest.approx(sum(values) / len(values))
 
 
@@ -110,6 +115,54 @@ def test_window_sensitivity_uses_the_global_last_step(spark):
     assert len(got) == 12
 
 
+def sweep_by_rows(df, keys, windows, vocab_sizes=None):
+    """Every row repeated for every window that holds it, and each window fitted on its own rows."""
+    last = at_global_max(df, "step")
+    last = last.where(F.col("vocab_size").isin(vocab_sizes)) if vocab_sizes else last
+    every = [last.where((F.col("tok") >= F.col("vocab_size") - w) & (F.col("tok") < F.col("vocab_size") + w)).withColumn("window_size", F.lit(w)) for w in windows]
+    long = outcomes.unpivot_targets(reduce(DataFrame.unionByName, every), ["window_size", *keys, "tok", "treat"])
+    return regress.fit_cells(long, ["window_size", *keys, "target"], F.col("tok") / 1000)
+
+
+def test_window_sweep_equals_fits_of_every_window(spark):
+    """Far from zero, with gaps, nulls and cells that end on one side, in several batches and files."""
+    rng = random.Random(4)
+    rows = []
+    for model, size in (("a", 100_000), ("b", 100_000), ("c", 90_000), (None, 100_000)):
+        for t in range(size - 400, size + 400):
+            if rng.random() < 0.6 and not (model == "b" and t >= size + 20):
+                y = 1e4 + (t - size) * 0.01 + (t < size) * 2
+                values = [y + rng.gauss(0, 1), None if rng.random() < 0.1 else y, float("nan") if rng.random() < 0.1 else rng.random(), 3.0]
+                rows.append((model, size, "bpe", 2000, t, t < size, *values))
+    rows += [("a", 100_000, "bpe", 1000, t, t < 100_000, 1.0, 1.0, 1.0, 1.0) for t in range(99_990, 100_010)]
+    schema = "model_size string, vocab_size int, tokenizer string, step long, tok long, treat boolean, mean double, median double, std double, iqr double"
+    df = spark.createDataFrame(rows, schema).repartition(5)
+    keys, windows = ["model_size", "vocab_size", "tokenizer", "step"], [5, 20, 50, 300, 1000]
+    for sizes in (None, [100_000]):
+        got = {tuple(r[:6]): r for r in regress.window_sensitivity(df, keys, windows, sizes).collect()}
+        expected = {tuple(r[:6]): r for r in sweep_by_rows(df, keys, windows, sizes).collect()}
+        assert got.keys() == expected.keys() and len(got) == (80 if sizes is None else 60)
+        for k, r in expected.items():
+            assert got[k]["status"] == r["status"] and got[k]["n"] == r["n"]
+            for c in ("intercept", "slope", "ate", "se", "r2"):
+                # Constant targets leave nothing but rounding.
+                if r[c] is None:
+                    assert got[k][c] is None or k[5] == "iqr" and c == "r2"
+                else:
+                    assert got[k][c] == pytest.approx(r[c], rel=1e-6, abs=1e-6) or k[5] == "iqr" and c in ("r2", "se")
+
+
+def test_window_moments_read_the_table_once_and_repeat_no_row(spark, tmp_path):
+    rows = [("a", 500, 1, t, t < 500, 1.0 * t, 1.0, 2.0, 3.0) for t in range(300, 700)]
+    spark.createDataFrame(rows, "model string, vocab_size int, step long, tok long, treat boolean, mean double, median double, std double, iqr double").coalesce(2).write.parquet(f"{tmp_path}/t")
+    parts = regress.window_moments(spark.read.parquet(f"{tmp_path}/t"), ["model", "step", "vocab_size"], [5, 50, 100], 1000.0, outcomes.TARGETS)
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Generate" not in plan and "Expand" not in plan and "Exchange" not in plan
+    kept = parts.where("ring >= 0")
+    assert kept.agg(F.sum("n")).first()[0] == 4 * 200  # every row in reach once per target
+    assert kept.count() <= 2 * 4 * 3 * 2  # files, targets, rings, sides
+
+
 def test_line_smoother_band(spark):
     rng = np.random.default_rng(6)
     x = np.arange(30.0)
@@ -143,6 +196,28 @@ def test_loess_against_brute_force(spark, degree):
         assert got[g]["lower"] < got[g]["fit"] < got[g]["upper"]
 
 
+@pytest.mark.parametrize("block", [1, 3, 16])
+def test_loess_over_blocks_against_brute_force(spark, block):
+    """Ties in x, several groups, and windows whose edges lie in other blocks than their centres."""
+    rng = np.random.default_rng(block)
+    rows = []
+    for name, n in (("a", 70), ("b", 9), ("c", 1), ("d", 200)):
+        xs = np.round(rng.exponential(3, n), 1)
+        rows += [(name, float(a), float(np.cos(a) + rng.normal(0, 0.2))) for a in xs]
+    df = spark.createDataFrame(rows + [(None, 1.0, 1.0), ("a", None, 1.0), ("a", 1.0, None), ("a", 1.0, float("nan"))], "g0 string, x double, y double")
+    got = {(r["g0"], r["g"]): r for r in smooth.loess(df, ["g0"], "x", "y", span=0.4, degree=1, points=11, block=block).collect()}
+    assert len(got) == 44
+    for name in "abcd":
+        x, y = (np.array([r[k] for r in rows if r[0] == name]) for k in (1, 2))
+        for g, x0 in enumerate(x.min() + np.arange(11) * ((x.max() - x.min()) / 10)):
+            d = np.abs(x - x0)
+            h = np.sort(d)[min(max(math.ceil(0.4 * len(x)), 2), len(x)) - 1]
+            w = np.where(d < h, (1 - (d / h) ** 3) ** 3, d == 0) if h > 0 else (d == 0).astype(float)
+            X = np.vander((x - x0) / (h or 1.0), 2, increasing=True)
+            m = X.T @ (X * w[:, None])
+            assert got[name, g]["fit"] == pytest.approx((np.linalg.pinv(m) @ (X.T @ (w * y)))[0], abs=1e-6)
+
+
 def test_filters(spark):
     df = spark.createDataFrame([(0, 1.0), (5, float("nan")), (5, None), (5, 2.0)], "step int, v double")
     assert [r["v"] for r in drop_incomplete(df, ["v"]).orderBy("v").collect()] == [1.0, 2.0]
