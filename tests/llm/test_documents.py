@@ -188,10 +188,10 @@ def test_overlaps_tolerate_substitutions(spark, benchmark, nothing):
     item = prose(40, 501).split(" ")
     swapped = [w if i % 9 else "other" for i, w in enumerate(item)]
     half = item[:8] + [f"q{i}" for i in range(40)]
-    texts = [(1, f"{prose(300, 9)} {prose(40, 501).upper()}. {prose(10, 8)}"), (2, " ".join(swapped)), (3, " ".join(half)), (4, prose(500, 10)), (5, prose(9, 504)), (6, None), (None, f"x {prose(25, 503)}"), (7, ""), (1, prose(40, 501))]
+    texts = [(1, f"{prose(300, 9)} {prose(40, 501).upper()}. {prose(10, 8)}"), (2, " ".join(swapped)), (3, " ".join(half)), (4, prose(500, 10)), (5, prose(9, 504)), (6, None), (None, f"x {prose(25, 503)}"), (7, ""), (1, prose(40, 501)), (8, "this is, of all things, TOO SHORT indeed")]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     found = {(r["doc_id"], r["item_id"]): (r["matched"], r["compared"]) for r in find_overlaps(docs, benchmark).collect()}
-    assert set(found) == {(1, 1), (2, 1), (5, 5), (None, None)}
+    assert set(found) == {(1, 1), (2, 1), (5, 5), (None, None), (8, 3)}
     assert found[1, 1] == (16, 16) and found[2, 1][0] < 16 and found[5, 5] == (9, 9)
     kept = decontaminate(docs, benchmark).collect()
     assert sorted((str(r["doc_id"]) for r in kept)) == ["3", "4", "6", "7"]
@@ -207,8 +207,46 @@ def test_large_benchmarks_are_joined_by_a_shuffle(spark, benchmark, monkeypatch)
     assert {tuple(r) for r in find_overlaps(docs, benchmark).collect()} == few != set()
 
 
-def test_decontamination_keeps_every_column(awkward, benchmark):
-    assert decontaminate(awkward, benchmark).schema.names == awkward.schema.names
+def test_decontamination_keeps_every_column(spark, awkward, benchmark):
+    out = decontaminate(awkward, benchmark)
+    assert out.schema.names == awkward.schema.names and out.count() == awkward.count()
+    leak = awkward.withColumn("text", F.when(F.col("doc_id") == 7, F.concat(F.col("text"), F.lit(f" {prose(40, 501)}"))).otherwise(F.col("text")))
+    assert decontaminate(leak, benchmark).count() == awkward.count() - 1  # at the end of 60,000 words
+    assert {r["doc_id"] for r in find_overlaps(leak, benchmark).collect()} == {7}
+
+
+def windows_with(item, text, window=16, least=12):
+    """Whether some window of the item agrees with the text in enough places, laid on in any way."""
+    n = min(window, len(item))
+    for shift in range(-len(item), len(text) + 1):
+        same = [0 <= i + shift < len(text) and text[i + shift] == w for i, w in enumerate(item)]
+        if any(sum(same[k : k + n]) >= least for k in range(len(item) - n + 1)):
+            return True
+    return False
+
+
+def test_every_overlap_by_the_rule_is_found(spark):
+    """Fragments of 16 tokens of which four are others, wherever these stand; brute force says what the rule finds."""
+    rnd = random.Random(8)
+    item = prose(40, 601).split()
+    texts = []
+    for i in range(400):
+        start, bad = rnd.randrange(0, 25), set(rnd.sample(range(16), 4 if i % 4 else 5))
+        part = [f"z{i}x{k}" if k in bad else w for k, w in enumerate(item[start : start + 16])]
+        texts.append([f"a{k}" for k in range(5)] + part + [f"b{k}" for k in range(5)])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"] for r in find_overlaps(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    expected = {i for i, t in enumerate(texts) if windows_with(item, t)}
+    assert found == expected and len(expected) == 300
+
+
+def test_masks_fit_between_any_four_substitutions():
+    from itertools import combinations
+
+    from rankcut.llm.decontaminate import MASKS, WINDOW
+
+    laid = [{s + i for i, bit in enumerate(m) if bit == "1"} for m in MASKS for s in range(WINDOW - len(m) + 1)]
+    assert all(any(not places & set(bad) for places in laid) for bad in combinations(range(WINDOW), 4))
 
 
 # Licenses
@@ -255,38 +293,39 @@ def test_common_words_beside_a_statement_weigh_little(spark):
 
 
 def best_passage(text, name, idf):
-    """Every run, line, header block and license file against every template, one at a time."""
-    from rankcut.llm.licenses import LICENSE_FILES, RUN, template_terms
+    """Every run, line, header block and license file against every template, one at a time: (rank, similarity negated, license)."""
+    from rankcut.llm.licenses import IDENTIFIED, LICENSE_FILES, RANKS, RUN, rules, template_terms
 
     lines = [template_terms(line) for line in text.split("\n")]
     every = sum(lines, [])
     header = template_terms(re.split(r"\n[^\S\n]*\n", re.sub(r"^\s+", "", text))[0])
     runs = [every[i : i + n] for i in range(len(every)) for n in range(1, RUN + 1) if i + n <= len(every)]
     passages = {tuple(p) for p in [*runs, *lines, header, *([every] if name in LICENSE_FILES else [])] if p}
-    templates = [(license, Counter(template_terms(s))) for license, s in TEMPLATES]
+    templates = [(license, Counter(template_terms(s)), *rules(s)) for license, s in TEMPLATES]
 
     def length(tf):
         return np.sqrt(sum((n * idf(t)) ** 2 for t, n in tf.items()))
 
-    scores = []
+    scores = [(0, -1.0, IDENTIFIED[t]) for t in every if t in IDENTIFIED]
     for tf in map(Counter, passages):
-        for license, of in templates:
+        for license, of, required, forbidden in templates:
             dot = sum(n * of[t] * idf(t) ** 2 for t, n in tf.items())
-            if dot:
-                scores.append((-round(dot / (length(tf) * length(of)), 9), license))
-    return min(scores, default=(0, None))
+            similarity = round(dot / (length(tf) * length(of)), 9)
+            if similarity >= 0.75 and set(required) <= set(tf) and not set(forbidden) & set(tf):
+                scores.append((RANKS.get(license, 0), -similarity, license))
+    return min(scores, default=None)
 
 
 def test_passages_equal_brute_force(spark):
     rnd = random.Random(5)
-    pool = "the of this work is software all and here acme see for details license".split()
+    pool = "the of this work is software all and here acme see for details license lesser version 2 3 mit gnu".split()
     texts = []
-    for i in range(30):
+    for i in range(2 * len(TEMPLATES)):
         _, statement = TEMPLATES[i % len(TEMPLATES)]
         part = [w if rnd.random() > 0.15 else rnd.choice(pool) for w in statement.split()][rnd.randrange(2) :]
         words = [*rnd.choices(pool, k=rnd.randrange(30)), *part, *rnd.choices(pool, k=rnd.randrange(30))]
         texts.append("".join(w + rnd.choice([" ", " ", " ", "\n", "\n \n"]) for w in words))
-    texts += ["x y z " * 200, "This project is licensed under the MIT License - see the LICENSE file for details", "Copyright. All\nrights reserved."]
+    texts += ["x y z " * 200, "This project is licensed under the MIT License - see the LICENSE file for details", "Copyright. All\nrights reserved.", "# SPDX-License-Identifier: (MIT OR Apache-2.0)\nmore"]
     files = [(f"f{i}/{'LICENSE' if i % 5 == 0 else 'x.py'}", t) for i, t in enumerate(texts)]
     from rankcut.llm.licenses import template_terms
 
@@ -298,12 +337,41 @@ def test_passages_equal_brute_force(spark):
     rows = scan_licenses(spark.createDataFrame(files, "path string, text string")).collect()
     expected = {}
     for path, text in files:
-        s, license = best_passage(text, path.split("/")[1].lower(), idf)
-        expected[path] = (license, pytest.approx(-s, abs=1e-6)) if -s >= 0.75 else (None, None)
+        best = best_passage(text, path.split("/")[1].lower(), idf)
+        expected[path] = (best[2], pytest.approx(-best[1], abs=1e-6)) if best else (None, None)
     assert {r["path"]: (r["own_license"], r["own_similarity"]) for r in rows} == expected
     assert sum(v[0] is not None for v in expected.values()) > 20
 
 
+def test_near_licenses_are_told_apart(spark):
+    gpl = "you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    bsd = "Copyright (c) 2024, Acme. All rights reserved.\n\nRedistribution and use in source and binary forms, with or without any modification, are all permitted provided that"
+    third = "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"
+    isc = "Copyright 2024 Acme\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+    cases = [
+        ("SPDX-License-Identifier: ISC", "ISC"), ("// SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"), ("# SPDX-License-Identifier: BSD-2-Clause", "BSD-2-Clause"),
+        ("SPDX-License-Identifier: Custom-1.0 and mit", None), ("Wir gehen mit dem Hund, mit License", None),
+        ("Licensed under CC BY-SA 4.0", "CC-BY-SA-4.0"), ("Licensed under CC BY 4.0", "CC-BY-4.0"), ("Licensed under CC BY-NC-ND 4.0.", "CC-BY-NC-ND-4.0"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-4.0"), ("Licensed under CC BY 3.0", None),
+        (gpl.format("", 2), "GPL-2.0"), (gpl.format("", 3), "GPL-3.0"), (gpl.format("Lesser ", "2.1"), "LGPL-2.1"), (gpl.format("Affero ", 3), "AGPL-3.0"), (gpl.format("Library ", 2), None),
+        ("This work is licensed under the GNU General Public License, version 2", "GPL-2.0"), (bsd, "BSD-2-Clause"), (bsd + third, "BSD-3-Clause"), (isc, "ISC"),
+        ("Copyright 2024 Foo. All rights reserved.", "Proprietary"), ("All rights reserved. Released under the MIT License.", "MIT"),
+    ]
+    files = [(f"d{i}/x.txt", text) for i, (text, _) in enumerate(cases)] + [(f"p{i}/x.txt", prose(60, i)) for i in range(200)]
+    found = {r["path"]: r["own_license"] for r in scan_licenses(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert [found[f"d{i}/x.txt"] for i in range(len(cases))] == [license for _, license in cases]
+    assert all(found[f"p{i}/x.txt"] is None for i in range(200))
+
+
+def test_a_long_text_of_repeated_statements(spark):
+    """Work follows the distinct passages, not the number of repeats times their length."""
+    statements = ["Released under the MIT License.", "Licensed under CC BY 4.0", "This work is licensed under the GNU General Public License, version 3"]
+    files = [("a/x.txt", " ".join(statements[:1] * 6500)), ("b/x.txt", "\n".join(statements * 1500)), ("b/y.txt", prose(20, 1))]
+    assert len(files[0][1]) > 200_000
+    found = {r["path"]: (r["own_license"], r["license"]) for r in scan_licenses(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert found["a/x.txt"] == ("MIT", "MIT") and found["b/x.txt"][0] == "CC-BY-4.0" and found["b/y.txt"] == (None, "CC-BY-4.0")
+
+
 def test_statements_across_lines_and_inside_paragraphs(spark):
     mit = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated\ndocumentation files"
     files = [("a/LICENSE", f"MIT License\n\nCopyright (c) 2024 Acme\n\n{mit} and {prose(40, 1)}"), ("a/x.py", prose(30, 2)), ("b/x.py", f"{prose(60, 3)} Released under the MIT License. {prose(60, 4)}"), ("b/y.py", prose(40, 5)),
