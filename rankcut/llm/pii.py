@@ -216,11 +216,12 @@ def _written(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find_personal_data(documents: DataFrame) -> DataFrame:
-    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` of every whole text; then ``n_added``.
+    """``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans`` of every whole text; then ``n_added`` and ``n_spans``, the number of all spans.
 
     Counts and checksum are of the plain rules' spans; ``spans`` has the added ones after them, kind by kind. Positions are code points, ends
-    exclusive. Null and empty texts have no spans. Repeated rows each get their result; a null ``doc_id`` stays null. Without any
-    candidate no classifier is trained and nothing is added. An empty table gives no rows.
+    exclusive. Null and empty texts have no spans. Repeated rows each get their result; a null ``doc_id`` stays null. Of candidates that overlap
+    each is judged alone. Without any candidate no classifier is trained and nothing is added. Other columns, whatever their names, are ignored.
+    An empty table gives no rows.
     """
     model = learn(documents)
 
@@ -230,13 +231,13 @@ def find_personal_data(documents: DataFrame) -> DataFrame:
             for value in batch.column(1):
                 plain, added = spans_of(value.as_py() or "", model)
                 counts = [sum(k == kind for k, _, _ in plain) for kind in BASE]
-                rows.append((*counts, hashlib.sha256(_written(plain).encode()).hexdigest(), _written(plain + added), len(added)))
-            cols = list(zip(*rows, strict=True)) if rows else [()] * 7
-            arrays = [batch.column(0), *[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.string()), pa.array(cols[5], pa.string()), pa.array(cols[6], pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *[f"n_{k}" for k in BASE], "base_sha256", "spans", "n_added"])
+                rows.append((*counts, hashlib.sha256(_written(plain).encode()).hexdigest(), _written(plain + added), len(added), len(plain) + len(added)))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 8
+            arrays = [batch.column(0), *[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.string()), pa.array(cols[5], pa.string()), *[pa.array(c, pa.int64()) for c in cols[6:]]]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *[f"n_{k}" for k in BASE], "base_sha256", "spans", "n_added", "n_spans"])
 
     kind = dict(documents.dtypes)["doc_id"]
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
 
 
 def redact(documents: DataFrame, text: str = "text") -> DataFrame:

@@ -41,8 +41,8 @@ def shard_documents(documents: DataFrame, shards: int = 8, key: str = "doc_id",
     Returns ``doc_id, size, text_crc32, law, shard, slot, grown_shard``: ``size`` is the number of UTF-8 bytes plus 1,
     ``slot`` counts the rows of a shard from 0 in the order of key, checksum and size, ``grown_shard`` is the shard with one more.
 
-    A null text has no bytes (size 1, checksum 0), a null key counts as key 0; rows with equal keys share a shard and have slots of
-    their own. An empty table gives an empty result. Slots come from range-sorted slices and one count per slice and
+    A null text has no bytes (size 1, checksum 0), a null key counts as key 0; other keys must be whole numbers. Rows with equal keys share a shard and have slots of
+    their own; wholly equal rows go by their place in the input. Other columns, whatever their names, are ignored. An empty table gives an empty result. Slots come from range-sorted slices and one count per slice and
     shard, so no shard is ever gathered in one task.
     """
     body = F.coalesce(F.col(text), F.lit(""))
@@ -53,7 +53,9 @@ def shard_documents(documents: DataFrame, shards: int = 8, key: str = "doc_id",
         return batch | {"shard": pa.array(jump_hash(keys, shards), pa.int32()), "grown_shard": pa.array(jump_hash(keys, shards + 1), pa.int32())}
 
     placed = map_batches(rows, rows.columns, place, "doc_id long, size long, text_crc32 long, shard int, grown_shard int")
-    order = ["shard", "doc_id", "text_crc32", "size"]
+    # Rows that are equal in all else are told apart by their place, so that any number of them is spread over slices.
+    placed = placed.withColumn("_row", F.monotonically_increasing_id())
+    order = ["shard", "doc_id", "text_crc32", "size", "_row"]
     sliced = placed.repartitionByRange(*order).sortWithinPartitions(*order)
     pinned = stage(sliced.withColumn("_at", F.monotonically_increasing_id()), "sharded")
     pinned = pinned.withColumn("_slice", F.shiftright("_at", 33))

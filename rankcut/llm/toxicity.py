@@ -161,7 +161,7 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE
 
     Features: densities of a lexicon learned from the training rows (words and word beginnings), lexicon words near a second
     person, capitals, punctuation, words with signs inside, lexicon words once signs are read as letters. Boosted trees are fitted on three
-    quarters of at most ``sample`` labelled documents whose ``crc32(doc_id) mod 5`` is not 0, the isotonic calibration on the rest.
+    quarters of at most ``sample`` labelled documents whose ``crc32(doc_id) mod 5`` is not 0, the isotonic calibration on the rest; the lexicon is learned on the former.
 
     Null and empty texts have all-zero features and are scored like any other. Repeated rows are scored each; a null ``doc_id``
     is never used for training. If the labels hold fewer than two classes, the score is their mean (0.5 without labels).
@@ -172,8 +172,10 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE
     if means["low"] is None or means["low"] == means["high"]:
         score = F.lit(0.5 if means["mean"] is None else float(means["mean"]))
         return _result(plain.select("doc_id", score.alias("score")), threshold)
-    lexicon, odds = learn_lexicon(rows)
     part = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0
+    # The rows that calibrate must not have shaped the features, or the curve would be too sure.
+    learning = rows.where(~part)
+    lexicon, odds = learn_lexicon(learning if learning.agg(F.count_distinct("y")).collect()[0][0] == 2 else rows)
     fitted = stage(with_features(rows.withColumn("calibrate", part), ["y", "calibrate"], lexicon, odds).select("y", "calibrate", vector_to_array("features").alias("x")), "toxic_features")
     fitted = fitted.select("y", "calibrate", array_to_vector("x").alias("features"))
     fit_rows, cal_rows = fitted.where(~F.col("calibrate")), fitted.where("calibrate")
