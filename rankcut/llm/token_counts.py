@@ -2,13 +2,14 @@
 
 Two deterministic transducers count the tokens of a byte-pair tokenizer without building them. The first reads character
 classes and finds where pre-tokens begin. It is run over chunks from all of its states at once; a chunk is then a map from states to states, and
-these maps compose through a prefix scan, which gives every chunk its entry state. The second reads pre-tokens: the transition
-that ends one is annotated with the number of tokens it emits. Its transitions are compiled from the vocabulary when a pre-token first occurs.
+these maps compose through a prefix scan, which gives every chunk its entry state. The second reads the bytes of a pre-token; each of
+its transitions is annotated with the number of tokens by which the count changes. It is compiled from vocabulary and merges, a
+transition when it is first taken. The tokenizer library only tells the classes of characters; it encodes nothing.
 """
 
 from __future__ import annotations
 
-import os
+import json
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +18,14 @@ from pyspark.sql import functions as F
 
 from rankcut.llm.linear import map_batches
 from rankcut.llm.text import span_hashes
+from rankcut.operators.vocab import byte_alphabet
 
 LIMIT = 1024
 PIECE = 1 << 19  # characters read at once
 STEPS = 256  # characters per chunk
 LEXICON = 1_000_000  # pre-tokens a worker remembers
+STATES = 150_000  # compiled states a worker keeps
+PAIRS = 300_000  # judged pairs of tokens a worker keeps
 
 # Character classes. The letters that can end a contraction have classes of their own.
 LETTER, NUMBER, SPACE, WHITE, APOSTROPHE, OTHER, STOP, S_M_T_D, R, V, L, E = range(12)
@@ -121,16 +125,101 @@ def pre_token_starts(classes: np.ndarray, steps: int = STEPS) -> np.ndarray:
     return starts
 
 
+class Emitter:
+    """Transducer of one byte-pair vocabulary: reads bytes, counts tokens.
+
+    The last token of a prefix's encoding is the one token that ends there and may follow the last token of the prefix before it. A token that
+    ends further on begins at a place from which all that was read since begins some token. So a state lists
+    these places, farthest first: what was read since, the last token before it, and the tokens counted since (negative).
+    """
+
+    def __init__(self, path: str, states: int = STATES, pairs: int = PAIRS) -> None:
+        with open(path) as f:
+            model = json.load(f)["model"]
+        if model.get("type") != "BPE" or model.get("ignore_merges") or model.get("byte_fallback") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+            raise ValueError("only plain byte-level pair vocabularies can be compiled")
+        shown = {c: b for b, c in enumerate(byte_alphabet())}
+        self.ids = {bytes([b]): b for b in range(256)}  # tokens by their rank: bytes first, then merges in order
+        self.parts = [(b, b) for b in range(256)]
+        self.merged: dict[tuple[int, int], int] = {}
+        for rank, merge in enumerate(model["merges"], 256):
+            left, right = (bytes(map(shown.__getitem__, t)) for t in (merge.split(" ") if isinstance(merge, str) else merge))
+            if left + right in self.ids:
+                raise ValueError("a token is made by two merges")
+            self.ids[left + right] = rank
+            self.parts.append((self.ids[left], self.ids[right]))
+            self.merged[self.parts[-1]] = rank
+        self.begins = {t[:k] for t in self.ids for k in range(1, len(t) + 1)}
+        self.most_states, self.most_pairs = states, pairs
+        self.judged: dict[tuple[int, int], bool] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self.numbers: dict[tuple, int] = {}
+        self.states: list[tuple] = []
+        self.transitions: dict[int, tuple[int, int]] = {}
+        self._number(((b"", -1, 0),))
+
+    def _number(self, state: tuple) -> int:
+        number = self.numbers.setdefault(state, len(self.states))
+        if number == len(self.states):
+            self.states.append(state)
+        return number
+
+    def _may_follow(self, a: int, b: int) -> bool:
+        """Whether merging keeps the border between ``a`` and ``b``: their outermost parts are taken apart, latest merge first."""
+        known = self.judged.get((a, b))
+        if known is not None:
+            return known
+        pair, limit, kept = (a, b), 1 << 60, True
+        while a >= 256 or b >= 256 or self.merged.get((a, b), limit) < limit:
+            if self.merged.get((a, b), limit) < limit:
+                kept = False
+                break
+            if a > b:
+                limit, a = a, self.parts[a][1]
+            else:
+                limit, b = b + 1, self.parts[b][0]
+        if len(self.judged) >= self.most_pairs:
+            self.judged.clear()
+        self.judged[pair] = kept
+        return kept
+
+    def _compile(self, number: int, byte: int) -> tuple[int, int]:
+        read, places, token, change = bytes([byte]), [], -1, 0
+        for piece, last, counted in self.states[number]:
+            piece += read
+            if piece in self.begins:
+                places.append((piece, last, counted))
+                if token < 0:
+                    ending = self.ids.get(piece)
+                    if ending is not None and (last < 0 or self._may_follow(last, ending)):
+                        token, change = ending, counted + 1
+        return self._number((*[(p, last, counted - change) for p, last, counted in places], (b"", token, 0))), change
+
+    def count(self, data: bytes) -> int:
+        """Tokens of one pre-token."""
+        if len(self.states) >= self.most_states:
+            self._clear()
+        state, total, transitions = 0, 0, self.transitions
+        for byte in data:
+            key = state << 8 | byte
+            step = transitions.get(key)
+            if step is None:
+                step = transitions[key] = self._compile(state, byte)
+            state, change = step
+            total += change
+        return total
+
+
 class Lexicon:
-    """Emitted tokens of every pre-token seen so far: the annotated transitions of the second transducer, by hash."""
+    """Emitted tokens of every pre-token seen so far, by hash, and the transducer that counts those of new ones."""
 
     def __init__(self, path: str, size: int = LEXICON) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.size = Tokenizer.from_file(path), size
+        self.emitter, self.size = Emitter(path), size
         self.classes = character_classes()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path) as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         self.hashes, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def emitted(self, hashes: np.ndarray, text_of) -> np.ndarray:
@@ -142,9 +231,7 @@ class Lexicon:
         else:
             known, counts = np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
         new = np.flatnonzero(~known)
-        for low in range(0, len(new), 8192):
-            part = new[low : low + 8192]
-            counts[part] = [len(e) for e in self.tokenizer.encode_batch_fast([text_of(i) for i in part], add_special_tokens=False)]
+        counts[new] = [self.emitter.count(text_of(i).encode()) for i in new]
         if len(new):
             if len(self.hashes) + len(new) > self.size:
                 self.hashes, self.counts = hashes[-self.size :], counts[-self.size :]
@@ -207,7 +294,7 @@ def count_tokens(documents: DataFrame, tokenizer_path: str, limit: int = LIMIT)
     """``doc_id, n_bytes, n_tokens, over_limit`` of every document, as the tokenizer library counts them.
 
     For byte-level pair encoders with the usual contraction pattern. Null and empty texts have no bytes and no tokens.
-    Repeated rows are counted each. Long texts are read in one piece of characters; work arrays take about 40 bytes per character of the longest text.
+    Repeated rows are counted each. Other columns, whatever their names, are ignored. An empty table gives no rows. Long texts are read in one piece of characters; work arrays take about 40 bytes per character of the longest text.
     """
 
     def run(batch: dict) -> dict:

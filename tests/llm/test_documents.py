@@ -14,7 +14,8 @@ from rankcut.llm.licenses import TEMPLATES, scan_licenses, weigh_templates
 from rankcut.llm.packing import balance, pack_documents
 from rankcut.llm.pii import BASE, base_spans, estimate, find_personal_data, fit_classifier, luhn, redact
 from rankcut.llm.sharding import jump_hash, shard_documents
-from rankcut.llm.token_counts import count_tokens, pre_token_starts
+from rankcut.llm.token_counts import Emitter, count_tokens, pre_token_starts
+from rankcut.operators.vocab import byte_alphabet
 
 from .conftest import prose
 
@@ -118,6 +119,22 @@ def test_counts_are_those_of_the_library(spark, awkward, nothing):
     assert count_tokens(nothing, path).count() == 0
 
 
+def test_compiled_transducer_counts_as_the_library_encodes():
+    """On texts of few letters, where merges compete most, on any bytes of characters, and with states dropped and compiled anew."""
+    path = public.path("byte_bpe_50k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    rnd = random.Random(12)
+    pools = ["aeinrst", "abcdefghijklmnopqrstuvwxyz", "äöüßéèàçñ", "0123456789", ".,;:!?-_*#", "日本語のテキスト", "👍🏽🙂é", "ABCabc"]
+    words = ["".join(rnd.choice(pool) for _ in range(rnd.randrange(1, 24))) for pool in pools for _ in range(1500)]
+    words = sorted({p for w in words for p, _ in library.pre_tokenizer.pre_tokenize_str(w)})
+    alphabet = {c: b for b, c in enumerate(byte_alphabet())}
+    expected = [len(library.model.tokenize(w)) for w in words]
+    data = [bytes(alphabet[c] for c in w) for w in words]
+    whole, small = Emitter(path), Emitter(path, states=500, pairs=300)
+    assert [whole.count(d) for d in data] == expected == [small.count(d) for d in data]
+    assert len(whole.transitions) < sum(map(len, data)) and len(small.states) < 600
+
+
 def test_chunked_scan_equals_one_state_at_a_time():
     from rankcut.llm.token_counts import _TABLE, BEFORE, HERE, START
 
