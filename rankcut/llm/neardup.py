@@ -25,6 +25,7 @@ N = 5
 PERCENT = 75
 BLOCK = 1 << 21  # bytes of text whose n-grams are counted together before they are dealt out
 BLOCK_ROWS = 60_000
+FRAGMENT = 1 << 24  # bytes of text whose n-grams make up one fragment
 SALTS = 16  # tasks over which the segments of one text with copies everywhere are spread
 PARTS = 4  # fragments in which the overlap of a pair is counted
 CELL = 256  # texts in a block of those that are still apart
@@ -118,7 +119,7 @@ def _deal(fragments: int, n_words: int):
             yield batch(_SEGMENT, fragments + (who + number % SALTS) % fragments, node=who, n=n[by[bounds[:-1]]], high=high)
         keep = edge[:-1] | ~several
         token, mark = token[keep], np.where(several[keep], _SHARED_HERE, owner[keep])
-        fragment = (token * fragments) >> 48
+        fragment = ((token >> 16) * fragments) >> 32
         dealt: dict[str, list] = {c: [] for c in ("g", "nodes", "sizes", "high", "low", "owner")}
         for f in np.unique(fragment).tolist():
             low, high = np.searchsorted(fragment, [f, f + 1])
@@ -351,7 +352,9 @@ def _in_part(part: int) -> Column:
 def _components(documents: DataFrame, n: int, percent: int) -> DataFrame:
     """``doc_id, copy, n, label, component`` per row: ``copy`` is the hash of the text, ``label`` names the component (null without words)."""
     spark = documents.sparkSession
-    fragments = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # A fragment is handled in one piece, so their number follows the text.
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    fragments = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FRAGMENT))
     rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("copy"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = rows.mapInArrow(_deal(fragments, n), _DEALT)
     counted = stage(dealt.groupBy("g").applyInArrow(_count_fragment, _KEPT), "fragments")
@@ -383,7 +386,8 @@ def near_duplicates(documents: DataFrame, n: int = N, percent: int = PERCENT) ->
     Null, empty and blank texts have an empty set and link with nothing. Rows with equal sets are one text and are never paired. Rows with a null
     doc_id take part and get the smallest id of their component, null if it has none. Repeated rows stay. An empty table gives no rows.
 
-    Texts and n-grams are known by hashes (64 bits for sets, 48 for n-grams). The number of fragments is the session's number of shuffle partitions.
+    Texts and n-grams are known by hashes (64 bits for sets, 48 for n-grams). There are as many fragments as the session has shuffle partitions, and
+    more if these would hold the n-grams of more than ``FRAGMENT`` bytes of text. Ids must be whole numbers. Other columns, whatever their names, are ignored.
     """
     found = _components(documents, n, percent)
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
