@@ -120,7 +120,9 @@ def dense_features(column: pa.Array, lexicon: np.ndarray, odds: np.ndarray) -> n
         hits = whole | stems
         second, _ = _found(h, _SECOND)
         last = np.append(0, np.cumsum(second))
-        around = last[np.minimum(np.arange(len(h)) + NEAR + 1, len(h))] - last[np.maximum(np.arange(len(h)) - NEAR, 0)]
+        ends_at = np.cumsum(np.bincount(owner, minlength=rows))  # the words of a text end here
+        begins_at = np.append(0, ends_at[:-1])
+        around = last[np.minimum(np.arange(len(h)) + NEAR + 1, ends_at[owner])] - last[np.maximum(np.arange(len(h)) - NEAR, begins_at[owner])]
         near = hits & (around > 0)
         letters = per_text(_LETTER[text])
         upper = np.append(0, np.cumsum(_UPPER[text], dtype=np.int64))

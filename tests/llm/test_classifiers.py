@@ -1,15 +1,19 @@
+import math
+import random
+import re
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from rankcut.llm.linear import Features, char_windows, ftrl, margins, token_hashes
+from rankcut.llm.linear import Features, char_windows, feature_parts, ftrl, margins, token_hashes
 from rankcut.llm.quality import keep_good, score_quality
 from rankcut.llm.rules import platt, quality_rules, text_statistics
 from rankcut.llm.text import column_bytes
-from rankcut.llm.toxicity import dense_features, interpolate, score_toxicity
+from rankcut.llm.toxicity import NEAR, SECOND_PERSON, SIGNS, STEMS, dense_features, interpolate, score_toxicity
 
 SF = "/root/testdata/sf0.01"
 needs_data = pytest.mark.skipif(not Path(SF).exists(), reason="test tables are not here")
@@ -49,6 +53,101 @@ def test_regularised_leader_separates_two_sorts():
     assert m[0] > 0.5 > -0.5 > m[1]
 
 
+def test_regularised_leader_equals_its_formulas():
+    """One weight at a time, in plain Python: z and n per feature, weights from them before every example."""
+    rnd = random.Random(3)
+    spec = Features(bits=8, words=(1, 2))
+    texts = [" ".join(rnd.choice(["a", "b", "c", "dd", "!!", "e"]) for _ in range(rnd.randrange(0, 9))) for _ in range(40)]
+    y = [float(t.count("a") > t.count("b")) for t in texts]
+    alpha, beta, l1, l2, scale = 0.7, 1.0, 0.05, 0.01, 32.0
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(2):
+        for text, label in zip(texts, y):
+            data, offsets = column_bytes(pa.array([text]))
+            slots = Counter(s for part, _ in feature_parts(data, offsets, spec) for s in part.tolist())
+            x = {i: c * scale / max(sum(slots.values()), 1) for i, c in slots.items()} | {"bias": 1.0}
+            w = {i: weight(i) for i in x}
+            g = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items()))) - label
+            for i, v in x.items():
+                sigma = (math.sqrt(n.get(i, 0.0) + (g * v) ** 2) - math.sqrt(n.get(i, 0.0))) / alpha
+                z[i] = z.get(i, 0.0) + g * v - sigma * w[i]
+                n[i] = n.get(i, 0.0) + (g * v) ** 2
+    found, bias = ftrl(pa.array(texts), np.array(y), spec, epochs=2, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    expected = np.array([weight(i) * scale for i in range(1 << 8)])
+    assert np.allclose(found, expected) and bias == pytest.approx(weight("bias")) and (expected != 0).sum() > 10
+
+
+def test_statistics_equal_brute_force():
+    rnd = random.Random(6)
+    pool = ["a", "b", "ab", "é", "日本", "#", "x|y", "<z>", "%"]
+    texts = ["".join(rnd.choice(pool) + rnd.choice([" ", "\n", "  ", "\t", "\n\n", "\x0b", " \n"]) for _ in range(rnd.randrange(0, 60))) for _ in range(300)]
+    texts += [None, "", " \n\n ", "a\n" * 50, "x" * 5000]
+    found = text_statistics(pa.array(texts))
+    for i, text in enumerate(texts):
+        text = text or ""
+        w = re.findall("[^\x20\x09-\x0D]+", text)
+        lines = [x for x in text.split("\n") if re.search("[^\x20\x09-\x0D]", x)]
+        thrice = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        covered = {k + j for k in range(len(w) - 2) if thrice[tuple(w[k : k + 3])] > 1 for j in range(3)}
+        expected = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered))
+        assert tuple(int(found[k][i]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == expected, text
+
+
+def dense_by_hand(text, lexicon, stems):
+    """The features of one text from its words; ``lexicon``: words, ``stems``: (size, beginning), both to log odds."""
+    terms = [t.encode() for t in re.findall("[0-9A-Za-z\x80-\U0010ffff]+", text)]
+    lower = [t.lower() for t in terms]
+    n = max(len(terms), 1)
+    whole = [t in lexicon for t in lower]
+    begun = [[stems[k, t[:k]] for k in STEMS if len(t) > k and (k, t[:k]) in stems] for t in lower]
+    hits = [a or bool(b) for a, b in zip(whole, begun)]
+    second = [t.decode() in SECOND_PERSON for t in lower]
+    near = [h and any(second[max(0, i - NEAR) : i + NEAR + 1]) for i, h in enumerate(hits)]
+    strongest = max([0.0, *[lexicon[t] for t in lower if t in lexicon], *[o for b in begun for o in b]])
+    data = text.encode()
+    letters = sum(chr(b).isalpha() and b < 128 or b >= 128 for b in data)
+    mixed = unmasked = 0
+    for m in re.findall("[^\x20\x09-\x0D]+", text):
+        b = m.encode()
+        is_letter = lambda c: c >= 128 or chr(c).isalpha()
+        if is_letter(b[0]) and is_letter(b[-1]) and not all(map(is_letter, b)):
+            mixed += 1
+            unmasked += bytes(ord(SIGNS[chr(c)]) if chr(c) in SIGNS else c for c in b).lower() in lexicon
+    return [
+        sum(whole) / n, sum(map(bool, begun)) / n, math.log1p(sum(hits)), strongest, sum(near) / n, sum(second) / n, sum(65 <= b <= 90 for b in data) / max(letters, 1),
+        sum(len(t) > 1 and all(65 <= b <= 90 for b in t) for t in terms) / n, sum(33 <= b < 127 and not chr(b).isalnum() for b in data) / max(len(data), 1),
+        data.count(b"!") / max(len(data), 1), mixed / n, unmasked / n, math.log1p(len(terms)),
+    ]
+
+
+def test_dense_features_equal_brute_force():
+    """Many texts in one batch: nothing of a text counts for its neighbours."""
+    rnd = random.Random(9)
+    odds_of = {b"idiot": 2.0, b"fool": 1.5, b"du": 0.5}
+    stems = {(STEMS[0], b"stupidity"[: STEMS[0]]): 1.25}
+    from rankcut.llm.toxicity import _stem_hashes, hash_of_words
+    from rankcut.llm.text import FOLDED_TERMS, words
+
+    entries = {int(hash_of_words([w.decode()])[0]): o for w, o in odds_of.items()}
+    for (size, beginning), o in stems.items():
+        data, offsets = column_bytes(pa.array([beginning.decode() + "x"]))
+        _, s, e = words(data, offsets, FOLDED_TERMS)
+        entries[int(_stem_hashes(data, s, e, size)[0])] = o
+    hashes = np.array(sorted(entries), np.uint64)
+    odds = np.array([entries[int(h)] for h in hashes])
+    pool = ["you", "Idiot", "FOOL", "fool!", "f00l", "i.d.i0t", "stupidity", "STUPID", "the", "cat", "DU", "1dog", "é", "a-b", "!!", "d@u", "x", "tes"]
+    texts = [rnd.choice([" ", "\n"]).join(rnd.choice(pool) for _ in range(rnd.randrange(0, 25))) for _ in range(300)] + [None, "", "!", "idiot", "you", "idiot"]
+    found = dense_features(pa.array(texts), hashes, odds)
+    for text, row in zip(texts, found):
+        assert row == pytest.approx(dense_by_hand(text or "", odds_of, stems)), text
+
+
 def test_statistics_on_hand_made_texts():
     s = text_statistics(pa.array(["a b c\na b c\n\n \nx#", None, "é é", "a a a a"]))
     assert s["n_words"].tolist() == [7, 0, 2, 4]
