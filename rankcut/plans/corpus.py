@@ -6,11 +6,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from rankcut.operators import backoff, encode, scoring, suffixes, unigram, vocab
+from rankcut.operators import backoff, encode, regress, scoring, suffixes, unigram, vocab
 from rankcut.plans.catalog import on_documents, on_fixture
-from rankcut.plans.fixtures import BASE
+from rankcut.plans.fixtures import BASE, HALF_WIDTH
 from rankcut.plans.relational import CONSOLIDATED, consolidated_summary
-from rankcut.plans.workflow import cutoff_effects
+from rankcut.plans.workflow import cutoff_effects, regression_data
 from rankcut.session import new_path, stage
 from rankcut.sources import readers
 from rankcut.streaming.consolidate import consolidate_available
@@ -263,6 +263,41 @@ def _(fx):
     return per_doc(scoring.evaluate(fx.docs, lambda inputs, targets: -np.log1p(targets), BUDGET, 128, 64))
 
 
+# Evaluations of the bigram scorer: first tokens are unscored, so pairs begin at the second one.
+SCORED = f"""(WITH {NGRAM},
+tagged AS (SELECT *, coalesce(a, pa, tok) AS item, CASE WHEN pa IS NOT NULL THEN pos - 1 ELSE pos END AS place FROM (
+  SELECT *, lag(a) OVER (PARTITION BY uid ORDER BY pos) AS pa FROM (
+  SELECT x.*, m.tok AS a FROM (SELECT *, lead(tok) OVER (PARTITION BY uid ORDER BY pos) AS nx FROM lp) x LEFT JOIN fx_merges m ON x.tok = m.tok_a AND x.nx = m.tok_b) y) z),
+occ AS (SELECT step, uid, item, place, sum(CASE WHEN tok = 0 THEN 0e0 WHEN step = 0 THEN s0 WHEN step = 2000 THEN s1 ELSE s2 END) AS s
+  FROM tagged CROSS JOIN fx_steps WHERE item >= {BASE - HALF_WIDTH} AND item < {BASE + HALF_WIDTH} GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY step, item ORDER BY s) - 1 AS rn, count(*) OVER (PARTITION BY step, item) AS n FROM occ)
+SELECT step, item AS tok, max(s) FILTER (rn = floor((n-1)*0.5e0 + 0.5e0)) AS median, avg(s) AS mean, stddev_samp(s) AS std,
+  max(s) FILTER (rn = floor((n-1)*0.75e0 + 0.5e0)) - max(s) FILTER (rn = floor((n-1)*0.25e0 + 0.5e0)) AS iqr, count(*) AS num, item < {BASE} AS treat FROM ranked GROUP BY step, item)"""
+
+
+def scored_regression_data(fx):
+    return regression_data(fx.docs, stage(ngram_evals(fx), "evals"), fx.log, BASE, HALF_WIDTH)
+
+
+@on_fixture("aln07_scored_run", f"SELECT step, tok, round(median, 6) AS median, round(mean, 6) AS mean, round(std, 6) AS std, round(iqr, 6) AS iqr, num, treat FROM {SCORED} q")
+def _(fx):
+    """Regression data of evaluations that the built-in scorer made."""
+    return scored_regression_data(fx)
+
+
+@on_fixture(
+    "sta01_scored_run",
+    f"""SELECT step, target, n, round((sty*sxx - sxy*sxt) / (sxx*stt - sxt*sxt), 6) AS ate FROM (
+        SELECT step, target, count(*) AS n, var_pop(x) AS sxx, var_pop(t) AS stt, covar_pop(x, t) AS sxt, covar_pop(x, value) AS sxy, covar_pop(t, value) AS sty FROM (
+        SELECT step, target, value, tok / 1000e0 AS x, CAST(treat AS DOUBLE) AS t FROM (UNPIVOT {SCORED} ON mean, median, std, iqr INTO NAME target VALUE value)) z GROUP BY ALL) y
+        WHERE step > 0""",
+)
+def _(fx):
+    """Effects of inclusion on these; before training all scores are equal, so step 0 has nothing to fit."""
+    effects = regress.effect_table(scored_regression_data(fx).where(F.col("step") > 0), ["step"])
+    return effects.select("step", "target", "n", "ate")
+
+
 # --- from text to effects ------------------------------------------------------------------------
 
 @on_documents("e2e_text_to_effects", costly=True)

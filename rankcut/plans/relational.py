@@ -10,13 +10,13 @@ from rankcut.functions import names as N
 from rankcut.functions import strings as S
 from rankcut.operators import align, filters, ordering, outcomes, quantiles, regress, vocab
 from rankcut.operators.encode import split_order
+from rankcut.operators.labels import TOKENIZER_NAMES
 from rankcut.plans.catalog import on_documents, on_fixture
 from rankcut.plans.fixtures import BASE, HALF_WIDTH, RUNS, STAMP, Fixture
 from rankcut.session import new_path, stage
 from rankcut.sources import arrow_folder, readers, writers
 
 KEYS = ["model_size", "vocab_size", "tokenizer", "step"]
-NAMES = {"bpe": "BPE", "wordpiece": "WordPiece", "bpe2wp": "BPE2WP"}
 SIZES = {500: "0.5k"}
 SPLITS = ["train", "validation", "test"]
 SPLIT_SQL = "CASE doc_id % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END"
@@ -559,7 +559,7 @@ def _(fx):
 
 @on_fixture("str07_strict_lookup", "SELECT run, CASE tokenizer WHEN 'bpe' THEN 'BPE' WHEN 'wordpiece' THEN 'WordPiece' ELSE 'BPE2WP' END AS name, '0.5k' AS size, count(*) AS n FROM fx_reg GROUP BY ALL")
 def _(fx):
-    rows = runs(fx).select("run", S.strict_lookup(F.col("tokenizer"), NAMES).alias("name"), S.strict_lookup(F.col("vocab_size"), SIZES).alias("size"))
+    rows = runs(fx).select("run", S.strict_lookup(F.col("tokenizer"), TOKENIZER_NAMES).alias("name"), S.strict_lookup(F.col("vocab_size"), SIZES).alias("size"))
     return rows.groupBy("run", "name", "size").agg(F.count("*").alias("n"))
 
 

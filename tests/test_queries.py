@@ -34,6 +34,8 @@ SAMPLE = [
     "aln07_regression_data",
     "aln07_bucketed_runs",
     "aln07_all_runs",
+    "aln07_scored_run",
+    "sta01_scored_run",
     "sco06_evaluate",
     "qa03_token_agreement",
     "sta03_effect_fit",
