@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from math import log, sqrt
@@ -135,34 +136,48 @@ def by_template(rows: list[tuple]) -> dict[int, dict[str, float]]:
     return squares
 
 
-def may_reach(words: Column, rows: list[tuple], idf: dict[str, float], similarity: float) -> Column:
+def constant(values: list[str]) -> Column:
+    """Strings without blanks as one constant array."""
+    return F.split(F.lit(" ".join(values)), " ")
+
+
+def template_list(rows: list[tuple], idf: dict[str, float]) -> Column:
+    """The templates as one constant: terms that a passage must hold, all terms, their squared weights and their weights times ``idf``."""
+    entries = []
+    for number, squares in by_template(rows).items():
+        factors = [sqrt(square) * idf[t] for t, square in squares.items()]
+        entries.append({"required": rules(TEMPLATES[number][1])[0], "known": list(squares), "squares": list(squares.values()), "factors": factors})
+    return F.from_json(F.lit(json.dumps(entries)), "array<struct<required:array<string>, known:array<string>, squares:array<double>, factors:array<double>>>")
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
+
+
+def may_reach(words: Column, templates: Column, idf: dict[str, float], similarity: float) -> Column:
     """Whether these terms can be near any template: their product with it is known, and every other distinct term has a weight of at least 1."""
-    weights = F.create_map(*[F.lit(x) for item in idf.items() for x in item])
+    weights = F.map_from_arrays(constant(list(idf)), F.from_json(F.lit(json.dumps(list(idf.values()))), "array<double>"))
     known = F.filter(words, lambda t: t.isin(list(idf)))
-    shortest = F.aggregate(known, F.lit(0.0), lambda a, t: a + F.pow(F.try_element_at(weights, t), 2)) + F.size(F.array_distinct(words)) - F.size(F.array_distinct(known))
+    shortest = total(F.transform(known, lambda t: F.pow(F.try_element_at(weights, t), 2))) + F.size(F.array_distinct(words)) - F.size(F.array_distinct(known))
 
-    def product(squares: dict[str, float]) -> Column:
-        factors = F.create_map(*[F.lit(x) for t, square in squares.items() for x in (t, sqrt(square) * idf[t])])
-        return F.aggregate(known, F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at(factors, t), F.lit(0.0)))
+    def product(template: Column) -> Column:
+        return total(F.zip_with(template["known"], template["factors"], lambda term, factor: factor * F.size(F.filter(known, lambda t: t == term))))
 
-    products = [product(squares) for squares in by_template(rows).values()]
-    return F.greatest(*products) >= (similarity - 1e-9) * F.sqrt(shortest)
+    return F.array_max(F.transform(templates, product)) >= (similarity - 1e-9) * F.sqrt(shortest)
 
 
 def shared(words: Column, template: Column, squares: Column) -> Column:
-    return F.aggregate(F.zip_with(template, squares, lambda t, s: F.when(F.array_contains(words, t), s).otherwise(0.0)), F.lit(0.0), lambda a, b: a + b)
+    return total(F.zip_with(template, squares, lambda t, s: F.when(F.array_contains(words, t), s).otherwise(0.0)))
 
 
-def may_hold(present: Column, rows: list[tuple], similarity: float) -> Column:
+def may_hold(present: Column, templates: Column, similarity: float) -> Column:
     """Whether a text with these template terms can hold an identifier, or a passage near a template."""
-    holds = F.arrays_overlap(present, F.array(*map(F.lit, IDENTIFIED)))
-    for number, squares in by_template(rows).items():
-        required, _ = rules(TEMPLATES[number][1])
-        enough = shared(present, F.array(*map(F.lit, squares)), F.array(*map(F.lit, squares.values()))) >= similarity**2 - 1e-9
-        for t in required:
-            enough = F.array_contains(present, t) & enough
-        holds = holds | enough
-    return holds
+
+    def near(template: Column) -> Column:
+        complete = F.forall(template["required"], lambda t: F.array_contains(present, t))
+        return complete & (shared(present, template["known"], template["squares"]) >= similarity**2 - 1e-9)
+
+    return F.arrays_overlap(present, constant(list(IDENTIFIED))) | F.exists(templates, near)
 
 
 def runs_near(windows: DataFrame, rows: list[tuple], signals: list[str], similarity: float) -> DataFrame:
@@ -218,11 +233,11 @@ def scan_licenses(files: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     spark = files.sparkSession
     vocabulary = sorted({t for _, s in TEMPLATES for t in template_terms(s)})
     body = files.select("path", F.coalesce("text", F.lit("")).alias("text"))
-    known = F.array(*map(F.lit, vocabulary))
+    known = constant(vocabulary)
     counted = body.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect(terms(F.col("text")), known))).alias("term"))
     frequency = {r["term"]: r["n"] for r in counted.groupBy("term").agg(F.count("*").alias("n")).collect()}  # at most one row per template term
-    total = frequency.pop("", 0)
-    idf = {t: log((total + 1) / (frequency.get(t, 0) + 1)) + 1 for t in vocabulary}
+    files_in_all = frequency.pop("", 0)
+    idf = {t: log((files_in_all + 1) / (frequency.get(t, 0) + 1)) + 1 for t in vocabulary}
     rows, signals = weigh_templates(idf, similarity)
     must = {(n, t) for n, (_, statement) in enumerate(TEMPLATES) for t in rules(statement)[0]}
     weights = spark.createDataFrame([(n, t, w, int((n, t) in must)) for n, _, t, w in rows], "template int, term string, weight double, must int")
@@ -232,8 +247,11 @@ def scan_licenses(files: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     named = F.coalesce(F.regexp_replace(named, r"\.(txt|md|rst|html)$", "").isin(LICENSE_FILES), F.lit(False))
     per_line = F.transform(F.split("text", "\n"), terms)
     header = F.size(terms(F.get(F.split(F.regexp_replace("text", r"^\s+", ""), r"\n[^\S\n]*\n", 2), F.lit(0))))
-    telling = F.array(*map(F.lit, [*vocabulary, *IDENTIFIED]))
-    hinted = body.withColumn("lines", per_line).where(may_hold(F.array_intersect(F.flatten("lines"), telling), rows, similarity))
+    templates = template_list(rows, idf)
+    # The template terms of a text are rows of their own before they are looked at, so that they are formed once.
+    present = F.array_intersect(terms(F.col("text")), constant([*vocabulary, *IDENTIFIED]))
+    looked = body.select("path", "text", F.inline(F.array(F.struct(present.alias("present")))))
+    hinted = looked.where(may_hold(F.col("present"), templates, similarity)).select("path", "text", F.inline(F.array(F.struct(per_line.alias("lines")))))
     hinted = hinted.select("path", F.xxhash64("text").alias("copy"), "lines", F.flatten("lines").alias("all"), header.alias("header"), named.alias("named"))
     hinted = stage(hinted.withColumn("words", F.size("all")), "hinted")
     # Each term with its place in its line and the size of that line.
@@ -248,7 +266,7 @@ def scan_licenses(files: DataFrame, similarity: float = SIMILARITY) -> DataFrame
 
     own_line = F.transform("marks", lambda m, i: F.when((i == 0) | (F.get("marks", F.greatest(i - 1, F.lit(0)))["first"] != m["first"]), span(m["first"], m["n"])))
     blocks = F.transform("whole", lambda n: F.when(n > 0, span(F.lit(0), n)))
-    spans = marked.select(*key, F.inline(F.array_compact(F.concat(own_line, blocks)))).where(may_reach(F.col("terms"), rows, idf, similarity))
+    spans = marked.select(*key, F.inline(F.array_compact(F.concat(own_line, blocks)))).where(may_reach(F.col("terms"), templates, idf, similarity))
     spans = stage(spans.distinct().withColumn("h", F.xxhash64("terms")), "spans")
 
     def surrounded(m: Column) -> Column:
@@ -267,7 +285,7 @@ def scan_licenses(files: DataFrame, similarity: float = SIMILARITY) -> DataFrame
         held = held.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
     else:  # one row per term meets one row per term
         held = held.groupBy("term").agg(F.count("*").alias("n")).join(wanted, "term", "left_semi")
-    factors = held.select("term", (F.log(F.lit(total + 1) / (F.col("n") + 1)) + 1).alias("idf"))
+    factors = held.select("term", (F.log(F.lit(files_in_all + 1) / (F.col("n") + 1)) + 1).alias("idf"))
     nearest_of = stage(nearest_templates(contents, weights, factors, similarity), "nearest")
 
     places = F.sequence("start", F.col("start") + F.col("size") - 1).alias("places")
@@ -276,8 +294,8 @@ def scan_licenses(files: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     by_window = join_groups(runs.drop("terms"), nearest_of, ["h"], staged=True).groupBy("w").agg(F.min("best").alias("best"), F.array_distinct(F.flatten(F.collect_list(inside))).alias("covers"))
     found = join_groups(windows.select(*key, "w", "low"), by_window, ["w"])
     found = found.select(*key, "best", F.transform("covers", lambda c: c + F.col("low")).alias("places"))
-    names = F.create_map(*[F.lit(x) for item in IDENTIFIED.items() for x in item])
-    given = marked.select(*key, F.inline(F.filter("marks", lambda m: m["term"].isin(list(IDENTIFIED)))))
+    names = F.map_from_arrays(constant(list(IDENTIFIED)), constant(list(IDENTIFIED.values())))
+    given = marked.select(*key, F.inline(F.filter("marks", lambda m: F.array_contains(constant(list(IDENTIFIED)), m["term"]))))
     exact = F.struct(F.lit(0).alias("rank"), F.lit(-1.0).alias("far"), F.try_element_at(names, F.col("term")).alias("license"))
     given = given.select(*key, exact.alias("best"), F.array("at").alias("places"))
     matched = stage(by_span.unionByName(found).unionByName(given), "matched")

@@ -337,7 +337,7 @@ def test_passages_equal_brute_force(spark):
     rnd = random.Random(5)
     pool = "the of this work is software all and here acme see for details license lesser version 2 3 mit gnu".split()
     texts = []
-    for i in range(2 * len(TEMPLATES)):
+    for i in range(len(TEMPLATES)):
         _, statement = TEMPLATES[i % len(TEMPLATES)]
         part = [w if rnd.random() > 0.15 else rnd.choice(pool) for w in statement.split()][rnd.randrange(2) :]
         words = [*rnd.choices(pool, k=rnd.randrange(30)), *part, *rnd.choices(pool, k=rnd.randrange(30))]
