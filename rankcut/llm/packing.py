@@ -230,6 +230,7 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, capacity: int = CA
         yield from flush()
         out.extend((doc, start, ids, total, None, None, task) for doc, start, ids, total in held)
         yield from flush()
+        encoder.old = {}  # words not met for long need not be held between tasks
         release()
 
     def again(table: pa.Table) -> pa.Table:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rankcut.llm.frames import release
 from rankcut.llm.linear import sigmoid
 
 BASE = ("email", "ip", "card", "phone")
@@ -146,6 +147,7 @@ def vote_patterns(documents: DataFrame, text: str = "text") -> DataFrame:
             keys = list(counts)
             yield pa.RecordBatch.from_pydict({"kind": [k for k, _ in keys], "votes": pa.array([list(v) for _, v in keys], pa.list_(pa.int32())), "n": pa.array([counts[k] for k in keys], pa.int64())},
                                              schema=pa.schema([("kind", pa.string()), ("votes", pa.list_(pa.int32())), ("n", pa.int64())]))
+        release()
 
     counted = documents.select(text).mapInArrow(run, "kind string, votes array<int>, n long")
     return counted.groupBy("kind", "votes").agg(F.sum("n").alias("n"))
@@ -235,6 +237,7 @@ def find_personal_data(documents: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) if rows else [()] * 8
             arrays = [batch.column(0), *[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.string()), pa.array(cols[5], pa.string()), *[pa.array(c, pa.int64()) for c in cols[6:]]]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *[f"n_{k}" for k in BASE], "base_sha256", "spans", "n_added", "n_spans"])
+        release()
 
     kind = dict(documents.dtypes)["doc_id"]
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long")
@@ -260,5 +263,6 @@ def redact(documents: DataFrame, text: str = "text") -> DataFrame:
             bodies = [v.as_py() for v in batch.column(at)]
             new = pa.array([b if b is None else clean(b) for b in bodies], pa.string())
             yield pa.RecordBatch.from_arrays([new if i == at else c for i, c in enumerate(batch.columns)], names=columns)
+        release()
 
     return documents.mapInArrow(run, documents.schema)
