@@ -1,8 +1,8 @@
 """An n-gram scorer with interpolated back-off to shorter contexts (absolute discounting).
 
 A table per order holds the n-grams that were seen, each with the log probability of its last token after the others, and
-the log weight that the n-gram gives, as a context, to the next lower order. Scoring meets each table once: a token is found in
-the longest context seen, and the weights of contexts it was not found in stand in the rows of the position before.
+the log weight that the n-gram gives, as a context, to the next lower order. A token is found in the longest
+context seen; the weights of contexts it was not found in come from the tables of the orders below.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankcut.operators.ordering import join_groups
@@ -84,31 +84,28 @@ def fit_backoff(train: DataFrame, vocab_size: int, order: int = 3, discount: flo
 def score_backoff(docs: DataFrame, model: BackoffModel, step: int = 0, pad: int = PAD_ID) -> DataFrame:
     """Evaluations ``(uid, step, token_logprob, token_ids)``: every target after all tokens before it, as far as the order reaches.
 
-    One join per order. Scores of the padding id are 0; documents of fewer than two tokens get empty arrays.
+    A join per order with the n-grams, and one with the contexts below. Scores of the padding id are 0; documents of fewer than two tokens get empty arrays.
     """
     order = len(model.orders)
-    rows = _grams(docs, order)
+    rows = _grams(docs, order).where(F.col("pos") > 0)
     for n, table in enumerate(model.orders, 1):
         names = [f"w{order - n + k}" for k in range(n)]
-        known = table.select(*[F.col(f"w{k}").alias(w) for k, w in enumerate(names)], F.col("logp").alias(f"logp{n}"), F.col("weight").alias(f"weight{n}"))
+        known = table.select(*[F.col(f"w{k}").alias(w) for k, w in enumerate(names)], F.col("logp").alias(f"logp{n}"))
         rows = join_groups(rows, known, names, "left", staged=True)
-    values = [F.col(c) for n in range(1, order + 1) for c in (f"logp{n}", f"weight{n}")]
-    rows = rows.select("uid", F.struct("pos", F.col(f"w{order - 1}").alias("tok"), *values).alias("x"))
-    per_doc = rows.groupBy("uid").agg(F.sort_array(F.collect_list("x")).alias("r"))
-
-    def logprob(x: Column, before: Column) -> Column:
-        out = F.coalesce(x["logp1"], F.lit(model.unseen))
-        for n in range(2, order + 1):
-            out = F.when(x[f"logp{n}"].isNotNull(), x[f"logp{n}"]).otherwise(F.coalesce(before[f"weight{n - 1}"], F.lit(0.0)) + out)
-        return F.when(x["tok"] == pad, 0.0).otherwise(out)
-
-    r = F.col("r")
-    targets = F.slice(r, F.lit(2), F.greatest(F.size(r) - 1, F.lit(0)))
-    scored = F.zip_with(targets, F.slice(r, F.lit(1), F.greatest(F.size(r) - 1, F.lit(0))), logprob)
-    every = docs.select("uid").join(per_doc, "uid", "left")
+        if n > 1:  # the context of a token is the n-gram that ends before it
+            context = model.orders[n - 2].select(*[F.col(f"w{k}").alias(w) for k, w in enumerate(names[:-1])], F.col("weight").alias(f"weight{n - 1}"))
+            rows = join_groups(rows, context, names[:-1], "left", staged=True)
+    tok = F.col(f"w{order - 1}")
+    out = F.coalesce("logp1", F.lit(model.unseen))
+    for n in range(2, order + 1):
+        out = F.coalesce(f"logp{n}", F.coalesce(f"weight{n - 1}", F.lit(0.0)) + out)
+    out = F.when(tok == pad, 0.0).otherwise(out)
+    per_doc = rows.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("pos", tok.alias("tok"), out.alias("logprob")))).alias("r"))
+    # Every token is in there, however small the files were that it came from: never a broadcast.
+    every = docs.select("uid").join(per_doc.hint("merge"), "uid", "left")
     return every.select(
         "uid",
         F.lit(step).cast("long").alias("step"),
-        F.coalesce(scored, F.array().cast("array<double>")).alias("token_logprob"),
-        F.coalesce(F.transform(targets, lambda x: x["tok"]), F.array().cast("array<int>")).alias("token_ids"),
+        F.coalesce("r.logprob", F.array().cast("array<double>")).alias("token_logprob"),
+        F.coalesce("r.tok", F.array().cast("array<int>")).alias("token_ids"),
     )

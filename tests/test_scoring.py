@@ -182,3 +182,18 @@ def test_span_scoring_loads_a_model_once_per_worker(spark, tmp_path):
         assert rows[u]["step"] == 7 and rows[u]["token_logprob"] == pytest.approx([-0.5 * b - 0.01 * a for a, b in zip(x, x[1:])])
     workers = [f.name.split("-")[0] for f in tmp_path.iterdir()]
     assert workers and len(workers) == len(set(workers))
+
+
+def test_scored_documents_are_never_broadcast(spark):
+    """Small files hold many tokens, so their size must not decide that all scores of the corpus go through the driver."""
+    train = spark.createDataFrame([(1, [1, 2, 1, 2, 3]), (2, [2, 0])], "uid long, input_ids array<int>")
+    docs = spark.createDataFrame([(1, [1, 2, 1, 2, 3]), (2, [2, 0]), (3, [4]), (4, []), (5, [1, 4, 3, 3]), (None, [1, 2])], "uid long, input_ids array<int>")
+    model = scoring.fit_ngram(train, 5)
+    by_join = scoring.score_ngram(docs, model, bound=0)
+    in_place = scoring.score_ngram(docs, model)
+    for scored in (by_join, in_place, backoff.score_backoff(docs, backoff.fit_backoff(train, 5))):
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in plan.splitlines() if "BroadcastHashJoin [uid" in x]
+    rows = lambda df: sorted([(r["uid"] or 0, r["step"], list(r["token_logprob"]), list(r["token_ids"])) for r in df.collect()])
+    assert rows(in_place) == rows(by_join)
+    assert "Exchange" not in in_place._jdf.queryExecution().executedPlan().toString()
