@@ -269,3 +269,13 @@ def test_checks_are_taken_while_the_data_is_written(spark):
     checks = []
     regression_data(docs, wrong, log, 6, 3, checks=checks, steps=[0, 10], complete=False).collect()
     assert checks[0].unequal_lengths() == 7 and [c[3] for c in checks[0].completeness()] == [True, False]
+
+
+def test_large_group_tables_are_not_copied(spark, monkeypatch):
+    """Copies of a table with more rows than its groups are hot would outgrow the rows that meet it."""
+    monkeypatch.setattr(ordering, "COPIED_ROWS", 60)
+    df = spark.createDataFrame([(i % 40, i) for i in range(200)], "k int, v int")
+    groups = spark.createDataFrame([(i, i * 2) for i in range(40)], "k int, w int")
+    got = ordering.join_groups(df, groups, ["k"], salts=4, bound=0)
+    assert "_copy" not in got._jdf.queryExecution().analyzed().toString()
+    assert sorted(map(tuple, got.collect())) == sorted((i % 40, i, i % 40 * 2) for i in range(200))
