@@ -279,3 +279,10 @@ def test_large_group_tables_are_not_copied(spark, monkeypatch):
     got = ordering.join_groups(df, groups, ["k"], salts=4, bound=0)
     assert "_copy" not in got._jdf.queryExecution().analyzed().toString()
     assert sorted(map(tuple, got.collect())) == sorted((i % 40, i, i % 40 * 2) for i in range(200))
+
+
+def test_copies_of_a_group_table_are_never_broadcast(spark):
+    df = spark.createDataFrame([(i % 40, i) for i in range(200)], "k int, v int")
+    groups = spark.createDataFrame([(i, i * 2) for i in range(40)], "k int, w int")
+    got = ordering.join_groups(df, groups, ["k"], "left", bound=0)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString() and got.count() == 200
