@@ -154,10 +154,12 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
 
 
-def may_reach(words: Column, templates: Column, idf: dict[str, float], similarity: float) -> Column:
-    """Whether these terms can be near any template: their product with it is known, and every other distinct term has a weight of at least 1."""
+def may_reach(words: Column, known: Column, templates: Column, idf: dict[str, float], similarity: float) -> Column:
+    """Whether these terms can be near any template: their product with it is known, and every other distinct term has a weight of at least 1.
+
+    ``known``: those of the terms that stand in a template, a column of its own since every template looks through it.
+    """
     weights = F.map_from_arrays(constant(list(idf)), F.from_json(F.lit(json.dumps(list(idf.values()))), "array<double>"))
-    known = F.filter(words, lambda t: t.isin(list(idf)))
     shortest = total(F.transform(known, lambda t: F.pow(F.try_element_at(weights, t), 2))) + F.size(F.array_distinct(words)) - F.size(F.array_distinct(known))
 
     def product(template: Column) -> Column:
@@ -262,12 +264,13 @@ def scan_licenses(files: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     key = ["path", "copy", "words"]
 
     def span(start: Column, size: Column) -> Column:
-        return F.struct(start.alias("start"), size.alias("size"), F.slice("all", start + 1, size).alias("terms"))
+        terms = F.slice("all", start + 1, size)
+        return F.struct(start.alias("start"), size.alias("size"), terms.alias("terms"), F.filter(terms, lambda t: t.isin(vocabulary)).alias("known"))
 
     own_line = F.transform("marks", lambda m, i: F.when((i == 0) | (F.get("marks", F.greatest(i - 1, F.lit(0)))["first"] != m["first"]), span(m["first"], m["n"])))
     blocks = F.transform("whole", lambda n: F.when(n > 0, span(F.lit(0), n)))
-    spans = marked.select(*key, F.inline(F.array_compact(F.concat(own_line, blocks)))).where(may_reach(F.col("terms"), templates, idf, similarity))
-    spans = stage(spans.distinct().withColumn("h", F.xxhash64("terms")), "spans")
+    spans = marked.select(*key, F.inline(F.array_compact(F.concat(own_line, blocks)))).where(may_reach(F.col("terms"), F.col("known"), templates, idf, similarity))
+    spans = stage(spans.drop("known").distinct().withColumn("h", F.xxhash64("terms")), "spans")
 
     def surrounded(m: Column) -> Column:
         low = F.greatest(m["at"] - (RUN - 1), F.lit(0))

@@ -433,3 +433,17 @@ def test_overlap_query_equals_its_sql(spark):
     order = [d[0] for d in result.description]
     ours = QUERIES["op8_decontamination"](spark, "/root/testdata/sf0.001").select(*order).collect()
     assert sorted(map(tuple, ours)) == sorted(result.fetchall()) and ours
+
+
+def test_license_spans_look_for_template_terms_once(spark):
+    """The terms known to templates are a column; the condition per template no longer filters all terms of a text."""
+    from rankcut.llm.licenses import may_reach, template_list, template_terms
+
+    idf = {t: 2.0 for _, s in TEMPLATES for t in template_terms(s)}
+    rows, _ = weigh_templates(idf, 0.75)
+    texts = [(s.lower().split(), [t for t in s.lower().split() if t in idf]) for s in ("Released under the MIT License", "nothing of the sort is said here by anyone")]
+    spans = spark.createDataFrame(texts, "terms array<string>, known array<string>")
+    near = may_reach(spans["terms"], spans["known"], template_list(rows, idf), idf, 0.75)
+    plan = spans.where(near)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert " in (" not in plan and "inset" not in plan
+    assert [r["near"] for r in spans.select(near.alias("near")).collect()] == [True, False]
