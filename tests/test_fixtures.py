@@ -46,3 +46,15 @@ def test_inputs_are_written_when_they_are_read(spark):
     assert fx.evals.count() == 27 and os.listdir(folder) == [f"{fixtures.RUNS[0]}_{fixtures.STAMP}"]
     fx.evals_path
     assert len(os.listdir(folder)) == 2
+
+
+def test_only_uses_of_rare_words_are_joined(spark):
+    rows = [*TEXTS, (None, "c b zz"), (None, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    every = {r["uid"]: list(r["input_ids"]) for r in fixtures.token_arrays(docs, 100).collect()}
+    for bound in (1, 2, 4):
+        assert {r["uid"]: list(r["input_ids"]) for r in fixtures.token_arrays(docs, bound).collect()} == every
+    texts = spark.createDataFrame([(1, ["b", "a", "c"]), (2, ["c"]), (3, ["b"])], "uid long, words array<string>")
+    vocab = spark.createDataFrame([("b", 0), ("c", 1), ("a", 2)], "word string, id long")
+    got = {r["uid"]: (list(r["input_ids"]), [tuple(x) for x in r["rest"]]) for r in fixtures._ids_in_place(texts.coalesce(1), vocab, 2).collect()}
+    assert got == {1: ([0, None, 1], [(1, "a")]), 2: ([1], []), 3: ([0], [])}
