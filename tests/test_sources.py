@@ -117,3 +117,15 @@ def test_arrow_folder_of_another_writer(spark, tmp_path):
             out.write_table(table, max_chunksize=1)
     rows = arrow_folder.read_arrow_folder(spark, str(tmp_path), "uid long, input_ids array<int>").collect()
     assert sorted(map(tuple, rows)) == [(0, [0]), (1, [0, 0]), (2, [1]), (3, [1, 1]), (4, [2]), (5, [2, 2])]
+
+
+def test_layouts_are_kept_by_joins_on_more_keys(spark):
+    from rankcut.session import layouts_kept
+
+    rows = spark.range(100).select(F.col("id").alias("uid"), (F.col("id") % 3).alias("pos")).repartition("uid")
+    joined = rows.join(rows.withColumnRenamed("pos", "at").withColumn("pos", F.col("at") * 1).hint("merge"), ["uid", "pos"])
+    name, before = "spark.sql.requireAllClusterKeysForCoPartition", spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    with layouts_kept(spark):
+        plan = joined.groupBy().count()._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(uid" in plan and "pos" not in "".join(x.split(")")[0] for x in plan.split("hashpartitioning(")[1:])
+    assert spark.conf.get(name) == before
