@@ -33,7 +33,8 @@ REMOVED = 1_000_000  # removed documents that are broadcast once counted
 
 _SHARED_HERE = 0xFFFF  # in place of a text's number: several texts of the block hold this n-gram
 _DEALT = "g int, kind int, node long, doc_id long, copy long, n long, nodes binary, sizes binary, high binary, low binary, owner binary"
-_KEPT = "kind int, node long, doc_id long, copy long, n long, tokens array<long>"
+_KEPT = "kind int, node long, doc_id long, copy long, n long, g int, nodes binary, sizes binary, counts binary, high binary, low binary"
+_SET = "node long, n long, tokens array<long>"
 _DOCUMENT, _SEGMENT, _BLOCK = 0, 1, 2
 
 
@@ -162,54 +163,98 @@ def _deal(fragments: int, n_words: int):
     return run
 
 
-def _segments(node: np.ndarray, n: np.ndarray, token: np.ndarray) -> pa.Table:
-    """One row per text with its distinct shared n-grams."""
-    order = np.lexsort((token, node))
-    node, n, token = node[order], n[order], token[order]
+def _distinct(node: np.ndarray, n: np.ndarray, token: np.ndarray, *order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams of the texts, by text (``order`` goes before), and where each text begins, with the end."""
+    by = np.lexsort((token, node, *order))
+    node, n, token = node[by], n[by], token[by]
     new = np.ones(len(node), bool)
     new[1:] = (node[1:] != node[:-1]) | (token[1:] != token[:-1])
     node, n, token = node[new], n[new], token[new]
-    first = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(node)), pa.int32()), pa.array(token, pa.int64()))
-    return pa.table({"kind": pa.array(np.full(len(first), _SEGMENT), pa.int32()), "node": pa.array(node[first], pa.int64()), "doc_id": pa.nulls(len(first), pa.int64()), "copy": pa.nulls(len(first), pa.int64()), "n": pa.array(n[first].astype(np.int64), pa.int64()), "tokens": lists})
+    return node, n, token, np.flatnonzero(np.diff(node, prepend=node[:1] - 1, append=node[-1:] + 1)) if len(node) else np.zeros(1, np.int64)
 
 
-def _count_fragment(table: pa.Table) -> pa.Table:
+_PACKED = pa.schema([("kind", pa.int32()), ("node", pa.int64()), ("doc_id", pa.int64()), ("copy", pa.int64()), ("n", pa.int64()), ("g", pa.int32())] + [(c, pa.binary()) for c in ("nodes", "sizes", "counts", "high", "low")])
+
+
+def _segments(node: np.ndarray, n: np.ndarray, token: np.ndarray, buckets: int) -> pa.Table:
+    """Distinct shared n-grams of the texts, packed into one row per bucket of texts: there are no more rows than buckets, however many texts share n-grams."""
+    bucket = (node.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+    node, n, token, first = _distinct(node, n, token, bucket)
+    who, sizes, counts = node[first[:-1]], n[first[:-1]], np.diff(first)
+    g = (who.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+    texts = np.flatnonzero(np.diff(g, prepend=-1, append=-1)) if len(g) else np.zeros(1, np.int64)
+
+    def cut(values: np.ndarray, at: np.ndarray) -> pa.Array:
+        offsets = (values.itemsize * at).astype("<i4")
+        return pa.BinaryArray.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+    rows = len(texts) - 1
+    packed = {
+        "kind": np.full(rows, _SEGMENT, np.int32), "g": g[texts[:-1]], "nodes": cut(who.astype("<i8"), texts), "sizes": cut(sizes.astype("<u4"), texts), "counts": cut(counts.astype("<u4"), texts),
+        "high": cut((token >> 16).astype("<u4"), first[texts]), "low": cut(token.astype("<u2"), first[texts]),
+    }
+    return pa.table([pa.array(packed[f.name], f.type) if f.name in packed else pa.nulls(rows, f.type) for f in _PACKED], schema=_PACKED)
+
+
+def _count_fragment(buckets: int):
     """Shared n-grams of one fragment, as segments of the texts that hold them; other rows pass through."""
-    release()  # what the last group left
-    kinds = table["kind"].to_numpy()
-    out = []
-    docs = table.filter(pa.array(kinds == _DOCUMENT))
-    if docs.num_rows:
-        out.append(docs.select(["kind", "node", "doc_id", "copy", "n"]).append_column("tokens", pa.nulls(docs.num_rows, pa.list_(pa.int64()))))
-    known = table.filter(pa.array(kinds == _SEGMENT))
-    if known.num_rows:
-        parts = [np.frombuffer(b, "<i8") for b in known["high"].to_pylist()]
-        size = [len(p) for p in parts]
-        out.append(_segments(np.repeat(known["node"].to_numpy(), size), np.repeat(known["n"].to_numpy(), size), np.concatenate(parts)))
-    blocks = table.filter(pa.array(kinds == _BLOCK))
-    if blocks.num_rows:
-        cols = {c: blocks[c].to_pylist() for c in ("nodes", "sizes", "high", "low", "owner")}
-        token, who, total = [], [], 0
-        for high, low, owner, nodes in zip(cols["high"], cols["low"], cols["owner"], cols["nodes"], strict=True):
-            token.append((_unstepped(high).astype(np.int64) << 16) | np.frombuffer(low, "<u2"))
-            o = np.frombuffer(owner, "<u2").astype(np.int64)
-            who.append(np.where(o == _SHARED_HERE, -1, o + total))
-            total += len(nodes) // 8
-        token, who = np.concatenate(token), np.concatenate(who)
-        node = np.frombuffer(b"".join(cols["nodes"]), "<i8")
-        n = np.frombuffer(b"".join(cols["sizes"]), "<u4")
-        order = np.argsort(token, kind="stable")
-        token, who = token[order], who[order]
-        new = np.append(True, token[1:] != token[:-1])
-        runs = np.append(np.flatnonzero(new), len(token))
-        name = np.where(who < 0, 0, node[who]) if len(node) else np.zeros(len(who), np.int64)
-        lowest, highest = np.minimum.reduceat(name, runs[:-1]), np.maximum.reduceat(name, runs[:-1])
-        marked = np.minimum.reduceat(who, runs[:-1]) < 0
-        shared = np.repeat(marked | (lowest != highest), np.diff(runs)) & (who >= 0)
-        if shared.any():
-            out.append(_segments(node[who[shared]], n[who[shared]], token[shared]))
-    return pa.concat_tables(out) if out else _segments(*[np.zeros(0, np.int64)] * 3)
+
+    def run(table: pa.Table) -> pa.Table:
+        release()  # what the last group left
+        kinds = table["kind"].to_numpy()
+        out = []
+        docs = table.filter(pa.array(kinds == _DOCUMENT))
+        if docs.num_rows:
+            out.append(pa.table([docs[f.name].combine_chunks() if f.name in ("kind", "node", "doc_id", "copy", "n") else pa.nulls(docs.num_rows, f.type) for f in _PACKED], schema=_PACKED))
+        known = table.filter(pa.array(kinds == _SEGMENT))
+        if known.num_rows:
+            parts = [np.frombuffer(b, "<i8") for b in known["high"].to_pylist()]
+            size = [len(p) for p in parts]
+            out.append(_segments(np.repeat(known["node"].to_numpy(), size), np.repeat(known["n"].to_numpy(), size), np.concatenate(parts), buckets))
+        blocks = table.filter(pa.array(kinds == _BLOCK))
+        if blocks.num_rows:
+            cols = {c: blocks[c].to_pylist() for c in ("nodes", "sizes", "high", "low", "owner")}
+            token, who, total = [], [], 0
+            for high, low, owner, nodes in zip(cols["high"], cols["low"], cols["owner"], cols["nodes"], strict=True):
+                token.append((_unstepped(high).astype(np.int64) << 16) | np.frombuffer(low, "<u2"))
+                o = np.frombuffer(owner, "<u2").astype(np.int64)
+                who.append(np.where(o == _SHARED_HERE, -1, o + total))
+                total += len(nodes) // 8
+            token, who = np.concatenate(token), np.concatenate(who)
+            node = np.frombuffer(b"".join(cols["nodes"]), "<i8")
+            n = np.frombuffer(b"".join(cols["sizes"]), "<u4")
+            order = np.argsort(token, kind="stable")
+            token, who = token[order], who[order]
+            new = np.append(True, token[1:] != token[:-1])
+            runs = np.append(np.flatnonzero(new), len(token))
+            name = np.where(who < 0, 0, node[who]) if len(node) else np.zeros(len(who), np.int64)
+            lowest, highest = np.minimum.reduceat(name, runs[:-1]), np.maximum.reduceat(name, runs[:-1])
+            marked = np.minimum.reduceat(who, runs[:-1]) < 0
+            shared = np.repeat(marked | (lowest != highest), np.diff(runs)) & (who >= 0)
+            if shared.any():
+                out.append(_segments(node[who[shared]], n[who[shared]], token[shared], buckets))
+        return pa.concat_tables(out) if out else _PACKED.empty_table()
+
+    return run
+
+
+def _assemble(percent: int):
+    """The packed segments of one bucket -> one row per text that shares enough n-grams for a link, with these in order."""
+
+    def run(table: pa.Table) -> pa.Table:
+        release()  # what the last bucket left
+        column = lambda c, t: np.frombuffer(b"".join(table[c].to_pylist()), t)
+        counts = column("counts", "<u4")
+        token = (column("high", "<u4").astype(np.int64) << 16) | column("low", "<u2")
+        node, n, token, first = _distinct(np.repeat(column("nodes", "<i8"), counts), np.repeat(column("sizes", "<u4"), counts), token)
+        size = np.diff(first)
+        able = size * 100 >= n[first[:-1]].astype(np.int64) * percent
+        tokens = token[np.repeat(able, size)]
+        ends = pa.array(np.append(0, np.cumsum(size[able])), pa.int32())
+        who = first[:-1][able]
+        return pa.table({"node": pa.array(node[who], pa.int64()), "n": pa.array(n[who].astype(np.int64), pa.int64()), "tokens": pa.ListArray.from_arrays(ends, pa.array(tokens, pa.int64()))})
+
+    return run
 
 
 def verify(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
@@ -357,11 +402,10 @@ def _components(documents: DataFrame, n: int, percent: int) -> DataFrame:
     fragments = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FRAGMENT))
     rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("copy"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = rows.mapInArrow(_deal(fragments, n), _DEALT)
-    counted = stage(dealt.groupBy("g").applyInArrow(_count_fragment, _KEPT), "fragments")
+    counted = stage(dealt.groupBy("g").applyInArrow(_count_fragment(fragments), _KEPT), "fragments")
     docs = counted.where(F.col("kind") == _DOCUMENT).select("doc_id", "copy", "node", "n")
-    segments = counted.where(F.col("kind") == _SEGMENT)
-    whole = segments.groupBy("node").agg(F.max("n").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tokens")))).alias("tokens"))
-    able = stage(whole.where(F.size("tokens") * 100 >= F.col("n") * percent), "able")
+    segments = counted.where(F.col("kind") == _SEGMENT).select("g", "nodes", "sizes", "counts", "high", "low")
+    able = stage(segments.groupBy("g").applyInArrow(_assemble(percent), _SET), "able")
     needed = F.ceil(F.col("n") * percent / F.lit(100.0))
     prefix = F.slice("tokens", F.lit(1), (F.size("tokens") - needed + 1).cast("int"))  # what one text alone holds comes first in the order
     postings = stage(able.select("node", "n", F.size("tokens").alias("s"), F.explode(prefix).alias("token")), "postings")

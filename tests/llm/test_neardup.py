@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -100,3 +101,20 @@ def test_sets_are_distinct_and_whole():
     h, r = shingle_sets(pa.array(["a b c d e f a b c d e", "A B C D E", "a b", None]))
     assert [int((r == i).sum()) for i in range(4)] == [6, 1, 1, 0]
     assert h[r == 1][0] in h[r == 0]
+
+
+def test_segments_of_a_fragment_are_rows_of_buckets():
+    """However many texts share n-grams in a fragment, it hands on one row per bucket; texts are whole again afterwards."""
+    from rankcut.llm.neardup import _assemble, _segments
+
+    rnd = np.random.default_rng(3)
+    node = rnd.integers(-(1 << 62), 1 << 62, 500).repeat(8)
+    token = rnd.integers(0, 1 << 48, 8 * 500)
+    token[1::8] = token[0::8]  # repeated
+    size = np.full(len(node), 9)
+    parts = [_segments(node[half], size[half], token[half], 7) for half in (slice(0, 2100), slice(2000, 4000))]
+    assert all(p.num_rows == 7 and p["g"].to_pylist() == list(range(7)) for p in parts)
+    both = pa.concat_tables(parts)
+    rows = [r for g in range(7) for r in _assemble(75)(both.filter(pa.array(both["g"].to_numpy() == g))).to_pylist()]
+    assert {r["node"]: r["tokens"] for r in rows} == {x: np.unique(token[node == x]).tolist() for x in np.unique(node).tolist()} and len(rows) == 500
+    assert not _assemble(80)(both).num_rows  # seven of nine n-grams are too few
