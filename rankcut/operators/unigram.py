@@ -1,12 +1,14 @@
 """Learning a unigram-LM vocabulary by expectation maximisation and pruning.
 
-Pieces and their scores are a staged table from the seeds to the last cut; the driver only holds counts and sums.
+Pieces and their scores are a staged table from the seeds to the last cut. The lattices ship them as vectors, bounded by the number of seeds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,9 +60,11 @@ def seed_pieces(words: DataFrame, seed_size: int = SEED_SIZE, max_chars: int = M
 def expected_counts(lattice: Lattice, scores: DataFrame) -> DataFrame:
     """``(piece, expected)`` over all words; the row of the empty piece holds the log-likelihood."""
 
-    def count(block: Block, names: list[str]) -> pa.Table:
-        use, loglik = block.expected()
-        return pa.table([pa.array([*names, ""], pa.string()), pa.array([*use, loglik], pa.float64())], names=["piece", "c"])
+    def count(blocks: Iterator[Block], names: pa.Array) -> Iterator[pa.RecordBatch]:
+        use, loglik = np.zeros(len(names)), 0.0
+        for block in blocks:
+            loglik += block.expected(use)
+        yield _named(names, use, [("", loglik)])
 
     return over_parts(lattice, scores, count, "piece string, c double").groupBy("piece").agg(F.sum("c").alias("expected"))
 
@@ -68,31 +72,40 @@ def expected_counts(lattice: Lattice, scores: DataFrame) -> DataFrame:
 def viterbi_counts(lattice: Lattice, scores: DataFrame) -> DataFrame:
     """``(piece, n)``: use of each piece in the best segmentations of all words."""
 
-    def count(block: Block, names: list[str]) -> pa.Table:
-        use = [0] * len(names)
-        for words, edges in block.best():
-            for pid, n in zip(block.piece[edges].tolist(), block.weights[words].tolist()):
-                use[pid] += n
-        return pa.table([pa.array(names, pa.string()), pa.array(use, pa.int64())], names=["piece", "c"])
+    def count(blocks: Iterator[Block], names: pa.Array) -> Iterator[pa.RecordBatch]:
+        use = np.zeros(len(names), np.int64)
+        for block in blocks:
+            for words, edges in block.best():
+                np.add.at(use, block.piece[edges], block.weights[words])
+        yield _named(names, use, [])
 
-    return over_parts(lattice, scores, count, "piece string, c long").where("c > 0").groupBy("piece").agg(F.sum("c").alias("n"))
+    return over_parts(lattice, scores, count, "piece string, c long").groupBy("piece").agg(F.sum("c").alias("n"))
+
+
+def _named(names: pa.Array, use: np.ndarray, more: list[tuple]) -> pa.RecordBatch:
+    """``piece, c`` of the pieces with any use, and of ``more`` of them."""
+    used = np.flatnonzero(use)
+    pieces = pa.concat_arrays([names.take(pa.array(used)), pa.array([p for p, _ in more], pa.string())])
+    return pa.RecordBatch.from_arrays([pieces, pa.array(np.append(use[used], np.array([c for _, c in more], use.dtype)))], names=["piece", "c"])
 
 
 def replacements(lattice: Lattice, scores: DataFrame) -> DataFrame:
     """``(piece, own, instead)`` for a lattice of pieces: whether a piece is its own best path, and the best path without it (NULL: none)."""
 
-    def paths(block: Block, names: list[str]) -> pa.Table:
-        own = [False] * len(block.sizes)
-        spelled: list[list[str]] = [[] for _ in own]
-        instead: list[list[str]] = [[] for _ in own]
-        for target, path in ((spelled, block.best()), (instead, block.best(whole=False))):
-            for words, edges in path:
-                for k, pid in zip(words.tolist(), block.piece[edges].tolist()):
-                    target[k].append(names[pid])
-        for k, parts in enumerate(spelled):
-            own[k] = len(parts) == 1
-        whole = ["".join(reversed(p)) for p in spelled]
-        return pa.table([pa.array(whole, pa.string()), pa.array(own), pa.array([p or None for p in instead], pa.list_(pa.string()))], names=["piece", "own", "instead"])
+    def paths(blocks: Iterator[Block], names: pa.Array) -> Iterator[pa.RecordBatch]:
+        for block in blocks:
+            own = [False] * len(block.sizes)
+            spelled: list[list[str]] = [[] for _ in own]
+            instead: list[list[str]] = [[] for _ in own]
+            for target, path in ((spelled, block.best()), (instead, block.best(whole=False))):
+                for words, edges in path:
+                    for k, piece in zip(words.tolist(), names.take(pa.array(block.piece[edges])).to_pylist()):
+                        target[k].append(piece)
+            for k, parts in enumerate(spelled):
+                own[k] = len(parts) == 1
+            whole = ["".join(reversed(p)) for p in spelled]
+            columns = [pa.array(whole, pa.string()), pa.array(own, pa.bool_()), pa.array([p or None for p in instead], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["piece", "own", "instead"])
 
     return over_parts(lattice, scores, paths, "piece string, own boolean, instead array<string>")
 

@@ -295,3 +295,20 @@ def test_cuts(spark):
     assert {(r["tok_name"], r["n"]) for r in cut.groupBy("tok_name").agg(F.count("*").alias("n")).collect()} == {("bpe3c", 3), ("bpe5c", 5)}
     ranked = table.withColumnRenamed("id", "rank")
     assert vocab.cut_merges(ranked, 7, 4).count() == 3
+
+
+def test_lattice_pieces_are_numbered_once(spark, monkeypatch):
+    """Not per part: no table grows with parts times pieces, and the edges are those of brute force, also in long words."""
+    monkeypatch.setattr(lattice, "PART_CHARS", 40)
+    rnd = random.Random(5)
+    words = sorted({"".join(rnd.choice("abcö") for _ in range(rnd.randrange(1, 25))) for _ in range(60)} | {"abz" * 300})
+    pieces = sorted({*"abc", "ab", "aba", "bca", "öa", "cab" * 5, "zab", "abzabza"})
+    scores = spark.createDataFrame([(p, -1.0) for p in pieces], "piece string, logprob double")
+    built = lattice.build_lattice(spark.createDataFrame([(w, 1) for w in words], "w string, n long"), scores, 16)
+    assert built.blocks.count() > 1
+    assert sorted(tuple(r) for r in built.pieces.select("pid", "piece").collect()) == list(enumerate(pieces))
+    text, at, length, piece = lattice.Trie(pieces).edges(words, 16)
+    got = set(zip(text.tolist(), at.tolist(), length.tolist(), piece.tolist()))
+    known = {p: i for i, p in enumerate(pieces)}
+    assert got == {(k, i, n, known[w[i : i + n]]) for k, w in enumerate(words) for i in range(len(w)) for n in range(1, 17) if i + n <= len(w) and w[i : i + n] in known}
+    assert len(got) == len(text)
