@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,23 +16,25 @@ from rankcut.operators.vocab import UNK_TOKEN, Learned, byte_alphabet, from_byte
 
 # Fixed value: longer words become the unknown token under longest-match encoding.
 MAX_WORD_CHARS = 100
-_MEMO_WORDS = 500_000
+_MEMO_WORDS = 250_000  # in either generation
 
 
 def merge_word(word: str, ids: dict[str, int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
     """Apply the lowest-ranked applicable merge everywhere, until none applies."""
     parts = [ids[c] for c in word]
     while len(parts) > 1:
-        pairs = set(zip(parts, parts[1:]))
-        best = min((p for p in pairs if p in ranks), key=ranks.__getitem__, default=None)
-        if best is None:
+        ranked = [ranks.get(pair) for pair in zip(parts, parts[1:])]
+        found = [r for r in ranked if r is not None]
+        if not found:
             break
+        best = min(found)
         out, i = [], 0
-        while i < len(parts):
-            hit = tuple(parts[i : i + 2]) == best
-            out.append(ranks[best][1] if hit else parts[i])
-            i += 2 if hit else 1
-        parts = out
+        for k, r in enumerate(ranked):
+            if r is best and k >= i:
+                out.extend(parts[i:k])
+                out.append(best[1])
+                i = k + 2
+        parts = out + parts[i:]
     return parts
 
 
@@ -67,31 +71,42 @@ def _word_encoder(learned: Learned, vocab_size: int, kind: str, prefix: str):
 def encode_words(words: Column, learned: Learned, spark, vocab_size: int | None = None, kind: str = "bpe", prefix: str = "") -> Column:
     """Array of words -> array of ids, by merges (``bpe``), best path (``unigram``) or else the longest match.
 
-    The vocabulary is bounded by its size parameter and shipped once per executor. Each task encodes a
-    distinct word once and remembers it.
+    The vocabulary is bounded by its size parameter and shipped once per executor. A batch of documents looks each of its distinct words up
+    once; a task remembers the words it has encoded, in two generations of bounded size.
     """
     size = vocab_size or len(learned.tokens)
     shared = spark.sparkContext.broadcast((learned, size))
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table, limit = shared.value
         one = _word_encoder(table, limit, kind, prefix)
         alphabet = byte_alphabet()
-        memo: dict[str, list[int]] = {}
+        young: dict[str, bytes] = {}
+        old: dict[str, bytes] = {}
         for batch in batches:
-            rows = []
-            for doc in batch:
-                ids: list[int] = []
-                for word in doc:
-                    found = memo.get(word)
+            if batch.null_count:
+                raise TypeError("documents without text cannot be encoded")
+            coded = batch.flatten().dictionary_encode()
+            spelled = []
+            for word in coded.dictionary.to_pylist():  # each word of the batch once
+                found = young.get(word)
+                if found is None:
+                    if len(young) >= _MEMO_WORDS:
+                        old, young = young, {}
+                    found = old.get(word)
                     if found is None:
-                        if len(memo) >= _MEMO_WORDS:
-                            memo.clear()
-                        found = memo[word] = one("".join(alphabet[b] for b in word.encode()))
-                    ids.extend(found)
-                rows.append(ids)
-            yield pd.Series(rows)
+                        found = np.array(one("".join([alphabet[b] for b in word.encode()])), "<i4").tobytes()
+                    young[word] = found
+                spelled.append(found)
+            ids = np.frombuffer(b"".join(spelled), "<i4")
+            sizes = np.fromiter(map(len, spelled), np.int64, len(spelled)) // 4
+            use = coded.indices.to_numpy()
+            sizes, starts = sizes[use], (np.cumsum(sizes) - sizes)[use]
+            ends = np.append(0, np.cumsum(sizes))
+            where = np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])
+            bounds = batch.offsets.to_numpy()
+            yield pa.ListArray.from_arrays(pa.array(ends[bounds - bounds[0]], pa.int32()), pa.array(ids[where], pa.int32()))
 
     return encode(words)
 
@@ -135,10 +150,22 @@ def decode_docs(tokenised: DataFrame, vocab: DataFrame, key: str = "uid") -> Dat
     tokens = {r["id"]: r["token"] for r in vocab.select("id", "token").collect()}
     shared = tokenised.sparkSession.sparkContext.broadcast(tokens)
 
-    @F.pandas_udf("string")
-    def joined(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = shared.value
+    @F.arrow_udf("string")
+    def joined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = np.array(sorted(shared.value), np.int64)
+        table = pa.array([shared.value[i] for i in known.tolist()], pa.string())
         for batch in batches:
-            yield batch.map(lambda ids: None if ids is None else "".join([table[i] for i in ids]))
+            ids = batch.flatten()
+            if ids.null_count:
+                raise KeyError(None)
+            ids = ids.to_numpy()
+            place = np.searchsorted(known, ids)
+            strange = ids[np.append(known, -1)[place] != ids] if len(known) else ids
+            if len(strange) or (ids < 0).any():
+                raise KeyError(int(strange[0]) if len(strange) else int(ids.min()))
+            size = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
+            parts = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), table.take(pa.array(place)))
+            text = pc.binary_join(parts, "")
+            yield pc.if_else(batch.is_valid(), text, None) if batch.null_count else text
 
     return tokenised.select(key, from_byte_chars(joined("input_ids")).alias("text"))

@@ -312,3 +312,64 @@ def test_lattice_pieces_are_numbered_once(spark, monkeypatch):
     known = {p: i for i, p in enumerate(pieces)}
     assert got == {(k, i, n, known[w[i : i + n]]) for k, w in enumerate(words) for i in range(len(w)) for n in range(1, 17) if i + n <= len(w) and w[i : i + n] in known}
     assert len(got) == len(text)
+
+
+@pytest.mark.parametrize("memo", [3, 10**6])
+def test_words_are_looked_up_once_per_batch(spark, docs, memo, monkeypatch):
+    """A word that stands everywhere costs one look-up per batch, and a full memory keeps its younger words."""
+    monkeypatch.setattr(encode, "_MEMO_WORDS", memo)
+    learned = vocab.learn_bpe(docs, 257 + 60)
+    tokens, ranks = {t: i for i, t in enumerate(learned.tokens)}, {}
+    for rank, m in enumerate(learned.merges):
+        ranks.setdefault(tuple(m[0]), (rank, m[2]))
+
+    def plain(word):
+        parts = [tokens[c] for c in word]
+        while found := [(ranks[p], p) for p in zip(parts, parts[1:]) if p in ranks]:
+            (_, made), pair = min(found)
+            i = 0
+            while i < len(parts) - 1:
+                if (parts[i], parts[i + 1]) == pair:
+                    parts[i : i + 2] = [made]
+                i += 1
+        return parts
+
+    alphabet = vocab.byte_alphabet()
+    udf = encode.encode_words(F.col("words"), learned, spark)
+    rows = docs.select(vocab.words_of(F.col("text")).alias("words")).where("size(words) % 2 = 1 or size(words) = 0 or size(words) > 20").select("words", udf.alias("ids")).collect()
+    for r in rows:
+        assert list(r["ids"]) == [i for w in r["words"] for i in plain("".join(alphabet[b] for b in w.encode()))]
+    chosen = {w: plain(w) for w in ("aaaaa", "ananana", "aaaa", "lowlow", "")}
+    assert {w: encode.merge_word(w, tokens, ranks) for w in chosen} == chosen
+
+
+@pytest.mark.parametrize("memo", [3, 10**6])
+def test_a_word_is_encoded_once_per_batch(spark, docs, memo, monkeypatch):
+    """However small the memory: it made every use of a word beyond it an encoding."""
+    made, calls = encode._word_encoder, spark.sparkContext.accumulator(0)
+
+    def counting(*args):
+        one = made(*args)
+
+        def counted(word):
+            calls.add(1)
+            return one(word)
+
+        return counted
+
+    monkeypatch.setattr(encode, "_MEMO_WORDS", memo)
+    monkeypatch.setattr(encode, "_word_encoder", counting)
+    learned = vocab.learn_bpe(docs, 257 + 60)
+    texts = spark.createDataFrame([(i, " ".join(f"w{k}" for k in "abcdefghij" * 20)) for i in range(5)], "doc_id long, text string").coalesce(1)
+    rows = encode.encode_docs(texts, learned).collect()
+    distinct = texts.select(F.explode(vocab.words_of(F.col("text"))).alias("w")).distinct().count()
+    assert calls.value == distinct and len({tuple(r["input_ids"]) for r in rows}) == 1
+
+
+def test_ids_outside_the_vocabulary_fail(spark):
+    table = spark.createDataFrame([(0, "a"), (5, "b")], "id int, token string")
+    for ids in ([3], [-1], [0, None]):
+        with pytest.raises(Exception, match="KeyError"):
+            encode.decode_docs(spark.createDataFrame([(1, ids)], "uid long, input_ids array<int>"), table).collect()
+    kept = spark.createDataFrame([(1, [5, 0, 5]), (2, None), (3, []), (4, [0])], "uid long, input_ids array<int>").coalesce(1)
+    assert {r["uid"]: r["text"] for r in encode.decode_docs(kept, table).collect()} == {1: "bab", 2: None, 3: "", 4: "a"}
