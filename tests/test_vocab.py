@@ -101,6 +101,33 @@ def test_batched_merges_on_dense_random_words(spark, seed):
     assert [(m[0], m[1], m[5]) for m in got.merges] == merges
 
 
+def test_a_round_rewrites_words_by_its_stretches(spark):
+    """Pairs, stretches and rewriting against plain string work; a stretch that is not listed is merged in order."""
+    rng = random.Random(4)
+    words = [("".join(rng.choice("abcd\U00012345") for _ in range(rng.randrange(0, 12))), rng.randrange(1, 5)) for _ in range(300)]
+    table = spark.createDataFrame(words, "sym string, n long").repartition(3)
+    pairs, stretches = {}, {}
+    wanted = ["ab", "ba", "b\U00012345", "cc"]
+    for w, n in words:
+        for p in map("".join, zip(w, w[1:])):
+            pairs[p] = pairs.get(p, 0) + n
+        start = 0
+        for i in range(1, len(w) + 1):
+            if i == len(w) or w[i - 1 : i + 1] not in wanted:
+                if i - start > 1:
+                    stretches[w[start:i]] = stretches.get(w[start:i], 0) + n
+                start = i
+    assert {r["pair"]: r["n"] for r in vocab.pair_counts(table).collect()} == pairs
+    assert {r["segment"]: r["n"] for r in vocab.segment_counts(table, wanted).collect()} == stretches
+    merges = [("ab", "X"), ("Xb", "Y"), ("cc", "Z")]  # "Xb" lies in no stretch
+    known = {t: vocab._merge_in_order(t, {p: (i, m) for i, (p, m) in enumerate(merges)}) for t in list(stretches)[::2]}
+    got = sorted(tuple(r) for r in vocab._rewritten(table, wanted, [merges[0], merges[2]], {t: m for t, m in known.items() if "Y" not in m}).collect())
+    assert got == sorted((w.replace("ab", "X").replace("cc", "Z"), n) for w, n in words)
+    seen = []
+    became = vocab.replay([("abab", 3), ("abb", 1)], 2, lambda pair, n: (seen.append((pair, n)) or "XY"[len(seen) - 1], len(seen) < 2))
+    assert seen == [("ab", 7), ("XX", 3)] and became == ["Y", "Xb"]
+
+
 def trained(docs, size):
     tok = tokenizers.Tokenizer(tokenizers.models.BPE())
     tok.pre_tokenizer = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
