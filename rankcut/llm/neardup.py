@@ -19,12 +19,13 @@ from rankcut.llm.components import components
 from rankcut.llm.frames import number_of, numbered, release
 from rankcut.llm.text import FOLDED_WORDS, column_bytes, groups, mix, windows, words
 from rankcut.operators.ordering import row_index
-from rankcut.session import stage
+from rankcut.session import arrow_batches, stage
 
 N = 5
 PERCENT = 75
 BLOCK = 1 << 21  # bytes of text whose n-grams are counted together before they are dealt out
 BLOCK_ROWS = 60_000
+BATCH_ROWS = 500  # texts that reach a task at a time
 FRAGMENT = 1 << 24  # bytes of text whose n-grams make up one fragment
 SALTS = 16  # tasks over which the segments of one text with copies everywhere are spread
 PARTS = 4  # fragments in which the overlap of a pair is counted
@@ -151,8 +152,8 @@ def _deal(fragments: int, n_words: int):
             release()
 
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
+            for low in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(low, BATCH_ROWS)
                 held.append(part)
                 size += part.nbytes
                 if size >= BLOCK or sum(p.num_rows for p in held) >= BLOCK_ROWS:
@@ -402,7 +403,8 @@ def _components(documents: DataFrame, n: int, percent: int) -> DataFrame:
     fragments = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FRAGMENT))
     rows = documents.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("copy"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = rows.mapInArrow(_deal(fragments, n), _DEALT)
-    counted = stage(dealt.groupBy("g").applyInArrow(_count_fragment(fragments), _KEPT), "fragments")
+    with arrow_batches(spark, BATCH_ROWS):  # executor and worker would both hold thousands of texts beside the block
+        counted = stage(dealt.groupBy("g").applyInArrow(_count_fragment(fragments), _KEPT), "fragments")
     docs = counted.where(F.col("kind") == _DOCUMENT).select("doc_id", "copy", "node", "n")
     segments = counted.where(F.col("kind") == _SEGMENT).select("g", "nodes", "sizes", "counts", "high", "low")
     able = stage(segments.groupBy("g").applyInArrow(_assemble(percent), _SET), "able")
