@@ -224,6 +224,16 @@ def test_large_benchmarks_are_joined_by_a_shuffle(spark, benchmark, monkeypatch)
     assert {tuple(r) for r in find_overlaps(docs, benchmark).collect()} == few != set()
 
 
+def test_hits_of_a_benchmark_with_copies_and_long_items_stay_in_place(spark):
+    """Seeds carry no tokens, and equal items are sought once: no position of a document is shuffled."""
+    long = prose(1200, 505)
+    benchmark = spark.createDataFrame([(i, long) for i in range(6)] + [(6, "one two three"), (7, "one two three")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"{prose(80, 9)} {' '.join(long.split()[600:640])}"), (2, "one two three"), (3, prose(30, 10))], "doc_id long, text string")
+    found = find_overlaps(docs, benchmark)
+    assert "LeftSemi" in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r["doc_id"], r["item_id"]): r["matched"] for r in found.collect()} == {(1, i): 16 for i in range(6)} | {(2, 6): 3, (2, 7): 3}
+
+
 def test_decontamination_keeps_every_column(spark, awkward, benchmark):
     out = decontaminate(awkward, benchmark)
     assert out.schema.names == awkward.schema.names and out.count() == awkward.count()
