@@ -286,3 +286,81 @@ def test_copies_of_a_group_table_are_never_broadcast(spark):
     groups = spark.createDataFrame([(i, i * 2) for i in range(40)], "k int, w int")
     got = ordering.join_groups(df, groups, ["k"], "left", bound=0)
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString() and got.count() == 200
+
+
+def odd_run(spark):
+    """Equal numbers in both tables, missing, empty and unequal arrays, missing numbers, tokens and scores, arrays of other lengths than the document."""
+    rng = random.Random(4)
+    docs, evals = [], []
+    for u in range(60):
+        ids = [rng.choice([1, 2, 3, 3, 4, 5, None, 300]) for _ in range(rng.randrange(0, 25))]
+        for _ in range(2 if u % 13 == 0 else 1):
+            docs.append((None if u == 7 else u, None if u % 17 == 5 else ids))
+        for step in (0, 10, None) if u % 9 else (10,):
+            for _ in range(2 if u % 11 == 0 else 1):
+                seen = ids[1:] if u % 3 == 0 else [0] * (u % 3) + ids
+                if u % 4 == 1:
+                    seen = [t if rng.random() < 0.9 else 2 for t in seen]
+                scores = [None if rng.random() < 0.1 else -rng.random() for _ in seen]
+                evals.append((None if u == 7 else u, step, None if u % 19 == 3 else scores[: len(scores) - (u % 5 == 2)], None if u == 8 else seen))
+    log = [([1, 2], 6), ([3, 3], 7), ([2, 3], 8), ([3, 1], 9), ([300, 1], 6)]
+    log = spark.createDataFrame([(p, "x", i, "x", "x", 1) for p, i in log], "pair array<int>, new_token string, new_token_id int, part_a string, part_b string, count long")
+    return spark.createDataFrame(docs, "uid long, input_ids array<int>"), spark.createDataFrame(evals, "uid long, step long, token_logprob array<double>, token_ids array<int>"), log
+
+
+@pytest.mark.parametrize("direct", [True, False])
+def test_occurrences_of_whole_arrays_equal_those_by_row(spark, monkeypatch, direct):
+    from rankcut.operators import occurrences as module
+
+    if not direct:
+        monkeypatch.setattr(module, "_DIRECT_IDS", 0)
+        monkeypatch.setattr(module, "_DIRECT_PAIRS", 0)
+    docs, evals, log = odd_run(spark)
+    merges = align.imputed_merges(align.merges_window(log, 6, 4), 6)
+    tagged = align.tag_rows(align.token_rows_with_neighbours(align.trim_docs(docs, evals)), merges).where("tok >= 2 and tok < 10")
+    scores = align.impute_scores(align.score_offset(evals, docs), tagged)
+    items = module.items_around(merges, 6, 4)
+    found = module.staged_occurrences(*module.packed(docs, evals, items), items)
+    order = lambda rows: sorted((str(r["step"]), r["tok"], -9.0 if r["logprob"] is None else round(r["logprob"], 9)) for r in rows)
+    expected = order(outcomes.occurrence_scores(scores).collect())
+    assert order(found.collect()) == expected and len(expected) > 500
+    with pytest.raises(Exception, match="a tagged token has no score"):
+        module.staged_occurrences(*module.packed(docs, evals, items), items, strict=True)
+
+
+def test_regression_data_of_whole_arrays_equals_that_by_row(spark, monkeypatch):
+    docs, evals, log = odd_run(spark)
+    runs = [df.withColumn("run", F.explode(F.array(F.lit("r1"), F.lit("r2")))) for df in (docs, evals)]
+    calls = [((docs, evals), {"base_step": 10}), (runs, {"run": "run"})]
+
+    def rows(tables, **options):
+        checks = []
+        got = regression_data(*tables, log, 6, 4, complete=False, checks=checks, steps=[0, 10], **options).collect()
+        as_text = sorted(str([round(x, 9) if isinstance(x, float) else x for x in r]) for r in got)
+        return as_text, checks[0].completeness()
+
+    whole = [rows(t, **o) for t, o in calls]
+    monkeypatch.setattr(align, "BROADCAST_ROWS", 0)
+    assert [rows(t, **o) for t, o in calls] == whole and len(whole[0][0]) > 10
+
+
+def test_long_gaps_between_tokens_are_packed(spark):
+    from rankcut.operators import occurrences as module
+
+    docs = docs_of(spark, [(1, [9] * 254 + [1, 2] + [9] * 255 + [3] + [9] * 1000 + [3, 3]), (2, [9]), (3, [1, 2])])
+    log = spark.createDataFrame([([1, 2], "ab", 6, "a", "b", 5)], "pair array<int>, new_token string, new_token_id int, part_a string, part_b string, count long")
+    items = module.items_around(align.imputed_merges(align.merges_window(log, 6, 4), 6), 6, 4)
+    rows = docs.withColumns({"step": F.lit(0).cast("long"), "token_ids": F.col("input_ids"), "token_logprob": F.transform("input_ids", lambda _, i: i.cast("double"))})
+    found = module.staged_occurrences(pack := module.pack_tokens(docs, items), module.pack_scores(rows, items), items, strict=True)
+    assert sorted((r["tok"], r["logprob"]) for r in found.where("tok <> 9").collect()) == [(3, 511.0), (3, 1512.0), (3, 1513.0), (6, 1.0), (6, 509.0)]
+    assert {r["uid"]: r["d"]["size"] for r in pack.collect()} == {1: 1514, 2: 1, 3: 2}
+
+
+def test_packed_buckets_meet_where_they_lie(spark):
+    from rankcut.operators import occurrences as module
+
+    docs, evals, log = some_run(spark)
+    items = module.items_around(align.imputed_merges(align.merges_window(log, 6, 3), 6), 6, 3)
+    placed, scored = (bucketed(df, ["uid"], 3) for df in module.packed(docs, evals, items))
+    plan = module.occurrences(placed, scored, items, 0, True)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
