@@ -58,3 +58,22 @@ def test_only_uses_of_rare_words_are_joined(spark):
     vocab = spark.createDataFrame([("b", 0), ("c", 1), ("a", 2)], "word string, id long")
     got = {r["uid"]: (list(r["input_ids"]), [tuple(x) for x in r["rest"]]) for r in fixtures._ids_in_place(texts.coalesce(1), vocab, 2).collect()}
     assert got == {1: ([0, None, 1], [(1, "a")]), 2: ([1], []), 3: ([0], [])}
+
+
+def test_words_are_those_of_the_regular_expression(spark, monkeypatch):
+    odd = [None, "", " ", "a", "12ab3 c", "é12½١٢日本語 x", "ª º. ŉ𝐀𝟘𐐷 👍🏽 m", "x\u0301y _z-9 \u200dq", "".join(map(chr, range(0x20, 0x3000, 7))), "".join(map(chr, range(0x1D400, 0x1D800))), "a", "b\x00c"]
+    rows = [(i, t) for i, t in enumerate(odd)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = docs.select("doc_id", fixtures.F.regexp_extract_all("text", fixtures.F.lit(fixtures.WORD), fixtures.F.lit(0)).alias("w")).collect()
+    texts = fixtures.pa.array(["zz"] + odd, fixtures.pa.string()).slice(1)
+    assert fixtures.split_words(texts, fixtures.char_classes(spark)).to_pylist() == [list(r["w"] or []) for r in sorted(expected)]
+    monkeypatch.setattr(fixtures, "COUNTED_WORDS", 10)
+    counts = {r["word"]: r["n"] for r in fixtures.count_words(docs).collect()}
+    plain = [w for r in expected for w in r["w"] or []]
+    assert counts == {w: plain.count(w) for w in plain}
+
+
+def test_words_are_counted_before_they_are_handed_on(spark):
+    docs = spark.createDataFrame([(1, "b a b c")], "doc_id long, text string")
+    plan = fixtures.count_words(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
