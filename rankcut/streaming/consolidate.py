@@ -20,13 +20,26 @@ def new_checkpoints(spark: SparkSession, eval_path: str) -> DataFrame:
     return label_checkpoints(files)
 
 
+# Folders that a task has open at a time; rows are sorted by folder only beyond that.
+OPEN_FOLDERS = 16
+
+
 def consolidate_available(spark: SparkSession, eval_path: str, out_path: str, checkpoint: str) -> StreamingQuery:
-    """Append every new file to ``out_path`` exactly once, then stop. Stateless, so any volume fits."""
-    return (
-        new_checkpoints(spark, eval_path)
-        .writeStream.format("parquet")
-        .option("checkpointLocation", checkpoint)
-        .partitionBy("run", "step")
-        .trigger(availableNow=True)
-        .start(out_path)
-    )
+    """Append every new file to ``out_path`` exactly once, then stop. Stateless, so any volume fits.
+
+    A task reads few files, each of one run and step, so it writes their rows as they come and does not sort the score arrays.
+    """
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(OPEN_FOLDERS))  # the query takes its settings when it starts
+    try:
+        return (
+            new_checkpoints(spark, eval_path)
+            .writeStream.format("parquet")
+            .option("checkpointLocation", checkpoint)
+            .partitionBy("run", "step")
+            .trigger(availableNow=True)
+            .start(out_path)
+        )
+    finally:
+        spark.conf.set(name, before)
