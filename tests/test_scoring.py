@@ -197,3 +197,15 @@ def test_scored_documents_are_never_broadcast(spark):
     rows = lambda df: sorted([(r["uid"] or 0, r["step"], list(r["token_logprob"]), list(r["token_ids"])) for r in df.collect()])
     assert rows(in_place) == rows(by_join)
     assert "Exchange" not in in_place._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_are_counted_by_batch(spark):
+    rows = [(i, [1, 2, 1, 2, i % 3], i % 2 + 1) for i in range(20)] + [(20, [], 1), (21, None, 1), (22, [5], 2), (23, [-(1 << 31), (1 << 31) - 1, -1], 1)]
+    for more in ([], [(24, [1, None, 2, 2], 1), (25, [3, 4], None)]):
+        docs = spark.createDataFrame(rows + more, "uid long, input_ids array<int>, part int").repartition(3)
+        got = scoring.pair_counts(docs, "part").groupBy("prev", "tok", "part").agg(F.sum("n").alias("n"))
+        plain = scoring.transitions(docs, ["part"]).groupBy("prev", "tok", "part").agg(F.count("*").alias("n"))
+        assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))
+        once = scoring.pair_counts(docs).groupBy("prev", "tok").agg(F.sum("n").alias("n"))
+        assert sorted(map(str, once.collect())) == sorted(map(str, plain.groupBy("prev", "tok").agg(F.sum("n").alias("n")).collect()))
+    assert "Generate" not in once._jdf.queryExecution().executedPlan().toString()
