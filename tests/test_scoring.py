@@ -209,3 +209,53 @@ def test_pairs_are_counted_by_batch(spark):
         once = scoring.pair_counts(docs).groupBy("prev", "tok").agg(F.sum("n").alias("n"))
         assert sorted(map(str, once.collect())) == sorted(map(str, plain.groupBy("prev", "tok").agg(F.sum("n").alias("n")).collect()))
     assert "Generate" not in once._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_scores_by_blocks_equal_those_by_join(spark, monkeypatch, small):
+    from rankcut.operators import blocks
+
+    if small:  # a block per few documents, and parts of few n-grams
+        monkeypatch.setattr(blocks, "BLOCK_TOKENS", 20)
+        monkeypatch.setattr(blocks, "PART_ROWS", 3)
+    rng = random.Random(9)
+    rows = [(u if u else None, [rng.choice([0, 1, 2, 3, 3, 4, 70]) for _ in range(rng.randrange(0, 30))]) for u in range(60)]
+    train = spark.createDataFrame(rows[:30], "uid long, input_ids array<int>")
+    strange = [(100, [1, None, 2, 3]), (101, [-4, 1, 2]), (102, [2_000_000_000, 1, 2]), (103, None), (104, [0])]
+    docs = spark.createDataFrame(rows + strange, "uid long, input_ids array<int>").repartition(3)
+    result = lambda df: sorted(str((r["uid"], r["step"], [round(x, 9) for x in r["token_logprob"]], r["token_ids"])) for r in df.collect())
+    for order in (2, 3):
+        model = backoff.fit_backoff(train, 80, order)
+        by_block = backoff.score_backoff(docs, model, step=3)
+        assert "CoGroup" in by_block._jdf.queryExecution().executedPlan().toString()
+        assert result(by_block) == result(backoff._score_by_join(docs, model, 3, 0))
+    model = scoring.fit_ngram(train, 80)
+    by_block = scoring.score_ngram(docs, model, bound=0)
+    assert "CoGroup" in by_block._jdf.queryExecution().executedPlan().toString()
+    assert result(by_block) == result(scoring._score_by_join(docs, model, 0))
+    again = docs.union(docs.limit(1).withColumn("uid", F.lit(101).cast("long")))
+    assert result(scoring.score_ngram(again, model, bound=0)) == result(scoring._score_by_join(again, model, 0))
+    assert result(backoff.score_backoff(again, backoff.fit_backoff(train, 80))) == result(backoff._score_by_join(again, backoff.fit_backoff(train, 80), 0, 0))
+
+
+def test_ngrams_with_missing_or_negative_tokens(spark):
+    docs = spark.createDataFrame([(1, [1, None, 2, 1, None, 2]), (2, [None, 3]), (3, [1, 2, 1 << 18, 2])], "uid long, input_ids array<int>")
+    model = backoff.fit_backoff(docs, 9)
+    result = lambda df: sorted(str((r["uid"], [round(x, 9) for x in r["token_logprob"]], r["token_ids"])) for r in df.collect())
+    assert result(backoff.score_backoff(docs, model)) == result(backoff._score_by_join(docs, model, 0, 0))
+    for token in (-5, 1 << 30):  # negative, or too large for the numbers of three tokens
+        other = docs.union(spark.createDataFrame([(4, [1, token, 2])], "uid long, input_ids array<int>"))
+        scored = backoff.score_backoff(other, backoff.fit_backoff(other, 9))
+        assert "CoGroup" not in scored._jdf.queryExecution().executedPlan().toString()
+        assert {r["uid"]: len(r["token_logprob"]) for r in scored.collect()} == {1: 5, 2: 1, 3: 3, 4: 2}
+
+
+def test_ngrams_of_many_different_tokens_are_counted(spark):
+    rng = random.Random(3)
+    rows = [(u, [rng.randrange(1 << 30) if rng.random() < 0.7 else None if rng.random() < 0.1 else 5 for _ in range(900)]) for u in range(6)]
+    docs = spark.createDataFrame(rows, "uid long, input_ids array<int>").coalesce(1)
+    for order in (2, 5, 7):  # more than a plain number holds
+        names = [f"w{k}" for k in range(order)]
+        got = backoff._gram_counts(docs, order).groupBy(*names).agg(F.sum("c").alias("c"))
+        expected = backoff._grams(docs, order).groupBy(*names).agg(F.count("*").alias("c"))
+        assert got.exceptAll(expected).count() == 0 and got.count() == expected.count()
