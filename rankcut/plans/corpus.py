@@ -276,7 +276,7 @@ SELECT step, item AS tok, max(s) FILTER (rn = floor((n-1)*0.5e0 + 0.5e0)) AS med
 
 
 def scored_regression_data(fx):
-    return regression_data(fx.docs, stage(ngram_evals(fx), "evals"), fx.log, BASE, HALF_WIDTH)
+    return regression_data(fx.docs, stage(ngram_evals(fx), "evals", compression="zstd"), fx.log, BASE, HALF_WIDTH)
 
 
 @on_fixture("aln07_scored_run", f"SELECT step, tok, round(median, 6) AS median, round(mean, 6) AS mean, round(std, 6) AS std, round(iqr, 6) AS iqr, num, treat FROM {SCORED} q")
@@ -304,8 +304,8 @@ def _(fx):
 def _(docs):
     """Learn a vocabulary, cut it, encode, score at three checkpoints, align, and estimate the effect of inclusion."""
     model = learned(docs, "bpe")
-    encoded = stage(encode.encode_corpus(docs, model, ["doc_id"], vocab_size=CUT), "encoded")
-    evals = stage(scoring.score_ngram(encoded, scoring.fit_ngram(encoded, CUT)), "evals")
+    encoded = stage(encode.encode_corpus(docs, model, ["doc_id"], vocab_size=CUT), "encoded", compression="zstd")
+    evals = stage(scoring.score_ngram(encoded, scoring.fit_ngram(encoded, CUT)), "evals", compression="zstd")
     return cutoff_effects(encoded, evals, model.merges_df(docs.sparkSession), CUT, CUT_WIDTH)
 
 
