@@ -129,3 +129,19 @@ def test_layouts_are_kept_by_joins_on_more_keys(spark):
         plan = joined.groupBy().count()._jdf.queryExecution().executedPlan().toString()
         assert "hashpartitioning(uid" in plan and "pos" not in "".join(x.split(")")[0] for x in plan.split("hashpartitioning(")[1:])
     assert spark.conf.get(name) == before
+
+
+def test_consolidation_does_not_sort_score_arrays(spark, tmp_path, monkeypatch):
+    from pyspark.sql.streaming import DataStreamWriter
+
+    for run, step in (("a", 0), ("a", 2000), ("b", 0)):
+        rows = spark.createDataFrame([(u, [-1.0 * u], [u]) for u in range(4)], readers.EVALS_SCHEMA)
+        rows.write.parquet(str(tmp_path / "evals" / f"{run}_2026-01-01T00-00-00" / f"step{step}_2026-01-01T00-00-00"))
+    name, seen, start = "spark.sql.maxConcurrentOutputFileWriters", [], DataStreamWriter.start
+    monkeypatch.setattr(DataStreamWriter, "start", lambda self, *a, **k: (seen.append(int(spark.conf.get(name))), start(self, *a, **k))[1])
+    before = spark.conf.get(name)
+    for _ in range(2):  # the second pass finds nothing new
+        consolidate_available(spark, str(tmp_path / "evals"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert min(seen) > 0 and spark.conf.get(name) == before  # with open writers, Spark adds no sort by folder
+    got = {(r["run"], r["step"]): r["n"] for r in spark.read.parquet(str(tmp_path / "out")).groupBy("run", "step").agg(F.count("*").alias("n")).collect()}
+    assert got == {("a", 0): 4, ("a", 2000): 4, ("b", 0): 4}
